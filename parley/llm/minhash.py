@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_blocks, saved
+from .common import by_group, components, in_blocks, matrix, saved
 
 #: A base for the rolling hash, and the odd multipliers' seed.
 BASE, SEED = 0x9E3779B97F4A7C15, 20240613
@@ -91,16 +91,16 @@ def most_bits(similarity: float, samples: int, bits: int) -> int:
     return int(bits / 2 * (1 - np.exp((similarity - 1) * 4 * samples / bits)))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 20, rows: int = 5, samples: int = 160, bits: int = 512, slack: float = 0.18, block_rows: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 20, rows: int = 5, samples: int = 160, bits: int = 512, slack: float = 0.15, block_rows: int = 1024) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable) and kept.
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of word shingles. A pair at
     the threshold of 0.8 shares one of the 20 bands of 5 MinHash samples with probability 0.9996; odd
-    sketches of all samples drop a candidate only if their estimate is slack (over four standard
+    sketches of all samples drop a candidate only if their estimate is slack (four standard
     deviations) below the threshold; all others are confirmed on whole sets.
 
-    Documents of equal word sequences are one class, represented by its smallest id. In each band bucket a
-    leader of its own is compared with all others, first each document's best leader, then what still joins
+    Documents of equal word sequences are one class, represented by its smallest id. In each band bucket its
+    leader, the one with most bucket mates over all bands (of edited copies, the original), is compared with all others, first each document's best leader, then what still joins
     two components. Buckets that still hold several components compare these exhaustively by sketch, in
     blocks, so no bucket is capped, and a group of copies never emits all of its pairs.
 
@@ -130,9 +130,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     least = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     again = saved(least.where("a <> b").select("doc_id", "a").join(members.select("doc_id", F.col("rep").alias("b")), "doc_id").select("a", "b"))
     keyed = saved(reps.select("doc_id", F.posexplode("bands").alias("band", "key")))
-    buckets = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id"))["doc_id"].alias("leader")).where("n > 1"))
-    shared = saved(keyed.join(buckets, "key").select("key", "doc_id", "leader"))
-    ids = saved(shared.select("doc_id").distinct())
+    buckets = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    mates = saved(keyed.join(buckets, "key").select("key", "doc_id", "n"))
+    ids = saved(mates.groupBy("doc_id").agg(F.sum("n").alias("mates")))
+    ranked = saved(mates.join(ids, "doc_id").select("key", "doc_id", "mates"))
+    leaders = saved(ranked.groupBy("key").agg(F.max(F.struct("mates", "doc_id"))["doc_id"].alias("leader")))
+    shared = saved(ranked.join(leaders, "key").select("key", "doc_id", "leader"))
+    ids = ids.select("doc_id")
     sketches = saved(reps.join(ids, "doc_id").select("doc_id", "sketch"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +182,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         there = saved(within.join(mixed, "key"))
         there = saved(there.join(sketches, "doc_id"))
         dealt = in_blocks(there, ["key"], "doc_id", block_rows)
-        pairs = saved(dealt.groupBy("key", "lo", "hi").applyInPandas(_pairs(cut, most), "a long, b long, more boolean").distinct())
+        pairs = saved(by_group(dealt.select("key", "lo", "hi", "block", "doc_id", "label", "sketch"), ["key", "lo", "hi"], _pairs(cut, most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
         if pairs.isEmpty():
             break
         more = pairs.where("more").select("a", "b")
@@ -198,21 +202,27 @@ def _pairs(cut: int, most: int):
     more: two components had more such pairs than are told; the caller asks again if they stay apart.
     """
 
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        pdf = pdf.sort_values("doc_id")
-        left = pdf[pdf["block"] == lo]
-        right = left if lo == hi else pdf[pdf["block"] == hi]
-        names = [(x["doc_id"].to_numpy(), x["label"].to_numpy(), np.array(x["sketch"].tolist(), dtype=np.int64).reshape(len(x), -1).view(np.uint64)) for x in (left, right)]
-        (ids, labels, sketch), (ids2, labels2, sketch2) = names
-        out = []
-        for i in range(len(ids)):
-            z = np.bitwise_count(sketch2 ^ sketch[i]).sum(axis=1)
-            near = np.flatnonzero((z <= cut) & (labels2 != labels[i]) & ((ids2 > ids[i]) if lo == hi else True))
-            out += [(min(labels[i], labels2[j]), max(labels[i], labels2[j]), int(z[j]), min(ids[i], ids2[j]), max(ids[i], ids2[j])) for j in near]
-        found = pd.DataFrame(out, columns=["p", "q", "z", "a", "b"]).astype("int64").sort_values(["p", "q", "z", "a", "b"])
-        groups = found.groupby(["p", "q"])
-        found["more"] = groups["a"].transform("size") > most
-        return found[groups.cumcount() < most][["a", "b", "more"]]
+    def find(rows: pa.Table) -> pa.Table:
+        lo, hi, block, ids, labels = (rows.column(c).to_numpy() for c in ("lo", "hi", "block", "doc_id", "label"))
+        sketch = matrix(rows.column("sketch")).view(np.uint64)
+        left = np.flatnonzero(block == lo[0])
+        right = left if lo[0] == hi[0] else np.flatnonzero(block == hi[0])
+        got = []
+        for i in range(0, len(left), 64):
+            part = left[i : i + 64]
+            z = sum(np.bitwise_count(sketch[part, None, w] ^ sketch[None, right, w]).astype(np.int32) for w in range(sketch.shape[1]))
+            near = (z <= cut) & (labels[part, None] != labels[None, right])
+            if lo[0] == hi[0]:
+                near &= ids[part, None] < ids[None, right]
+            x, y = np.nonzero(near)
+            got.append(np.stack([ids[part[x]], ids[right[y]], z[x, y], labels[part[x]], labels[right[y]]]))
+        a, b, z, p, q = np.concatenate(got, axis=1) if got else np.empty((5, 0), np.int64)
+        more = np.zeros(len(a), bool)
+        if len(a) > most:
+            found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "z": z, "p": np.minimum(p, q), "q": np.maximum(p, q)}).sort_values(["p", "q", "z", "a", "b"])
+            groups = found.groupby(["p", "q"])
+            more, told = (groups["a"].transform("size") > most).to_numpy(), (groups.cumcount() < most).to_numpy()
+            a, b, more = found["a"].to_numpy()[told], found["b"].to_numpy()[told], more[told]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "more": pa.array(more)})
 
     return find
