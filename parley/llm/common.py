@@ -107,3 +107,15 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(lists), -1)
+
+
+def bounded_sample(rows: DataFrame, by: str, each: int, key: str = "doc_id") -> DataFrame:
+    """About `each` rows, at the most, of each value of `by`: those whose key's hash is below the value's share."""
+    share = rows.groupBy(by).agg(F.least(F.lit(1.0), F.lit(float(each)) / F.count(F.lit(1))).alias("_share"))
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.join(share, by).where(place < F.col("_share")).drop("_share")
+
+
+def held_out(doc_id: F.Column, folds: int, fold: int) -> F.Column:
+    """True where crc32 of the id as text leaves this remainder."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
