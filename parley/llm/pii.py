@@ -139,13 +139,13 @@ def masked(text: str, own: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, columns: list[str] | None = None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): a row for each document; no shuffle.
 
     spans holds kind:start:end of all spans, base_sha256 is the digest of those of the base kinds alone.
     with_text adds masked, the text with each span replaced by its kind. A null text is an empty one (its
     masked text is null); null or repeated ids are told as they are; an empty table gives an empty result.
-    Other columns are ignored.
+    `columns` of docs are passed through, with _ before their names; others are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +160,9 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                     out.append((*counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(told), masked(t, own) if with_text and t else t))
                 cols = list(zip(*out, strict=True))
                 arrays = [part.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())]
-                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cols[6], pa.string())] if with_text else [])], names)
+                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cols[6], pa.string())] if with_text else []), *part.columns[2:]], [*names, *passed])
 
     names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", *(["masked"] if with_text else [])]
-    schema = ", ".join(f"{c} {'long' if c == 'doc_id' or c.startswith('n_') else 'string'}" for c in names)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    passed = [f"_{c}" for c in columns or []]
+    schema = ", ".join([*(f"{c} {'long' if c == 'doc_id' or c.startswith('n_') else 'string'}" for c in names), *(f"`_{c}` {docs.schema[c].dataType.simpleString()}" for c in columns or [])])
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in columns or [])).mapInArrow(run, schema)

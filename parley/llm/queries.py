@@ -1,13 +1,61 @@
-"""The queries opN_<name> over the driver's tables, with production parameters, and their SQL where there is one."""
+"""The queries opN_<name> over the driver's tables, with production parameters.
+
+None has SQL: each is an index, a model, a digest of formatted text or a closure over links that DuckDB's
+SQL over whole tables cannot express or not in bearable time. tests/llm holds each against a plain version.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
+#: A public BPE vocabulary for SentencePiece; a parameter of op6 and of the pipeline.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+
+
+def op3_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotraining import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digest_windows, format_chats
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return digest_windows(format_chats(turns.union(more)))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_texts
+
+    out = encode_texts(table(spark, sf_dir, "documents"), MODEL_FILE)
+    return out.select("doc_id", "n_pieces", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "round_trip")
+
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
@@ -15,8 +63,28 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "documents"), folds=4, fold=2)
+
+
+def op10_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_minhash_near_dedup,)}
+    every = (op1_additive_quantisation, op2_entropy_mixing, op3_co_training, op4_compression_toxicity, op5_chat_windows)
+    every += (op6_sentencepiece, op7_minhash_near_dedup, op8_projection_forest, op9_kneser_ney_language, op10_anchor_pii)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -64,7 +64,7 @@ class Dictionaries:
     toxic texts, the ordinary one as many bytes of ordinary words, so chance matches even out.
     """
 
-    def __init__(self, toxic: list[str], ordinary: list[str], window: int = 256, size: int = 24576):
+    def __init__(self, toxic: list[str], ordinary: list[str], window: int = 128, size: int = 24576):
         pieces = [p for t in ordinary for p in windows(t, 512)]
         try:
             base = zs.train_dictionary(size, pieces[:40000], k=200, d=8, level=3).as_bytes()
@@ -76,14 +76,15 @@ class Dictionaries:
         self.parts, self.window = (other + base, told + base), window
 
     def compressors(self) -> list[zs.ZstdCompressor]:
-        p = zs.ZstdCompressionParameters.from_level(6, source_size=self.window, dict_size=len(self.parts[0]), min_match=5, write_content_size=False, write_checksum=False, write_dict_id=False)
+        # deep searches in wide tables: a match that only one of the two dictionaries is searched for long enough to find is noise
+        p = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_LAZY2, window_log=17, hash_log=17, chain_log=17, search_log=8, min_match=4, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
         return [zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p) for d in self.parts]
 
     def features(self, text: str, compressors: list[zs.ZstdCompressor]) -> list[float]:
         plain, toxic = (c.compress for c in compressors)
-        gains = [max(-4, len(plain(w)) - len(toxic(w))) for w in windows(text, self.window)] or [0]
-        strong = sum(g >= 3 for g in gains)
-        return [float(max(gains)), math.log1p(strong), strong / len(gains), sum(max(0, g - 1) for g in gains) / len(gains)]
+        gains = [len(plain(w)) - len(toxic(w)) for w in windows(text, self.window)] or [0]
+        over = lambda least: math.log1p(sum(g >= least for g in gains))
+        return [float(max(-4, min(8, max(gains)))), over(2), over(3), over(4), sum(g >= 3 for g in gains) / len(gains), sum(max(0, min(g, 8) - 1) for g in gains) / len(gains)]
 
 
 def windows(text: str, size: int) -> list[bytes]:
