@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -235,6 +236,12 @@ class Encoder:
         return text[1:] if v.prefix and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=1)
+def encoder_of(raw: bytes) -> Encoder:
+    """One encoder per worker process, so that tasks that follow each other share what it knows."""
+    return Encoder(Vocabulary(raw))
+
+
 def encode_texts(docs: DataFrame, model_file: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids, n_pieces, round_trip): piece ids of every whole text; no shuffle.
 
@@ -248,7 +255,7 @@ def encode_texts(docs: DataFrame, model_file: str, *, doc_id: str = "doc_id", te
         told = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(told.value))
+        encoder = encoder_of(told.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -270,7 +277,7 @@ def decode_ids(encoded: DataFrame, model_file: str, *, doc_id: str = "doc_id", i
         told = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(told.value))
+        encoder = encoder_of(told.value)
         for batch in batches:
             texts = [None if x is None else encoder.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
