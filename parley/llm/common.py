@@ -37,14 +37,14 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_blocks(members: DataFrame, key: list[str], member: str, block_rows: int) -> DataFrame:
+def in_blocks(members: DataFrame, key: list[str], member: str, block: int, weight: str | None = None) -> DataFrame:
     """Deal the members of each key into block pairs (lo, hi) such that any two members meet in exactly one.
 
-    A group of at most block_rows rows is one block (0, 0). A larger one is salted into n blocks by the
+    A group of at most `block` rows, or of that total weight, is one block (0, 0). A larger one is salted into n blocks by the
     hash of its member, and each row goes to the n pairs that hold its block. In a pair with lo < hi only
     rows of different blocks are to be compared. Adds the columns block, lo and hi.
     """
-    sizes = members.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_n"))
+    sizes = members.groupBy(*key).agg(F.ceil((F.sum(weight) if weight else F.count(F.lit(1))) / F.lit(block)).cast("int").alias("_n"))
     large = saved(sizes.where("_n > 1"))
     if large.isEmpty():
         return members.withColumns({c: F.lit(0) for c in ("block", "lo", "hi")})

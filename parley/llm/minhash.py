@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +69,7 @@ class Signer:
         self.a = rng.integers(0, 2**31, samples, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = rng.integers(0, 2**32, samples, dtype=np.uint32)
         self.salt = rng.integers(0, 2**63, samples, dtype=np.uint64)
-        self.bands, self.rows, self.bits = bands, rows, bits
+        self.bands, self.rows, self.samples, self.bits = bands, rows, samples, bits
 
     def sign(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = (found >> np.uint64(32)).astype(np.uint32)
@@ -91,7 +90,7 @@ def most_bits(similarity: float, samples: int, bits: int) -> int:
     return int(bits / 2 * (1 - np.exp((similarity - 1) * 4 * samples / bits)))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 20, rows: int = 5, samples: int = 160, bits: int = 512, slack: float = 0.15, block_rows: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 20, rows: int = 5, samples: int = 160, bits: int = 512, slack: float = 0.15, sharp_samples: int = 1024, sharp_bits: int = 2048, sharp_slack: float = 0.07, block_shingles: int = 300_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable) and kept.
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of word shingles. A pair at
@@ -100,15 +99,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     deviations) below the threshold; all others are confirmed on whole sets.
 
     Documents of equal word sequences are one class, represented by its smallest id. In each band bucket its
-    leader, the one with most bucket mates over all bands (of edited copies, the original), is compared with all others, first each document's best leader, then what still joins
-    two components. Buckets that still hold several components compare these exhaustively by sketch, in
-    blocks, so no bucket is capped, and a group of copies never emits all of its pairs.
+    leader, the one with most bucket mates over all bands (of edited copies, the original), is compared with
+    all others: first each document with its best leader, then what still joins two components. In buckets
+    that still hold several components, all rows of different ones are compared by sharper odd sketches and
+    confirmed where they are, in blocks of block_shingles; so no bucket is capped, and no group of copies
+    ever emits all of its pairs.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows with a null id take no part:
     n_shingles is given, component_id is null and kept is true. Repeated ids give a row each; if their
     texts differ, the id has the links of all of them. An empty table
     gives an empty result. Other columns are ignored.
     """
+    sharp = Signer(0, rows, sharp_samples, sharp_bits)
     signer, cut = Signer(bands, rows, samples, bits), most_bits(percent / 100 - slack, samples, bits)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
@@ -125,7 +127,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     signed = saved(docs.mapInArrow(sign, "doc_id long, n_shingles long, one long, two long, bands array<long>, sketch array<long>"))
     linked = signed.where("doc_id is not null and n_shingles > 0")
     classes = saved(linked.groupBy("one", "two").agg(F.min("doc_id").alias("rep")))
-    members = saved(linked.join(classes, ["one", "two"]).select("doc_id", "one", "two", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")))
+    members = saved(linked.join(classes, ["one", "two"]).select("doc_id", "n_shingles", "one", "two", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")))
     reps = members.where("doc_id = rep").dropDuplicates(["doc_id", "one", "two"])
     least = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     again = saved(least.where("a <> b").select("doc_id", "a").join(members.select("doc_id", F.col("rep").alias("b")), "doc_id").select("a", "b"))
@@ -143,15 +145,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [shingles(t, words)[0].view(np.int64) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                found = [shingles(t, words)[0] for t in part.column(1).cast(pa.binary()).to_pylist()]
+                sketches = [sharp.sign(x)[1] for x in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "shingles", "sharp"])
 
-    whole = saved(docs.join(ids, "doc_id").mapInArrow(sets, "doc_id long, shingles array<long>"))
+    whole = saved(docs.join(ids.hint("merge"), "doc_id").mapInArrow(sets, "doc_id long, shingles array<long>, sharp array<long>"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose whole sets are similar enough."""
-        a = saved(pairs.select("a", "b").distinct().join(whole.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a"))
-        both = a.join(whole.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b")
+        own = whole.select("doc_id", "shingles")
+        a = saved(pairs.select("a", "b").distinct().join(own.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a"))
+        both = a.join(own.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.withColumn("c", common).where(F.col("c") * 100 >= (F.size("x") + F.size("y") - F.col("c")) * percent).select("a", "b")
 
@@ -173,56 +177,52 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     edges = saved(edges.union(confirmed(across(stars))))
     labels = components(edges)
 
-    most = 64
-    while True:
-        within = saved(shared.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")))
-        mixed = saved(within.groupBy("key").agg(F.min("label").alias("lo_label"), F.max("label").alias("hi_label")).where("lo_label <> hi_label").select("key"))
-        if mixed.isEmpty():
-            break
-        there = saved(within.join(mixed, "key"))
-        there = saved(there.join(sketches, "doc_id"))
-        dealt = in_blocks(there, ["key"], "doc_id", block_rows)
-        pairs = saved(by_group(dealt.select("key", "lo", "hi", "block", "doc_id", "label", "sketch"), ["key", "lo", "hi"], _pairs(cut, most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
-        if pairs.isEmpty():
-            break
-        more = pairs.where("more").select("a", "b")
-        edges = saved(edges.union(confirmed(pairs)))
-        labels = components(edges)
-        if most > 1 << 40 or across(more).isEmpty():
-            break
-        most *= 64
+    within = saved(shared.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    mixed = saved(within.groupBy("key").agg(F.min("label").alias("lo_label"), F.max("label").alias("hi_label")).where("lo_label <> hi_label").select("key"))
+    sizes = members.where("doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    there = saved(saved(within.join(mixed, "key")).join(sizes, "doc_id"))
+    dealt = in_blocks(there, ["key"], "doc_id", block_shingles, "n").select("key", "lo", "hi", "block", "doc_id", "label")
+    more = by_group(dealt.join(whole, "doc_id"), ["key", "lo", "hi"], _joins(most_bits(percent / 100 - sharp_slack, sharp.samples, sharp.bits), percent), "a long, b long")
+    labels = components(edges.union(more))
     named = saved(least.select("doc_id", F.col("a").alias("rep"))).join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(saved(named), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _pairs(cut: int, most: int):
-    """Of a block pair: pairs of different components whose sketches are near, for two components the nearest `most`.
+def _joins(cut: int, percent: int):
+    """Of a block pair: confirmed links (a, b) between components, as many as join what they can join, no more.
 
-    more: two components had more such pairs than are told; the caller asks again if they stay apart.
+    The odd sketches name the candidates of each row; these are confirmed on whole sets, all at once. Rows
+    that are joined meanwhile are compared no more.
     """
 
     def find(rows: pa.Table) -> pa.Table:
         lo, hi, block, ids, labels = (rows.column(c).to_numpy() for c in ("lo", "hi", "block", "doc_id", "label"))
-        sketch = matrix(rows.column("sketch")).view(np.uint64)
+        sketch = matrix(rows.column("sharp")).view(np.uint64)
+        lists = rows.column("shingles").combine_chunks()
+        flat, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        size = np.diff(ends)
+        root = np.unique(labels, return_inverse=True)[1]
         left = np.flatnonzero(block == lo[0])
         right = left if lo[0] == hi[0] else np.flatnonzero(block == hi[0])
-        got = []
-        for i in range(0, len(left), 64):
-            part = left[i : i + 64]
-            z = sum(np.bitwise_count(sketch[part, None, w] ^ sketch[None, right, w]).astype(np.int32) for w in range(sketch.shape[1]))
-            near = (z <= cut) & (labels[part, None] != labels[None, right])
-            if lo[0] == hi[0]:
-                near &= ids[part, None] < ids[None, right]
-            x, y = np.nonzero(near)
-            got.append(np.stack([ids[part[x]], ids[right[y]], z[x, y], labels[part[x]], labels[right[y]]]))
-        a, b, z, p, q = np.concatenate(got, axis=1) if got else np.empty((5, 0), np.int64)
-        more = np.zeros(len(a), bool)
-        if len(a) > most:
-            found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "z": z, "p": np.minimum(p, q), "q": np.maximum(p, q)}).sort_values(["p", "q", "z", "a", "b"])
-            groups = found.groupby(["p", "q"])
-            more, told = (groups["a"].transform("size") > most).to_numpy(), (groups.cumcount() < most).to_numpy()
-            a, b, more = found["a"].to_numpy()[told], found["b"].to_numpy()[told], more[told]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "more": pa.array(more)})
+        out = []
+        for at in range(0, len(left), 64):
+            part = left[at : at + 64]
+            z = np.zeros((len(part), len(right)), np.int32)
+            for w in range(sketch.shape[1]):
+                z += np.bitwise_count(sketch[part, None, w] ^ sketch[None, right, w])
+            for i, row in zip(part, z, strict=True):
+                near = right[(row <= cut) & (root[right] != root[i]) & ((right > i) if lo[0] == hi[0] else True)]
+                if not len(near):
+                    continue
+                own = flat[ends[i] : ends[i + 1]]
+                every = np.concatenate([flat[ends[j] : ends[j + 1]] for j in near])
+                place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                common = np.add.reduceat((own[place] == every).astype(np.int64), np.cumsum(size[near]) - size[near])
+                for j in near[common * 100 >= (size[i] + size[near] - common) * percent]:
+                    if root[j] != root[i]:
+                        out.append((ids[i], ids[j]))
+                        root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return find
