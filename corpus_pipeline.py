@@ -27,7 +27,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of least id."""
     found = near_duplicates(docs, words=5, percent=80)
-    out = docs.join(saved(found.where("not kept").select("doc_id").distinct()), "doc_id", "left_anti")
+    out = docs.join(saved(found.where("not kept").select("doc_id").distinct()).hint("merge"), "doc_id", "left_anti")
     again = not saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")).isEmpty()
     return (out.dropDuplicates(["doc_id"]) if again else out).select(*docs.columns)
 
@@ -42,7 +42,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: sources weigh 5, 2, 1 in turn."""
     copies = saved(mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0"))
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    # a table with a row for each document is no side to broadcast
+    out = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return out.select(*docs.columns)
 
 
