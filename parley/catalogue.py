@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import funds, market, policy, provenance, valuation
+from .plans.dialect import Duck, runs
+from .streaming import payments
+
+DEFINITIONS = valuation.DEFINITIONS | policy.DEFINITIONS | market.DEFINITIONS | provenance.DEFINITIONS | funds.DEFINITIONS
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: runs(f) for k, f in DEFINITIONS.items()} | market.NATIVE | payments.STREAMS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: f(Duck()) for k, f in DEFINITIONS.items()} | {k: f(Duck()) for k, f in payments.TWINS.items()}
