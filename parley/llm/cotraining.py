@@ -120,7 +120,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: F.Column, *, labelled:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(text, pa.list_(pa.float64())), pa.array(about, pa.list_(pa.float64()))], ["doc_id", "quality", "text", "about"])
 
     told = rows.mapInArrow(run, "doc_id long, quality int, text array<double>, about array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    parts = [[np.array(part[c].tolist(), dtype=float) for c in ("text", "about")] for part in (told[told["quality"].notna()], told[told["quality"].isna()])]
+    sizes = {"text": len(text_view("")), "about": len(metadata_view(None, None, None))}
+    parts = [[np.array(part[c].tolist(), dtype=float).reshape(len(part), sizes[c]) for c in sizes] for part in (told[told["quality"].notna()], told[told["quality"].isna()])]
     return Model(parts[0], (told["quality"].dropna().to_numpy() > 0).astype(float), parts[1]) if len(told) else Model([], np.zeros(0), [])
 
 

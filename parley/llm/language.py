@@ -86,7 +86,7 @@ class Models:
         self.reject = {}
         for j, lang in enumerate(self.langs):  # calibration: hardly any text of the language itself is less likely
             own = [c for t in texts[lang] if (c := self.cross_entropy(t)) is not None]
-            self.reject[lang] = float(np.quantile([c[0][j] for c in own], 0.999) * 1.1)
+            self.reject[lang] = float(np.quantile([c[0][j] for c in own], 0.999) * 1.1) if own else float("inf")
 
     def of_words(self, words: list[str]) -> np.ndarray:
         """Log probability of each word by language."""

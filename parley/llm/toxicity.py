@@ -67,13 +67,13 @@ class Dictionaries:
     def __init__(self, toxic: list[str], ordinary: list[str], window: int = 128, size: int = 24576):
         pieces = [p for t in ordinary for p in windows(t, 512)]
         try:
-            base = zs.train_dictionary(size, pieces[:40000], k=200, d=8, level=3).as_bytes()
+            base = zs.train_dictionary(size, pieces[:40000], k=200, d=8, level=3).as_bytes() if pieces else b""
         except zs.ZstdError:  # too few windows to train on
             base = b"".join(pieces)[-size:]
         told = (" " + " ".join(telling_words(toxic, ordinary)) + " ").encode()[-16384:] if toxic else b""
         seen = sorted({w for t in ordinary[:200] for w in WORDS.findall(t)}, key=lambda w: zlib.crc32(w.encode()))
         other = (" " + " ".join(seen) + " ").encode()[: len(told)]
-        self.parts, self.window = (other + base, told + base), window
+        self.parts, self.window = (other + base or b" ", told + base or b" "), window
 
     def compressors(self) -> list[zs.ZstdCompressor]:
         # deep searches in wide tables: a match that only one of the two dictionaries is searched for long enough to find is noise
@@ -110,16 +110,16 @@ class Model:
 
     def __init__(self, toxic: list[str], ordinary: list[str], folds: int = 3):
         toxic, ordinary = [t.lower() for t in toxic], [t.lower() for t in ordinary]
-        x, y = [], []
-        for k in range(folds):
+        x, y, enough = [], [], min(len(toxic), len(ordinary)) >= folds
+        for k in range(folds if enough else 0):
             part = Dictionaries([t for i, t in enumerate(toxic) if i % folds != k], [t for i, t in enumerate(ordinary) if i % folds != k])
             tools = part.compressors()
             for label, texts in ((1, toxic), (0, ordinary)):
                 for t in texts[k::folds]:
                     x.append(part.features(t, tools))
                     y.append(label)
-        self.prior = (len(toxic) + 0.5) / (len(y) + 1)
-        self.fit = logistic(np.array(x), np.array(y)) if toxic and ordinary else None
+        self.prior = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
+        self.fit = logistic(np.array(x), np.array(y)) if enough else None
         self.dictionaries = Dictionaries(toxic, ordinary)
 
     def score(self, text: str, tools: list[zs.ZstdCompressor]) -> float:
@@ -149,8 +149,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
 
     Labels (doc_id, toxic) are learned from rows whose crc32(doc_id as text) % folds is not fold. Scores use
     the text alone. A null text is scored as an empty one. Rows with a null id are scored and never learned
-    from; ids repeated in labels count as toxic if any row says so. Without labels of both kinds the score is
-    the share of toxic labels. An empty table gives an empty result. `columns` of docs are passed through.
+    from; ids repeated in labels count as toxic if any row says so. With fewer than three labels of
+    either kind to learn from the score is the share of toxic ones. An empty table gives an empty result. `columns` of docs are passed through.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     told = docs.sparkSession.sparkContext.broadcast(learn(own, labels, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)))

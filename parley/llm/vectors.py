@@ -227,7 +227,7 @@ class Forest:
         return rows[order], leaves[order]
 
 
-def near_vectors(vecs: DataFrame, *, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = 8, leaf_rows: int = 512, spill: float = 0.02, fit_rows: int = 16384, block_rows: int = 2048) -> DataFrame:
+def near_vectors(vecs: DataFrame, *, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = 8, leaf_rows: int = 512, spill: float = 0.6, fit_rows: int = 16384, block_rows: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept): vectors linked by a cosine of at least `cosine`, in double precision.
 
     Equal vectors are one class, so copies are never compared. A forest fitted on a sample of at most fit_rows
@@ -236,6 +236,10 @@ def near_vectors(vecs: DataFrame, *, cosine: float = 0.95, vec_id: str = "vec_id
     and only counts and a spanning forest leave the task. A pair that meets in several leaves counts in the
     one with the least number.
 
+    spill is told in standard deviations of the difference that two vectors at the threshold have in a random
+    direction: a cut parts such a pair only if they differ by more than twice that. With 0.6 and eight trees
+    no link was lost on the tables tested; a link is lost only if all trees part it.
+
     n_links counts other ids linked directly. Of rows that repeat an id the least vector counts and one row is
     returned. Vectors that are null, zero, of another length than most, or that hold null or non-finite
     components link with nothing; rows with a null id give one such row with a null component. An empty table
@@ -254,7 +258,9 @@ def near_vectors(vecs: DataFrame, *, cosine: float = 0.95, vec_id: str = "vec_id
     classes = saved(members.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     members = saved(members.join(classes, "same").select("vec_id", "rep", "n"))
     reps = saved(good.join(classes.select(F.col("rep").alias("vec_id"), "n"), "vec_id").select("vec_id", "n", "embedding", "norm"))
-    forest = spark.sparkContext.broadcast(Forest(sample_of(reps, fit_rows), reps.count(), trees, leaf_rows, spill))
+    sample = sample_of(reps, fit_rows)
+    margin = spill * float(np.sqrt(2 * (1 - cosine) / sample.shape[1]))
+    forest = spark.sparkContext.broadcast(Forest(sample, reps.count(), trees, leaf_rows, margin))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
