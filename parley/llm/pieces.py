@@ -80,7 +80,7 @@ class Vocabulary:
 class Encoder:
     """Encodes and decodes; what a chunk between blanks gives is kept for `known` chunks, then forgotten."""
 
-    def __init__(self, vocabulary: Vocabulary, known: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, known: int = 500_000):
         v = self.v = vocabulary
         self.found = ahocorasick.Automaton()
         for i in v.normal:
@@ -92,7 +92,8 @@ class Encoder:
         #: no piece has a blank after its first other character, so chunks can be encoded apart
         self.apart = not any(SPACE in v.pieces[i].lstrip(SPACE) for i in v.normal)
         self.type = np.uint16 if len(v.pieces) <= 1 << 16 else np.int32
-        self.known, self.cache = known, {}
+        self.known, self.cache, self.others, self.told = known // 2, {}, {}, {}
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         order = sorted((i for i in v.normal if len(v.pieces[i]) > 1), key=lambda i: (-v.scores[i], i))
         #: when merging makes a piece; single characters are there from the start
         self.time = {i: 0 for i in v.normal} | {i: k + 1 for k, i in enumerate(order)}
@@ -112,20 +113,39 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         text, cache = self.normalised(text), self.cache
-        chunks = CHUNKS.findall(text) if self.apart else [text]
+        if not self.apart:
+            chunks = [text] if text else []
+        elif text[:1] == SPACE and text[-1] != SPACE and SPACE * 2 not in text:
+            # chunks stand for what they are with a blank before them
+            chunks = text[1:].split(SPACE)
+        else:
+            cache = self.others
+            chunks = CHUNKS.findall(text)
         got = [cache.get(c) for c in chunks]
         if None in got:
+            before = SPACE if cache is self.cache and self.apart else ""
             for k, (c, ids) in enumerate(zip(chunks, got, strict=True)):
                 if ids is None:
                     if (ids := cache.get(c)) is None:
-                        ids = np.array(self.merged(c) if self.v.bpe else self.viterbi(c), self.type).tobytes()
-                        if len(c) <= 64:
-                            if len(cache) >= self.known:
-                                cache.clear()
-                            cache[c] = ids
+                        ids = self.kept(cache, c, before + c)
                     got[k] = ids
         return np.frombuffer(b"".join(got), self.type)
 
+    def kept(self, cache: dict[str, bytes], name: str, text: str) -> bytes:
+        """The ids of a chunk. Between two characters that no piece has side by side it is cut, and its parts are kept."""
+        pairs = self.pairs
+        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in pairs]
+        if cuts:
+            parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+            ids = b"".join([self.others.get(p) or self.kept(self.others, p, p) for p in parts])
+        else:
+            ids = np.array(self.merged(text) if self.v.bpe else self.viterbi(text), self.type).tobytes()
+        if len(text) <= 64:
+            if len(cache) >= self.known:
+                cache.clear()
+            cache[name] = ids
+        return ids
+
     def unknown(self, text: str) -> list[int]:
         return [self.v.bytes[b] for b in text.encode("utf-8", "replace")] if self.v.bytes else [self.v.unknown]
 
@@ -175,12 +195,19 @@ class Encoder:
             for k, c in enumerate(text):
                 if c not in self.single:
                     last[k + 1] = -2
-        joined = self.joined
+        told, many = self.told, len(self.sizes)
         for end, (i, size) in self.found.iter(text):
             if last[end + 1] == -1:
                 at = end + 1 - size
-                if at == 0 or (before := last[at]) == -2 or before >= 0 and joined(before, i):
+                if at == 0 or (before := last[at]) == -2:
                     last[end + 1] = i
+                elif before >= 0:
+                    if (fits := told.get(before * many + i)) is None:
+                        if len(told) >= self.known:
+                            told.clear()
+                        fits = told[before * many + i] = self.joined(before, i)
+                    if fits:
+                        last[end + 1] = i
         return self.path(text, last)
 
     def halves(self, i: int) -> tuple[int, int]:
