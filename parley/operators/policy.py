@@ -101,8 +101,8 @@ def redacted_text(e: Duck) -> str:
 def outcome_rows(e: Duck) -> str:
     tokens = e.where(e.split("final_text", P.WS + "+"), "x <> ''")
     marks = e.where("tokens", e.matches("x", P.PLACEHOLDER))
-    return f"""final AS (SELECT conv_id, turn, record_id, {exclusion(e)} AS reason, {redacted(e)} AS final_text FROM prompts),
-        cut AS (SELECT conv_id, turn, record_id, reason, final_text, {tokens} AS tokens FROM final),
+    return f"""final AS (SELECT conv_id, turn, record_id, {e.made({'reason': exclusion(e), 'final_text': redacted(e)})} FROM prompts),
+        cut AS (SELECT conv_id, turn, record_id, reason, final_text, {e.made({'tokens': tokens})} FROM final),
         counted AS (SELECT conv_id, turn, record_id, reason, final_text, {e.size('tokens')} AS n, {e.size(marks)} AS marks FROM cut),
         outcomes AS (SELECT conv_id, turn, record_id, final_text, n, marks, CASE WHEN reason <> 'none' THEN reason WHEN n - marks < {P.MIN_TOKENS} THEN 'DROP_TOO_SHORT'
             WHEN marks > {P.MAX_DENSITY} * n THEN 'DROP_REDACTION_DENSITY' ELSE 'kept' END AS outcome FROM counted)"""

@@ -82,8 +82,9 @@ class Duck:
     def array(self, items: list[str]) -> str:
         return "CAST([" + ", ".join(f"'{i}'" for i in items) + "] AS VARCHAR[])"
 
-    def bits(self, x: str) -> str:
-        return f"bit_count({x})"
+    def made(self, columns: dict[str, str]) -> str:
+        """Columns that cost much and are used more than once."""
+        return ", ".join(f"{v} AS {k}" for k, v in columns.items())
 
     def xor(self, x: str, y: str) -> str:
         return f"xor({x}, {y})"
@@ -161,6 +162,10 @@ class Spark(Duck):
     def overlap(self, x: str, y: str) -> str:
         return f"arrays_overlap({x}, {y})"
 
+    def made(self, columns: dict[str, str]) -> str:
+        # a generator, for the optimizer would put the expressions into each of their uses
+        return "inline(array(named_struct(" + ", ".join(f"'{k}', {v}" for k, v in columns.items()) + ")))"
+
     def array(self, items: list[str]) -> str:
         return "CAST(array(" + ", ".join(f"'{i}'" for i in items) + ") AS ARRAY<STRING>)"
 
