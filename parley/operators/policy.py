@@ -5,12 +5,11 @@ from functools import partial
 from ..functions import patterns as P
 from ..plans.dialect import Duck, Spark
 from ..plans.fixtures import prompts
+from . import screening
 
 KINDS = tuple(dict.fromkeys(k for k, _, _ in P.DETECTORS))
 ON_DOCUMENTS = ("EMAIL", "PHONE", "ACCOUNT", "IP")
 FULL_NAME = r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b"
-#: Wider kinds go first, so that no part of theirs is taken for another kind.
-REDACTED = ("URL", "EMAIL", "SECRET", "ACCOUNT", "GOV_ID", "IP", "PHONE", "DATE")
 
 
 def rules(kind: str) -> list[str]:
@@ -54,14 +53,15 @@ def sentences(e: Duck) -> str:
     return f"SELECT doc_id, CAST({e.size(found)} AS BIGINT) AS n, CAST({e.total(e.map(found, 'length(x)'))} AS BIGINT) AS chars FROM {e.table('documents')}"
 
 
-def bucket(e: Duck, x: str) -> str:
-    """Who a sentence speaks of. Fiction phrases are cut first, so that their own "my" is none of the author's."""
+def bucket(e: Duck, x: str, person: str = "") -> str:
+    """Who a sentence speaks of. Fiction phrases are cut first, so that their own "my" is none of the author's. person says
+    whether the sentence names one; without, two capitalised words are a name."""
     bare = x
     for p in P.FICTION_STRONG:
         bare = e.sub(bare, p, "' '")
     strong = " OR ".join(e.matches(x, p) for p in P.FICTION_STRONG)
     return f"""CASE WHEN {e.matches(bare, P.THIRD_PARTY)} THEN 'third_party' WHEN {e.matches(bare, P.SELF)} THEN 'self' WHEN {strong} THEN 'fiction'
-        WHEN {e.matches(x, P.FICTION_MEDIUM)} OR {e.matches(x, P.FICTION_WEAK)} THEN 'ambiguous' WHEN {e.matches(x, FULL_NAME)} THEN 'ambiguous' ELSE 'unattributed' END"""
+        WHEN {e.matches(x, P.FICTION_MEDIUM)} OR {e.matches(x, P.FICTION_WEAK)} THEN 'ambiguous' WHEN {person or e.matches(x, FULL_NAME)} THEN 'ambiguous' ELSE 'unattributed' END"""
 
 
 def attribution_buckets(e: Duck) -> str:
@@ -74,36 +74,12 @@ def span_attribution(e: Duck) -> str:
     return f"WITH {prompts(e)}, {sentence_rows(e)} SELECT record_id, {e.first('sentence', FULL_NAME)} AS name, CASE WHEN {e.matches('sentence', direct.replace('(?i)', '', 1))} THEN 'third_party' ELSE {bucket(e, 'sentence')} END AS bucket FROM sents WHERE {e.matches('sentence', FULL_NAME)}"
 
 
-def exclusion(e: Duck) -> str:
-    """The first gate that closes; later gates are not asked."""
-    identifiers = " + ".join(hits(e, k) for k in KINDS if k not in ("AGE", "NORP", "DATE"))
-    minor = e.matches("text", r"(?i)\b(?:i'?m|i am)\s+(?:a\s+)?1[0-7]\b")
-    norp = " OR ".join(e.matches("text", p) for p in rules("NORP"))
-    return f"""CASE WHEN {hits(e, 'SECRET')} > 0 THEN 'EXC_LIVE_SECRET' WHEN {identifiers} >= 15 THEN 'EXC_PII_DENSITY' WHEN {minor} THEN 'FLAG_ACCOUNT_REVIEW_MINOR'
-        WHEN ({norp}) AND {bucket(e, 'text')} IN ('self', 'third_party') THEN 'EXC_SPECIAL_CATEGORY' WHEN ({norp}) AND {bucket(e, 'text')} = 'ambiguous' THEN 'EXC_ATTRIBUTION_AMBIGUOUS' ELSE 'none' END"""
-
-
-def exclusion_reasons(e: Duck) -> str:
-    return f"WITH {prompts(e)} SELECT record_id, {exclusion(e)} AS reason FROM prompts"
-
-
-def redacted(e: Duck, x: str = "text") -> str:
-    for kind in REDACTED:
-        for p in rules(kind):
-            x = e.sub(x, p, f"'[{kind}]'")
-    return x
-
-
-def redacted_text(e: Duck) -> str:
-    return f"WITH {prompts(e)} SELECT record_id, {redacted(e)} AS final_text FROM prompts"
-
-
 def outcome_rows(e: Duck) -> str:
     tokens = e.where(e.split("final_text", P.WS + "+"), "x <> ''")
     marks = e.where("tokens", e.matches("x", P.PLACEHOLDER))
-    return f"""final AS (SELECT conv_id, turn, record_id, {e.made({'reason': exclusion(e), 'final_text': redacted(e)})} FROM prompts),
-        cut AS (SELECT conv_id, turn, record_id, reason, final_text, {e.made({'tokens': tokens})} FROM final),
-        counted AS (SELECT conv_id, turn, record_id, reason, final_text, {e.size('tokens')} AS n, {e.size(marks)} AS marks FROM cut),
+    return f"""{screening.base(e).removeprefix(prompts(e) + ', ')}, {screening.finals(e)},
+        tokenised AS (SELECT conv_id, turn, record_id, reason, final_text, {e.made({'tokens': tokens})} FROM finals),
+        counted AS (SELECT conv_id, turn, record_id, reason, final_text, {e.size('tokens')} AS n, {e.size(marks)} AS marks FROM tokenised),
         outcomes AS (SELECT conv_id, turn, record_id, final_text, n, marks, CASE WHEN reason <> 'none' THEN reason WHEN n - marks < {P.MIN_TOKENS} THEN 'DROP_TOO_SHORT'
             WHEN marks > {P.MAX_DENSITY} * n THEN 'DROP_REDACTION_DENSITY' ELSE 'kept' END AS outcome FROM counted)"""
 
@@ -120,13 +96,6 @@ def redaction_density(e: Duck) -> str:
     return f"WITH {prompts(e)}, {outcome_rows(e)} SELECT conv_id, round(CASE WHEN sum(n) = 0 THEN 1.0 ELSE CAST(sum(marks) AS DOUBLE) / sum(n) END, 6) AS density FROM outcomes GROUP BY conv_id"
 
 
-def pseudonyms(e: Duck) -> str:
-    """Number of each name in its conversation, by where it comes first."""
-    name = e.sub(f"lower({e.first('text', FULL_NAME)})", P.WS + "+", "' '")
-    return f"""WITH {prompts(e)}, named AS (SELECT conv_id, turn, {name} AS name FROM prompts WHERE {e.matches('text', FULL_NAME)}), firsts AS (SELECT conv_id, name, min(turn) AS first_turn FROM named GROUP BY conv_id, name)
-        SELECT conv_id, name, concat('[PERSON_', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY first_turn, name) AS {e.string}), ']') AS pseudonym FROM firsts"""
-
-
 QI = {"exact_age": P.AGE_ADJECTIVE, "occupation": P.OCCUPATION, "family_structure": P.FAMILY, "gender": P.GENDER, "geo": r"\b(?:Toronto|Ottawa|Lyon)\b"}
 
 
@@ -151,4 +120,5 @@ def conversation_singling_out(e: Duck) -> str:
 
 
 DEFINITIONS = {f"detect_{k.lower()}": partial(detect, kind=k) for k in KINDS}
-DEFINITIONS |= {f.__name__: f for f in (span_offsets, identifier_counts, sentences, attribution_buckets, span_attribution, exclusion_reasons, redacted_text, quality_ceiling, outcome_counts, redaction_density, pseudonyms, qi_types, qi_suppression, conversation_singling_out)}
+DEFINITIONS |= {f.__name__: f for f in (span_offsets, identifier_counts, sentences, attribution_buckets, span_attribution, quality_ceiling, outcome_counts, redaction_density, qi_types, qi_suppression, conversation_singling_out)}
+DEFINITIONS |= screening.DEFINITIONS

@@ -92,6 +92,59 @@ class Duck:
     def div(self, x: str, y: str) -> str:
         return f"({x}) // ({y})"
 
+    def text(self, s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    def any_of(self, words: list[str]) -> str:
+        return "(" + ", ".join(self.text(w) for w in words) + ")"
+
+    def items(self, values: list[str]) -> str:
+        return "[" + ", ".join(values) + "]"
+
+    def none(self) -> str:
+        return "CAST([] AS BIGINT[])"
+
+    #: The place of an item, from 1, inside a function that each() or those() is given.
+    place = "i"
+
+    def each_item(self, x: str, var: str, body: str) -> str:
+        return f"list_transform({x}, lambda {var}: {body})"
+
+    def those(self, x: str, var: str, condition: str) -> str:
+        return f"list_filter({x}, lambda {var}: {condition})"
+
+    def item(self, x: str, i: str) -> str:
+        return f"{x}[{i}]"
+
+    def most(self, x: str) -> str:
+        return f"list_max({x})"
+
+    def least(self, x: str) -> str:
+        return f"list_min({x})"
+
+    def find(self, x: str, value: str) -> str:
+        """Place of a value from 1, null without."""
+        return f"nullif(list_position({x}, {value}), 0)"
+
+    def concat_lists(self, lists: list[str]) -> str:
+        return "flatten([" + ", ".join(lists) + "])"
+
+    def lengths(self, x: str, n: str) -> str:
+        """Characters in the first n texts of a list."""
+        return f"coalesce(list_sum(list_transform(list_slice({x}, 1, {n}), lambda w: length(w))), 0)"
+
+    def apart(self, x: str, start: str, end: str) -> str:
+        """Of a list of keys in order those that start no earlier than the last one taken ends; start and end are formats."""
+        lists = f"list_prepend({self.none()}, list_transform(list_sort({x}), lambda k: [k]))"
+        return f"list_reduce({lists}, lambda a, b: CASE WHEN {start.format('b[1]')} < {end.format('a[-1]')} THEN a ELSE list_concat(a, b) END)"
+
+    def numbered(self, x: str, i: str, value: str) -> str:
+        """A row for each item, with its place from 1."""
+        return f"generate_subscripts({x}, 1) AS {i}, unnest({x}) AS {value}"
+
+    def struct(self, fields: dict[str, str]) -> str:
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
     string = "VARCHAR"
 
 
@@ -105,9 +158,12 @@ class Spark(Duck):
         return f"{name}_{self.suffix}"
 
     def lit(self, pattern: str) -> str:
-        pattern = pattern.replace(r"\b", ASCII_B)
-        if pattern.startswith("(?i)"):
-            pattern = "(?iu)" + pattern[4:]
+        flags, pattern = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+        if flags and not pattern.isascii():
+            flags = "(?iu)"
+        if pattern.startswith(r"\b"):  # what follows the first \b is a word character in all of our patterns
+            pattern = "(?<![A-Za-z0-9_])" + pattern[2:]
+        pattern = flags + pattern.replace(r"\b", ASCII_B)
         return 'r"' + pattern.replace('"', r"\x22") + '"'
 
     def matches(self, x: str, pattern: str) -> str:
@@ -175,9 +231,57 @@ class Spark(Duck):
     def div(self, x: str, y: str) -> str:
         return f"(({x}) div ({y}))"
 
+    def text(self, s: str) -> str:
+        return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def items(self, values: list[str]) -> str:
+        return "array(" + ", ".join(values) + ")"
+
+    def none(self) -> str:
+        return "CAST(array() AS ARRAY<BIGINT>)"
+
+    place = "(i + 1)"
+
+    def each_item(self, x: str, var: str, body: str) -> str:
+        return f"transform({x}, {_params(var)} -> {body})"
+
+    def those(self, x: str, var: str, condition: str) -> str:
+        return f"filter({x}, {_params(var)} -> {condition})"
+
+    def item(self, x: str, i: str) -> str:
+        return f"element_at({x}, CAST({i} AS INT))"
+
+    def most(self, x: str) -> str:
+        return f"array_max({x})"
+
+    def least(self, x: str) -> str:
+        return f"array_min({x})"
+
+    def find(self, x: str, value: str) -> str:
+        return f"nullif(array_position({x}, {value}), 0)"
+
+    def concat_lists(self, lists: list[str]) -> str:
+        return "concat(" + ", ".join(lists) + ")"
+
+    def lengths(self, x: str, n: str) -> str:
+        return f"aggregate(slice({x}, 1, CAST({n} AS INT)), 0, (s, w) -> s + length(w))"
+
+    def apart(self, x: str, start: str, end: str) -> str:
+        return f"aggregate(array_sort({x}), {self.none()}, (a, k) -> CASE WHEN {start.format('k')} < {end.format('try_element_at(a, -1)')} THEN a ELSE array_append(a, k) END)"
+
+    def numbered(self, x: str, i: str, value: str) -> str:
+        return f"inline(transform({x}, (v, i) -> named_struct('{i}', i + 1, '{value}', v)))"
+
+    def struct(self, fields: dict[str, str]) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
     string = "STRING"
 
 
+def _params(var: str) -> str:
+    return f"({var})" if "," in var else var
+
+
 def _pads(key: str) -> tuple[str, str]:
     """The padded keys of HMAC-SHA-256, in hex; the key is known where the plan is made."""
     raw = key.encode().ljust(64, b"\0")

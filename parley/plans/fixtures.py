@@ -25,6 +25,16 @@ PROMPTS = [
     "I am a 51-year-old male teacher with three kids, which school in Ottawa would you look at first?",
     "See https://example.org/a?b=c for the text that explains why the bridge was built by the river.",
     "What is the boiling point of water on a mountain that is as high as four thousand metres or so?",
+    "My brother was diagnosed with asthma last year, which sports can we still do with him in the winter?",
+    "Write a short story where the king develops depression, loses the crown and finds it again in a river.",
+    "Anna Reed has cancer. How long do people usually stay in a hospital for that in a large city?",
+    "I'm 16 and I want to open an account for my savings, which papers does the bank want from me?",
+    "My friend Michael Jordan moved from Toronto to Paris, then to Canada, on March 4, 2019. What is a good gift for the new flat there?",
+    "When did Albert Einstein write about light, and which of his letters should I read first of all?",
+    "The clinic called me back. My manager wants the report on Monday. How do I write a short and polite note that asks for two more days?",
+    "I am 93 and live in Ontario, my nurse writes to jo.lee@mail.example.org. Which games are good for a slow hand and a quick mind?",
+    "My grandmother, a 91-year-old painter from Berlin, keeps all of her old brushes; how are they cleaned best?",
+    "How does chemotherapy work, and why does it make so many people tired for such a long time after it?",
     "My number is 123-45-6789 and the office wants it on paper, is that still how it is done today?",
 ]
 NAMES = ["Anna Reed", "David Moss", "Maria Stone", "James Hill", "Emma Frost", "Anna  Reed"]
