@@ -1,6 +1,6 @@
 """Balances, ledgers, candidates, submissions, reconciliation and the payment state machine."""
 
-from ..plans.dialect import Duck
+from ..plans.dialect import Duck, Spark
 from ..plans.fixtures import payment_events, payments
 
 AS_OF = "TIMESTAMP '2000-01-01 00:00:00'"
@@ -89,4 +89,28 @@ def allocation_transitions(e: Duck) -> str:
         SELECT was, status, count(*) AS n, (was, status) IN (('reserved', 'transferring'), ('reserved', 'cancelled'), ('transferring', 'transferred'), ('transferring', 'review'), ('transferred', 'reversing'), ('reversing', 'reversed')) AS allowed FROM steps WHERE was IS NOT NULL GROUP BY was, status"""
 
 
-DEFINITIONS = {f.__name__: f for f in (fund_balances, ledger_totals, contributor_totals, ledger_top20, page_2, keyset_page, settlement_candidates, submission_status, transfer_reconciliation, payment_state_batch, expiry_sweep, submission_readiness, allocation_transitions)}
+TARGET, PER_USER = 3, 1
+
+
+def allocation_admission(e: Duck) -> str:
+    """Requests for a payment's money in order of arrival: one is let in while the brief wants more, its contributor is under
+    the cap and the money is there. What is refused uses nothing up, so a running sum would not do; a fold over the requests
+    of one payment, which the brief's size bounds, carries what is left."""
+    asks = "CAST(cents AS BIGINT) * 1000000 + user_id % 1000000"
+    order = "allocation_id" if type(e) is Spark else f"allocation_id, {asks}"  # ties go by value in both
+    rows = f"SELECT payment_id, {e.ordered(asks, order)} AS asks FROM allocations WHERE status <> 'cancelled' GROUP BY payment_id"
+    joined = f"""SELECT a.payment_id, a.asks, CASE WHEN p.has_intent AND p.status = 'paid' THEN {e.div('p.funded', '20')} ELSE 0 END AS available FROM ({rows}) a JOIN payments p ON p.payment_id = a.payment_id"""
+    cents, user = (lambda x: e.div(x, "1000000")), (lambda x: f"{x} % 1000000")
+    if type(e) is Spark:
+        own = f"size(filter(s, y -> {user('y')} = {user('x')}))"
+        spent = f"aggregate(s, CAST(0 AS BIGINT), (t, y) -> t + {cents('y')})"
+        fold = f"aggregate(asks, {e.none()}, (s, x) -> CASE WHEN size(s) < {TARGET} AND {own} < {PER_USER} AND {spent} + {cents('x')} <= available THEN array_append(s, x) ELSE s END)"
+    else:
+        own = f"len(list_filter(s, lambda y: {user('y')} = {user('x[1]')}))"
+        spent = f"coalesce(list_sum(list_transform(s, lambda y: {cents('y')})), 0)"
+        fold = f"list_reduce(list_prepend({e.none()}, list_transform(asks, lambda k: [k])), lambda s, x: CASE WHEN len(s) < {TARGET} AND {own} < {PER_USER} AND {spent} + {cents('x[1]')} <= available THEN list_concat(s, x) ELSE s END)"
+    return f"""WITH {payments(e)}, queue AS ({joined}), admitted AS (SELECT payment_id, available, asks, {e.made({'taken': fold})} FROM queue)
+        SELECT payment_id, available, CAST({e.size('asks')} AS BIGINT) AS asked, CAST({e.size('taken')} AS BIGINT) AS admitted, CAST({spent.replace('(s,', '(taken,')} AS BIGINT) AS cents FROM admitted"""
+
+
+DEFINITIONS = {f.__name__: f for f in (fund_balances, ledger_totals, contributor_totals, ledger_top20, page_2, keyset_page, settlement_candidates, submission_status, transfer_reconciliation, payment_state_batch, expiry_sweep, submission_readiness, allocation_transitions, allocation_admission)}

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.dialect import Duck
+from ..operators.funds import payment_state_batch
+from ..plans.dialect import Duck, runs
+from ..plans.fixtures import payment_events
 
 
 def event_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +25,67 @@ def event_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+STATE = "firsts string"
+
+
+def advance(key, batches, state):
+    """A payment's state after one more batch. Of an event delivered more than once the first arrival counts, in whatever
+    order and batch its deliveries come, so the state keeps each event's first arrival and kind."""
+    import json
+
+    import pandas as pd
+
+    firsts = json.loads(state.get[0]) if state.exists else {}
+    for batch in batches:
+        for event_id, kind, arrival in zip(batch["event_id"], batch["kind"], batch["arrival"]):
+            if str(event_id) not in firsts or int(arrival) < firsts[str(event_id)][0]:
+                firsts[str(event_id)] = (int(arrival), kind)
+    state.update((json.dumps(firsts),))
+    at = {k: min((a for a, kind in firsts.values() if kind == k), default=None) for k in ("paid", "failed")}
+    if any(kind in ("refunded", "disputed") for _, kind in firsts.values()):
+        now = "reversed"
+    elif at["paid"] is not None and (at["failed"] is None or at["paid"] < at["failed"]):
+        now = "paid"
+    else:
+        now = "failed" if at["failed"] is not None else "pending"
+    yield pd.DataFrame({"payment_id": [key[0]], "events": [len(firsts)], "state": [now]})
+
+
+def payment_states(events: DataFrame) -> DataFrame:
+    """The state of each payment from a stream of (event_id, payment_id, kind, arrival). The state grows with
+    a payment's own events, which are few."""
+    return events.groupBy("payment_id").applyInPandasWithState(advance, "payment_id long, events long, state string", STATE, "update", "NoTimeout")
+
+
+def payment_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """payment_state_batch as a stream: events are written once as files, then read as a stream; the last update of each payment."""
+    from pyspark.sql import Window
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        shared = tempfile.mkdtemp(prefix="parley-")
+    folder = f"{shared.rstrip('/')}/payments-{uuid.uuid4().hex}"
+    events = runs(lambda e: f"WITH {payment_events(e)} SELECT event_id, payment_id, kind, arrival FROM payment_events")(spark, sf_dir)
+    events.write.parquet(f"{folder}/in")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
+
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    run = payment_states(source).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(keep).start()
+    run.awaitTermination()
+    updates = spark.read.parquet(f"{folder}/out")
+    newest = Window.partitionBy("payment_id").orderBy(F.desc("batch"))
+    return updates.withColumn("k", F.row_number().over(newest)).where("k = 1").select("payment_id", "events", "state")
+
+
 def event_days(e: Duck) -> str:
     return f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM {e.table('events')} GROUP BY ALL"
 
 
-STREAMS = {"event_dedup_stream": event_dedup_stream}
-TWINS = {"event_dedup_stream": event_days}
+STREAMS = {"event_dedup_stream": event_dedup_stream, "payment_state_stream": payment_state_stream}
+TWINS = {"event_dedup_stream": event_days, "payment_state_stream": payment_state_batch}
