@@ -178,7 +178,7 @@ def finals(e: Duck) -> str:
     """finals(conv_id, turn, record_id, reason, final_text). Sentences go by where they are in the text as it was."""
     trimmed = lambda x: e.sub(x, rf"\A{P.WS}+|{P.WS}+\z", "''")
     keep = e.those("lines", "y", "NOT y.gone AND y.b > y.a")
-    parts = e.those(e.each_item(keep, "y", trimmed(edited(e, "y.a", "y.b"))), "w", "w <> ''")
+    parts = e.those(e.each_item(keep, "y", trimmed(edited(e, "y.a", "y.b"))), "w", e.matches("w", r"[^.!?\s]"))
     edit = e.struct({"was": "was", "begins": "begins", "ends": "ends", "new": "new"})
     empty = e.those(e.items([e.struct({"was": "CAST(0 AS BIGINT)", "begins": "CAST(0 AS BIGINT)", "ends": "CAST(0 AS BIGINT)", "new": "''"})]), "d", "false")
     return f"""{edits(e)}, chained AS (SELECT record_id, begins, ends, new, coalesce(lag(ends) OVER (PARTITION BY record_id ORDER BY begins), 0) AS was FROM edits WHERE new IS NOT NULL),
