@@ -122,11 +122,11 @@ def screened(e: Duck) -> str:
     told = e.those("owns", "o", f"{is_kind('o.k', 'NORP')} AND o.b NOT IN ('unattributed', 'fiction')")
     norp = e.least(e.each_item(told, "o", f"{start(e, 'o.k')} * 2 + CASE WHEN o.b = 'ambiguous' THEN 1 ELSE 0 END"))
     line = e.struct({"a": "sstart", "b": f"sstart + {length(e, 'skey')}", "gone": "likely"})
-    return f"""gates AS (SELECT conv_id, turn, record_id, text, bucket, idx, sstart, skey, {e.made({'secrets': has(is_kind('o.k', 'SECRET')), 'ids': has(is_kind('o.k', *IDENTIFIERS)), 'minor': minor, 'sure': ends[90], 'likely': ends[65], 'norp': norp})} FROM hits),
-        closed AS (SELECT conv_id, turn, record_id, min(text) AS text, {e.ordered(line, 'sstart')} AS lines, max(CASE WHEN likely THEN 1 ELSE 0 END) AS cuts, sum(secrets) AS secrets, sum(ids) AS ids, sum(minor) AS minors, min(norp) AS norp,
+    return f"""gates AS (SELECT conv_id, turn, record_id, text, bucket, idx, sstart, skey, owns, {e.made({'secrets': has(is_kind('o.k', 'SECRET')), 'ids': has(is_kind('o.k', *IDENTIFIERS)), 'minor': minor, 'sure': ends[90], 'likely': ends[65], 'norp': norp})} FROM hits),
+        closed AS (SELECT conv_id, turn, record_id, min(text) AS text, {e.ordered(line, 'sstart')} AS lines, flatten({e.ordered('owns', 'sstart')}) AS spans, max(CASE WHEN likely THEN 1 ELSE 0 END) AS cuts, sum(secrets) AS secrets, sum(ids) AS ids, sum(minor) AS minors, min(norp) AS norp,
             min(CASE WHEN sure AND bucket IN ('self', 'third_party', 'ambiguous') THEN idx * 2 + CASE WHEN bucket = 'ambiguous' THEN 1 ELSE 0 END END) AS category,
             max(CASE WHEN sure AND bucket = 'fiction' THEN 1 ELSE 0 END) AS recovered FROM gates GROUP BY conv_id, turn, record_id),
-        screened AS (SELECT conv_id, turn, record_id, text, lines, cuts, CASE WHEN secrets > 0 THEN 'EXC_LIVE_SECRET' WHEN ids >= {DENSITY} THEN 'EXC_PII_DENSITY' WHEN minors > 0 THEN 'EXC_SPECIAL_CATEGORY'
+        screened AS (SELECT conv_id, turn, record_id, text, lines, cuts, spans, CASE WHEN secrets > 0 THEN 'EXC_LIVE_SECRET' WHEN ids >= {DENSITY} THEN 'EXC_PII_DENSITY' WHEN minors > 0 THEN 'EXC_SPECIAL_CATEGORY'
             WHEN coalesce(category, norp) % 2 = 0 THEN 'EXC_SPECIAL_CATEGORY' WHEN coalesce(category, norp) % 2 = 1 THEN 'EXC_ATTRIBUTION_AMBIGUOUS' ELSE 'none' END AS reason,
             secrets = 0 AND ids < {DENSITY} AND minors > 0 AS minor, secrets = 0 AND ids < {DENSITY} AND minors = 0 AND category IS NULL AND recovered = 1 AS recovered FROM closed)"""
 
@@ -146,9 +146,8 @@ def name_key(e: Duck, x: str) -> str:
 def acts(e: Duck) -> str:
     """acts: spans of records that no gate stopped, each with whom it speaks of; numbers: of each conversation's names."""
     kind = "CASE rule " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
-    return f"""loose AS (SELECT conv_id, turn, record_id, text, {e.each('owns')} AS o FROM judged WHERE {e.size('owns')} > 0),
-        acts AS (SELECT l.conv_id, l.turn, l.record_id, {start(e, 'o.k')} AS begins, {start(e, 'o.k')} + {length(e, 'o.k')} AS ends, o.k % {RULES} AS rule, {value(e, 'o.k').replace('text', 'l.text')} AS value, o.b AS bucket
-            FROM loose l JOIN screened s ON s.record_id = l.record_id WHERE s.reason = 'none'),
+    return f"""loose AS (SELECT conv_id, turn, record_id, text, {e.each('spans')} AS o FROM screened WHERE reason = 'none' AND {e.size('spans')} > 0),
+        acts AS (SELECT l.conv_id, l.turn, l.record_id, {start(e, 'o.k')} AS begins, {start(e, 'o.k')} + {length(e, 'o.k')} AS ends, o.k % {RULES} AS rule, {value(e, 'o.k').replace('text', 'l.text')} AS value, o.b AS bucket FROM loose l),
         named AS (SELECT conv_id, turn, record_id, begins, {name_key(e, 'value')} AS name FROM acts WHERE rule = {PERSON} AND (bucket = 'third_party' OR {name_key(e, 'value')} NOT IN {e.any_of(list(G.FIGURES))})),
         firsts AS (SELECT conv_id, name, min(CAST(turn AS BIGINT) * {LONG} + begins) AS first_at FROM named GROUP BY conv_id, name),
         numbers AS (SELECT conv_id, name, row_number() OVER (PARTITION BY conv_id ORDER BY first_at) AS n FROM firsts)""", kind
