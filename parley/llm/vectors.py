@@ -93,13 +93,16 @@ def learn_books(x: np.ndarray, books: int, codes: int, beam: int, rounds: int, s
 
 
 def nearest(vecs: DataFrame, is_query: F.Column, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", books: int = 16, codes: int = 256, beam: int = 4, rounds: int = 2, fit_rows: int = 8192, rerank: int = 512, block_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows by cosine found for each row where is_query holds.
+    """(query_id, rank, vec_id, score): the k nearest rows by cosine for each row where is_query holds.
 
-    Codebooks are fitted on a sample of at most fit_rows vectors; every row is encoded, and every row's code
-    is scored against every query by lookup tables and the stored norm of its decoded vector. Of each block of
-    at most block_rows rows the best `rerank` are scored again exactly, in double precision on the original
-    vectors. The queries, which grow with the table, are taken in blocks of about query_rows, one broadcast
-    at a time; each executor keeps k rows per query, so what is shuffled is k rows per query and partition.
+    Equal vectors are one class; classes are searched, and then give their least ids. Codebooks are fitted on a
+    sample of at most fit_rows of them; every class is encoded, and every class's code is scored against every
+    query by lookup tables and the stored norm of its decoded vector. Of each block of at most block_rows rows
+    the best `rerank` are scored again exactly, in double precision on the original vectors. Then so is every
+    other row that may still be among the k best: a row's angle to its decoded vector is stored, and the angle to
+    the query is less than the decoded vector's by no more than that. So nothing is lost by the codes, however
+    many rows are alike. The queries, which grow with the table, are taken in blocks of about query_rows, one
+    broadcast at a time; each executor keeps k rows per query, so what is shuffled is k rows per query and partition.
 
     Ties go to the smaller vec_id. A query's own row is no candidate; with fewer than k candidates all are
     returned. Of rows that repeat an id the least vector counts. Vectors that are null, zero, of another
@@ -110,7 +113,19 @@ def nearest(vecs: DataFrame, is_query: F.Column, *, k: int = 5, vec_id: str = "v
     asked = vecs.where(is_query).select(F.col(vec_id).cast("long").alias("vec_id")).distinct()
     _, good = usable(vecs.select(vec_id, embedding), vec_id, embedding)
     schema = "query_id long, vec_id long, score double"
-    sample = sample_of(good, fit_rows)
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(pa.chunked_array([batch.column(1)])) + 0.0
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in x], pa.binary())], ["vec_id", "embedding", "norm", "same"])
+
+    members = saved(good.select("vec_id", "embedding", "norm").mapInArrow(digested, "vec_id long, embedding array<double>, norm double, same binary"))
+    # of a class no query needs more than its k + 1 least ids, one of which may be its own
+    first = members.select("vec_id", "same").withColumn("at", F.row_number().over(Window.partitionBy("same").orderBy("vec_id"))).where(F.col("at") <= k + 1)
+    classes = saved(first.groupBy("same").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("same", F.col("ids")[0].alias("rep"), "ids"))
+    reps = saved(members.join(classes.select(F.col("rep").alias("vec_id")), "vec_id").select("vec_id", "embedding", "norm"))
+    sample = sample_of(reps, fit_rows)
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     learned = learn_books(sample, books, codes, beam, rounds)
@@ -118,15 +133,27 @@ def nearest(vecs: DataFrame, is_query: F.Column, *, k: int = 5, vec_id: str = "v
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = told.value
+        lengths = np.linalg.norm(c.astype(np.float64), axis=2)
         for batch in batches:
             if batch.num_rows:
-                x = (matrix(pa.chunked_array([batch.column(1)])) / batch.column(2).to_numpy()[:, None]).astype(np.float32)
-                code = encode(x, c, beam)
-                decoded = np.linalg.norm(sum(c[i][code[:, i]] for i in range(len(c))), axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in code], pa.binary()), pa.array(np.maximum(decoded, 1e-6), pa.float32())], ["vec_id", "embedding", "norm", "code", "decoded"])
+                x = matrix(pa.chunked_array([batch.column(1)])) / batch.column(2).to_numpy()[:, None]
+                code = encode(x.astype(np.float32), c, beam)
+                y = sum(c[i][code[:, i]].astype(np.float64) for i in range(len(c)))
+                decoded = np.maximum(np.linalg.norm(y, axis=1), 1e-6)
+                # the cosine of the row and its decoded vector, and what single precision may add to a guess
+                turned = np.where(decoded > 1e-6, np.clip((x * y).sum(axis=1) / decoded, -1, 1), -1)
+                fuzz = (x.shape[1] + len(c) + 4) * 1.2e-7 * sum(lengths[i][code[:, i]] for i in range(len(c))) / decoded
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in code], pa.binary()), pa.array(decoded, pa.float32()), pa.array(turned), pa.array(fuzz)], ["vec_id", "embedding", "norm", "code", "decoded", "turned", "fuzz"])
+
+    def themselves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, norms, at = matrix(pa.chunked_array([batch.column(1)])), batch.column(2).to_numpy(), np.arange(batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), pa.array(_cosines(x, norms, at, x, norms, at))], ["query_id", "vec_id", "score"])
 
-    index = saved(good.select("vec_id", "embedding", "norm").mapInArrow(encoded, "vec_id long, embedding array<double>, norm double, code binary, decoded float"))
-    queries = saved(index.join(asked, "vec_id").select("vec_id", "embedding", "norm"))
+    index = saved(reps.mapInArrow(encoded, "vec_id long, embedding array<double>, norm double, code binary, decoded float, turned double, fuzz double"))
+    asked = saved(members.select("vec_id", "same").join(asked, "vec_id").join(classes.select("same", "rep"), "same").select(F.col("vec_id").alias("query_id"), "rep"))
+    queries = saved(reps.join(asked.select(F.col("rep").alias("vec_id")).distinct(), "vec_id").select("vec_id", "embedding", "norm"))
     parts = max(1, -(-queries.count() // query_rows))
     found = []
     for part in range(parts):
@@ -141,16 +168,39 @@ def nearest(vecs: DataFrame, is_query: F.Column, *, k: int = 5, vec_id: str = "v
     for x in found:
         out = out.union(x)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("rank").union(queries.mapInArrow(themselves, schema))
+    spread = out.join(classes.select(F.col("rep").alias("vec_id"), "ids"), "vec_id").select(F.col("query_id").alias("rep"), "score", F.explode("ids").alias("vec_id"))
+    lists = spread.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("found"))
+    own = asked.join(saved(lists), "rep").withColumn("found", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
+    return own.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
+
+
+def _cosines(rows: np.ndarray, row_norms: np.ndarray, row: np.ndarray, x: np.ndarray, norms: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of a row of rows and one of x. All come from here, since a product's last bit differs with its order."""
+    out = np.empty(len(row))
+    for at in range(0, len(row), 16384):
+        r, a = row[at : at + 16384], ask[at : at + 16384]
+        out[at : at + 16384] = np.einsum("pd,pd->p", rows[r], x[a]) / (row_norms[r] * norms[a])
+    return out
 
 
 def _search(told, asks, k: int, rerank: int, block_rows: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = told.value
         ids, x, norms = asks.value
-        q = (x / norms[:, None]).astype(np.float32)
-        tables = np.einsum("mkd,qd->mkq", c, q).astype(np.float32)
+        units = x / norms[:, None]
+        tables = np.einsum("mkd,qd->mkq", c, units.astype(np.float32)).astype(np.float32)
         best_ids, best = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -np.inf)
+
+        def keep(i: int, ask: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
+            """The k best of what the block of queries at i has and of these pairs."""
+            n = len(ids[i : i + 128])
+            every, both, all_scores = np.concatenate([np.repeat(np.arange(n), k), ask]), np.concatenate([best_ids[i : i + n].ravel(), found]), np.concatenate([best[i : i + n].ravel(), scores])
+            order = np.lexsort((both, -all_scores, every))
+            every = every[order]
+            order = order[np.arange(len(order)) - np.searchsorted(every, every) < k]
+            best_ids[i : i + n], best[i : i + n] = both[order].reshape(n, k), all_scores[order].reshape(n, k)
+
         for batch in batches:
             for at in range(0, batch.num_rows, block_rows):
                 part = batch.slice(at, block_rows)
@@ -158,15 +208,26 @@ def _search(told, asks, k: int, rerank: int, block_rows: int):
                 rows, row_norms = matrix(pa.chunked_array([part.column(1)])), part.column(2).to_numpy()
                 code = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(len(own), -1)
                 shrink = 1 / part.column(4).to_numpy()
+                turned, fuzz = (part.column(j).to_numpy()[:, None] for j in (5, 6))
                 for i in range(0, len(ids), 128):  # lookup tables of a bounded block of queries
                     guess = sum(tables[m][code[:, m], i : i + 128] for m in range(len(c))) * shrink[:, None]
                     few = min(rerank + 1, len(own))
-                    near = np.argpartition(-guess, few - 1, axis=0)[:few].T
-                    exact = np.einsum("qrd,qd->qr", rows[near], x[i : i + 128]) / (row_norms[near] * norms[i : i + 128, None])
-                    exact = np.where(own[near] == ids[i : i + 128, None], -np.inf, exact)
-                    both, scores = np.concatenate([best_ids[i : i + 128], own[near]], axis=1), np.concatenate([best[i : i + 128], exact], axis=1)
-                    order = np.lexsort((both, -scores), axis=1)[:, :k]
-                    best_ids[i : i + 128], best[i : i + 128] = np.take_along_axis(both, order, axis=1), np.take_along_axis(scores, order, axis=1)
+                    near = np.argpartition(-guess, few - 1, axis=0)[:few]
+                    left = own[:, None] != ids[i : i + 128]  # a query's own row is no candidate
+                    first = np.zeros(guess.shape, bool)
+                    np.put_along_axis(first, near, True, axis=0)
+                    row, ask = np.nonzero(first & left)
+                    keep(i, ask, own[row], _cosines(rows, row_norms, row, x[i : i + 128], norms[i : i + 128], ask))
+                    if few == len(own):
+                        continue
+                    least = best[i : i + 128, -1] - 1e-9
+                    g = np.clip(guess + fuzz, -1, 1)
+                    most = np.where(g >= turned, 1, g * turned + np.sqrt((1 - g * g) * (1 - turned * turned)))
+                    left &= ~first & (most >= least)
+                    some = np.flatnonzero(left.any(axis=1))
+                    row, ask = np.nonzero(left[some] & ((rows[some] / row_norms[some, None]) @ units[i : i + 128].T >= least))
+                    row = some[row]
+                    keep(i, ask, own[row], _cosines(rows, row_norms, row, x[i : i + 128], norms[i : i + 128], ask))
         there = best > -np.inf
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[there]), pa.array(best_ids[there]), pa.array(best[there])], ["query_id", "vec_id", "score"])
 

@@ -150,6 +150,29 @@ def test_nearest_equals_brute_force(spark):
     assert vectors.nearest(frame.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_keeps_ties_beyond_the_rerank(spark):
+    """More equal and nearly equal rows than are reranked: the smaller ids of each tie are found all the same."""
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(1500, 16))
+    mixed = rnd.permutation(1500)
+    equal, tight = mixed[:500], mixed[500:900]
+    x[equal] = rnd.normal(size=16)
+    x[tight] = rnd.normal(size=16) + 1e-7 * rnd.normal(size=(400, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in vectors.nearest(frame, F.col("vec_id") % 10 == 0, books=4, codes=16, rerank=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 1500, 10):
+        cos = unit @ unit[i]
+        cos[(x == x[i]).all(axis=1)] = 1
+        cos[i] = -9
+        if i in tight:  # their scores differ in the last bits only
+            assert len(set(got[i])) == 5 and cos[got[i]].min() > 1 - 1e-12
+        else:
+            assert got[i] == np.lexsort((np.arange(1500), -cos.round(14)))[:5].tolist()
+
+
 def test_recall_on_table(spark):
     frame = table(spark, DIR, "embeddings")
     data = frame.toPandas()
