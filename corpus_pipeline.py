@@ -6,7 +6,9 @@ reads that as the next one's docs. All but the last return the columns of docume
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from string import ascii_lowercase, ascii_uppercase
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import saved, table
@@ -25,11 +27,22 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of least id."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of least id.
+
+    Of rows that share an id and a word sequence the one of least text stays, then of least other columns in their order.
+    Rows with a null id, and rows of one id with other words, are documents of their own.
+    """
     found = near_duplicates(docs, words=5, percent=80)
-    out = docs.join(saved(found.where("not kept").select("doc_id").distinct()).hint("merge"), "doc_id", "left_anti")
-    again = not saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")).isEmpty()
-    return (out.dropDuplicates(["doc_id"]) if again else out).select(*docs.columns)
+    out = docs.join(saved(found.where("not kept").select("doc_id").distinct()).hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    again = saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return out
+    sequence = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+", " "))
+    place = f"{max(docs.columns, key=len)}_place"  # a longer name than any column has
+    same = Window.partitionBy("doc_id", F.sha2(sequence, 256)).orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    # written first, so that the window deals rows by their words too: one id may have very many
+    first = saved(out.join(again, "doc_id", "left_semi")).withColumn(place, F.row_number().over(same)).where(F.col(place) == 1)
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(first.select(*docs.columns))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

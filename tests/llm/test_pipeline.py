@@ -52,3 +52,12 @@ def test_stages_take_odd_and_empty_tables(spark):
             out = saved(stage(spark, docs, DIR))
             assert out.columns == docs.columns
         assert cp.STAGES[-1][1](spark, docs, DIR).count() == docs.count()
+
+
+def test_repeated_and_null_ids_keep_their_documents(spark):
+    docs = [(1, "a b c d e f"), (1, "A  b c\td e f"), (1, "other words that are not linked at all"), (1, None), (1, " "), (2, "a b c d e f"), (3, "alone"), (None, "no id here"), (None, "no id here"), (None, "nor here"), (None, None)]
+    frame = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, n_chars long")
+    got = sorted(r.n_chars for r in cp.without_near_duplicates(spark, frame, DIR).collect())
+    assert got == [1, 2, 3, 6, 7, 8, 9, 10]
+    again = frame.where("doc_id = 1").union(frame.where("doc_id = 1").withColumn("n_chars", F.col("n_chars") + 100))
+    assert sorted(r.n_chars for r in cp.without_near_duplicates(spark, again, DIR).collect()) == [1, 2, 3]
