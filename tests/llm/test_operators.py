@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,26 @@ def test_recall_on_table(spark):
     assert sum(hits) >= 0.9 * 5 * len(hits)
 
 
+def test_recall_in_whole_blocks(spark):
+    """Blocks of 8,192 rows, of which 513 are reranked: a third equal, a sixth a tight group, the others at random."""
+    rnd = np.random.default_rng(5)
+    n, ids = 20_000, np.arange(20_000)
+    x, mixed = rnd.normal(size=(n, 32)), rnd.permutation(n)
+    kinds = {"equal": mixed[: n // 3], "tight": mixed[n // 3 : n // 2], "random": mixed[n // 2 :]}
+    x[kinds["equal"]] = rnd.normal(size=32)
+    x[kinds["tight"]] = rnd.normal(size=32) + 1e-3 * rnd.normal(size=(len(kinds["tight"]), 32))
+    spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}), "vec_id long, embedding array<double>").createOrReplaceTempView("whole_blocks")
+    got = vectors.nearest(spark.table("whole_blocks").coalesce(1), F.col("vec_id") % 50 == 0).toPandas().groupby("query_id")["vec_id"].apply(set).to_dict()
+    unit, recall = x / np.linalg.norm(x, axis=1)[:, None], {}
+    for kind, own in kinds.items():
+        asked = own[own % 50 == 0]
+        cos = (unit[asked] @ unit.T).round(13)
+        cos[np.arange(len(asked)), asked] = -9
+        recall[kind] = np.mean([len(got[i] & set(np.lexsort((ids, -c))[:5])) / 5 for i, c in zip(asked, cos, strict=True)])
+    print("recall", recall)
+    assert min(recall.values()) >= 0.9
+
+
 def reshared(sizes, weights, most):
     """Targets by sharing the excess again and again."""
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
