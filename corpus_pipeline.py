@@ -54,12 +54,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: sources weigh 5, 2, 1 in turn."""
-    new = max(docs.columns, key=len)  # longer names than any column has
-    key, times, each = f"{new}_id", f"{new}_times", f"{new}_each"
-    copies = saved(mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(times)).where(F.col(times) > 0))
-    # a table with a row for each document is no side to broadcast
-    out = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies[key])).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return out.select(*docs.columns)
+    taken = mix(docs, columns=docs.columns).where("copies > 0")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("time")
+    return taken.select(times, *(f"_{c}" for c in docs.columns)).select(*(F.col(f"_{c}").alias(c) for c in docs.columns))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def _copies(most: int):
     return fold
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, salts: int = 256) -> DataFrame:
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, salts: int = 256, columns: list[str] | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, rate): a row for each document.
 
     size is the number of words, taken = copies * size what the mix takes. Targets follow targets(); the
@@ -72,11 +72,14 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     that a class of very many copies is no single task. Reruns agree.
 
     A null text has size 0; a null source is a source. Documents without words take 0 and one copy. Repeated
-    ids are documents of their own. An empty table gives an empty result. Other columns are ignored.
+    ids are documents of their own. An empty table gives an empty result. `columns` of docs are passed through,
+    with _ before their names, and order rows of one id; others are ignored.
     """
-    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"))
+    passed = [f"_{c}" for c in columns or []]
+    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), *(F.col(c).alias(f"_{c}") for c in columns or []))
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
-    sized = saved(sized.select("doc_id", key.alias("skey"), "size", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(salts)).cast("int").alias("salt")))
+    sized = sized.select("doc_id", key.alias("skey"), "size", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(salts)).cast("int").alias("salt"), *passed)
+    sized = sized if passed else saved(sized)  # whole rows are read again rather than written
     parts = saved(sized.groupBy("skey", "size", "salt").agg(F.count(F.lit(1)).alias("n")))
     classes = parts.groupBy("skey", "size").agg(F.sum("n").alias("n"))
     totals = parts.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -86,6 +89,6 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     before = F.sum("n").over(Window.partitionBy("skey", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     dealt = parts.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
     dealt = saved(dealt.join(taken, ["skey", "size"]).join(goals.drop("rate"), "skey"))
-    place = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy(F.xxhash64("doc_id"), "doc_id")) - 1 + F.col("before")
+    place = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy(F.xxhash64("doc_id"), "doc_id", *passed)) - 1 + F.col("before")
     out = sized.join(dealt, ["skey", "size", "salt"]).withColumn("copies", F.expr("copies div n") + F.when(place < F.col("copies") % F.col("n"), 1).otherwise(0))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", *passed)

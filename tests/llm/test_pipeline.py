@@ -61,3 +61,12 @@ def test_repeated_and_null_ids_keep_their_documents(spark):
     assert got == [1, 2, 3, 6, 7, 8, 9, 10]
     again = frame.where("doc_id = 1").union(frame.where("doc_id = 1").withColumn("n_chars", F.col("n_chars") + 100))
     assert sorted(r.n_chars for r in cp.without_near_duplicates(spark, again, DIR).collect()) == [1, 2, 3]
+
+
+def test_mixing_gives_each_row_its_own_copies(spark):
+    rows_ = [({"s1": i, "s2": 7, "s3": None}[s], f"{s} {i} " + "w " * 8, s) for i in range(300) for s in ("s1", "s2", "s3")]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    got = rows(cp.mixed(spark, frame, DIR))
+    by = Counter(r[2] for r in got.elements())
+    assert all(abs(by[s] - want) <= 1 for s, want in {"s1": 562.5, "s2": 225, "s3": 112.5}.items())
+    assert set(got) <= set(rows_) and got == rows(cp.mixed(spark, frame, DIR))
