@@ -109,11 +109,30 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
-def bounded_sample(rows: DataFrame, by: str, each: int, key: str = "doc_id") -> DataFrame:
-    """About `each` rows, at the most, of each value of `by`: those whose key's hash is below the value's share."""
-    share = rows.groupBy(by).agg(F.least(F.lit(1.0), F.lit(float(each)) / F.count(F.lit(1))).alias("_share"))
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(share, by).where(place < F.col("_share")).drop("_share")
+def quoted(name: str) -> F.Column:
+    """The column of exactly this name, dots and backticks in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(docs: DataFrame, columns: list[str] | None) -> tuple[list[F.Column], list[str], list[F.Column]]:
+    """Columns that pass through an operator, with _ before their names: to select, as schema fields, to select again."""
+    names = [c.replace("`", "``") for c in columns or []]
+    fields = [f"`_{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, columns or [], strict=True)]
+    return [quoted(c).alias(f"_{c}") for c in columns or []], fields, [quoted(f"_{c}") for c in columns or []]
+
+
+def drawn_rows(docs: DataFrame, by: str, most: F.Column, marks: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """About `most` rows (doc_id, text and others), at the most, of each value of `by`, equal ones once: those whose hash is
+    below the value's share. `by` is a column of docs or, by id, of marks. Only ids and hashes are joined, counted, drawn and
+    shuffled before the drawn texts move; rows of one id are drawn apart."""
+    known = docs.select("doc_id", F.xxhash64("text").alias("_text"), *([] if marks else [by])).distinct()
+    known = saved(known.join(marks, "doc_id", how) if marks else known)
+    share = known.groupBy(by).agg(F.least(F.lit(1.0), F.first(most).cast("double") / F.count(F.lit(1))).alias("_share"))
+    place = F.pmod(F.xxhash64("doc_id", "_text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    ids = known.join(share.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).where(place < F.col("_share"))
+    ids = saved(ids.select("doc_id", "_text", *([by] if marks else [])).distinct())
+    # of a size that the parameters bound: Spark broadcasts it if it is as small as that, and else merges
+    return docs.withColumn("_text", F.xxhash64("text")).join(ids, ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text"]).drop("_text")
 
 
 def held_out(doc_id: F.Column, folds: int, fold: int) -> F.Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, saved
+from .common import drawn_rows, held_out, quoted
 from .toxicity import logistic
 
 WORD_BUCKETS, NAME_BUCKETS = 64, 32
@@ -101,16 +101,14 @@ class Model:
         return chances(self.joint, np.stack([logits(p) for p in own], axis=1)), *own
 
 
-def learn(docs: DataFrame, labels: DataFrame, learn_from: F.Column, *, labelled: int = 3000, unlabelled: int = 4000, fit_chars: int = 8000) -> Model:
-    """A model from a sample of at most about `labelled` rows of each label and `unlabelled` others, of at most fit_chars.
+def learn(docs: DataFrame, labels: DataFrame, learn_from: F.Column, *, labelled: int = 3000, unlabelled: int = 4000) -> Model:
+    """A model from a sample of at most about `labelled` rows of each label and `unlabelled` others, of every length.
 
     Features are taken where the texts are; only they reach the driver.
     """
-    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = saved(docs.where(learn_from & (F.length("text") <= fit_chars)).select("doc_id").join(marked, "doc_id", "left"))
-    ids = bounded_sample(known.where("quality is not null"), "quality", labelled).select("doc_id", "quality")
-    ids = ids.union(bounded_sample(known.where("quality is null").withColumn("part", F.lit(0)), "part", unlabelled).select("doc_id", "quality"))
-    rows = docs.where(F.length("text") <= fit_chars).join(F.broadcast(saved(ids.dropDuplicates(["doc_id"]))), "doc_id")
+    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).cast("int").alias("quality"))
+    most = F.when(F.col("quality").isNull(), unlabelled).otherwise(labelled)
+    rows = drawn_rows(docs.where(learn_from), "quality", most, marked, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +117,9 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: F.Column, *, labelled:
             about = [metadata_view(*x) for x in zip(d["lang"], d["source"], d["n_chars"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(text, pa.list_(pa.float64())), pa.array(about, pa.list_(pa.float64()))], ["doc_id", "quality", "text", "about"])
 
-    told = rows.mapInArrow(run, "doc_id long, quality int, text array<double>, about array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    told = rows.mapInArrow(run, "doc_id long, quality int, text array<double>, about array<double>").toPandas()
+    told["key"] = told["text"].map(tuple)
+    told = told.sort_values(["doc_id", "key"])
     sizes = {"text": len(text_view("")), "about": len(metadata_view(None, None, None))}
     parts = [[np.array(part[c].tolist(), dtype=float).reshape(len(part), sizes[c]) for c in sizes] for part in (told[told["quality"].notna()], told[told["quality"].isna()])]
     return Model(parts[0], (told["quality"].dropna().to_numpy() > 0).astype(float), parts[1]) if len(told) else Model([], np.zeros(0), [])
@@ -133,7 +133,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     from; ids repeated in labels are bad if any row says so. Without labels of both kinds all scores are the
     share of good labels. An empty table gives an empty result. Other columns are ignored.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(n_chars).cast("long").alias("n_chars"))
+    own = docs.select(quoted(doc_id).cast("long").alias("doc_id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"), quoted(lang).cast("string").alias("lang"), quoted(source).cast("string").alias("source"), quoted(n_chars).cast("long").alias("n_chars"))
     told = docs.sparkSession.sparkContext.broadcast(learn(own, labels, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

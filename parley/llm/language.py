@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, saved
+from .common import drawn_rows, held_out, quoted
 
 WORDS = re.compile(r"[^\W\d_]+")
 ORDER, START, END = 4, 2, 3
@@ -119,14 +119,17 @@ class Models:
 
 
 def learn(docs: DataFrame, learn_from: F.Column, *, fit_docs: int = 1500, fit_chars: int = 8000) -> Models:
-    """Models from a sample of at most about fit_docs texts of each language, of at most fit_chars each.
+    """Models from a sample of at most about fit_docs texts of each language, of every length.
 
-    Longer texts are only left out of this sample. Ids are drawn before any text moves.
+    Of a text of more than fit_chars the models see sixteen slices of that length in all, spread over it; the parameters
+    bound what reaches the driver by the number of languages.
     """
-    known = docs.where(learn_from & F.col("lang").isNotNull() & (F.length("text") <= fit_chars))
-    ids = saved(bounded_sample(saved(known.select("doc_id", "lang")), "lang", fit_docs).dropDuplicates(["doc_id"]).select("doc_id"))
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").toPandas().sort_values(["lang", "doc_id", "text"])
-    return Models({k: g["text"].tolist() for k, g in rows.groupby("lang")})
+    rows = drawn_rows(docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()), "lang", F.lit(fit_docs))
+    step, some = F.length("text") / 16, fit_chars // 16
+    slices = F.concat_ws(" ", *(F.substring("text", (step * k + 1).cast("int"), F.lit(some)) for k in range(16)))
+    told = rows.select("doc_id", "lang", F.when(F.length("text") > fit_chars, slices).otherwise(F.col("text")).alias("text"))
+    told = told.toPandas().sort_values(["lang", "doc_id", "text"])
+    return Models({k: g["text"].tolist() for k, g in told.groupby("lang")})
 
 
 def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, fold: int = 2, reject: bool = False, undetermined: str = "und", known_words: int = 300_000) -> DataFrame:
@@ -142,7 +145,7 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
     null id are answered and never learned from. Ties go to the first language by name. An empty table gives
     an empty result. Other columns are ignored.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    own = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"), quoted(lang).cast("string").alias("lang"))
     told = docs.sparkSession.sparkContext.broadcast(learn(own, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

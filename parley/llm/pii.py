@@ -10,7 +10,8 @@ from functools import lru_cache
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import carried, quoted
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("url", "secret", "ssn", "iban", "account", "address")
@@ -25,7 +26,7 @@ SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"[\x20\t]?[:=][\x20\t]?[\"']?([A-Za-z0-9_./+-]{6,})")
 IBAN = re.compile(r"(?:[\x20:#]|no\.?|is){0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
 ACCOUNT = re.compile(r"(?:[\x20:#]|number|no\.?|is){0,6}([0-9](?:-?[0-9]){5,16})(?![0-9])")
-STREET = re.compile(r"[0-9]{1,6}(?:\x20[A-Z][A-Za-z'-]{0,30}){1,4}\x20\Z")
+STREET = re.compile(r"[A-Z][A-Za-z'-]*")
 
 #: Cues of identifiers, in the spellings that are looked for.
 SECRET_CUES = ("password", "passwd", "secret", "token", "api_key", "apikey", "api-key", "access_key")
@@ -109,9 +110,9 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                     done["url"] = end
                     found["url"].append((at, end))
         elif kind == "address":
-            if at >= done["address"] and not text[last + 1 : last + 2].isalnum() and (m := STREET.search(text, max(done["address"], at - 80), at)):
+            if at >= done["address"] and not text[last + 1 : last + 2].isalnum() and (start := house(text, done["address"], at)) >= 0:
                 done["address"] = last + 1
-                found["address"].append((m.start(), last + 1))
+                found["address"].append((start, last + 1))
         else:
             if at >= done[kind] and (at == 0 or not text[at - 1].isalnum()):
                 m = {"secret": SECRET, "iban": IBAN, "account": ACCOUNT}[kind].match(text, last + 1)
@@ -127,6 +128,24 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     return [(k, a, b) for k, own in found.items() for a, b in own]
 
 
+def house(text: str, least: int, at: int) -> int:
+    """Where the address begins whose street ends at `at`: one to four capitalised words back, of whatever length, at a
+    number of one to six digits; -1 without. Nothing before `least` is looked at."""
+    end = at
+    for words in range(5):
+        if end - 1 < least or text[end - 1] != " ":
+            return -1
+        gap = end - 1
+        end = text.rfind(" ", least, gap) + 1 or least
+        word = text[end:gap]
+        digits = len(word) - len(word.rstrip("0123456789"))
+        if words and 1 <= digits <= 6:
+            return gap - digits
+        if words == 4 or not STREET.fullmatch(word):
+            return -1
+    return -1
+
+
 def masked(text: str, own: list[tuple[str, int, int]]) -> str:
     """text with each span, or run of overlapping spans, as the kind of its first in brackets."""
     out, at, end = [], 0, -1
@@ -160,9 +179,9 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                     out.append((*counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(told), masked(t, own) if with_text and t else t))
                 cols = list(zip(*out, strict=True))
                 arrays = [part.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())]
-                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cols[6], pa.string())] if with_text else []), *part.columns[2:]], [*names, *passed])
+                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cols[6], pa.string())] if with_text else []), *part.columns[2:]], [*names, *part.schema.names[2:]])
 
     names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", *(["masked"] if with_text else [])]
-    passed = [f"_{c}" for c in columns or []]
-    schema = ", ".join([*(f"{c} {'long' if c == 'doc_id' or c.startswith('n_') else 'string'}" for c in names), *(f"`_{c}` {docs.schema[c].dataType.simpleString()}" for c in columns or [])])
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in columns or [])).mapInArrow(run, schema)
+    passing, fields, _ = carried(docs, columns)
+    schema = ", ".join([*(f"{c} {'long' if c == 'doc_id' or c.startswith('n_') else 'string'}" for c in names), *fields])
+    return docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"), *passing).mapInArrow(run, schema)

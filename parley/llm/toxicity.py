@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-import re
+import random
 import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,82 +14,117 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, saved
+from .common import carried, drawn_rows, held_out, quoted, saved
 
-WORDS = re.compile(r"\w+")
+Lengths = Callable[[bytes], int]
 
 
-def telling_words(toxic: list[str], ordinary: list[str], *, least: float = 15.0, ratio: float = 30.0, cover: int = 3) -> list[str]:
-    """Words of the toxic texts that the ordinary ones hardly have, the most telling last.
+def lowered(text: str) -> bytes:
+    """What is compressed, in learning as in scoring: UTF-8 with A-Z in lower case."""
+    return text.encode("utf-8", "replace").lower()
 
-    A word must have a likelihood ratio of at least `least` and be `ratio` times as frequent among the toxic
-    texts. Of these, greedily, the one that most toxic texts still lack, until each has `cover` of them or no
-    word is in enough: so groups of copies don't bring in their chance words.
-    """
-    own = [set(WORDS.findall(t)) for t in toxic]
-    a, b = Counter(w for s in own for w in s), Counter(w for t in ordinary for w in set(WORDS.findall(t)))
-    n1, n0 = len(toxic), max(1, len(ordinary))
-
-    def telling(w: str) -> bool:
-        x, y = a[w], b[w]
-        if x < 3 or x / n1 < ratio * (y + 0.5) / n0:
-            return False
-        e = (x + y) * n1 / (n1 + n0)
-        return 2 * (x * math.log(x / e) + (y * math.log(y / (x + y - e)) if y else 0)) >= least
-
-    holders: dict[str, list[int]] = defaultdict(list)
-    for i, words in enumerate(own):
-        for w in words:
-            if telling(w):
-                holders[w].append(i)
-    lacks, gain, out = [cover] * n1, {w: len(x) for w, x in holders.items()}, []
-    while gain:
-        w = max(gain, key=lambda w: (gain[w], w))
-        if gain.pop(w) < max(3, 0.002 * n1):
-            break
-        out.append(w)
-        for i in holders[w]:
-            lacks[i] -= 1
-            if lacks[i] == 0:
-                for v in own[i]:
-                    if v in gain:
-                        gain[v] -= 1
-    return out[::-1]
 
+def windows(raw: bytes, size: int) -> list[bytes]:
+    return [raw[i : i + size] for i in range(0, len(raw), size)]
 
-class Dictionaries:
-    """Two zstandard dictionaries; what a text's windows gain by the toxic one, as features.
 
-    Both hold a dictionary trained on ordinary windows. The toxic one has besides the telling words of the
-    toxic texts, the ordinary one as many bytes of ordinary words, so chance matches even out.
-    """
+def passages(raw: bytes) -> list[bytes]:
+    """Word-aligned windows of 24 to some 64 bytes, cut where a word's own hash says so: near copies of a text have equal ones."""
+    out, held, size = [], [], 0
+    for word in raw.split():
+        held.append(word[:40])
+        size += len(held[-1]) + 1
+        if size >= 64 or (size >= 24 and zlib.crc32(word) % 3 == 0):
+            out.append(b" " + b" ".join(held) + b" ")
+            held, size = [], 0
+    return [*out, b" " + b" ".join(held) + b" "] if held else out
 
-    def __init__(self, toxic: list[str], ordinary: list[str], window: int = 128, size: int = 24576):
-        pieces = [p for t in ordinary for p in windows(t, 512)]
-        try:
-            base = zs.train_dictionary(size, pieces[:40000], k=200, d=8, level=3).as_bytes() if pieces else b""
-        except zs.ZstdError:  # too few windows to train on
-            base = b"".join(pieces)[-size:]
-        told = (" " + " ".join(telling_words(toxic, ordinary)) + " ").encode()[-16384:] if toxic else b""
-        seen = sorted({w for t in ordinary[:200] for w in WORDS.findall(t)}, key=lambda w: zlib.crc32(w.encode()))
-        other = (" " + " ".join(seen) + " ").encode()[: len(told)]
-        self.parts, self.window = (other + base or b" ", told + base or b" "), window
-
-    def compressors(self) -> list[zs.ZstdCompressor]:
-        # deep searches in wide tables: a match that only one of the two dictionaries is searched for long enough to find is noise
-        p = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_LAZY2, window_log=17, hash_log=17, chain_log=17, search_log=8, min_match=4, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
-        return [zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p) for d in self.parts]
-
-    def features(self, text: str, compressors: list[zs.ZstdCompressor]) -> list[float]:
-        plain, toxic = (c.compress for c in compressors)
-        gains = [len(plain(w)) - len(toxic(w)) for w in windows(text, self.window)] or [0]
-        over = lambda least: math.log1p(sum(g >= least for g in gains))
-        return [float(max(-4, min(8, max(gains)))), over(2), over(3), over(4), sum(g >= 3 for g in gains) / len(gains), sum(max(0, min(g, 8) - 1) for g in gains) / len(gains)]
 
+def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """A zstandard dictionary; of samples too few to train on their own last bytes."""
+    try:
+        return zs.train_dictionary(size, samples, k=k, d=d, level=3).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def lengths(dictionary: bytes) -> Lengths:
+    """The compressed length of a window under a dictionary."""
+    # deep searches in wide tables: a match that only one of two dictionaries is searched for long enough to find is noise
+    p = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_LAZY2, window_log=17, hash_log=17, chain_log=17, search_log=8, min_match=4, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+    compress = zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(dictionary or b" ", dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p).compress
+    return lambda window: len(compress(window))
 
-def windows(text: str, size: int) -> list[bytes]:
-    raw = text.encode("utf-8", "replace").lower()
-    return [raw[i : i + size] for i in range(0, len(raw), size)]
+
+class Dictionaries:
+    """A zstandard dictionary trained on ordinary windows, and a toxic one: trained on those windows of the toxic texts
+    that toxic dictionaries compress better, with the ordinary one behind it, so that the two differ by toxic text alone.
+
+    Most windows of a toxic text are ordinary, and a dictionary trained on all of them hardly differs from the ordinary
+    one. So windows are reselected over folds: dictionaries trained on the windows of the other folds say which windows
+    are worth more to the toxic side than all but one in a hundred of ordinary ones are; then dictionaries trained on
+    these say it again; then the words whose absence from their window costs that gain are themselves the windows that are
+    trained on, if at least three windows have them and, in proportion, hardly any ordinary one. `passes` times over,
+    each time on the windows that what was found does not explain. Windows that several texts have count once, so copies
+    don't bring in their chance words. Of each side at most `most` windows, drawn at random with a fixed seed, are used.
+    """
+
+    def __init__(self, toxic: list[str], ordinary: list[str], *, window: int = 96, size: int = 24576, own: int = 8192, folds: int = 3, passes: int = 4, most: int = 25_000):
+        draw, self.window = random.Random(3), window
+        support = 3 if len(toxic) >= 150 else 2
+        of = lambda texts, cut: list(dict.fromkeys(p for t in texts for p in cut(lowered(t))))
+        some = lambda rows, n: rows if len(rows) <= n else draw.sample(rows, n)
+        self.base = trained(some(of(ordinary, lambda t: windows(t, 128)), most), size, 200, 8)
+        plain = lengths(self.base)
+        left, clean = some(of(toxic, passages), most), some(of(ordinary, passages), most)
+        found: list[bytes] = []
+        for _ in range(passes):
+            new = [w for w in self._telling(left, clean, folds, support, draw) if w not in found]
+            found += new
+            if not new:
+                break
+            told = lengths(self._toxic(found, own))
+            left = [p for p in left if plain(p) - told(p) < 3]
+        self.found, self.parts = found, (self.base, self._toxic(found, own))
+
+    def _toxic(self, found: list[bytes], own: int) -> bytes:
+        return (trained(found * 8, own, 16, 6) if found else b"") + self.base
+
+    def _telling(self, toxic: list[bytes], clean: list[bytes], folds: int, support: int, draw: random.Random) -> list[bytes]:
+        fold = lambda p: zlib.crc32(p) % folds
+        sides, tools = [toxic, clean], []
+        for size, k, d in ((8192, 24, 8), (4096, 16, 6)):
+            gains = []
+            for f in range(folds):
+                a, b = (trained([p for p in side if fold(p) != f], size, k, d) for side in sides)
+                a, b = lengths(self.base + a), lengths(self.base + b)
+                gains.append(lambda p, a=a, b=b: b(p) - a(p))
+            tools, ordinary = gains, draw.sample(clean, min(len(clean), 8_000))
+            told = [[(tools[fold(p)](p), p) for p in side] for side in (sides[0], ordinary)]
+            cut = max(2, float(np.quantile([g for g, _ in told[1]], 0.99))) if told[1] else 2
+            kept = [[p for g, p in side if g >= cut] for side in told]
+            if len(kept[0]) < 3 * folds:
+                return []
+            sides = [kept[0], kept[1] + draw.sample(clean, min(len(clean), 3 * len(kept[0]) + 200))]
+        a, b = (Counter(w for p in side for w in self._needed(p, tools[fold(p)])) for side in (sides[0], sides[1][: 2 * len(sides[0])]))
+        return sorted(w for w, n in a.items() if n >= support and n > 3 * b[w] and len(w) >= 6)
+
+    @staticmethod
+    def _needed(passage: bytes, gain: Callable[[bytes], int], least: int = 2) -> list[bytes]:
+        """The words without which the window's gain is less."""
+        words, whole = passage.split(), gain(passage)
+        if whole < least:
+            return []
+        return [b" " + w + b" " for i, w in enumerate(words) if whole - gain(b" " + b" ".join(words[:i] + words[i + 1 :]) + b" ") >= least]
+
+    def compressors(self) -> list[Lengths]:
+        return [lengths(d) for d in self.parts]
+
+    def features(self, text: str, compressors: list[Lengths]) -> list[float]:
+        plain, toxic = compressors
+        gains = [plain(w) - toxic(w) for w in windows(lowered(text), self.window)] or [0]
+        over = lambda least: math.log1p(sum(g >= least for g in gains))
+        return [float(max(-4, min(8, max(gains)))), over(2), over(3), over(4), over(6), sum(g >= 3 for g in gains) / len(gains), sum(max(0, min(g, 8) - 1) for g in gains) / len(gains)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,24 +140,29 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[np.ndar
     return w, mean, dev
 
 
+def fold_of(doc_id: int, folds: int) -> int:
+    return zlib.crc32(f"fold {doc_id}".encode()) % folds
+
+
 class Model:
-    """Dictionaries and the calibration of their features, which are taken across folds for it."""
-
-    def __init__(self, toxic: list[str], ordinary: list[str], folds: int = 3):
-        toxic, ordinary = [t.lower() for t in toxic], [t.lower() for t in ordinary]
-        x, y, enough = [], [], min(len(toxic), len(ordinary)) >= folds
-        for k in range(folds if enough else 0):
-            part = Dictionaries([t for i, t in enumerate(toxic) if i % folds != k], [t for i, t in enumerate(ordinary) if i % folds != k])
-            tools = part.compressors()
-            for label, texts in ((1, toxic), (0, ordinary)):
-                for t in texts[k::folds]:
-                    x.append(part.features(t, tools))
-                    y.append(label)
-        self.prior = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
-        self.fit = logistic(np.array(x), np.array(y)) if enough else None
-        self.dictionaries = Dictionaries(toxic, ordinary)
-
-    def score(self, text: str, tools: list[zs.ZstdCompressor]) -> float:
+    """Dictionaries, and the calibration of a whole text's features, which are taken by dictionaries of other folds for it."""
+
+    def __init__(self, texts: list[tuple[int, int, str]], folds: int = 3):
+        """Of (doc_id, label, text); calibrate() has to follow."""
+        two = lambda rows: ([t for _, y, t in rows if y], [t for _, y, t in rows if not y])
+        self.folds, enough = folds, min(map(len, two(texts))) >= folds
+        self.prior = (len(two(texts)[0]) + 0.5) / (len(texts) + 1)
+        self.fit: tuple | None = None
+        self.apart = [Dictionaries(*two([r for r in texts if fold_of(r[0], folds) != k])) for k in range(folds if enough else 0)]
+        self.dictionaries = Dictionaries(*two(texts)) if enough else None
+
+    def calibrate(self, features: list[list[float]], labels: list[int]) -> Model:
+        self.apart = []
+        if self.dictionaries and 0 < sum(labels) < len(labels):
+            self.fit = logistic(np.array(features), np.array(labels, float))
+        return self
+
+    def score(self, text: str, tools: list[Lengths]) -> float:
         if self.fit is None:
             return self.prior
         w, mean, dev = self.fit
@@ -131,40 +171,58 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, *, toxic_docs: int = 3000, ordinary_docs: int = 6000, fit_chars: int = 8000) -> Model:
-    """A model from a sample of at most about toxic_docs and ordinary_docs labelled texts of at most fit_chars.
+    """A model from a sample of at most about toxic_docs and ordinary_docs labelled texts of every length.
 
-    Longer texts are only left out of this sample; scores cover whole texts. Ids are drawn before any text
-    moves; the sample, bounded by these parameters, is all that reaches the driver.
+    Dictionaries are trained on the driver. Of a text of more than fit_chars they see sixteen slices of that length in
+    all, spread over it, so the parameters bound what reaches the driver. Calibration sees the whole texts where they
+    are: tasks tell their features under the dictionaries of the other folds.
     """
-    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.where(learn_from & (F.length("text") <= fit_chars)).select("doc_id").join(marked, "doc_id")
-    ids = saved(known)
-    ids = bounded_sample(ids.where("toxic = 1"), "toxic", toxic_docs).union(bounded_sample(ids.where("toxic = 0"), "toxic", ordinary_docs))
-    rows = docs.where(F.length("text") <= fit_chars).select("doc_id", "text").join(F.broadcast(saved(ids.dropDuplicates(["doc_id"]))), "doc_id").dropDuplicates(["doc_id", "text"]).toPandas().sort_values(["doc_id", "text"])
-    return Model(rows.loc[rows["toxic"] == 1, "text"].tolist(), rows.loc[rows["toxic"] == 0, "text"].tolist())
+    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("toxic"))
+    most = F.when(F.col("toxic") == 1, toxic_docs).otherwise(ordinary_docs)
+    rows = saved(drawn_rows(docs.where(learn_from & F.col("text").isNotNull()), "toxic", most, marked).select("doc_id", "toxic", "text"))
+    step, some = F.length("text") / 16, fit_chars // 16
+    slices = F.concat_ws(" ", *(F.substring("text", (step * k + 1).cast("int"), F.lit(some)) for k in range(16)))
+    told = rows.select("doc_id", "toxic", F.when(F.length("text") > fit_chars, slices).otherwise(F.col("text")).alias("text")).toPandas().sort_values(["doc_id", "text"])
+    model = Model([(int(i), int(y), t) for i, y, t in told.itertuples(index=False)])
+    if not model.apart:
+        return model.calibrate([], [])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = [d.compressors() for d in sent.value.apart]
+        for batch in batches:
+            ids, toxic, texts = (c.to_pylist() for c in batch.columns)
+            own = [fold_of(i, sent.value.folds) for i in ids]
+            found = [sent.value.apart[k].features(t, tools[k]) for k, t in zip(own, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "toxic", "features"])
+
+    told = rows.repartition(16).mapInArrow(features, "doc_id long, toxic int, features array<double>").toPandas()
+    told["key"] = told["features"].map(tuple)
+    told = told.sort_values(["doc_id", "key"])
+    return model.calibrate(told["features"].tolist(), told["toxic"].tolist())
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7, folds: int = 3, fold: int = 1, columns: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every whole text; no text is shuffled.
+    """(doc_id, held_out, score, predicted) of every whole text; no text is shuffled but those of the bounded sample.
 
     Labels (doc_id, toxic) are learned from rows whose crc32(doc_id as text) % folds is not fold. Scores use
-    the text alone. A null text is scored as an empty one. Rows with a null id are scored and never learned
-    from; ids repeated in labels count as toxic if any row says so. With fewer than three labels of
-    either kind to learn from the score is the share of toxic ones. An empty table gives an empty result. `columns` of docs are passed through.
+    the text alone. A null text is scored as an empty one and not learned from. Rows with a null id are scored and never
+    learned from; ids repeated in labels count as toxic if any row says so, texts that share an id are learned from each.
+    With fewer than three labels of either kind to learn from the score is the share of toxic ones. An empty table
+    gives an empty result. `columns` of docs are passed through, with _ before their names; others are ignored.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     told = docs.sparkSession.sparkContext.broadcast(learn(own, labels, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)))
+    passing, fields, passed = carried(docs, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = told.value
-        tools = model.dictionaries.compressors()
+        tools = model.dictionaries.compressors() if model.dictionaries else []
         for batch in batches:
             scores = [model.score(t or "", tools) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *batch.columns[2:]], ["doc_id", "score", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
 
-    names = [f"_{c}" for c in columns or []]
-    passed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in columns or []))
-    schema = ", ".join(["doc_id long, score double", *(f"`_{c}` {docs.schema[c].dataType.simpleString()}" for c in columns or [])])
-    out = passed.mapInArrow(run, schema)
+    rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"), *passing)
+    out = rows.mapInArrow(run, ", ".join(["doc_id long, score double", *fields]))
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
-    return out.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", predicted, *names)
+    return out.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", predicted, *passed)
