@@ -71,7 +71,7 @@ class Dictionaries:
 
     def __init__(self, toxic: list[str], ordinary: list[str], *, window: int = 96, size: int = 24576, own: int = 8192, folds: int = 3, passes: int = 4, most: int = 25_000):
         draw, self.window = random.Random(3), window
-        support = 3 if len(toxic) >= 150 else 2
+        support, folds = (3, folds) if len(toxic) >= 150 else (2, 3 * folds)  # few texts: smaller folds, so that each is told by most of them
         of = lambda texts, cut: list(dict.fromkeys(p for t in texts for p in cut(lowered(t))))
         some = lambda rows, n: rows if len(rows) <= n else draw.sample(rows, n)
         self.base = trained(some(of(ordinary, lambda t: windows(t, 128)), most), size, 200, 8)
@@ -103,7 +103,7 @@ class Dictionaries:
             told = [[(tools[fold(p)](p), p) for p in side] for side in (sides[0], ordinary)]
             cut = max(2, float(np.quantile([g for g, _ in told[1]], 0.99))) if told[1] else 2
             kept = [[p for g, p in side if g >= cut] for side in told]
-            if len(kept[0]) < 3 * folds:
+            if len(kept[0]) < 9:
                 return []
             sides = [kept[0], kept[1] + draw.sample(clean, min(len(clean), 3 * len(kept[0]) + 200))]
         a, b = (Counter(w for p in side for w in self._needed(p, tools[fold(p)])) for side in (sides[0], sides[1][: 2 * len(sides[0])]))
