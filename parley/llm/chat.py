@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 #: The template's control strings. A turn is what stands between the opening and the closing string of its role;
 #: a role without strings of its own is named in <<ROLE>> ... <</ROLE>> before its turn.
 TURNS = {"user": ("[INST]", "[/INST]"), "assistant": ("[OUT]", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -110,7 +112,7 @@ def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
     A null text is empty, a null role is the empty role, a null conversation is a conversation. Equal rows are
     turns of their own. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = turns.select(quoted(conv_id).cast("long").alias("conv_id"), quoted(turn).cast("long").alias("turn"), F.coalesce(quoted(role).cast("string"), F.lit("")).alias("role"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
@@ -142,11 +144,15 @@ def _batch(rows: list[tuple], fields: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
 
-def digest_windows(windows: DataFrame) -> DataFrame:
+def digest_windows(windows: DataFrame, *, dealt: bool = False) -> DataFrame:
     """Of each conversation what its formatted windows say, read back: turns once each, and all text under the loss mask.
 
-    The windows come straight from format_chats, or from a table of its output, and stream through in order.
+    A digest is sequential, so the windows of a conversation are dealt to one task, sorted, and stream through it. With
+    `dealt` they come straight from format_chats, which leaves them so, and are not dealt again. A conversation without
+    windows has no row; an empty table gives an empty result; other columns are ignored.
     """
+    windows = windows.select("conv_id", "window", "formatted", "n_repeated", "loss")
+    windows = windows if dealt else windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []

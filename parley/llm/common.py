@@ -103,9 +103,10 @@ def by_group(df: DataFrame, keys: list[str], found: Callable[[pa.Table], pa.Tabl
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """A column of lists of one length as a matrix."""
+    """A column of lists of one length as a matrix of its own type, single precision in double."""
     lists = column.combine_chunks()
     flat = lists.flatten().to_numpy(zero_copy_only=False)
+    flat = flat.astype(np.float64) if flat.dtype == np.float32 else flat
     return flat.reshape(len(lists), -1)
 
 

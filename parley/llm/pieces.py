@@ -10,7 +10,8 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import quoted
 
 SPACE = "\u2581"
 #: Text between blanks: a run of blanks belongs to what follows it.
@@ -48,7 +49,7 @@ class Vocabulary:
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.bytes: dict[int, int] = {}
-        self.unknown, self.normal, self.bpe, self.prefix, self.squeeze = 0, [], False, True, True
+        self.unknown, self.normal, self.own, self.bpe, self.prefix, self.squeeze = 0, [], [], False, True, True
         for field, value in _fields(raw):
             if field == 1:
                 piece, score, kind = "", 0.0, 1
@@ -62,8 +63,10 @@ class Vocabulary:
                 i = len(self.pieces)
                 self.pieces.append(piece)
                 self.scores.append(score)
-                if kind in (1, 4):
+                if kind == 1:
                     self.normal.append(i)
+                elif kind == 4:
+                    self.own.append(i)
                 elif kind == 2:
                     self.unknown = i
                 elif kind == 6:
@@ -87,7 +90,10 @@ class Encoder:
             self.found.add_word(v.pieces[i], (i, len(v.pieces[i])))
         self.found.make_automaton()
         self.ids = {v.pieces[i]: i for i in v.normal}
-        self.sizes = [len(p) for p in v.pieces]
+        #: user-defined pieces stand for themselves wherever they are, the longest first, and nothing is merged across them
+        self.own = {v.pieces[i]: i for i in v.own}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.own, key=len, reverse=True))) + ")") if self.own else None
+        self.sizes, self.many = [len(p) for p in v.pieces], len(v.pieces)
         self.single = {p for p in self.ids if len(p) == 1}
         #: no piece has a blank after its first other character, so chunks can be encoded apart
         self.apart = not any(SPACE in v.pieces[i].lstrip(SPACE) for i in v.normal)
@@ -100,8 +106,9 @@ class Encoder:
         self.parts: dict[int, tuple[int, int]] = {}
         self.worst = min((v.scores[i] for i in v.normal), default=0.0) - 10
         high = {i for b, i in v.bytes.items() if b > 127}
-        self.high = np.array([i in high for i in range(len(v.pieces))])
-        self.texts = [p.replace(SPACE, " ") for p in v.pieces]
+        self.high = np.array([i in high for i in range(len(v.pieces) + 1)])
+        #: the last stands for every id that is no piece
+        self.texts = [*(p.replace(SPACE, " ") for p in v.pieces), "\ufffd"]
         for b, i in v.bytes.items():
             self.texts[i] = chr(b)
 
@@ -112,7 +119,15 @@ class Encoder:
         return SPACE + text if self.v.prefix and text else text
 
     def encode(self, text: str) -> np.ndarray:
-        text, cache = self.normalised(text), self.cache
+        text = self.normalised(text)
+        if self.cut:
+            parts = self.cut.split(text)
+            return np.concatenate([np.array([self.own[p]], self.type) if k % 2 else self.between(p) for k, p in enumerate(parts)])
+        return self.between(text)
+
+    def between(self, text: str) -> np.ndarray:
+        """The ids of a normalised text without user-defined pieces."""
+        cache = self.cache
         if not self.apart:
             chunks = [text] if text else []
         elif text[:1] == SPACE and text[-1] != SPACE and SPACE * 2 not in text:
@@ -121,7 +136,7 @@ class Encoder:
         else:
             cache = self.others
             chunks = CHUNKS.findall(text)
-        got = [cache.get(c) for c in chunks]
+        got = list(map(cache.get, chunks))
         if None in got:
             before = SPACE if cache is self.cache and self.apart else ""
             for k, (c, ids) in enumerate(zip(chunks, got, strict=True)):
@@ -139,7 +154,7 @@ class Encoder:
             parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
             ids = b"".join([self.others.get(p) or self.kept(self.others, p, p) for p in parts])
         else:
-            ids = np.array(self.merged(text) if self.v.bpe else self.viterbi(text), self.type).tobytes()
+            ids = np.array(self.viterbi(text), self.type).tobytes()
         if len(text) <= 64:
             if len(cache) >= self.known:
                 cache.clear()
@@ -150,28 +165,51 @@ class Encoder:
         return [self.v.bytes[b] for b in text.encode("utf-8", "replace")] if self.v.bytes else [self.v.unknown]
 
     def viterbi(self, text: str) -> list[int]:
-        """Unigram models: the path of the best sum of scores, in one pass over the automaton's matches.
+        """The path of best score, in one pass over the automaton's matches.
+
+        The automaton's output links give all pieces that end at a place, longest first, and each relaxes the place's
+        best score by that of the place where it begins and its own (`step`). Where no piece ends, a character is an
+        unknown node of a score below all pieces'.
 
-        The automaton's output links give all pieces that end at a place, which relax its best score. Where no
-        piece ends, a character is an unknown node of a score below all pieces'.
+        A unigram model's piece scores its log probability. A BPE model's path scores minus the number of its borders
+        that merging would not leave between the two pieces there: merging's own path is the one path of score 0, and its
+        part up to any place is that of the text up to there, so one best score a place suffices for it too.
         """
-        n, scores = len(text), self.v.scores
+        n, bpe, single = len(text), self.v.bpe, self.single
         last, best, done = [-1] * (n + 1), [0.0] + [-1e18] * n, 0
-
-        def fill(to: int) -> None:
-            for k in range(done, to):
-                if best[k] + self.worst > best[k + 1] and text[k] not in self.single:
-                    best[k + 1], last[k + 1] = best[k] + self.worst, -1
-
+        alone = [] if single.issuperset(text) else [k for k, c in enumerate(text) if c not in single]
+        scores, step, at = self.v.scores, self.step, 0
         for end, (i, size) in self.found.iter(text):
-            fill(end)
-            done = end
-            score = best[end + 1 - size] + scores[i]
-            if score > best[end + 1]:
-                best[end + 1], last[end + 1] = score, i
-        fill(n)
+            to = end + 1
+            if bpe and not best[to]:
+                continue  # no path scores more than 0
+            while done < len(alone) and alone[done] < end:
+                self.alone(alone[done], last, best)
+                done += 1
+            at = to - size
+            score = best[at] + (step(last[at], i) if bpe else scores[i])
+            if score > best[to]:
+                best[to], last[to] = score, i
+        for k in alone[done:]:
+            self.alone(k, last, best)
         return self.path(text, last)
 
+    def alone(self, k: int, last: list[int], best: list[float]) -> None:
+        """Relaxes the place behind character k, which is no piece of its own."""
+        score = best[k] + (0.0 if self.v.bpe else self.worst)
+        if score > best[k + 1]:
+            best[k + 1], last[k + 1] = score, -1
+
+    def step(self, before: int, i: int) -> float:
+        """BPE models: 0 if merging leaves piece i behind the piece `before` as the two are, else -1."""
+        if before < 0:
+            return 0.0
+        if (fits := self.told.get(before * self.many + i)) is None:
+            if len(self.told) >= self.known:
+                self.told.clear()
+            fits = self.told[before * self.many + i] = 0.0 if self.joined(before, i) else -1.0
+        return fits
+
     def path(self, text: str, last: list[int]) -> list[int]:
         out, place = [], len(text)
         while place:
@@ -184,32 +222,6 @@ class Encoder:
                 out += reversed(self.unknown(text[place]))
         return out[::-1]
 
-    def merged(self, text: str) -> list[int]:
-        """BPE models: the one path that merging gives, in one pass over the automaton's matches.
-
-        Of the pieces that end at a place, the last piece of the place's encoding is the one that merging does
-        not part from, or join otherwise with, the last piece of the encoding before it (`joined`).
-        """
-        last = [-1] * (len(text) + 1)
-        if not self.single.issuperset(text):
-            for k, c in enumerate(text):
-                if c not in self.single:
-                    last[k + 1] = -2
-        told, many = self.told, len(self.sizes)
-        for end, (i, size) in self.found.iter(text):
-            if last[end + 1] == -1:
-                at = end + 1 - size
-                if at == 0 or (before := last[at]) == -2:
-                    last[end + 1] = i
-                elif before >= 0:
-                    if (fits := told.get(before * many + i)) is None:
-                        if len(told) >= self.known:
-                            told.clear()
-                        fits = told[before * many + i] = self.joined(before, i)
-                    if fits:
-                        last[end + 1] = i
-        return self.path(text, last)
-
     def halves(self, i: int) -> tuple[int, int]:
         """The two pieces that merging joins last to make piece i."""
         if i not in self.parts:
@@ -246,6 +258,8 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> str:
         v, texts = self.v, self.texts
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.many):
+            ids = np.where((ids < 0) | (ids >= self.many), self.many, ids)
         if len(ids) and self.high[ids].any():
             values, out, raw = {i: b for b, i in v.bytes.items()}, [], bytearray()
             for i in ids.tolist():
@@ -259,7 +273,7 @@ class Encoder:
             out.append(raw.decode("utf-8", "replace"))
             text = "".join(out)
         else:
-            text = "".join([texts[i] for i in ids.tolist()])
+            text = "".join(map(texts.__getitem__, ids.tolist()))
         return text[1:] if v.prefix and text.startswith(" ") else text
 
 
@@ -272,7 +286,7 @@ def encoder_of(raw: bytes) -> Encoder:
 def encode_texts(docs: DataFrame, model_file: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids, n_pieces, round_trip): piece ids of every whole text; no shuffle.
 
-    The ids are those of SentencePiece for the model file, unigram or BPE, with identity normalisation.
+    The ids are those of SentencePiece for the model file, unigram or BPE, with identity normalisation and user-defined pieces.
     round_trip: decoding gives the text again; it fails only for a text that has the blank mark U+2581 itself,
     or, with a model that squeezes blanks, several. A null text has null ids, an empty one none. Null and
     repeated ids are told as they are; an empty table gives an empty result. Other columns are ignored.
@@ -294,19 +308,20 @@ def encode_texts(docs: DataFrame, model_file: str, *, doc_id: str = "doc_id", te
                 lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in ids]))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([None if x is None else len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "round_trip"])
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
 
 def decode_ids(encoded: DataFrame, model_file: str, *, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(doc_id, text) of piece ids; null ids give a null text, ids outside the vocabulary fail the task."""
+    """(doc_id, text) of piece ids. Null ids give a null text, no ids an empty one; an id that is null or outside the vocabulary
+    gives U+FFFD. Null and repeated doc_ids are told as they are, an empty table gives an empty result, other columns are ignored."""
     with open(model_file, "rb") as f:
         told = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(told.value)
         for batch in batches:
-            texts = [None if x is None else encoder.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else encoder.decode(np.array([-1 if i is None else i for i in x], np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(ids).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

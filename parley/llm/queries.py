@@ -47,7 +47,7 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
-    return digest_windows(format_chats(turns.union(more)))
+    return digest_windows(format_chats(turns.union(more)), dealt=True)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,29 +3,41 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, components, in_blocks, matrix, saved
+from .common import by_group, components, in_blocks, matrix, quoted, saved
 
 
 def usable(vecs: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, DataFrame]:
     """A row (vec_id, embedding) per id, and of these the usable ones with their double norm.
 
-    Of rows that repeat an id the least vector counts. Vectors that are null, zero, of another length than
-    most, or hold null or non-finite components are not usable, nor are those with a null id.
+    Of rows that repeat an id the least vector counts. Vectors that are null, zero, or hold null or non-finite components
+    are not usable, nor are those with a null id, nor those of another length than most, which have no cosine with these.
+    Usable ones are divided by a power of two near their largest component: that changes no cosine, makes vectors that
+    differ by such a power equal, and keeps the norms of very large and very small ones finite and above 0.
     """
-    rows = saved(vecs.groupBy(F.col(vec_id).cast("long").alias("vec_id")).agg(F.min(F.col(embedding).cast("array<double>")).alias("embedding")))
+    rows = saved(vecs.select(quoted(vec_id).cast("long").alias("vec_id"), quoted(embedding).cast("array<double>").alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     most = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     good = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") == (most["n"] if most else 0))).where(F.forall("embedding", finite))
-    good = good.withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    return rows, good
+    good = good.withColumn("largest", F.array_max(F.transform("embedding", F.abs))).where("largest > 0")
+    half = F.pow(F.lit(2.0), F.floor(F.floor(F.log2("largest")) / 2))  # twice, for one power may be out of range
+    rest = F.pow(F.lit(2.0), F.floor(F.log2("largest")) - F.floor(F.floor(F.log2("largest")) / 2))
+    good = good.withColumn("embedding", F.transform("embedding", lambda x: x / half / rest)).drop("largest")
+    return rows, good.withColumn("norm", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)))
+
+
+def single(vecs: DataFrame, embedding: str) -> str:
+    """The type in which vectors can travel without loss."""
+    kind = vecs.select(quoted(embedding)).schema[0].dataType.simpleString()
+    return kind if kind == "array<float>" else "array<double>"
 
 
 def sample_of(good: DataFrame, rows: int) -> np.ndarray:
@@ -37,10 +49,14 @@ def sample_of(good: DataFrame, rows: int) -> np.ndarray:
 # Additive quantisation
 
 
+def code_type(codes: int) -> type:
+    return np.uint8 if codes <= 256 else np.uint16 if codes <= 65536 else np.uint32
+
+
 def encode(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
     """Codes of the rows of x: beam search over full-dimensional codebooks, each on what the ones before left."""
     m, k, _ = books.shape
-    out = np.empty((len(x), m), np.uint8 if k <= 256 else np.int32)
+    out = np.empty((len(x), m), code_type(k))
     sizes = (books**2).sum(axis=2)
     for at in range(0, len(x), 1024):
         rest = x[at : at + 1024, None, :]
@@ -110,8 +126,9 @@ def nearest(vecs: DataFrame, is_query: F.Column, *, k: int = 5, vec_id: str = "v
     empty table gives an empty result. Other columns are ignored.
     """
     spark = vecs.sparkSession
-    asked = vecs.where(is_query).select(F.col(vec_id).cast("long").alias("vec_id")).distinct()
-    _, good = usable(vecs.select(vec_id, embedding), vec_id, embedding)
+    kind = single(vecs, embedding)
+    asked = vecs.where(is_query).select(quoted(vec_id).cast("long").alias("vec_id")).distinct()
+    _, good = usable(vecs, vec_id, embedding)
     schema = "query_id long, vec_id long, score double"
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +137,7 @@ def nearest(vecs: DataFrame, is_query: F.Column, *, k: int = 5, vec_id: str = "v
                 x = matrix(pa.chunked_array([batch.column(1)])) + 0.0
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in x], pa.binary())], ["vec_id", "embedding", "norm", "same"])
 
-    members = saved(good.select("vec_id", "embedding", "norm").mapInArrow(digested, "vec_id long, embedding array<double>, norm double, same binary"))
+    members = saved(good.select("vec_id", F.col("embedding").cast(kind).alias("embedding"), "norm").mapInArrow(digested, f"vec_id long, embedding {kind}, norm double, same binary"))
     # of a class no query needs more than its k + 1 least ids, one of which may be its own
     first = members.select("vec_id", "same").withColumn("at", F.row_number().over(Window.partitionBy("same").orderBy("vec_id"))).where(F.col("at") <= k + 1)
     classes = saved(first.groupBy("same").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("same", F.col("ids")[0].alias("rep"), "ids"))
@@ -151,7 +168,7 @@ def nearest(vecs: DataFrame, is_query: F.Column, *, k: int = 5, vec_id: str = "v
                 x, norms, at = matrix(pa.chunked_array([batch.column(1)])), batch.column(2).to_numpy(), np.arange(batch.num_rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), pa.array(_cosines(x, norms, at, x, norms, at))], ["query_id", "vec_id", "score"])
 
-    index = saved(reps.mapInArrow(encoded, "vec_id long, embedding array<double>, norm double, code binary, decoded float, turned double, fuzz double"))
+    index = saved(reps.mapInArrow(encoded, f"vec_id long, embedding {kind}, norm double, code binary, decoded float, turned double, fuzz double"))
     asked = saved(members.select("vec_id", "same").join(asked, "vec_id").join(classes.select("same", "rep"), "same").select(F.col("vec_id").alias("query_id"), "rep"))
     queries = saved(reps.join(asked.select(F.col("rep").alias("vec_id")).distinct(), "vec_id").select("vec_id", "embedding", "norm"))
     parts = max(1, -(-queries.count() // query_rows))
@@ -206,7 +223,7 @@ def _search(told, asks, k: int, rerank: int, block_rows: int):
                 part = batch.slice(at, block_rows)
                 own = part.column(0).to_numpy()
                 rows, row_norms = matrix(pa.chunked_array([part.column(1)])), part.column(2).to_numpy()
-                code = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(len(own), -1)
+                code = np.frombuffer(b"".join(part.column(3).to_pylist()), code_type(c.shape[1])).reshape(len(own), -1)
                 shrink = 1 / part.column(4).to_numpy()
                 turned, fuzz = (part.column(j).to_numpy()[:, None] for j in (5, 6))
                 for i in range(0, len(ids), 128):  # lookup tables of a bounded block of queries
@@ -292,7 +309,8 @@ def near_vectors(vecs: DataFrame, *, cosine: float = 0.95, vec_id: str = "vec_id
     """(vec_id, n_links, component_id, kept): vectors linked by a cosine of at least `cosine`, in double precision.
 
     Equal vectors are one class, so copies are never compared. A forest fitted on a sample of at most fit_rows
-    vectors deals every class into a leaf or, near a cut, several leaves of each tree; within a leaf all pairs
+    vectors deals every class into a leaf or, near a cut, several leaves of each tree; leaves that are still large
+    are split again by trees of their own (split_leaves), at every size of the table. Within a leaf all pairs
     are compared, in blocks of block_rows where a leaf is larger (a tight group may hold a third of all rows),
     and only counts and a spanning forest leave the task. A pair that meets in several leaves counts in the
     one with the least number.
@@ -306,8 +324,8 @@ def near_vectors(vecs: DataFrame, *, cosine: float = 0.95, vec_id: str = "vec_id
     components link with nothing; rows with a null id give one such row with a null component. An empty table
     gives an empty result. Other columns are ignored.
     """
-    spark = vecs.sparkSession
-    rows, good = usable(vecs.select(vec_id, embedding), vec_id, embedding)
+    spark, kind = vecs.sparkSession, single(vecs, embedding)
+    rows, good = usable(vecs, vec_id, embedding)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,7 +336,7 @@ def near_vectors(vecs: DataFrame, *, cosine: float = 0.95, vec_id: str = "vec_id
     members = saved(good.select("vec_id", "embedding").mapInArrow(hashed, "vec_id long, same binary"))
     classes = saved(members.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     members = saved(members.join(classes, "same").select("vec_id", "rep", "n"))
-    reps = saved(good.join(classes.select(F.col("rep").alias("vec_id"), "n"), "vec_id").select("vec_id", "n", "embedding", "norm"))
+    reps = saved(good.join(classes.select(F.col("rep").alias("vec_id"), "n"), "vec_id").select("vec_id", "n", F.col("embedding").cast(kind).alias("embedding"), "norm"))
     sample = sample_of(reps, fit_rows)
     margin = spill * float(np.sqrt(2 * (1 - cosine) / sample.shape[1]))
     forest = spark.sparkContext.broadcast(Forest(sample, reps.count(), trees, leaf_rows, margin))
@@ -327,16 +345,15 @@ def near_vectors(vecs: DataFrame, *, cosine: float = 0.95, vec_id: str = "vec_id
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                x = matrix(pa.chunked_array([part.column(2)])) / part.column(3).to_numpy()[:, None]
-                row, leaf = forest.value.assign(x)
-                count = np.bincount(row, minlength=len(x))
-                ends = np.cumsum(count)
-                every = [leaf[e - c : e] for c, e in zip(count, ends, strict=True)]
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), part.column(3).take(at), pa.array([every[r] for r in row], pa.list_(pa.int32()))], ["leaf", "vec_id", "n", "embedding", "norm", "leaves"])
-
-    spread = saved(reps.mapInArrow(dealt, "leaf int, vec_id long, n long, embedding array<double>, norm double, leaves array<int>"))
-    pairs = in_blocks(spread, ["leaf"], "vec_id", block_rows)
+                row, leaf = forest.value.assign(matrix(pa.chunked_array([part.column(1)])) / part.column(2).to_numpy()[:, None])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(leaf, pa.int64()), pa.array(np.zeros(len(row), bool))], ["vec_id", "leaf", "last"])
+
+    first = saved(reps.select("vec_id", "embedding", "norm").mapInArrow(dealt, "vec_id long, leaf long, last boolean"))
+    leaves = split_leaves(first, reps, leaf_rows, margin, fit_rows // 4)
+    lists = saved(leaves.groupBy("vec_id").agg(F.sort_array(F.collect_set("leaf")).alias("leaves")))
+    # leaves and blocks are dealt by ids alone; each vector is joined to its places, and moves once with each
+    pairs = saved(in_blocks(lists.select("vec_id", F.explode("leaves").alias("leaf")), ["leaf"], "vec_id", block_rows))
+    pairs = pairs.join(saved(reps.join(lists, "vec_id")), "vec_id").select("leaf", "lo", "hi", "block", "vec_id", "n", "embedding", "norm", "leaves")
     linked = saved(by_group(pairs, ["leaf", "lo", "hi"], _linked(cosine), "vec_id long, label long, links long"))
     labels = components(linked.select(F.col("vec_id").alias("a"), F.col("label").alias("b")))
     counted = linked.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links"))
@@ -346,12 +363,64 @@ def near_vectors(vecs: DataFrame, *, cosine: float = 0.95, vec_id: str = "vec_id
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
+def split_leaves(leaves: DataFrame, vectors: DataFrame, leaf_rows: int, margin: float, fit_rows: int, part_rows: int = 8192) -> DataFrame:
+    """(vec_id, leaf) in which no leaf has more than four times leaf_rows rows, but for tight groups that no cut parts.
+
+    A forest fitted on a bounded sample has a bounded number of leaves, so those of a large table hold many rows. Each
+    such leaf gets a tree of its own, grown where a bounded sample of its rows is; its rows, dealt in parts of bounded
+    size with a copy of that small tree each, move into the tree's leaves. That is repeated until no leaf is too large; a
+    level divides leaves by some fit_rows / 32, so the number of levels is the logarithm of the table's size.
+    """
+    while True:
+        sizes = leaves.where("not last").groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 4 * leaf_rows)
+        sizes = saved(sizes)
+        if sizes.isEmpty():
+            return leaves.select("vec_id", "leaf")
+        own = saved(leaves.join(sizes, "leaf").join(vectors.select("vec_id", "embedding", "norm"), "vec_id").select("leaf", "size", "vec_id", "embedding", "norm"))
+        place = F.pmod(F.xxhash64("vec_id", "leaf", F.lit(31)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        trees = by_group(own.where(place < F.lit(float(fit_rows)) / F.col("size")), ["leaf"], _grown(leaf_rows, margin), "leaf long, tree binary")
+        parts = F.ceil(F.col("size") / part_rows).cast("int")
+        copies = trees.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast(own.schema["embedding"].dataType).alias("embedding"), F.lit(None).cast("double").alias("norm"), "tree")
+        rows = own.select("leaf", F.pmod(F.xxhash64("vec_id", F.lit(41)), parts).cast("int").alias("part"), "vec_id", "embedding", "norm", F.lit(None).cast("binary").alias("tree"))
+        moved = by_group(rows.union(copies), ["leaf", "part"], _moved, "vec_id long, leaf long, last boolean")
+        leaves = saved(leaves.join(sizes.select("leaf"), "leaf", "left_anti").select("vec_id", "leaf", "last").union(moved))
+
+
+def _grown(leaf_rows: int, margin: float):
+    def grow(rows: pa.Table) -> pa.Table:
+        """A tree for a leaf, of the sample of its rows."""
+        x, leaf = matrix(rows.column("embedding")) / rows.column("norm").to_numpy()[:, None], rows.column("leaf")[0].as_py()
+        order = np.argsort(rows.column("vec_id").to_numpy())
+        tree = Forest(x[order], rows.column("size")[0].as_py(), 1, leaf_rows, margin, seed=leaf % (1 << 63))
+        return pa.table({"leaf": pa.array([leaf], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    return grow
+
+
+def _moved(rows: pa.Table) -> pa.Table:
+    """The new leaves of a part of a leaf's rows, of which one is the tree; a tree of one leaf leaves them for good."""
+    is_row = rows.column("tree").is_null()
+    leaf = rows.column("leaf")[0].as_py()
+    told = rows.filter(pc.invert(is_row)).column("tree").to_pylist()
+    rows = rows.filter(is_row).combine_chunks()
+    ids = rows.column("vec_id").to_numpy()
+    tree = pickle.loads(told[0]) if told else None
+    if not len(ids) or tree is None or tree.leaves == 1:
+        return pa.table({"vec_id": pa.array(ids, pa.int64()), "leaf": pa.array(np.full(len(ids), leaf), pa.int64()), "last": pa.array(np.ones(len(ids), bool))})
+    row, new = tree.assign(matrix(rows.column("embedding")) / rows.column("norm").to_numpy()[:, None])
+    name = (np.uint64(leaf % 2**64) ^ np.uint64(0x9E3779B97F4A7C15)) + new.astype(np.uint64)
+    name = (name ^ (name >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    name = (name ^ (name >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return pa.table({"vec_id": pa.array(ids[row], pa.int64()), "leaf": pa.array((name ^ (name >> np.uint64(31))).view(np.int64)), "last": pa.array(np.zeros(len(row), bool))})
+
+
 def _linked(cosine: float):
     """Of a block pair of a leaf: each row's links that count here, and the least id of its component here."""
 
     def find(rows: pa.Table) -> pa.Table:
         leaf, lo, hi, block, ids, n = (rows.column(c).to_numpy() for c in ("leaf", "lo", "hi", "block", "vec_id", "n"))
-        x = matrix(rows.column("embedding")) / rows.column("norm").to_numpy()[:, None]
+        raw, norms = matrix(rows.column("embedding")), rows.column("norm").to_numpy()
+        x = raw / norms[:, None]
         lists = rows.column("leaves").combine_chunks()
         flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
         earlier = flat < leaf[0]
@@ -361,10 +430,14 @@ def _linked(cosine: float):
         near = np.zeros((len(ids), len(ids)), bool)
         for i in range(0, len(ids), 512):
             part = slice(i, i + 512)
-            near[part] = (x[part] @ x.T >= cosine) & (seen[part] @ seen.T == 0)
+            told = x[part] @ x.T
+            close = told >= cosine
+            # a product's last bits differ with its order, so pairs at the threshold are told by one formula
+            a, b = np.nonzero(np.abs(told - cosine) < 1e-12)
+            close[a, b] = _cosines(raw, norms, np.minimum(a + i, b), raw, norms, np.maximum(a + i, b)) >= cosine
+            near[part] = close & (seen[part] @ seen.T == 0)
         if lo[0] != hi[0]:
             near &= block[:, None] != block[None, :]
-        near |= near.T  # the product may differ in its last bit with the order
         np.fill_diagonal(near, False)
         links, own = near @ n, np.flatnonzero(near.any(axis=1))
         near, label = near[np.ix_(own, own)], ids[own].copy()

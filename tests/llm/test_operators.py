@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import chat, mixing, pieces, pii, queries, vectors
+from parley.llm import chat, cotraining, language, mixing, pieces, pii, queries, toxicity, vectors
 from parley.llm.common import table
 from parley.llm.cotraining import score_quality
 from parley.llm.language import identify
@@ -136,6 +136,37 @@ def test_near_vectors_equal_brute_force(spark):
     assert vectors.near_vectors(frame.where("false")).count() == 0
 
 
+def test_large_leaves_are_split_again(spark):
+    """A small sample for the forest leaves large leaves; trees of their own split them, and no link is lost."""
+    rnd = np.random.default_rng(6)
+    base = rnd.normal(size=(4000, 16))
+    x = np.concatenate([base, base[:500] + 0.05 * rnd.normal(size=(500, 16)), rnd.normal(size=16) + 0.01 * rnd.normal(size=(1500, 16))])
+    spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>").createOrReplaceTempView("leafy")
+    seen, old = [], vectors.in_blocks
+    vectors.in_blocks = lambda rows, *rest: (seen.append(rows.groupBy("leaf").count().agg(F.max("count"), F.count("*")).first()), old(rows, *rest))[1]
+    try:
+        got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.table("leafy"), leaf_rows=64, fit_rows=512, block_rows=512).collect()}
+    finally:
+        vectors.in_blocks = old
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = components(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near)), strict=True)])
+    found = sum(n for n, _ in got.values())
+    assert found >= 0.99 * near.sum() and all(n <= k for (n, _), k in zip((got[i] for i in range(len(x))), near.sum(axis=1), strict=True))
+    assert np.mean([got[i][1] == want[i] for i in range(len(x))]) > 0.99
+    assert seen[0][1] > 8 * 16  # more leaves than a forest of 512 sampled rows has
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-300, 1e-300]), (4, [1e308, 1e-300]), (5, [5e-324, 0.0]), (6, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, `a.b` array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(frame, embedding="a.b").collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 6: (3, 1), 4: (1, 4), 5: (1, 4)}
+    near = vectors.nearest(frame, F.col("vec_id") == 6, embedding="a.b", k=3, codes=300).collect()
+    assert sorted((r.vec_id, round(r.score, 12)) for r in near) == [(1, 1.0), (2, 1.0), (3, 1.0)]  # their last bits may differ
+
+
 def test_nearest_equals_brute_force(spark):
     frame = odd_vectors(spark)
     _, ids, cos = usable(frame)
@@ -240,6 +271,36 @@ def test_mix(spark):
     assert got.drop(columns="source").sort_values("doc_id", ignore_index=True).equals(again.sort_values("doc_id", ignore_index=True))
 
 
+def plain_tilt(sizes, target, most):
+    """The tilt whose rates min(most, exp(tilt * size)) make the target, by bisection."""
+    sizes = np.array([s for s in sizes if s], float)
+    low, high = -60.0, 60.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (np.minimum(most, np.exp(np.minimum(mid * sizes, 50))) * sizes).sum() < target else (low, mid)
+    return (low + high) / 2
+
+
+def test_mix_rates_are_those_of_the_dual(spark):
+    docs = table(spark, DIR, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")).alias("source"))
+    docs = docs.union(spark.createDataFrame([(10**6 + i, "w " * n, "a") for i, n in enumerate((1, 2, 900))] + [(10**7, None, "b")], "doc_id long, text string, source string"))
+    got = mixing.mix(docs).toPandas()
+    capped = 0
+    for (total, target), own in got.groupby(["source_size", "target"]):
+        rates = own.loc[own["size"] > 0, "rate"].to_numpy()
+        sizes = own.loc[own["size"] > 0, "size"].to_numpy()
+        if target >= 3 * total * (1 - 1e-12):
+            assert (rates == 3).all()
+            capped += 1
+            continue
+        assert math.isclose((rates * sizes).sum(), target, rel_tol=1e-9)  # the dual's gradient is 0
+        assert np.allclose(rates, np.minimum(3, np.exp(plain_tilt(sizes, target, 3) * sizes)), rtol=1e-7, atol=1e-9)
+        free = rates < 3 * (1 - 1e-9)
+        tilt = np.log(rates[free]) / sizes[free]  # one tilt a source: the conditions of the optimum
+        assert np.allclose(tilt, np.median(tilt), rtol=1e-6, atol=1e-9)
+    assert capped and (got["copies"] <= 3).all() and got.loc[got["doc_id"] == 10**7, "taken"].item() == 0
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -288,6 +349,13 @@ def test_chat_round_trip(spark):
     assert len(own) == chat.digest_windows(windows).count() and chat.format_chats(frame.where("false")).count() == 0
 
 
+def test_stored_windows_are_dealt_and_sorted(spark):
+    rows = [(c, t, "user" if t % 2 else "assistant", f"{c} {t} " + "w " * 30) for c in range(3) for t in range(60)]
+    windows = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=100, history=20)
+    want = sorted(map(tuple, chat.digest_windows(windows, dealt=True).collect()))
+    assert len(want) == 3 and sorted(map(tuple, chat.digest_windows(windows.repartition(4)).collect())) == want
+
+
 def test_chat_windows_keep_to_budget():
     turns = [("system", "be kind")] + [("user" if k % 2 else "assistant", "w " * 10) for k in range(30)]
     windows = list(chat.spans(turns, 50, 15))
@@ -311,6 +379,37 @@ def test_pieces_equal_sentencepiece(spark):
         assert e.encode(t).tolist() == sp.encode(t) and e.decode(e.encode(t)) == t
 
 
+def test_user_defined_pieces_stand_alone():
+    """A BPE vocabulary with pieces of its own: they are found longest first, and nothing is merged across them."""
+    v = pieces.Vocabulary(b"")
+    v.pieces, v.bpe, v.prefix, v.squeeze = ["<unk>", "a", "b", "ab", "aba", "<x>", "<x>y", "<", "x", ">", "y"], True, False, False
+    v.scores, v.normal, v.own = [0.0, -9, -9, -1, -2, 0, 0, -9, -9, -9, -9], [1, 2, 3, 4, 7, 8, 9, 10], [5, 6]
+    e = pieces.Encoder(v)
+    assert e.encode("ab<x>yaba<x>ab<x").tolist() == [3, 6, 4, 5, 3, 7, 8] and e.decode(e.encode("ab<x>yaba")) == "ab<x>yaba"
+    assert e.decode(np.array([3, 99, -1])) == "ab\ufffd\ufffd"
+
+
+def test_viterbi_of_bpe_breaks_no_merge():
+    """The pass's score of every path through a text is at most 0, and 0 for merging's own alone."""
+    v = pieces.Vocabulary(b"")
+    v.pieces, v.bpe, v.prefix, v.squeeze = ["<unk>", "a", "b", "c", "ab", "bc", "abc", "cab", "aa", "aaa"], True, False, False
+    v.scores, v.normal = [0.0, -50, -50, -50, -1, -2, -3, -4, -5, -6], list(range(1, 10))
+    e, rnd = pieces.Encoder(v), random.Random(4)
+
+    def plain(text):
+        words = list(text)
+        while True:
+            tries = [(-v.scores[v.pieces.index(words[k] + words[k + 1])], k) for k in range(len(words) - 1) if words[k] + words[k + 1] in e.ids]
+            if not tries:
+                return [e.ids.get(w, 0) for w in words]
+            k = min(tries)[1]
+            words[k : k + 2] = [words[k] + words[k + 1]]
+
+    for _ in range(500):
+        text = "".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 14)))
+        assert e.viterbi(text) == plain(text)
+
+
 def test_unigram_viterbi_finds_best_path():
     v = pieces.Vocabulary(b"")
     rnd = random.Random(3)
