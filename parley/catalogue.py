@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import funds, market, policy, provenance, valuation
+from .operators import funds, market, policy, provenance, settlement, valuation
 from .plans.dialect import Duck, runs
 from .streaming import payments
 
-DEFINITIONS = valuation.DEFINITIONS | policy.DEFINITIONS | market.DEFINITIONS | provenance.DEFINITIONS | funds.DEFINITIONS
+DEFINITIONS = valuation.DEFINITIONS | policy.DEFINITIONS | market.DEFINITIONS | provenance.DEFINITIONS | funds.DEFINITIONS | settlement.DEFINITIONS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: runs(f) for k, f in DEFINITIONS.items()} | market.NATIVE | payments.STREAMS
+    return {k: runs(f) for k, f in DEFINITIONS.items()} | payments.STREAMS
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,7 +1,7 @@
 """Balances, ledgers, candidates, submissions, reconciliation and the payment state machine."""
 
 from ..plans.dialect import Duck, Spark
-from ..plans.fixtures import payment_events, payments
+from ..plans.fixtures import payment_events, payments, sales
 
 AS_OF = "TIMESTAMP '2000-01-01 00:00:00'"
 MONEY = "CAST(coalesce(sum(CASE WHEN {c} THEN cents END), 0) AS BIGINT)"
@@ -43,17 +43,20 @@ def keyset_page(e: Duck) -> str:
 
 
 def settlement_candidates(e: Duck) -> str:
-    """Passed records that no live allocation holds: two anti-joins, where one with OR would compare all rows."""
-    return f"""WITH {payments(e)}, qa AS (SELECT l_orderkey * 10 + l_linenumber AS qa_id, l_partkey AS record_id FROM {e.table('lineitem')} WHERE l_linenumber % 2 = 1),
-        live AS (SELECT allocation_id, record_id FROM allocations WHERE status NOT IN ('cancelled', 'reversed') AND allocation_id % 211 = 0)
+    """Passed results that no live allocation holds, by themselves or by their record: two anti-joins, where one with OR would
+    compare all rows. A line is a result; it is passed if it was not returned, and allocations are those of shipped lines."""
+    return f"""WITH {payments(e)}, qa AS (SELECT l_orderkey * 10 + l_linenumber AS qa_id, l_partkey * 100000 + l_suppkey AS record_id FROM {e.table('lineitem')} WHERE l_returnflag <> 'R'),
+        live AS (SELECT a.allocation_id, a.record_id * 100000 + a.user_id AS record_id FROM allocations a WHERE a.status NOT IN ('cancelled', 'reversed'))
         SELECT qa_id, record_id FROM qa WHERE NOT EXISTS (SELECT 1 FROM live WHERE live.allocation_id = qa.qa_id) AND NOT EXISTS (SELECT 1 FROM live WHERE live.record_id = qa.record_id)"""
 
 
 def submission_status(e: Duck) -> str:
-    """One state per record: its newest allocation that is not cancelled, else what its checks allow."""
-    return f"""WITH {payments(e)}, ranked AS (SELECT record_id, status, row_number() OVER (PARTITION BY record_id ORDER BY CASE WHEN status = 'cancelled' THEN 1 ELSE 0 END, created DESC, allocation_id) AS k FROM allocations WHERE allocation_id % 5 = 0),
+    """One state per record: its newest allocation that is not cancelled, else what its checks allow. Lines of returned goods are
+    checks without allocation, so that parts are in every state."""
+    return f"""WITH {payments(e)}, sold AS (SELECT a.allocation_id, a.record_id, a.status, a.created FROM allocations a JOIN {e.table('lineitem')} l ON l.l_orderkey = a.payment_id AND l.l_orderkey * 10 + l.l_linenumber = a.allocation_id WHERE l.l_returnflag = 'N' AND l.l_quantity > 45),
+        ranked AS (SELECT record_id, status, row_number() OVER (PARTITION BY record_id ORDER BY CASE WHEN status = 'cancelled' THEN 1 ELSE 0 END, created DESC, allocation_id) AS k FROM sold),
         qa AS (SELECT l_partkey AS record_id, max(CASE WHEN l_quantity > 10 THEN 1 ELSE 0 END) AS passed, max(CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END) AS ready FROM {e.table('lineitem')} WHERE l_returnflag = 'A' GROUP BY l_partkey)
-        SELECT p.p_partkey AS record_id, CASE WHEN p.p_partkey % 41 = 0 THEN 'withdrawn' WHEN k.status IS NOT NULL THEN k.status WHEN qa.ready = 1 THEN 'awaiting_acceptance' WHEN qa.passed = 1 THEN 'awaiting_eligible_brief'
+        SELECT p.p_partkey AS record_id, CASE WHEN p.p_size < 2 THEN 'withdrawn' WHEN k.status IS NOT NULL THEN k.status WHEN qa.ready = 1 THEN 'awaiting_acceptance' WHEN qa.passed = 1 THEN 'awaiting_eligible_brief'
             WHEN qa.record_id IS NOT NULL THEN 'quality_not_passed' ELSE 'awaiting_matching' END AS status
         FROM {e.table('part')} p LEFT JOIN ranked k ON k.record_id = p.p_partkey AND k.k = 1 LEFT JOIN qa ON qa.record_id = p.p_partkey"""
 
@@ -79,8 +82,9 @@ def expiry_sweep(e: Duck) -> str:
 
 
 def submission_readiness(e: Duck) -> str:
-    return f"""WITH {payments(e)} SELECT a.allocation_id, CASE WHEN a.cents < 1 THEN 'No payable valuation' WHEN NOT p.has_intent OR p.status <> 'paid' THEN 'Waiting for verified buyer funding'
-        WHEN p.created < {AS_OF} THEN 'Matched brief has expired' ELSE 'ready' END AS reason FROM allocations a JOIN payments p ON p.payment_id = a.payment_id"""
+    """Why an allocation's sale would not go through now: the first reason, in the order that they are asked."""
+    return f"""WITH {payments(e)}, {sales(e)} SELECT a.allocation_id, CASE WHEN a.cents < 1 THEN 'No payable valuation' WHEN NOT p.has_intent OR p.status <> 'paid' OR NOT b.escrow THEN 'Waiting for verified buyer funding'
+        WHEN b.expires <= {AS_OF} THEN 'Matched brief has expired' WHEN b.brief_status <> 'live' THEN 'Matched brief is not active' ELSE 'ready' END AS reason FROM allocations a JOIN payments p ON p.payment_id = a.payment_id JOIN brief_of b ON b.payment_id = a.payment_id"""
 
 
 def allocation_transitions(e: Duck) -> str:

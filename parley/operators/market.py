@@ -1,14 +1,20 @@
-"""Briefs, keywords, the quality gate, and duplicates across contributors."""
+"""Briefs, keywords, the quality gate on bundles, and duplicates across contributors."""
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import combinations
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..plans.dialect import Duck, Spark
-from ..plans.fixtures import briefs
+from ..plans.fixtures import BRIEFS, briefs, contributions
 
 AS_OF = "2026-01-01"
-#: Buyer categories.
-CATEGORIES = ("general", "research", "model_training", "evaluation", "safety")
+#: Buyer categories and their names.
+CATEGORIES = {"general": "General", "research": "Research", "model_training": "Model training", "evaluation": "Evaluation", "safety": "Safety"}
+#: Jurisdictions that are confirmed; share of prompts that must collide; bits in which near sketches may differ.
+CONFIRMED, DUPLICATE_SHARE, NEAR_BITS = ("US", "CA"), 0.5, 3
+SCHEDULE = "0.1"
 
 
 def keyword(e: Duck, text: str, column: str) -> str:
@@ -21,87 +27,230 @@ def keyword(e: Duck, text: str, column: str) -> str:
     return f"(trim({column}) <> '' AND {e.like(text, f'''concat({q}'{fold}(?:^|{edge})', {escaped}, {q}'(?:$|{edge})')''')})"
 
 
+def phrases() -> list[str]:
+    """The distinct keywords of all briefs, of which texts are asked once each; a blank one is never there."""
+    return sorted({k for b in BRIEFS for part in ("kw_any", "kw_all", "kw_none") for k in b[part] if k.strip()})
+
+
+def keywords_in(e: Duck, text: str) -> str:
+    """Those of the briefs' keywords that the text has: case-insensitive, between characters that are no letters or digits."""
+    special = set(".*+?^${}()|[]\\")
+    edge = r"[^\p{L}\p{N}]"
+    escaped = {k: r"\s+".join("".join(f"\\{c}" if c in special else c for c in word) for word in k.split()) for k in phrases()}
+    there = {k: e.matches(text, f"(?i)(?:^|{edge})(?:{p})(?:$|{edge})") for k, p in escaped.items()}
+    if type(e) is Spark:
+        there = {k: x.replace("(?i)", "(?iu)") for k, x in there.items()}
+    return e.those(e.items([f"CASE WHEN {x} THEN {e.text(k)} END" for k, x in there.items()]), "k", "k IS NOT NULL")
+
+
+def asked(e: Duck, found: str) -> dict[str, str]:
+    """Whether a brief's keywords any, all and none are met; an empty list is."""
+    return {
+        "any_hit": f"({e.size('b.kw_any')} = 0 OR {e.overlap('b.kw_any', found)})",
+        "all_hit": f"({e.size(e.less('b.kw_all', found))} = 0)",
+        "none_hit": f"NOT {e.overlap('b.kw_none', found)}",
+    }
+
+
 def keyword_any_all_none(e: Duck) -> str:
-    return f"WITH {briefs(e)} SELECT doc_id, brief_ref, (kw_any = '' OR {keyword(e, 'text', 'kw_any')}) AS any_hit, (kw_all = '' OR {keyword(e, 'text', 'kw_all')}) AS all_hit, NOT {keyword(e, 'text', 'kw_none')} AS none_hit FROM {e.table('documents')} CROSS JOIN briefs"
+    hits = ", ".join(f"{x} AS {k}" for k, x in asked(e, "d.found").items())
+    return f"""WITH {briefs(e)}, reached AS (SELECT brief_ref, kw_any, kw_all, kw_none, {e.each("reach")} AS lang FROM briefs),
+        d AS (SELECT doc_id, lang, {e.made({"found": keywords_in(e, "text")})} FROM {e.table("documents")} WHERE text IS NOT NULL)
+        SELECT d.doc_id, b.brief_ref, {hits} FROM d JOIN reached b ON b.lang = d.lang"""
 
 
 def live() -> str:
     return f"status = 'live' AND escrow AND expires > '{AS_OF}' AND category IN ({', '.join(repr(c) for c in CATEGORIES)})"
 
 
+def paid(e: Duck) -> str:
+    """payments_of(brief_ref, payment_status, has_intent): the payment of each brief, as the order of its number says."""
+    number = f"CAST(substr(brief_ref, 2) AS BIGINT)"
+    return f"payments_of AS (SELECT b.brief_ref, CASE WHEN o.o_orderstatus = 'P' THEN 'pending' ELSE 'paid' END AS payment_status, o.o_totalprice > 50000 AS has_intent FROM briefs b JOIN {e.table('orders')} o ON o.o_orderkey = {number})"
+
+
 def pushable_briefs(e: Duck) -> str:
-    return f"WITH {briefs(e)} SELECT brief_ref, category, min_prompts FROM briefs WHERE {live()}"
+    """What a device is sent of live briefs whose payment is verified: reference, category, what is asked for, density, in order."""
+    words = ", ".join(f"{e.join(c, '|')} AS {c}" for c in ("languages", "domains", "kw_any", "kw_all", "kw_none"))
+    return f"""WITH {briefs(e)}, {paid(e)} SELECT b.brief_ref, b.category, b.min_prompts, b.density, {words} FROM briefs b JOIN payments_of p ON p.brief_ref = b.brief_ref
+        WHERE {live().replace("status =", "b.status =")} AND p.payment_status = 'paid' AND p.has_intent ORDER BY b.brief_ref"""
+
+
+def match_eligibility(e: Duck) -> str:
+    """Of each contributor's reported matches those that are let in: to a brief that is live, in escrow, paid and not expired."""
+    return f"""WITH {briefs(e)}, {paid(e)}, {contributions(e)} SELECT m.user_id, count(*) AS reported, count(o.brief_ref) AS accepted FROM matches m
+        LEFT JOIN (SELECT b.brief_ref FROM briefs b JOIN payments_of p ON p.brief_ref = b.brief_ref WHERE {live().replace("status =", "b.status =")} AND p.payment_status = 'paid' AND p.has_intent) o ON o.brief_ref = m.brief_ref GROUP BY m.user_id"""
 
 
 def brief_transitions(e: Duck) -> str:
     return f"WITH {briefs(e)} SELECT brief_ref, CASE WHEN status NOT IN ('draft', 'paused', 'live') THEN 'closed' WHEN escrow AND expires > '{AS_OF}' THEN 'may_go_live' ELSE 'blocked' END AS verdict FROM briefs"
 
 
+def category_names(e: Duck) -> str:
+    """Each brief's category in the list of buyer categories, null where it is none of these."""
+    rows = e.rows("t", ["id", "label"], [f"({e.text(k)}, {e.text(v)})" for k, v in CATEGORIES.items()])
+    return f"WITH {briefs(e)} SELECT b.brief_ref, b.category, c.label, c.id IS NOT NULL AS known FROM briefs b LEFT JOIN {rows} c ON c.id = b.category"
+
+
+def briefs_of_buyer(e: Duck) -> str:
+    """The newest hundred briefs of one buyer, who sees no others', with how many matches each has."""
+    return f"""WITH {briefs(e)}, {contributions(e)} SELECT b.brief_ref, b.status, count(m.doc_id) AS matches FROM briefs b LEFT JOIN matches m ON m.brief_ref = b.brief_ref
+        WHERE b.category IN ('general', 'model_training') GROUP BY b.brief_ref, b.status ORDER BY b.brief_ref DESC LIMIT 100"""
+
+
 def domain_language_filter(e: Duck) -> str:
-    return f"WITH {briefs(e)} SELECT doc_id, brief_ref FROM {e.table('documents')} d JOIN briefs b ON (b.lang = '' OR b.lang = d.lang) AND (b.domain = '' OR b.domain = d.source)"
+    """Matches whose bundle is in a language and has a tag that the brief asks for; an empty list asks for none."""
+    return f"""WITH {briefs(e)}, {contributions(e)} SELECT m.doc_id, m.brief_ref FROM matches m JOIN briefs b ON b.brief_ref = m.brief_ref JOIN bundles d ON d.doc_id = m.doc_id
+        WHERE ({e.size("b.languages")} = 0 OR {e.overlap("b.languages", e.items(["d.language"]))}) AND ({e.size("b.domains")} = 0 OR {e.overlap("d.tags", "b.domains")})"""
+
+
+#: Three of six blocks of a sketch's bits, (high half, low half): sketches within three bits agree in one of the twenty.
+BLOCKS = [(0x7FF << 21, 0), (0x7FF << 10, 0), (0x3FF, 0), (0, 0x7FF << 21), (0, 0x7FF << 10), (0, 0x3FF)]
+MASKS = [(a[0] | b[0] | c[0], a[1] | b[1] | c[1]) for a, b, c in combinations(BLOCKS, 3)]
+
+
+def sketches(e: Duck, texts: str) -> str:
+    """sims(exact, hi, lo): the SimHash of each text of a relation (exact, text), in two halves: each bit as most of its
+    distinct words' hashes have it. Two counts of 32 bits go into each sum, and sums are partial before they are shuffled."""
+    half = {h: e.hex32(f"substr(word_hash, {at}, 8)") for h, at in (("hi", 1), ("lo", 9))}
+    sums = ", ".join(f"CAST(sum(((hi >> {j}) & 1) * 4294967296 + ((lo >> {j}) & 1)) AS BIGINT) AS s{j}" for j in range(32))
+    bit = lambda part: " + ".join(f"CASE WHEN 2 * ({part.format(s=f's{j}')}) > n THEN {1 << j} ELSE 0 END" for j in range(32))
+    words = e.where(e.split("lower(text)", r"\s+"), "x <> ''")
+    return f"""tokens AS (SELECT exact, md5(word) AS word_hash FROM (SELECT exact, {e.each(e.distinct(words))} AS word FROM {texts}) w),
+        halves AS (SELECT exact, {half["hi"]} AS hi, {half["lo"]} AS lo FROM tokens),
+        weighed AS (SELECT exact, count(*) AS n, {sums} FROM halves GROUP BY exact),
+        sims AS (SELECT exact, CAST({bit(e.div("{s}", "4294967296"))} AS BIGINT) AS hi, CAST({bit("{s} % 4294967296")} AS BIGINT) AS lo FROM weighed)"""
+
+
+def near(e: Duck) -> str:
+    """nears(user_id, exact): prompts that nobody else had first, but another contributor one like it. Equal sketches are one class
+    with its two first contributors; classes meet where they agree in three of six blocks, so buckets stay small at any size."""
+    apart = f"bit_count({e.xor('a.hi', 'b.hi')}) + bit_count({e.xor('a.lo', 'b.lo')}) <= {NEAR_BITS}"
+    once = f"texts AS (SELECT {e.sha('lower(trim(prompt))')} AS exact, min(lower(trim(prompt))) AS text FROM lines GROUP BY {e.sha('lower(trim(prompt))')})"
+    known = f"{once}, {sketches(e, 'texts')}, sketched AS (SELECT p.user_id, p.exact, p.first_at, p.taken, s.hi, s.lo FROM exacts p JOIN sims s ON s.exact = p.exact)"
+    if type(e) is Duck:  # every pair
+        return f"{known}, nears AS (SELECT DISTINCT b.user_id, b.exact FROM sketched a JOIN sketched b ON a.user_id <> b.user_id AND a.first_at <= b.first_at AND {apart} WHERE NOT b.taken)"
+    masks = "array(" + ", ".join(f"named_struct('h', {h}L, 'l', {lo}L)" for h, lo in MASKS) + ")"
+    return f"""{known}, ranks AS (SELECT hi, lo, user_id, first_at, row_number() OVER (PARTITION BY hi, lo ORDER BY first_at, user_id) AS k FROM (SELECT hi, lo, user_id, min(first_at) AS first_at FROM sketched GROUP BY hi, lo, user_id) u),
+        classes AS (SELECT hi, lo, min(first_at) AS at, min(CASE WHEN k = 1 THEN user_id END) AS by_user, min(CASE WHEN k = 2 THEN first_at END) AS next_at FROM ranks WHERE k <= 2 GROUP BY hi, lo),
+        keyed AS (SELECT hi, lo, at, by_user, next_at, inline(transform({masks}, (m, i) -> named_struct('mask', i, 'kh', hi & m.h, 'kl', lo & m.l))) FROM classes),
+        close AS (SELECT DISTINCT b.hi, b.lo, a.at, a.by_user, a.next_at FROM keyed a JOIN keyed b ON a.mask = b.mask AND a.kh = b.kh AND a.kl = b.kl AND {apart}),
+        nears AS (SELECT DISTINCT p.user_id, p.exact FROM sketched p JOIN close c ON c.hi = p.hi AND c.lo = p.lo WHERE NOT p.taken AND CASE WHEN c.by_user <> p.user_id THEN c.at ELSE c.next_at END <= p.first_at)"""
 
 
-def gate_codes(e: Duck) -> str:
-    """All codes that a document fails for a brief, in fixed order, joined."""
-    codes = [
-        ("BRIEF_NOT_LIVE", f"NOT ({live()})"), ("NOT_PACKAGED", "doc_id % 13 = 0"), ("NO_CONSENT", "doc_id % 17 = 0"),
-        ("CONSENT_REVOKED", "doc_id % 17 <> 0 AND doc_id % 19 = 0"), ("CATEGORY_NOT_CONSENTED", "doc_id % 17 <> 0 AND category = 'research' AND doc_id % 2 = 0"),
-        ("JURISDICTION", "doc_id % 17 <> 0 AND doc_id % 23 = 0"), ("LANGUAGE", "b.lang <> '' AND b.lang <> d.lang"), ("DOMAIN", "b.domain <> '' AND b.domain <> d.source"),
-        ("MIN_PROMPTS", "min_prompts > 1 AND n_chars < 1000"), ("REDACTION_DENSITY", "doc_id % 29 = 0"), ("KEYWORDS_ANY", f"kw_any <> '' AND NOT {keyword(e, 'text', 'kw_any')}"),
-        ("KEYWORDS_ALL", f"kw_all <> '' AND NOT {keyword(e, 'text', 'kw_all')}"), ("KEYWORDS_NONE", keyword(e, "text", "kw_none")), ("DUPLICATE", "guarantee <> 'none' AND doc_id % 31 = 0"),
-    ]
-    return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in codes) + ")"
+def near_dups_simhash(e: Duck) -> str:
+    """Prompts that are another contributor's but for some words: sketches of 64 bits that differ in three at the most."""
+    return f"WITH {e.steps(printed(e))}, {near(e)} SELECT user_id, exact FROM nears"
 
 
-def qa_gate(e: Duck) -> str:
-    return f"WITH {briefs(e)} SELECT doc_id, brief_ref, {gate_codes(e)} AS failures FROM {e.table('documents')} d CROSS JOIN briefs b"
+def simhash_of_documents(e: Duck) -> str:
+    return f"WITH whole AS (SELECT {e.sha('text')} AS exact, min(text) AS text FROM {e.table('documents')} WHERE text IS NOT NULL GROUP BY {e.sha('text')}), {sketches(e, 'whole')} SELECT exact, hi, lo FROM sims"
 
 
-def qa_failure_histogram(e: Duck) -> str:
-    one = e.each("split(failures, ',')" if type(e) is Spark else "string_split(failures, ',')")
-    return f"SELECT code, count(*) AS n FROM (SELECT {one} AS code FROM ({qa_gate(e)}) g) c GROUP BY code"
+def hamming_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of rows (doc_id, source, sim) of different sources within NEAR_BITS bits. Distinct sketches meet where they agree in
+    three of six blocks of bits, each pair once."""
+    halves = rows.select("sim").distinct().select("sim", F.shiftrightunsigned("sim", 32).alias("hi"), F.col("sim").bitwiseAND(0xFFFFFFFF).alias("lo"))
+    masks = F.array(*(F.struct(F.lit(k).alias("mask"), F.col("hi").bitwiseAND(h).alias("kh"), F.col("lo").bitwiseAND(lo).alias("kl")) for k, (h, lo) in enumerate(MASKS)))
+    keyed = halves.select("sim", F.inline(masks))
+    a, b = (keyed.withColumnRenamed("sim", f"sim_{x}") for x in "ab")
+    close = a.join(b, ["mask", "kh", "kl"]).where(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= NEAR_BITS).select("sim_a", "sim_b").distinct()
+    a, b = (rows.select(*(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "source", "sim"))) for x in "ab")
+    return close.join(a, "sim_a").join(b, "sim_b").where("source_a <> source_b AND doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+
+
+IDENTIFIER = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
 def prints(e: Duck) -> str:
-    """prints(doc_id, source, exact, sim): the first arrival of each text of a contributor, with a 64-bit sketch by key."""
-    return f"""prints AS (SELECT min(doc_id) AS doc_id, source, {e.sha('lower(trim(text))')} AS exact FROM {e.table('documents')} GROUP BY source, {e.sha('lower(trim(text))')}),
-        sims AS (SELECT doc_id, source, exact, {e.xor(f"CAST({e.div('doc_id', '3')} AS BIGINT) * 2654435761 % 4611686018427387", "CAST(CASE doc_id % 3 WHEN 1 THEN 5 WHEN 2 THEN 1023 ELSE 0 END AS BIGINT)")} AS sim FROM prints)"""
+    """prints(user_id, exact, first_at): the first arrival of each prompt from a contributor; own(doc_id, user_id, exact): a bundle's."""
+    return f"""lines AS (SELECT doc_id, user_id, {e.each("prompts")} AS prompt FROM bundles), own AS (SELECT DISTINCT doc_id, user_id, {e.sha("lower(trim(prompt))")} AS exact FROM lines),
+        prints AS (SELECT user_id, exact, min(doc_id) AS first_at FROM own GROUP BY user_id, exact),
+        firsts AS (SELECT exact, user_id, first_at, row_number() OVER (PARTITION BY exact ORDER BY first_at, user_id) AS k FROM prints),
+        earliest AS (SELECT exact, min(first_at) AS at, min(CASE WHEN k = 1 THEN user_id END) AS by_user, min(CASE WHEN k = 2 THEN first_at END) AS next_at FROM firsts WHERE k <= 2 GROUP BY exact),
+        exacts AS (SELECT p.user_id, p.exact, p.first_at, CASE WHEN e.by_user <> p.user_id THEN e.at ELSE e.next_at END <= p.first_at AS taken FROM prints p JOIN earliest e ON e.exact = p.exact)"""
+
+
+def printed(e: Duck) -> list[tuple[list[str], str]]:
+    return [(["bundles", "receipts", "matches", "briefs"], f"{briefs(e)}, {contributions(e)}"), (["lines", "own", "exacts"], prints(e))]
+
+
+def judged(e: Duck) -> list[tuple[list[str], str]]:
+    """verdicts(doc_id, own, exact, near): a bundle's distinct prompts, those that another contributor had first, and those that are
+    near one that another had first."""
+    told = """verdicts AS (SELECT o.doc_id, count(*) AS own, CAST(sum(CASE WHEN x.taken THEN 1 ELSE 0 END) AS BIGINT) AS exact, CAST(sum(CASE WHEN n.exact IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS near
+        FROM own o JOIN exacts x ON x.user_id = o.user_id AND x.exact = o.exact LEFT JOIN nears n ON n.user_id = o.user_id AND n.exact = o.exact GROUP BY o.doc_id)"""
+    return [*printed(e), (["verdicts"], f"{near(e)}, {told}")]
 
 
 def exact_dups_cross_source(e: Duck) -> str:
-    return f"WITH {prints(e)} SELECT a.doc_id, a.source FROM prints a WHERE EXISTS (SELECT 1 FROM prints b WHERE b.exact = a.exact AND b.source <> a.source AND b.doc_id <= a.doc_id)"
+    """A contributor's prompts that another contributor had first, or at the same time. The two first arrivals of a text decide,
+    so no text's arrivals meet each other."""
+    return f"WITH {e.steps(printed(e))} SELECT user_id, exact, first_at FROM exacts WHERE taken"
 
 
-def near_dups_simhash(e: Duck) -> str:
-    """The comparison's own form: every pair. Spark runs near_pairs instead."""
-    return f"WITH {prints(e)} SELECT b.doc_id, min(a.doc_id) AS earlier, count(*) AS n FROM sims a JOIN sims b ON a.source <> b.source AND a.doc_id < b.doc_id AND bit_count({e.xor('a.sim', 'b.sim')}) <= 3 GROUP BY b.doc_id"
+def gate_rows(e: Duck) -> str:
+    """gate: each match with its bundle, receipt, duplicate verdict and all codes that it fails, in fixed order, joined.
 
+    A bundle that is sold is not asked again. One that is not packaged has no prompts, and with no receipt the consent codes
+    after the first are not asked."""
+    masked = e.sub("d.whole", IDENTIFIER, "' [EMAIL] '")
+    tokens = e.where(e.split("d.masked", r"\s+"), "x <> ''")
+    marks = e.where(tokens, e.matches("x", r"\A\[[A-Z_0-9]+\]\z"))
+    hit = asked(e, "d.found")
+    there = "r.doc_id IS NOT NULL"
+    codes = [
+        ("QA_BRIEF_NOT_LIVE", f"NOT (b.status = 'live' AND b.escrow AND b.expires > '{AS_OF}')"), ("QA_NOT_PACKAGED", "d.doc_id IS NULL"), ("QA_NO_CONSENT", "r.doc_id IS NULL"), ("QA_CONSENT_REVOKED", f"{there} AND r.revoked"),
+        ("QA_CATEGORY_NOT_CONSENTED", f"{there} AND NOT {e.overlap('r.categories', e.items(['b.category']))}"), ("QA_JURISDICTION", f"{there} AND r.jurisdiction NOT IN {e.any_of(list(CONFIRMED))}"),
+        ("QA_LANGUAGE", f"{e.size('b.languages')} > 0 AND NOT {e.overlap('b.languages', e.items(['coalesce(d.language, ' + repr('und') + ')']))}"),
+        ("QA_DOMAIN", f"{e.size('b.domains')} > 0 AND NOT coalesce({e.overlap('d.tags', 'b.domains')}, false)"), ("QA_MIN_PROMPTS", "coalesce(d.n_prompts, 0) < b.min_prompts"),
+        ("QA_REDACTION_DENSITY", "coalesce(d.density, 1.0) > b.density"), ("QA_KEYWORDS_ANY", f"NOT coalesce({hit['any_hit']}, {e.size('b.kw_any')} = 0)"), ("QA_KEYWORDS_ALL", f"NOT coalesce({hit['all_hit']}, {e.size('b.kw_all')} = 0)"),
+        ("QA_KEYWORDS_NONE", f"NOT coalesce({hit['none_hit']}, true)"), ("QA_DUPLICATE", "{duplicate}"),
+    ]
+    failures = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in codes) + ")"
+    duplicate = f"d.own > 0 AND (d.exact > {DUPLICATE_SHARE} * d.own OR (b.guarantee = 'exact+near' AND d.exact + d.near > {DUPLICATE_SHARE} * d.own))"
+    failures = failures.replace("{duplicate}", duplicate)
+    return f"""{e.steps(judged(e))},
+        joined AS (SELECT b.doc_id, b.user_id, b.record_ref, b.language, b.tags, b.status, b.chain_hash, {e.size("b.prompts")} AS n_prompts, {e.join("b.prompts", " ")} AS whole, v.own, v.exact, v.near FROM bundles b JOIN verdicts v ON v.doc_id = b.doc_id),
+        told AS (SELECT doc_id, user_id, record_ref, language, tags, status, chain_hash, n_prompts, own, exact, near, {e.made({"masked": masked, "found": keywords_in(e, "d.whole")})} FROM joined d),
+        counted AS (SELECT doc_id, user_id, record_ref, language, tags, status, chain_hash, n_prompts, own, exact, near, found, {e.made({"n": e.size(tokens), "marks": e.size(marks)})} FROM told d),
+        dense AS (SELECT doc_id, user_id, record_ref, language, tags, status, chain_hash, n_prompts, own, exact, near, found, CASE WHEN n = 0 THEN 1.0 ELSE CAST(marks AS DOUBLE) / n END AS density FROM counted),
+        gate AS (SELECT m.doc_id, m.brief_ref, m.user_id, d.record_ref, d.chain_hash, d.n_prompts, round(coalesce(d.density, 1.0), 6) AS density, {failures} AS failures FROM matches m JOIN briefs b ON b.brief_ref = m.brief_ref
+            LEFT JOIN dense d ON d.doc_id = m.doc_id LEFT JOIN receipts r ON r.doc_id = m.doc_id WHERE coalesce(d.status, '') <> 'sold')"""
 
-def hamming_pairs(rows: DataFrame, distance: int = 3) -> DataFrame:
-    """Pairs of rows (doc_id, source, sim) of different sources within the distance: rows that near share one of distance + 1
-    bands of bits exactly, so an equi-join on the bands finds all; a pair counts in the first band that it shares."""
-    n = distance + 1
-    width = 64 // n
-    bands = F.array(*(F.shiftrightunsigned("sim", width * k).bitwiseAND((1 << width) - 1) for k in range(n)))
-    dealt = rows.select("doc_id", "source", "sim", F.posexplode(bands).alias("band", "value"))
-    a, b = (dealt.select(*(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "source", "sim")), "band", "value") for x in "ab")
-    apart = F.col("sim_a").bitwiseXOR(F.col("sim_b"))
-    near = a.join(b, ["band", "value"]).where((F.col("source_a") != F.col("source_b")) & (F.col("doc_id_a") < F.col("doc_id_b")) & (F.bit_count(apart) <= distance))
-    first = F.least(*(F.when(F.shiftrightunsigned(apart, width * k).bitwiseAND((1 << width) - 1) == 0, k).otherwise(n) for k in range(n)))
-    return near.where(F.col("band") == first).select("doc_id_a", "doc_id_b")
 
+def qa_gate(e: Duck) -> str:
+    return f"WITH {gate_rows(e)} SELECT doc_id, brief_ref, density, failures, failures = '' AS passed FROM gate"
 
-def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.dialect import runs
 
-    sims = runs(lambda e: f"WITH {prints(e)} SELECT doc_id, source, sim FROM sims")(spark, sf_dir)
-    return hamming_pairs(sims).groupBy(F.col("doc_id_b").alias("doc_id")).agg(F.min("doc_id_a").alias("earlier"), F.count(F.lit(1)).alias("n"))
+def qa_failure_histogram(e: Duck) -> str:
+    one = e.each("split(failures, ',')" if type(e) is Spark else "string_split(failures, ',')")
+    return f"SELECT code, count(*) AS n FROM (WITH {gate_rows(e)} SELECT {one} AS code FROM gate) c GROUP BY code"
 
 
 def dedup_status(e: Duck) -> str:
-    return f"""WITH {prints(e)}, hit AS (SELECT a.source, CASE WHEN EXISTS (SELECT 1 FROM prints b WHERE b.exact = a.exact AND b.source <> a.source AND b.doc_id <= a.doc_id) THEN 1 ELSE 0 END AS dup FROM prints a)
-        SELECT source, count(*) AS own, CAST(sum(dup) AS BIGINT) AS dups, CASE WHEN sum(dup) > 0.5 * count(*) THEN 'exact_duplicate' ELSE 'new' END AS status FROM hit GROUP BY source"""
+    """The verdict of each bundle. Exact outranks near: more than half of its prompts were another contributor's first, or they and
+    those near another's were."""
+    return f"""WITH {e.steps(judged(e))} SELECT doc_id, own, exact, near, CASE WHEN exact > {DUPLICATE_SHARE} * own THEN 'exact_duplicate' WHEN exact + near > {DUPLICATE_SHARE} * own THEN 'near_duplicate' ELSE 'new' END AS status FROM verdicts"""
+
+
+def qa_valuation(e: Duck) -> str:
+    """What a bundle is worth to the briefs whose gate it passes: its prompts by length tier, and their cents."""
+    n = e.size(e.where(e.split("prompt", P.WS + "+"), "x <> ''"))
+    tiers = ", ".join(f"CAST(sum(CASE WHEN tier = '{t}' THEN 1 ELSE 0 END) AS BIGINT) AS n_{t}" for t in P.CENTS)
+    cents = " + ".join(f"n_{t} * {c}" for t, c in P.CENTS.items())
+    return f"""WITH {gate_rows(e)}, passed AS (SELECT doc_id, brief_ref, record_ref, chain_hash FROM gate WHERE failures = ''),
+        tiers AS (SELECT doc_id, CASE WHEN n < 10 THEN 'short' WHEN n <= 50 THEN 'medium' ELSE 'long' END AS tier FROM (SELECT doc_id, {n} AS n FROM lines) w),
+        worth AS (SELECT doc_id, {tiers} FROM tiers GROUP BY doc_id)
+        SELECT p.doc_id, p.brief_ref, p.record_ref, p.chain_hash, {", ".join(f"n_{t}" for t in P.CENTS)}, CAST({cents} AS BIGINT) AS cents, '{SCHEDULE}' AS schedule FROM passed p JOIN worth w ON w.doc_id = p.doc_id"""
+
+
+def brief_fill(e: Duck) -> str:
+    """Of each brief how many bundles pass its gate, by arrival within the brief's target and its cap for one contributor."""
+    return f"""WITH {gate_rows(e)}, passed AS (SELECT g.brief_ref, g.user_id, g.doc_id, b.target, b.per_user, row_number() OVER (PARTITION BY g.brief_ref, g.user_id ORDER BY g.doc_id) AS own FROM gate g JOIN briefs b ON b.brief_ref = g.brief_ref WHERE g.failures = ''),
+        capped AS (SELECT brief_ref, target, row_number() OVER (PARTITION BY brief_ref ORDER BY doc_id) AS k FROM passed WHERE per_user IS NULL OR own <= per_user)
+        SELECT brief_ref, CAST(sum(CASE WHEN k <= target THEN 1 ELSE 0 END) AS BIGINT) AS taken, count(*) AS eligible FROM capped GROUP BY brief_ref"""
 
 
-DEFINITIONS = {f.__name__: f for f in (keyword_any_all_none, pushable_briefs, brief_transitions, domain_language_filter, qa_gate, qa_failure_histogram, exact_dups_cross_source, near_dups_simhash, dedup_status)}
-NATIVE = {"near_dups_simhash": near_pairs}
+DEFINITIONS = {f.__name__: f for f in (keyword_any_all_none, pushable_briefs, match_eligibility, brief_transitions, category_names, briefs_of_buyer, domain_language_filter, qa_gate, qa_failure_histogram)}
+DEFINITIONS |= {f.__name__: f for f in (qa_valuation, brief_fill, exact_dups_cross_source, near_dups_simhash, simhash_of_documents, dedup_status)}

@@ -38,8 +38,19 @@ def span_offsets(e: Duck) -> str:
 
 
 def identifier_counts(e: Duck) -> str:
-    one = " UNION ALL ".join(f"SELECT '{k}' AS kind, CAST({hits(e, k)} AS BIGINT) AS n FROM {e.table('documents')}" for k in KINDS)
-    return f"SELECT kind, CAST(sum(n) AS BIGINT) AS spans, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS texts FROM ({one}) k GROUP BY kind"
+    """Spans of each kind over all documents, and the documents with any: one scan, a column a kind, then a row a kind."""
+    counts = ", ".join(f"{hits(e, k)} AS n_{k}" for k in KINDS)
+    sums = ", ".join(f"CAST(sum(n_{k}) AS BIGINT) AS s_{k}, CAST(sum(CASE WHEN n_{k} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS t_{k}" for k in KINDS)
+    each = e.each(e.items([e.struct({"kind": f"'{k}'", "spans": f"s_{k}", "texts": f"t_{k}"}) for k in KINDS]))
+    return f"SELECT r.kind AS kind, r.spans AS spans, r.texts AS texts FROM (SELECT {each} AS r FROM (SELECT {sums} FROM (SELECT {counts} FROM {e.table('documents')}) c) s) x"
+
+
+def record_identifiers(e: Duck) -> str:
+    """Identifiers redacted in each record by kind, and the flags that these raise."""
+    rows, kind = screening.acts(e)
+    return f"""WITH {screening.base(e)}, {rows}, named_spans AS (SELECT record_id, {kind} AS kind FROM acts)
+        SELECT record_id, kind, count(*) AS n, CASE kind WHEN 'GOV_ID' THEN 'FLAG_GOV_ID' WHEN 'ACCOUNT' THEN 'FLAG_FINANCIAL' END AS flag FROM named_spans
+        WHERE kind IN ({", ".join(repr(k) for k in screening.IDENTIFIERS)}) GROUP BY record_id, kind"""
 
 
 def sentence_rows(e: Duck) -> str:
@@ -74,51 +85,84 @@ def span_attribution(e: Duck) -> str:
     return f"WITH {prompts(e)}, {sentence_rows(e)} SELECT record_id, {e.first('sentence', FULL_NAME)} AS name, CASE WHEN {e.matches('sentence', direct.replace('(?i)', '', 1))} THEN 'third_party' ELSE {bucket(e, 'sentence')} END AS bucket FROM sents WHERE {e.matches('sentence', FULL_NAME)}"
 
 
-def outcome_rows(e: Duck) -> str:
+def ceilings(e: Duck, out: str, finals: str) -> str:
+    """out(conv_id, turn, record_id, final_text, n, marks, outcome): texts with their tokens, placeholders and ceilings."""
     tokens = e.where(e.split("final_text", P.WS + "+"), "x <> ''")
     marks = e.where("tokens", e.matches("x", P.PLACEHOLDER))
-    return f"""{screening.base(e).removeprefix(prompts(e) + ', ')}, {screening.finals(e)},
-        tokenised AS (SELECT conv_id, turn, record_id, reason, final_text, {e.made({'tokens': tokens})} FROM finals),
-        counted AS (SELECT conv_id, turn, record_id, reason, final_text, {e.size('tokens')} AS n, {e.size(marks)} AS marks FROM tokenised),
-        outcomes AS (SELECT conv_id, turn, record_id, final_text, n, marks, CASE WHEN reason <> 'none' THEN reason WHEN n - marks < {P.MIN_TOKENS} THEN 'DROP_TOO_SHORT'
-            WHEN marks > {P.MAX_DENSITY} * n THEN 'DROP_REDACTION_DENSITY' ELSE 'kept' END AS outcome FROM counted)"""
+    return f"""{out}_tokens AS (SELECT conv_id, turn, record_id, reason, final_text, {e.made({"tokens": tokens})} FROM {finals}),
+        {out}_counted AS (SELECT conv_id, turn, record_id, reason, final_text, {e.size("tokens")} AS n, {e.size(marks)} AS marks FROM {out}_tokens),
+        {out} AS (SELECT conv_id, turn, record_id, final_text, n, marks, CASE WHEN reason <> 'none' THEN reason WHEN n - marks < {P.MIN_TOKENS} THEN 'DROP_TOO_SHORT'
+            WHEN marks > {P.MAX_DENSITY} * n THEN 'DROP_REDACTION_DENSITY' ELSE 'kept' END AS outcome FROM {out}_counted)"""
 
 
-def quality_ceiling(e: Duck) -> str:
-    return f"WITH {prompts(e)}, {outcome_rows(e)} SELECT record_id, CAST(n AS BIGINT) AS tokens, CAST(marks AS BIGINT) AS marks, outcome FROM outcomes"
+def first_rows(e: Duck) -> screening.Groups:
+    """first, the outcomes of each record by itself."""
+    return [*screening.marked(e), (["first"], f"{screening.rebuilt(e, 'finals', 'changes', 'screened')}, {ceilings(e, 'first', 'finals')}")]
 
 
-def outcome_counts(e: Duck) -> str:
-    return f"WITH {prompts(e)}, {outcome_rows(e)} SELECT conv_id, outcome, count(*) AS n FROM outcomes GROUP BY conv_id, outcome"
+def outcome_rows(e: Duck) -> str:
+    """outcomes, as they are after each conversation has been looked at as a whole; and verdicts of the conversations.
+
+    With five kinds of quasi-identifiers or more in its kept records the most telling go, down to four, from all of them;
+    their texts are rebuilt and meet the ceilings again. If that touches more than four in ten of the kept records, or
+    leaves fewer than two, or if there are eight kinds, the whole conversation is excluded."""
+    # groups that are not written are dropped behind a written one, and said again
+    again = [] if type(e) is Duck else [([], screening.marked(e)[-1][1])]
+    return e.steps([*first_rows(e), *again, ([], reworked(e))])
+
+
+def reworked(e: Duck) -> str:
+    left = "quasi_left AS (SELECT q.conv_id, q.turn, q.record_id, q.kind, q.place, q.begins, q.ends FROM quasi q JOIN quasi_kinds k ON k.record_id = q.record_id AND k.kind = q.kind WHERE NOT k.suppressed)"
+    return f"""{left}, bundle AS (SELECT DISTINCT q.conv_id, q.kind, q.place FROM quasi_left q JOIN first f ON f.record_id = q.record_id WHERE f.outcome = 'kept'),
+        ranked AS (SELECT conv_id, kind, count(*) OVER (PARTITION BY conv_id) AS kinds, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS k FROM bundle),
+        going AS (SELECT q.record_id, q.kind, q.begins, q.ends FROM quasi_left q JOIN first f ON f.record_id = q.record_id JOIN ranked r ON r.conv_id = q.conv_id AND r.kind = q.kind
+            WHERE f.outcome = 'kept' AND r.kinds >= {P.CONV_QI} AND r.kinds < {P.CONV_QI_OUT} AND r.k <= r.kinds - {P.CONV_QI_KEEP}),
+        touched AS (SELECT DISTINCT record_id FROM going),
+        again AS (SELECT s.conv_id, s.turn, s.record_id, s.text, s.reason, s.lines, s.cuts FROM screened s JOIN touched t ON t.record_id = s.record_id),
+        more AS (SELECT record_id, begins, ends, new, late FROM changes WHERE record_id IN (SELECT record_id FROM touched) UNION ALL SELECT record_id, begins, ends, {screening.mark("kind")}, 2 FROM going),
+        {screening.rebuilt(e, "reworked", "more", "again")}, {ceilings(e, "second", "reworked")},
+        merged AS (SELECT f.conv_id, f.turn, f.record_id, coalesce(s.final_text, f.final_text) AS final_text, coalesce(s.n, f.n) AS n, coalesce(s.marks, f.marks) AS marks, coalesce(s.outcome, f.outcome) AS outcome, f.outcome = 'kept' AS was_kept, s.record_id IS NOT NULL AS touched
+            FROM first f LEFT JOIN second s ON s.record_id = f.record_id),
+        sums AS (SELECT m.conv_id, coalesce(max(r.kinds), 0) AS kinds, max(m.kept) AS kept, max(m.usable) AS usable, max(m.touched) AS touched
+            FROM (SELECT conv_id, CAST(sum(CASE WHEN was_kept THEN 1 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN outcome = 'kept' THEN 1 ELSE 0 END) AS BIGINT) AS usable, CAST(sum(CASE WHEN touched THEN 1 ELSE 0 END) AS BIGINT) AS touched FROM merged GROUP BY conv_id) m
+            LEFT JOIN ranked r ON r.conv_id = m.conv_id GROUP BY m.conv_id),
+        verdicts AS (SELECT conv_id, kinds, kept, usable, touched, CASE WHEN kinds >= {P.CONV_QI_OUT} THEN 'excluded' WHEN kinds < {P.CONV_QI} THEN 'as_is' WHEN 10 * touched > 4 * kept OR usable < 2 THEN 'excluded' ELSE 'suppressed' END AS verdict FROM sums),
+        outcomes AS (SELECT m.conv_id, m.turn, m.record_id, m.final_text, m.n, m.marks, m.touched, CASE WHEN m.was_kept AND v.verdict = 'excluded' THEN 'EXC_SINGLING_OUT' ELSE m.outcome END AS outcome FROM merged m JOIN verdicts v ON v.conv_id = m.conv_id)"""
 
 
-def redaction_density(e: Duck) -> str:
-    return f"WITH {prompts(e)}, {outcome_rows(e)} SELECT conv_id, round(CASE WHEN sum(n) = 0 THEN 1.0 ELSE CAST(sum(marks) AS DOUBLE) / sum(n) END, 6) AS density FROM outcomes GROUP BY conv_id"
+def quality_ceiling(e: Duck) -> str:
+    return f"WITH {e.steps(first_rows(e))} SELECT record_id, CAST(n AS BIGINT) AS tokens, CAST(marks AS BIGINT) AS marks, outcome FROM first"
+
+
+def outcome_counts(e: Duck) -> str:
+    return f"WITH {outcome_rows(e)} SELECT conv_id, outcome, count(*) AS n FROM outcomes GROUP BY conv_id, outcome"
 
 
-QI = {"exact_age": P.AGE_ADJECTIVE, "occupation": P.OCCUPATION, "family_structure": P.FAMILY, "gender": P.GENDER, "geo": r"\b(?:Toronto|Ottawa|Lyon)\b"}
+def final_texts(e: Duck) -> str:
+    """The kept texts, after their conversation has been looked at as a whole."""
+    return f"WITH {outcome_rows(e)} SELECT conv_id, record_id, final_text, touched FROM outcomes WHERE outcome = 'kept'"
 
 
-def qi_rows(e: Duck) -> str:
-    return "qi AS (" + " UNION ALL ".join(f"SELECT conv_id, record_id, '{k}' AS kind, {P.QI_ORDER.index(k)} AS place FROM prompts WHERE {e.matches('text', p)}" for k, p in QI.items()) + ")"
+def redaction_density(e: Duck) -> str:
+    """Placeholders among the tokens of each conversation's kept texts; a conversation without any has density 1."""
+    kept = "CASE WHEN outcome = 'kept' THEN {} ELSE 0 END"
+    return f"WITH {outcome_rows(e)} SELECT conv_id, round(CASE WHEN sum({kept.format('n')}) = 0 THEN 1.0 ELSE CAST(sum({kept.format('marks')}) AS DOUBLE) / sum({kept.format('n')}) END, 6) AS density FROM outcomes GROUP BY conv_id"
 
 
 def qi_types(e: Duck) -> str:
-    return f"WITH {prompts(e)}, {qi_rows(e)} SELECT record_id, count(DISTINCT kind) AS kinds FROM qi GROUP BY record_id"
+    return f"WITH {e.steps(screening.marked(e))} SELECT record_id, count(*) AS kinds FROM quasi_kinds GROUP BY record_id"
 
 
 def qi_suppression(e: Duck) -> str:
     """Of a record with more than three kinds the most telling go, down to three."""
-    return f"""WITH {prompts(e)}, {qi_rows(e)}, ranked AS (SELECT record_id, kind, row_number() OVER (PARTITION BY record_id ORDER BY place) AS k, count(*) OVER (PARTITION BY record_id) AS n FROM qi)
-        SELECT record_id, kind, k <= n - {P.RECORD_QI} AS suppressed FROM ranked"""
+    return f"WITH {e.steps(screening.marked(e))} SELECT record_id, kind, suppressed FROM quasi_kinds"
 
 
 def conversation_singling_out(e: Duck) -> str:
-    return f"""WITH {prompts(e)}, {qi_rows(e)}, k AS (SELECT conv_id, count(DISTINCT kind) AS kinds, count(DISTINCT record_id) AS touched FROM qi GROUP BY conv_id), n AS (SELECT conv_id, count(*) AS records FROM prompts GROUP BY conv_id)
-        SELECT n.conv_id, coalesce(kinds, 0) AS kinds, CASE WHEN coalesce(kinds, 0) >= {P.CONV_QI_OUT} THEN 'excluded' WHEN coalesce(kinds, 0) < {P.CONV_QI} THEN 'kept'
-            WHEN touched > 0.4 * records OR records - touched < 2 THEN 'excluded' ELSE 'suppressed' END AS outcome FROM n LEFT JOIN k ON n.conv_id = k.conv_id"""
+    """Each conversation's kinds of quasi-identifiers, its kept, touched and usable records, and the verdict."""
+    return f"WITH {outcome_rows(e)} SELECT conv_id, kinds, kept, touched, usable, verdict FROM verdicts"
 
 
 DEFINITIONS = {f"detect_{k.lower()}": partial(detect, kind=k) for k in KINDS}
-DEFINITIONS |= {f.__name__: f for f in (span_offsets, identifier_counts, sentences, attribution_buckets, span_attribution, quality_ceiling, outcome_counts, redaction_density, qi_types, qi_suppression, conversation_singling_out)}
+DEFINITIONS |= {f.__name__: f for f in (span_offsets, identifier_counts, record_identifiers, sentences, attribution_buckets, span_attribution, quality_ceiling, outcome_counts, redaction_density, final_texts, qi_types, qi_suppression, conversation_singling_out)}
 DEFINITIONS |= screening.DEFINITIONS

@@ -1,7 +1,8 @@
 """Hash chains, keyed identifiers, receipts, bundles and datasheets."""
 
 from ..plans.dialect import Duck, Spark
-from ..plans.fixtures import prompts
+from ..plans.fixtures import briefs, contributions, payments, prompts, sales
+from . import screening
 from .policy import outcome_rows
 
 KEY = "receipt-signing-key"
@@ -21,16 +22,89 @@ def buyer_scoped_ids(e: Duck) -> str:
     return f"SELECT o_orderkey, concat('cv_', substr({e.hmac(KEY, f'concat(CAST(o_custkey % 7 AS {e.string}), {chr(39)}:{chr(39)}, CAST(o_orderkey AS {e.string}))')}, 1, 24)) AS scoped FROM {e.table('orders')}"
 
 
+def receipts(e: Duck) -> str:
+    """What follows outcomes: receipts(conv_id, n, fingerprints, body), one for each conversation that has kept prompts: a canonical
+    text with the fingerprints of these in turn order, who gave them by pseudonym, and what was authorised."""
+    field = lambda name, value: f"'\"{name}\":', {value}"
+    print_ = f"concat('\"', {e.sha('final_text')}, '\"')"
+    who = f"concat('\"pseu_', substr({e.hmac(KEY, f'CAST(conv_id AS {e.string})')}, 1, 24), '\"')"
+    body = ", ',', ".join(field(*x) for x in (("receipt_version", "'\"1.0\"'"), ("contributor", who), ("scope", "concat('[', prints, ']')"), ("purpose", "'\"sale/licence for AI training / RLHF\"'"), ("revocable_while_unsold", "'true'"), ("revoked_at", "'null'")))
+    return f"""fingerprints AS (SELECT conv_id, count(*) AS n, {e.join(e.ordered(print_, "turn"), ",")} AS prints FROM outcomes WHERE outcome = 'kept' GROUP BY conv_id),
+        receipts AS (SELECT conv_id, n, concat('{{', {body}, '}}') AS body FROM fingerprints)"""
+
+
+def consent_receipts(e: Duck) -> str:
+    return f"WITH {outcome_rows(e)}, {receipts(e)} SELECT conv_id, n AS prompts, concat('rcpt_', substr({e.sha('body')}, 1, 24)) AS receipt_ref, body, {e.hmac(KEY, 'body')} AS signature FROM receipts"
+
+
 def receipt_sign_verify(e: Duck) -> str:
-    """A signature over canonical JSON, and whether a receipt that may have been changed still has it."""
-    body = f"concat('{{\"conversation\":', CAST(conv_id AS {e.string}), ',\"prompts\":', CAST(n AS {e.string}), '}}')"
-    changed = f"CASE WHEN conv_id % 5 = 0 THEN concat(body, ' ') ELSE body END"
-    return f"""WITH {prompts(e)}, {outcome_rows(e)}, r AS (SELECT conv_id, count(*) AS n FROM outcomes WHERE outcome = 'kept' GROUP BY conv_id), b AS (SELECT conv_id, {body} AS body FROM r)
-        SELECT conv_id, {e.hmac(KEY, 'body')} AS signature, {e.hmac(KEY, 'body')} = {e.hmac(KEY, changed)} AS valid FROM b"""
+    """A signature over the receipt's text, and whether a receipt of which a byte was added still has it."""
+    changed = "CASE WHEN conv_id % 5 = 0 THEN concat(body, ' ') ELSE body END"
+    return f"WITH {outcome_rows(e)}, {receipts(e)} SELECT conv_id, {e.hmac(KEY, 'body')} AS signature, {e.hmac(KEY, 'body')} = {e.hmac(KEY, changed)} AS valid FROM receipts"
+
+
+def packaged(e: Duck) -> str:
+    """packaged(conv_id, kept, prompts, gaps, captured, language, tags, content): the records that are sold; what a device did not tell
+    of a conversation is und and general."""
+    turns = f"CAST(turn AS {e.string})"
+    meta = f"meta AS (SELECT conv_id, min(lang) AS lang, min(domain) AS domain FROM (SELECT c_custkey AS conv_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'en' END AS lang, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'coding' END AS domain FROM {e.table('customer')}) m GROUP BY conv_id)"
+    return f"""{meta}, kept_rows AS (SELECT conv_id, turn, final_text FROM outcomes WHERE outcome = 'kept' AND final_text <> ''),
+        packed AS (SELECT conv_id, count(*) AS kept, {e.join(e.ordered("final_text", "turn"), "~")} AS prompts, {e.join(e.ordered(turns, "turn"), ",")} AS turns, max(turn) - min(turn) + 1 - count(*) AS gaps FROM kept_rows GROUP BY conv_id),
+        packaged AS (SELECT p.conv_id, p.kept, p.prompts, p.turns, p.gaps, coalesce(m.lang, 'und') AS language, coalesce(m.domain, 'general') AS tag, {e.sha("p.prompts")} AS content FROM packed p LEFT JOIN meta m ON m.conv_id = p.conv_id)"""
 
 
 def packaged_bundles(e: Duck) -> str:
-    return f"WITH {prompts(e)}, {outcome_rows(e)} SELECT conv_id, count(*) AS kept, {e.sha(e.join(e.ordered('final_text', 'turn'), '~'))} AS content, max(turn) - min(turn) + 1 - count(*) AS gaps FROM outcomes WHERE outcome = 'kept' GROUP BY conv_id"
+    return f"WITH {outcome_rows(e)}, {packaged(e)} SELECT conv_id, kept, turns, gaps, language, tag, content FROM packaged"
+
+
+def buyer_records(e: Duck) -> str:
+    """What a buyer gets of a record: its reference under the buyer's own key, its texts, and nothing of the contributor."""
+    ref = f"concat('cv_', substr({e.hmac(KEY, f'concat({chr(39)}7:{chr(39)}, CAST(conv_id AS {e.string}))')}, 1, 24))"
+    return f"WITH {outcome_rows(e)}, {packaged(e)} SELECT {ref} AS conversation_ref, prompts, language, tag FROM packaged"
+
+
+def datasheet_tags(e: Duck) -> str:
+    """The share of each tag over the bundles' lists of tags."""
+    return f"""WITH {briefs(e)}, {contributions(e)}, t AS (SELECT {e.each("tags")} AS tag FROM bundles), c AS (SELECT tag, count(*) AS n FROM t GROUP BY tag)
+        SELECT tag, floor(CAST(n AS DOUBLE) / sum(n) OVER () * 100 + 0.5) / 100 AS share FROM c"""
+
+
+def batch_ids(e: Duck) -> str:
+    """The name of each quarter's batch: four digits for its size, more where it is larger."""
+    n = f"CASE WHEN n < 1000 THEN lpad(CAST(n AS {e.string}), 4, '0') ELSE CAST(n AS {e.string}) END"
+    return f"SELECT concat('batch_', quarter_, '_', {n}) AS batch_id, n FROM (SELECT concat(CAST(year(o_orderdate) AS {e.string}), 'Q', CAST(quarter(o_orderdate) AS {e.string})) AS quarter_, count(*) AS n FROM {e.table('orders')} GROUP BY 1) q"
+
+
+def attestation_rows(e: Duck) -> str:
+    """What follows outcomes: attested, metadata only: counts by kind, kinds of quasi-identifiers before and after, whom the record
+    speaks of, what was done and why. Records that a gate stopped have no counts: theirs is made before these."""
+    kind = screening.acts(e)[1]
+    did = ", ".join(f"max(CASE WHEN {c} THEN '{a}' END) AS {n}" for n, a, c in (("redacts", "REDACT", "c.new LIKE '[%'"), ("generalises", "GENERALISE", "c.new IS NOT NULL AND c.new NOT LIKE '[%'")))
+    return f"""acts_said AS (SELECT s.record_id, {e.each("s.spans")} AS o FROM screened s WHERE s.reason = 'none' AND {e.size("s.spans")} > 0), said AS (SELECT record_id, o.k % {screening.RULES} AS rule, o.b AS bucket FROM acts_said),
+        by_kind AS (SELECT record_id, {kind} AS kind, count(*) AS n FROM said GROUP BY record_id, {kind}),
+        redacted AS (SELECT record_id, {e.join(e.ordered(f"concat(kind, ':', CAST(n AS {e.string}))", "kind"), ",")} AS identifiers FROM by_kind WHERE kind IN ({", ".join(repr(k) for k in screening.IDENTIFIERS)}) GROUP BY record_id),
+        fired AS (SELECT record_id, {e.join(e.set_of("bucket"), ",")} AS buckets FROM said WHERE bucket IN ('self', 'third_party') GROUP BY record_id),
+        done AS (SELECT record_id, {did} FROM changes c GROUP BY record_id),
+        kinds_of AS (SELECT record_id, count(*) AS before_, CAST(sum(CASE WHEN suppressed THEN 0 ELSE 1 END) AS BIGINT) AS after_ FROM quasi_kinds GROUP BY record_id),
+        attested AS (SELECT o.conv_id, o.turn, o.record_id, o.outcome, coalesce(r.identifiers, '') AS identifiers, coalesce(k.before_, 0) AS qi_before, coalesce(k.after_, 0) AS qi_after, coalesce(f.buckets, '') AS buckets,
+            concat_ws(',', d.redacts, d.generalises, CASE WHEN k.before_ > k.after_ OR o.touched THEN 'SUPPRESS' END, CASE WHEN o.outcome LIKE 'EXC%' THEN 'EXCLUDE' END) AS actions,
+            concat_ws(',', CASE WHEN s.minor THEN 'FLAG_ACCOUNT_REVIEW_MINOR' END, CASE WHEN s.recovered THEN 'FICTION_RECOVERED' END, CASE WHEN o.outcome = 'EXC_ATTRIBUTION_AMBIGUOUS' THEN 'ATTR_AMBIGUOUS' END,
+                CASE WHEN k.before_ > k.after_ OR o.touched THEN 'SUPPRESS_SINGLING_OUT' END, CASE WHEN o.outcome <> 'kept' THEN o.outcome END) AS codes
+            FROM outcomes o JOIN screened s ON s.record_id = o.record_id LEFT JOIN redacted r ON r.record_id = o.record_id LEFT JOIN fired f ON f.record_id = o.record_id LEFT JOIN done d ON d.record_id = o.record_id LEFT JOIN kinds_of k ON k.record_id = o.record_id)"""
+
+
+def attestations(e: Duck) -> str:
+    return f"WITH {outcome_rows(e)}, {attestation_rows(e)} SELECT record_id, outcome, identifiers, qi_before, qi_after, buckets, actions, codes FROM attested"
+
+
+def reason_codes(e: Duck) -> str:
+    one = e.each("split(codes, ',')" if type(e) is Spark else "string_split(codes, ',')")
+    return f"SELECT code, count(*) AS n FROM (WITH {outcome_rows(e)}, {attestation_rows(e)} SELECT {one} AS code FROM attested WHERE codes <> '') c GROUP BY code"
+
+
+def operator_log(e: Duck) -> str:
+    """What was done where, without any text: every edit of a record's own, by offset."""
+    return f"""WITH {e.steps(screening.marked(e))} SELECT record_id, begins AS span_start, ends AS span_end, CASE WHEN late = 1 THEN 'SUPPRESS' WHEN new LIKE '[%' THEN 'REDACT' ELSE 'GENERALISE' END AS action FROM changes WHERE new IS NOT NULL"""
 
 
 def datasheet_distribution(e: Duck) -> str:
@@ -55,13 +129,24 @@ def first_seen_fingerprint(e: Duck) -> str:
 
 
 def revocation_status(e: Duck) -> str:
-    return f"SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 6 = 0 THEN 'sold' WHEN o_orderkey % 4 = 0 THEN 'revoked' ELSE 'available' END AS status FROM {e.table('orders')}"
+    """What a withdrawal does: a record that is sold stays sold, any other is revoked; what nobody withdrew stays as it is."""
+    return f"""WITH {payments(e)}, {sales(e)} SELECT record_ref, status AS was, CASE WHEN status = 'sold' THEN 'sold' WHEN withdrawn AND has_receipt THEN 'revoked' ELSE status END AS status FROM records"""
+
+
+def links(e: Duck) -> str:
+    payload = f"concat('{{\"record\":', CAST(record_id AS {e.string}), ',\"turn\":', CAST(turn AS {e.string}), '}}')"
+    folded = e.fold(e.slice("payloads", "1", "k"), "'genesis'", e.sha("concat(a, x)"))
+    return f"""chains AS (SELECT conv_id, {e.ordered(payload, "turn")} AS payloads, max(turn) AS last_turn FROM prompts GROUP BY conv_id),
+        places AS (SELECT conv_id, payloads, {e.numbered("payloads", "k", "payload")} FROM chains),
+        stored AS (SELECT conv_id, CAST(k AS BIGINT) AS k, payload, {folded} AS link FROM places)"""
 
 
 def chain_verify(e: Duck) -> str:
-    """Each link with the one before it, as the stored chain would have them."""
-    return f"""WITH {prompts(e)}, l AS (SELECT conv_id, turn, {e.sha(f"CAST(record_id AS {e.string})")} AS link FROM prompts)
-        SELECT conv_id, turn, coalesce(lag(link) OVER (PARTITION BY conv_id ORDER BY turn), 'genesis') AS prev FROM l"""
+    """A stored chain, of which some conversations' third payload was changed afterwards: each link is checked against the hash of the
+    one before it and its payload."""
+    changed = "CASE WHEN k = 3 AND conv_id % 4 = 0 THEN concat(payload, ' ') ELSE payload END"
+    return f"""WITH {prompts(e)}, {links(e)}, read AS (SELECT conv_id, k, {changed} AS payload, link, coalesce(lag(link) OVER (PARTITION BY conv_id ORDER BY k), 'genesis') AS prev FROM stored)
+        SELECT conv_id, k, prev, link = {e.sha("concat(prev, payload)")} AS holds FROM read"""
 
 
-DEFINITIONS = {f.__name__: f for f in (attestation_chain, chain_verify, pseudonymous_ids, buyer_scoped_ids, receipt_sign_verify, packaged_bundles, datasheet_distribution, capture_windows, latest_bundle, first_seen_fingerprint, revocation_status)}
+DEFINITIONS = {f.__name__: f for f in (attestation_chain, chain_verify, pseudonymous_ids, buyer_scoped_ids, consent_receipts, receipt_sign_verify, packaged_bundles, buyer_records, datasheet_tags, batch_ids, attestations, reason_codes, operator_log, datasheet_distribution, capture_windows, latest_bundle, first_seen_fingerprint, revocation_status)}

@@ -121,7 +121,7 @@ def screened(e: Duck) -> str:
     minor = e.size(e.those("owns", "o", f"CASE WHEN {is_kind('o.k', 'AGE')} THEN {young} AND o.b = 'self' ELSE false END"))
     told = e.those("owns", "o", f"{is_kind('o.k', 'NORP')} AND o.b NOT IN ('unattributed', 'fiction')")
     norp = e.least(e.each_item(told, "o", f"{start(e, 'o.k')} * 2 + CASE WHEN o.b = 'ambiguous' THEN 1 ELSE 0 END"))
-    line = e.struct({"a": "sstart", "b": f"sstart + {length(e, 'skey')}", "gone": "likely"})
+    line = e.struct({"a": "sstart", "b": f"sstart + {length(e, 'skey')}", "gone": "likely", "bucket": "bucket"})
     return f"""gates AS (SELECT conv_id, turn, record_id, text, bucket, idx, sstart, skey, owns, {e.made({'secrets': has(is_kind('o.k', 'SECRET')), 'ids': has(is_kind('o.k', *IDENTIFIERS)), 'minor': minor, 'sure': ends[90], 'likely': ends[65], 'norp': norp})} FROM hits),
         closed AS (SELECT conv_id, turn, record_id, min(text) AS text, {e.ordered(line, 'sstart')} AS lines, flatten({e.ordered('owns', 'sstart')}) AS spans, max(CASE WHEN likely THEN 1 ELSE 0 END) AS cuts, sum(secrets) AS secrets, sum(ids) AS ids, sum(minor) AS minors, min(norp) AS norp,
             min(CASE WHEN sure AND bucket IN ('self', 'third_party', 'ambiguous') THEN idx * 2 + CASE WHEN bucket = 'ambiguous' THEN 1 ELSE 0 END END) AS category,
@@ -131,8 +131,16 @@ def screened(e: Duck) -> str:
             secrets = 0 AND ids < {DENSITY} AND minors > 0 AS minor, secrets = 0 AND ids < {DENSITY} AND minors = 0 AND category IS NULL AND recovered = 1 AS recovered FROM closed)"""
 
 
+Groups = list[tuple[list[str], str]]
+
+
+def gated(e: Duck) -> Groups:
+    return [(["screened"], f"{prompts(e)}, {spanned(e)}, {judged(e)}, {categories(e)}, {screened(e)}")]
+
+
 def base(e: Duck) -> str:
-    return f"{prompts(e)}, {spanned(e)}, {judged(e)}, {categories(e)}, {screened(e)}"
+    """screened, which everything after the gates begins with."""
+    return e.steps(gated(e))
 
 
 def region(e: Duck, x: str) -> str:
@@ -153,19 +161,55 @@ def acts(e: Duck) -> str:
         numbers AS (SELECT conv_id, name, row_number() OVER (PARTITION BY conv_id ORDER BY first_at) AS n FROM firsts)""", kind
 
 
+ATTRIBUTED = "bucket IN ('self', 'third_party', 'ambiguous')"
+#: What takes the place of a quasi-identifier.
+QI_MARKS = {"exact_age": "[AGE]", "occupation": "[OCCUPATION]", "employer": "[EMPLOYER]", "family_structure": "[FAMILY]", "gender": "[GENDER]", "geo": "[LOCATION]"}
+QI_PATTERNS = {"occupation": P.OCCUPATION, "family_structure": P.FAMILY, "gender": P.GENDER, "exact_age": P.AGE_ADJECTIVE}
+CITIES = [c for cities in G.CITIES.values() for c in cities]
+
+
 def edits(e: Duck) -> str:
     """edits(record_id, begins, ends, new): what takes a span's place."""
     rows, kind = acts(e)
     date = e.first("value", G.YEAR)
-    attributed = "bucket IN ('self', 'third_party', 'ambiguous')"
     age = "CASE WHEN kind = 'AGE' THEN CAST(value AS INT) END"
-    return f"""{rows}, kinds AS (SELECT conv_id, record_id, begins, ends, {kind} AS kind, value, bucket FROM acts),
+    return f"""{rows}, kinds AS (SELECT conv_id, turn, record_id, begins, ends, {kind} AS kind, value, bucket FROM acts),
         edits AS (SELECT k.record_id, k.begins, k.ends, CASE WHEN kind IN ({', '.join(repr(i) for i in IDENTIFIERS)}) THEN concat('[', kind, ']') WHEN kind = 'PERSON' THEN CASE WHEN n.n IS NOT NULL THEN concat('[PERSON_', CAST(n.n AS {e.string}), ']') END
-            WHEN NOT {attributed} THEN NULL WHEN kind = 'GPE' THEN CASE WHEN lower(value) IN {e.any_of(G.COUNTRIES + G.REGIONS)} THEN NULL ELSE coalesce({region(e, 'value')}, '[LOCATION]') END
+            WHEN NOT {ATTRIBUTED} THEN NULL WHEN kind = 'GPE' THEN CASE WHEN lower(value) IN {e.any_of(G.COUNTRIES + G.REGIONS)} THEN NULL ELSE coalesce({region(e, 'value')}, '[LOCATION]') END
             WHEN kind = 'DATE' THEN CASE WHEN length({date}) > 0 THEN {date} ELSE '[DATE]' END WHEN {age} >= 90 THEN '90+' END AS new
             FROM kinds k LEFT JOIN numbers n ON n.conv_id = k.conv_id AND kind = 'PERSON' AND n.name = CASE WHEN kind = 'PERSON' AND (bucket = 'third_party' OR {name_key(e, 'value')} NOT IN {e.any_of(list(G.FIGURES))}) THEN {name_key(e, 'value')} END)"""
 
 
+def quasi(e: Duck) -> str:
+    """quasi(conv_id, turn, record_id, kind, place, begins, ends): quasi-identifiers of records that no gate stopped; place is
+    the kind's distinctiveness. Ages under 90, regions and known cities are spans that speak of someone. Occupation, family,
+    gender and, where no span tells an age, an age before a noun are the first match of a pattern, if its sentence speaks of
+    its author or of a third party. quasi_kinds ranks the kinds of each record; its first n - 3 are suppressed."""
+    found = {k: f"CASE WHEN {e.matches('text', p)} THEN length({e.item(e.split('text', p), '1')}) END" for k, p in QI_PATTERNS.items()}
+    size = {k: f"length({e.first('text', p)})" for k, p in QI_PATTERNS.items()}
+    hit = [e.struct({"kind": f"'{k}'", "begins": f"CAST(at_{k} AS BIGINT)", "ends": f"CAST(at_{k} + {size[k]} AS BIGINT)"}) for k in QI_PATTERNS]
+    here = e.item(e.those("lines", "y", "q.begins >= y.a AND q.begins < y.b"), "1") if type(e) is Duck else f"try_element_at({e.those('lines', 'y', 'q.begins >= y.a AND q.begins < y.b')}, 1)"
+    place = "CASE kind " + " ".join(f"WHEN '{k}' THEN {P.QI_ORDER.index(k)}" for k in QI_MARKS) + " END"
+    geo = f"lower(value) IN {e.any_of(G.REGIONS + CITIES)} AND lower(value) NOT IN {e.any_of(G.COUNTRIES)}"
+    told = f"CASE WHEN kind = 'AGE' THEN CASE WHEN CAST(value AS INT) < 90 THEN 'exact_age' END WHEN kind = 'GPE' AND {geo} THEN 'geo' END"
+    return f"""told AS (SELECT conv_id, turn, record_id, {told} AS kind, begins, ends FROM kinds WHERE {ATTRIBUTED} AND kind IN ('AGE', 'GPE')),
+        tried AS (SELECT conv_id, turn, record_id, text, lines, {e.made({f'at_{k}': x for k, x in found.items()})} FROM screened WHERE reason = 'none'),
+        tries AS (SELECT conv_id, turn, record_id, lines, {e.each(e.items(hit))} AS q FROM tried),
+        placed AS (SELECT conv_id, turn, record_id, q.kind AS kind, q.begins AS begins, q.ends AS ends, coalesce({here}, {e.item('lines', e.size('lines'))}).bucket AS bucket FROM tries WHERE q.begins IS NOT NULL),
+        every AS (SELECT conv_id, turn, record_id, kind, begins, ends FROM told WHERE kind IS NOT NULL
+            UNION ALL SELECT conv_id, turn, record_id, kind, begins, ends FROM placed p WHERE bucket IN ('self', 'third_party') AND NOT (kind = 'exact_age' AND EXISTS (SELECT 1 FROM told t WHERE t.record_id = p.record_id AND t.kind = 'exact_age'))),
+        quasi AS (SELECT conv_id, turn, record_id, kind, {place} AS place, begins, ends FROM every)"""
+
+
+def quasi_kinds(e: Duck) -> str:
+    return f"""one_each AS (SELECT DISTINCT conv_id, record_id, kind, place FROM quasi),
+        quasi_kinds AS (SELECT conv_id, record_id, kind, place, row_number() OVER (PARTITION BY record_id ORDER BY place) <= count(*) OVER (PARTITION BY record_id) - {P.RECORD_QI} AS suppressed FROM one_each)"""
+
+
+def mark(kind: str) -> str:
+    return f"CASE {kind} " + " ".join(f"WHEN '{k}' THEN '{m}'" for k, m in QI_MARKS.items()) + " END"
+
+
 def edited(e: Duck, a: str, b: str) -> str:
     """The text from a to b with the edits that begin there; what an earlier edit took is gone."""
     pieces = e.each_item(e.those("ed", "d", f"d.begins >= {a} AND d.begins < {b}"), "d", f"concat(substr(text, CAST(greatest(d.was, {a}) + 1 AS INT), CAST(d.begins - greatest(d.was, {a}) AS INT)), d.new)")
@@ -173,17 +217,33 @@ def edited(e: Duck, a: str, b: str) -> str:
     return f"concat({e.join(pieces, '')}, substr(text, CAST({last} + 1 AS INT), CAST(greatest({b} - {last}, 0) AS INT)))"
 
 
-def finals(e: Duck) -> str:
-    """finals(conv_id, turn, record_id, reason, final_text). Sentences go by where they are in the text as it was."""
+def rebuilt(e: Duck, out: str, changes: str, rows: str) -> str:
+    """out(conv_id, turn, record_id, reason, final_text): the texts of rows after changes(record_id, begins, ends, new, late).
+    Of changes within one another the outermost holds, of two to the same span the later. Sentences go by where they are in
+    the text as it was."""
     trimmed = lambda x: e.sub(x, rf"\A{P.WS}+|{P.WS}+\z", "''")
     keep = e.those("lines", "y", "NOT y.gone AND y.b > y.a")
     parts = e.those(e.each_item(keep, "y", trimmed(edited(e, "y.a", "y.b"))), "w", e.matches("w", r"[^.!?\s]"))
     edit = e.struct({"was": "was", "begins": "begins", "ends": "ends", "new": "new"})
     empty = e.those(e.items([e.struct({"was": "CAST(0 AS BIGINT)", "begins": "CAST(0 AS BIGINT)", "ends": "CAST(0 AS BIGINT)", "new": "''"})]), "d", "false")
-    return f"""{edits(e)}, chained AS (SELECT record_id, begins, ends, new, coalesce(lag(ends) OVER (PARTITION BY record_id ORDER BY begins), 0) AS was FROM edits WHERE new IS NOT NULL),
-        changes AS (SELECT record_id, {e.ordered(edit, 'begins')} AS ed FROM chained GROUP BY record_id),
-        together AS (SELECT s.conv_id, s.turn, s.record_id, s.text, s.reason, s.lines, s.cuts, coalesce(c.ed, {empty}) AS ed FROM screened s LEFT JOIN changes c ON c.record_id = s.record_id),
-        finals AS (SELECT conv_id, turn, record_id, reason, CASE WHEN reason <> 'none' THEN '' WHEN cuts = 1 THEN {e.join(parts, ' ')} ELSE {trimmed(edited(e, '0', 'length(text)'))} END AS final_text FROM together)"""
+    before = "OVER (PARTITION BY record_id ORDER BY begins, ends DESC, late DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""{out}_outer AS (SELECT record_id, begins, ends, new, begins >= coalesce(max(ends) {before}, 0) AS outermost FROM {changes} WHERE new IS NOT NULL),
+        {out}_chain AS (SELECT record_id, begins, ends, new, coalesce(lag(ends) OVER (PARTITION BY record_id ORDER BY begins), 0) AS was FROM {out}_outer WHERE outermost),
+        {out}_lists AS (SELECT record_id, {e.ordered(edit, 'begins')} AS ed FROM {out}_chain GROUP BY record_id),
+        {out}_rows AS (SELECT s.conv_id, s.turn, s.record_id, s.text, s.reason, s.lines, s.cuts, coalesce(c.ed, {empty}) AS ed FROM {rows} s LEFT JOIN {out}_lists c ON c.record_id = s.record_id),
+        {out} AS (SELECT conv_id, turn, record_id, reason, CASE WHEN reason <> 'none' THEN '' WHEN cuts = 1 THEN {e.join(parts, ' ')} ELSE {trimmed(edited(e, '0', 'length(text)'))} END AS final_text FROM {out}_rows)"""
+
+
+def marked(e: Duck) -> Groups:
+    """edits, quasi and quasi_kinds; and changes(record_id, begins, ends, new, late), those of each record by itself."""
+    changes = f"""changes AS (SELECT record_id, begins, ends, new, 0 AS late FROM edits
+            UNION ALL SELECT q.record_id, q.begins, q.ends, {mark('q.kind')}, 1 FROM quasi q JOIN quasi_kinds k ON k.record_id = q.record_id AND k.kind = q.kind WHERE k.suppressed)"""
+    return [*gated(e), (["edits", "quasi"], f"{edits(e)}, {quasi(e)}"), ([], f"{quasi_kinds(e)}, {changes}")]
+
+
+def finals(e: Duck) -> Groups:
+    """finals(conv_id, turn, record_id, reason, final_text): the text of each record by itself."""
+    return [*marked(e), ([], rebuilt(e, "finals", "changes", "screened"))]
 
 
 def span_dedupe(e: Duck) -> str:
@@ -204,7 +264,7 @@ def exclusion_reasons(e: Duck) -> str:
 
 
 def redacted_text(e: Duck) -> str:
-    return f"WITH {base(e)}, {finals(e)} SELECT record_id, final_text FROM finals WHERE reason = 'none'"
+    return f"WITH {e.steps(finals(e))} SELECT record_id, final_text FROM finals WHERE reason = 'none'"
 
 
 def pseudonyms(e: Duck) -> str:
@@ -212,4 +272,10 @@ def pseudonyms(e: Duck) -> str:
     return f"WITH {base(e)}, {acts(e)[0]} SELECT conv_id, name, concat('[PERSON_', CAST(n AS {e.string}), ']') AS pseudonym FROM numbers"
 
 
-DEFINITIONS = {f.__name__: f for f in (span_dedupe, detect_person_place, category_detections, exclusion_reasons, redacted_text, pseudonyms)}
+def qi_edits(e: Duck) -> str:
+    """Every quasi-identifier: where it is, and what takes its place if its record has more than three kinds."""
+    return f"""WITH {e.steps(marked(e))} SELECT q.record_id, q.kind, q.begins AS span_start, q.ends AS span_end, CASE WHEN k.suppressed THEN {mark('q.kind')} END AS new
+        FROM quasi q JOIN quasi_kinds k ON k.record_id = q.record_id AND k.kind = q.kind"""
+
+
+DEFINITIONS = {f.__name__: f for f in (span_dedupe, detect_person_place, category_detections, exclusion_reasons, redacted_text, pseudonyms, qi_edits)}

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.patterns import ASCII_B
+from .scratch import stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
 
@@ -15,6 +16,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 class Duck:
     """DuckDB's spelling of what differs."""
 
+    def steps(self, groups: list[tuple[list[str], str]]) -> str:
+        """Groups of relations in order, each with the names of those that later ones read more than once."""
+        return ", ".join(relations for _, relations in groups)
+
     def table(self, name: str) -> str:
         return name
 
@@ -76,6 +81,34 @@ class Duck:
     def overlap(self, x: str, y: str) -> str:
         return f"list_has_any({x}, {y})"
 
+    def less(self, x: str, y: str) -> str:
+        """The items of x that y has not."""
+        return f"list_filter({x}, lambda w: NOT list_contains({y}, w))"
+
+    def words(self, items: tuple[str, ...] | list[str]) -> str:
+        return "CAST([" + ", ".join(self.text(i) for i in items) + "] AS VARCHAR[])"
+
+    def hex32(self, x: str) -> str:
+        """The number that eight hexadecimal digits write."""
+        return f"CAST(concat('0x', {x}) AS BIGINT)"
+
+    def distinct(self, x: str) -> str:
+        return f"list_distinct({x})"
+
+    def set_of(self, x: str) -> str:
+        """The distinct values of a group, sorted."""
+        return f"list(DISTINCT {x} ORDER BY {x})"
+
+    def json_text(self, x: str) -> str:
+        """x as a JSON string, of texts without control characters."""
+        return f"""concat('"', replace(replace({x}, '\\', '\\\\'), '"', '\\"'), '"')"""
+
+    def hours_after(self, x: str, hours: int) -> str:
+        return f"({x} + INTERVAL {hours} HOUR)"
+
+    def days_after(self, x: str, days: str) -> str:
+        return f"({x} + to_days(CAST({days} AS INTEGER)))"
+
     def rows(self, alias: str, columns: list[str], values: list[str]) -> str:
         return f"(SELECT * FROM (VALUES {', '.join(values)}) AS {alias}({', '.join(columns)}))"
 
@@ -153,6 +186,21 @@ class Spark(Duck):
 
     def __init__(self, suffix: str):
         self.suffix = suffix
+        #: relations to write before the query runs, in order
+        self.todo: dict[str, str] = {}
+        self.written: set[str] = set()
+
+    def steps(self, groups: list[tuple[list[str], str]]) -> str:
+        have: list[str] = []
+        for names, relations in groups:
+            have.append(relations)
+            if names:
+                text = ", ".join(have)
+                views = {name: f"{name}_{self.suffix}_{zlib.crc32(text.encode()):x}" for name in names}
+                self.todo |= {view: f"WITH {text} SELECT * FROM {name}" for name, view in views.items()}
+                have = [h for h in have[:-1] if h in self.written] + [f"{name} AS (SELECT * FROM {view})" for name, view in views.items()]
+                self.written.update(have)
+        return ", ".join(have)
 
     def table(self, name: str) -> str:
         return f"{name}_{self.suffix}"
@@ -218,6 +266,30 @@ class Spark(Duck):
     def overlap(self, x: str, y: str) -> str:
         return f"arrays_overlap({x}, {y})"
 
+    def less(self, x: str, y: str) -> str:
+        return f"filter({x}, w -> NOT array_contains({y}, w))"
+
+    def words(self, items: tuple[str, ...] | list[str]) -> str:
+        return "CAST(array(" + ", ".join(self.text(i) for i in items) + ") AS ARRAY<STRING>)"
+
+    def hex32(self, x: str) -> str:
+        return f"CAST(conv({x}, 16, 10) AS BIGINT)"
+
+    def distinct(self, x: str) -> str:
+        return f"array_distinct({x})"
+
+    def set_of(self, x: str) -> str:
+        return f"array_sort(collect_set({x}))"
+
+    def json_text(self, x: str) -> str:
+        return f"""concat('"', replace(replace({x}, r'\\', r'\\\\'), '"', r'\\"'), '"')"""
+
+    def hours_after(self, x: str, hours: int) -> str:
+        return f"({x} + INTERVAL '{hours}' HOUR)"
+
+    def days_after(self, x: str, days: str) -> str:
+        return f"({x} + make_dt_interval(CAST({days} AS INT)))"
+
     def made(self, columns: dict[str, str]) -> str:
         # a generator, for the optimizer would put the expressions into each of their uses
         return "inline(array(named_struct(" + ", ".join(f"'{k}', {v}" for k, v in columns.items()) + ")))"
@@ -295,8 +367,10 @@ def runs(define: Callable[[Duck], str]) -> Callable[[SparkSession, str], DataFra
         engine = Spark(f"{zlib.crc32(sf_dir.encode()):x}")
         text = define(engine)
         for name in TABLES:
-            if engine.table(name) in text:
+            if any(engine.table(name) in t for t in (text, *engine.todo.values())):
                 spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(engine.table(name))
+        for view, relations in engine.todo.items():
+            stored(spark.sql(relations)).createOrReplaceTempView(view)
         return spark.sql(text)
 
     return query

@@ -36,8 +36,22 @@ PROMPTS = [
     "My grandmother, a 91-year-old painter from Berlin, keeps all of her old brushes; how are they cleaned best?",
     "How does chemotherapy work, and why does it make so many people tired for such a long time after it?",
     "My number is 123-45-6789 and the office wants it on paper, is that still how it is done today?",
+    "My fingerprint no longer opens the side door of the office, whom do I have to ask for a new card?",
+    "I am gay and we want to marry in the spring, which towns by the sea have a small hall for a feast?",
+    "As an Asian woman in a small town I would like to start a club for cooks, how do I find the first ten?",
+    "My church wants a new roof before the winter, how do we find three offers that can be compared?",
+    "I voted for the plan to close the street to cars, how do I explain it to the shops on the corner?",
+    "My union asks for a list of all the hours that were not paid, what does such a list have to show?",
+    "I took a DNA test last week and it takes so long, how do they read all of the letters in the lab?",
+    "I live at the end of the old mill road. Which trees grow well in the shade of a high wall and need little water?",
+    "A genetic test reads a part of the genome, how many letters are read twice to be sure of each of them?",
+    "I'm an engineer and I have to explain a bridge to a class of small children, where would you begin?",
+    "I am a man who knits in the train, which wool does not get caught in the zip of a winter coat, please?",
+    "We live with three kids above a bakery, how do we keep the smell of fresh bread out of the bedrooms?",
+    "I moved to Quebec for the snow, what do people there wear when it rains on top of the ice in March?",
+    "I'm 41 and I never learned how to swim, which stroke is the easiest one to begin with in a cold lake?",
+    "I met my friend on 3/4/21 at the old station, what could we write on the card for the day we met?",
 ]
-NAMES = ["Anna Reed", "David Moss", "Maria Stone", "James Hill", "Emma Frost", "Anna  Reed"]
 
 
 def prompts(e: Duck) -> str:
@@ -60,6 +74,20 @@ def payments(e: Duck) -> str:
             CASE o_orderkey % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'pending' WHEN 2 THEN 'review' ELSE 'failed' END AS status FROM {e.table("orders")} WHERE o_orderkey % 3 = 0)"""
 
 
+def sales(e: Duck) -> str:
+    """What settlement joins: brief_of (a brief a payment), records of contributors with their receipts, checks (quality results) and
+    accounts of contributors. A record is what a contributor (supplier) has of a part."""
+    ref = f"concat('rec_', CAST(l_partkey AS {e.string}), '_', CAST(l_suppkey AS {e.string}))"
+    return f"""brief_of AS (SELECT o_orderkey AS payment_id, o_custkey AS buyer_id, CASE WHEN o_orderstatus = 'P' THEN 'paused' WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN 'expired' ELSE 'live' END AS brief_status,
+            o_orderpriority <> '4-NOT SPECIFIED' AS escrow, {e.days_after("o_orderdate", "1200")} AS expires, CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'cad' ELSE 'usd' END AS currency FROM {e.table("orders")}),
+        records AS (SELECT l.record_ref, l.user_id, p.p_brand, {e.sha("concat(l.record_ref, p.p_brand)")} AS chain_hash, CASE WHEN p.p_size < 4 THEN 'revoked' WHEN p.p_size > 47 THEN 'sold' ELSE 'available' END AS status, p.p_size % 10 <> 0 AS has_receipt, p.p_retailprice > 1800 AS withdrawn, l.created
+            FROM (SELECT {ref} AS record_ref, l_partkey, l_suppkey AS user_id, min(l_shipdate) AS created FROM {e.table("lineitem")} GROUP BY l_partkey, l_suppkey) l JOIN {e.table("part")} p ON p.p_partkey = l.l_partkey),
+        one_line AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_discount, l_extendedprice, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM {e.table("lineitem")}) l WHERE k = 1),
+        checks AS (SELECT l_orderkey * 10 + l_linenumber AS qa_id, l_orderkey AS payment_id, {ref} AS record_ref, l_suppkey AS user_id, {e.sha(f"concat({ref}, CASE WHEN l_quantity < 5 THEN 'old' ELSE p_brand END)")} AS chain_hash,
+            CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'passed' END AS status, CASE WHEN l_discount > 0 THEN CAST(round(l_extendedprice * 10) AS BIGINT) END AS cents, l_shipdate AS checked FROM one_line JOIN {e.table("part")} ON p_partkey = l_partkey),
+        accounts AS (SELECT s_suppkey AS user_id, s_acctbal > 0 AS connected, s_acctbal > 500 AS transfers_active, s_acctbal > 1000 AS payouts, s_name AS name FROM {e.table("supplier")})"""
+
+
 def payment_events(e: Duck) -> str:
     """Payment events in order of arrival; every tenth is delivered twice."""
     return f"""payment_events AS (SELECT event_id, user_id AS payment_id, event_id AS arrival, ts,
@@ -68,17 +96,49 @@ def payment_events(e: Duck) -> str:
         UNION ALL SELECT event_id, user_id, event_id + 1000000000, ts, 'paid' FROM {e.table("events")} WHERE event_id % 10 = 0)"""
 
 
-BRIEF_COLUMNS = ["brief_ref", "status", "escrow", "expires", "category", "lang", "domain", "min_prompts", "kw_any", "kw_all", "kw_none", "guarantee"]
+#: Briefs: reach is the languages whose contributors' devices are sent the brief; languages, domains and keywords are what it asks
+#: for. expires is a date; density the largest share of placeholders that it takes.
 BRIEFS = [
-    "('b1', 'live', true, '2030-01-01', 'general', 'en', 'src1', 1, 'the', 'and', 'zebra', 'exact')",
-    "('b2', 'live', true, '2030-01-01', 'research', 'fr', '', 1, 'les', 'la', 'idiot', 'near')",
-    "('b3', 'paused', true, '2030-01-01', 'general', 'de', '', 1, '', '', '', 'none')",
-    "('b4', 'live', false, '2030-01-01', 'general', '', '', 2, 'the', '', '', 'none')",
-    "('b5', 'live', true, '2020-01-01', 'general', '', 'src2', 1, 'der', 'und', '', 'exact')",
-    "('b6', 'live', true, '2031-06-01', 'model_training', '', '', 1, '', '', 'C++', 'near')",
-    "('b7', 'live', true, '2031-06-01', 'unlisted', 'es', '', 1, 'que', '', '', 'none')",
-]
+    {"brief_ref": "b1", "status": "live", "escrow": True, "expires": "2030-01-01", "category": "general", "reach": ["en", "fr"], "languages": ["en"], "domains": ["coding", "general"], "min_prompts": 1, "density": 0.25, "kw_any": ["the", "zebra"], "kw_all": ["and"], "kw_none": ["zebra", "idiot"], "guarantee": "exact", "target": 400, "per_user": 20},
+    {"brief_ref": "b2", "status": "live", "escrow": True, "expires": "2030-01-01", "category": "research", "reach": ["fr"], "languages": ["fr"], "domains": [], "min_prompts": 2, "density": 0.5, "kw_any": ["les", "de"], "kw_all": ["la"], "kw_none": ["idiot"], "guarantee": "exact+near", "target": 50, "per_user": None},
+    {"brief_ref": "b3", "status": "paused", "escrow": True, "expires": "2030-01-01", "category": "general", "reach": ["de"], "languages": ["de"], "domains": [], "min_prompts": 1, "density": 0.25, "kw_any": [], "kw_all": [], "kw_none": [], "guarantee": "exact", "target": 10, "per_user": 2},
+    {"brief_ref": "b4", "status": "live", "escrow": False, "expires": "2030-01-01", "category": "general", "reach": ["en", "es"], "languages": [], "domains": ["writing"], "min_prompts": 3, "density": 0.01, "kw_any": ["the"], "kw_all": [], "kw_none": [], "guarantee": "exact", "target": 10, "per_user": None},
+    {"brief_ref": "b5", "status": "live", "escrow": True, "expires": "2020-01-01", "category": "evaluation", "reach": ["de", "es"], "languages": ["de"], "domains": ["education"], "min_prompts": 1, "density": 0.25, "kw_any": ["der", "  "], "kw_all": ["und"], "kw_none": [], "guarantee": "exact", "target": 10, "per_user": 1},
+    {"brief_ref": "b6", "status": "live", "escrow": True, "expires": "2031-06-01", "category": "model_training", "reach": ["en", "de", "fr", "es"], "languages": [], "domains": [], "min_prompts": 1, "density": 1.0, "kw_any": [], "kw_all": [], "kw_none": ["C++", "Apache License"], "guarantee": "exact+near", "target": 1000, "per_user": 5},
+    {"brief_ref": "b7", "status": "live", "escrow": True, "expires": "2031-06-01", "category": "unlisted", "reach": ["es"], "languages": ["es"], "domains": ["business", "general"], "min_prompts": 1, "density": 0.25, "kw_any": ["que"], "kw_all": [], "kw_none": [], "guarantee": "exact", "target": 1, "per_user": None},
+]
 
 
 def briefs(e: Duck) -> str:
-    return f"briefs AS {e.rows('b', BRIEF_COLUMNS, BRIEFS)}"
+    """briefs(brief_ref, status, escrow, expires, category, reach, languages, domains, ...)"""
+
+    def value(x: object) -> str:
+        if isinstance(x, list):
+            return e.words(x)
+        return "CAST(NULL AS INT)" if x is None else str(x).lower() if isinstance(x, bool) else e.text(x) if isinstance(x, str) else f"CAST({x} AS DOUBLE)" if isinstance(x, float) else str(x)
+
+    return "briefs AS " + e.rows("b", list(BRIEFS[0]), ["(" + ", ".join(map(value, b.values())) + ")" for b in BRIEFS])
+
+
+def contributions(e: Duck) -> str:
+    """Bundles of documents' lines as prompts, with what their contributors' devices told and the consent that was given.
+
+    bundles(doc_id, user_id, record_ref, prompts, language, tags, chain_hash, status): a document with words is one conversation of
+    the contributor `source`; tags come from what its text says, its status from the order of its number. receipts(doc_id,
+    receipt_ref, revoked, categories, jurisdiction): consent where there is an order of that number; jurisdiction is by the region
+    of its customer, categories what it was urgent for, and it is revoked if the order was returned in full."""
+    text = "replace(text, chr(13), '')"
+    lines = e.where(f"string_split({text}, chr(10))" if type(e) is Duck else f"split({text}, '\\n')", "trim(x) <> ''")
+    tags = [("coding", r"(?i)\b(?:license|version|token|http)\b"), ("business", r"@|\+[0-9]"), ("writing", r"(?i)\b(?:the|les|der|que)\b"), ("education", r"[0-9]{4}")]
+    told = e.those(e.items([f"CASE WHEN {e.matches('text', p)} THEN '{t}' END" for t, p in tags]), "t", "t IS NOT NULL")
+    wide = e.words(["general", "research", "model_training", "evaluation", "safety"])
+    cats = f"CASE o_orderpriority WHEN '1-URGENT' THEN {wide} WHEN '2-HIGH' THEN {e.words(['general', 'model_training'])} WHEN '3-MEDIUM' THEN {e.words(['general'])} ELSE {e.words(['research', 'evaluation'])} END"
+    return f"""worded AS (SELECT doc_id, source, lang, text, {e.made({"prompts": lines, "told": told})} FROM {e.table("documents")} WHERE text IS NOT NULL),
+        bundles AS (SELECT d.doc_id, d.source AS user_id, concat('rec_', CAST(d.doc_id AS {e.string})) AS record_ref, d.prompts, CASE WHEN d.lang IN ('en', 'fr', 'de', 'es') THEN d.lang ELSE 'und' END AS language,
+            CASE WHEN {e.size("told")} > 0 THEN told ELSE {e.words(["general"])} END AS tags, {e.sha("text")} AS chain_hash, CASE WHEN o.o_orderstatus = 'P' THEN 'sold' ELSE 'available' END AS status
+            FROM worded d LEFT JOIN {e.table("orders")} o ON o.o_orderkey = d.doc_id WHERE {e.size("d.prompts")} > 0),
+        receipts AS (SELECT o.o_orderkey AS doc_id, concat('rcpt_', CAST(o.o_orderkey AS {e.string})) AS receipt_ref, coalesce(l.back, false) AS revoked, {cats} AS categories,
+            CASE r.r_name WHEN 'AMERICA' THEN 'US' WHEN 'EUROPE' THEN 'CA' ELSE substr(r.r_name, 1, 2) END AS jurisdiction
+            FROM {e.table("orders")} o JOIN {e.table("customer")} c ON c.c_custkey = o.o_custkey JOIN {e.table("nation")} n ON n.n_nationkey = c.c_nationkey JOIN {e.table("region")} r ON r.r_regionkey = n.n_regionkey
+            LEFT JOIN (SELECT l_orderkey, min(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS back FROM {e.table("lineitem")} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey),
+        matches AS (SELECT b.brief_ref, d.doc_id, d.source AS user_id FROM {e.table("documents")} d JOIN (SELECT brief_ref, {e.each("reach")} AS lang FROM briefs) b ON b.lang = d.lang)"""

@@ -38,6 +38,26 @@ def test_word_count(spark, text, n):
     assert spark.sql(f"SELECT {valuation.words(Spark('x'), literal(text))}").first()[0] == n
 
 
+def test_briefs_ask_for_keywords(spark):
+    """Any, all and none by literal phrases: whole words, special characters, and runs of white space."""
+    e = Spark("x")
+    text = "The  Apache\nLicense and C++ of der Hund"
+    found = spark.sql(f"SELECT {market.keywords_in(e, 't')} FROM (SELECT {literal(text)} AS t)").first()[0]
+    assert sorted(found) == ["Apache License", "C++", "and", "der", "the"]
+
+
+def test_simhash_is_a_majority_of_words(spark, duck):
+    import hashlib
+
+    texts = ["a b c", "the quick brown fox jumps over the lazy dog", "x"]
+    e = Spark("x")
+    rel = " UNION ALL ".join(f"SELECT {literal(t)} AS exact, {literal(t)} AS text" for t in texts)
+    for r in spark.sql(f"WITH r AS ({rel}), {market.sketches(e, 'r')} SELECT exact, hi, lo FROM sims").collect():
+        words = {hashlib.md5(w.encode()).hexdigest()[:16] for w in r.exact.split()}
+        want = sum(1 << b for b in range(64) if 2 * sum(int(w, 16) >> b & 1 for w in words) > len(words))
+        assert (r.hi << 32 | r.lo) == want
+
+
 @pytest.mark.parametrize(("text", "word", "there"), [("The Cat sat", "cat", True), ("concatenate", "cat", False), ("machine   learning", "machine learning", True), ("un résumé ici", "RÉSUMÉ", True), ("deux résumés", "résumé", False), ("anything", "  ", False), ("uses c++ daily", "c++", True)])
 def test_keyword(spark, text, word, there):
     assert spark.sql(f"SELECT {market.keyword(Spark('x'), 't', 'k')} FROM (SELECT {literal(text)} AS t, {literal(word)} AS k)").first()[0] is there
