@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import funds, market, policy, provenance, settlement, valuation
+from .operators import external, funds, ingest, market, policy, provenance, settlement, valuation
 from .plans.dialect import Duck, runs
 from .streaming import payments
 
-DEFINITIONS = valuation.DEFINITIONS | policy.DEFINITIONS | market.DEFINITIONS | provenance.DEFINITIONS | funds.DEFINITIONS | settlement.DEFINITIONS
+DEFINITIONS = valuation.DEFINITIONS | policy.DEFINITIONS | market.DEFINITIONS | provenance.DEFINITIONS | funds.DEFINITIONS | settlement.DEFINITIONS | external.DEFINITIONS | ingest.DEFINITIONS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
