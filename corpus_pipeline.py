@@ -11,7 +11,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import saved, table
+from parley.llm.common import quoted, saved, table
 from parley.llm.minhash import near_duplicates
 from parley.llm.mixing import mix
 from parley.llm.pieces import encode_texts
@@ -21,46 +21,63 @@ from parley.llm.toxicity import score_toxicity
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7."""
+    """Documents whose toxicity score is below 0.7, each row by itself.
+
+    A null text is scored as an empty one; null and repeated ids, nulls elsewhere and equal rows are scored row by row; other
+    columns pass through, whatever they are named. An empty table gives an empty one.
+    """
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"), columns=docs.columns)
-    return scored.where("predicted = 0").select(*(F.col(f"_{c}").alias(c) for c in docs.columns))
+    return scored.where("predicted = 0").select(*(quoted(f"_{c}").alias(c) for c in docs.columns))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of least id.
 
     Of rows that share an id and a word sequence the one of least text stays, then of least other columns in their order.
-    Rows with a null id, and rows of one id with other words, are documents of their own.
+    Rows with a null id, and rows of one id with other words, are documents of their own; null, empty and blank texts are
+    near nothing. Nulls in other columns and columns of any name stay as they are. An empty table gives an empty one.
     """
+    own = [quoted(c) for c in docs.columns]
     found = near_duplicates(docs, words=5, percent=80)
-    out = docs.join(saved(found.where("not kept").select("doc_id").distinct()).hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(saved(found.where("not kept").select("doc_id").distinct()).hint("merge"), "doc_id", "left_anti").select(*own)
     again = saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return out
     sequence = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+", " "))
     place = f"{max(docs.columns, key=len)}_place"  # a longer name than any column has
-    same = Window.partitionBy("doc_id", F.sha2(sequence, 256)).orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    same = Window.partitionBy("doc_id", F.sha2(sequence, 256)).orderBy("text", *(quoted(c) for c in docs.columns if c not in ("doc_id", "text")))
     # written first, so that the window deals rows by their words too: one id may have very many
-    first = saved(out.join(again, "doc_id", "left_semi")).withColumn(place, F.row_number().over(same)).where(F.col(place) == 1)
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(first.select(*docs.columns))
+    first = saved(out.join(again, "doc_id", "left_semi")).withColumn(place, F.row_number().over(same)).where(quoted(place) == 1)
+    return out.join(again, "doc_id", "left_anti").select(*own).union(first.select(*own))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every span of personal data replaced by its kind in brackets."""
+    """Documents with every span of personal data replaced by its kind in brackets, and n_chars as they then are.
+
+    A null text stays null, with null n_chars; every row stays, in any number; other columns pass through, whatever they are
+    named. An empty table gives an empty one.
+    """
     found = find_personal_data(docs, with_text=True, columns=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
     new = {"doc_id": F.col("doc_id"), "text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
-    return found.select(*(new.get(c, F.col(f"_{c}")).alias(c) for c in docs.columns))
+    return found.select(*(new.get(c, quoted(f"_{c}")).alias(c) for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: sources weigh 5, 2, 1 in turn."""
+    """Documents as often as the mix takes them: sources weigh 5, 2, 1 in turn.
+
+    A null source is a source; rows without words, of null text too, come once; each row of a repeated or null id has copies of
+    its own, and of equal rows some. Other columns pass through, whatever they are named. An empty table gives an empty one.
+    """
     taken = mix(docs, columns=docs.columns).where("copies > 0")
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("time")
-    return taken.select(times, *(f"_{c}" for c in docs.columns)).select(*(F.col(f"_{c}").alias(c) for c in docs.columns))
+    return taken.select(times, *(quoted(f"_{c}") for c in docs.columns)).select(*(quoted(f"_{c}").alias(c) for c in docs.columns))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text; a document that the mix takes twice is there twice."""
+    """(doc_id, ids, n_pieces, round_trip) of every row; a document that the mix takes twice is there twice.
+
+    A null text has null ids, an empty one none; null and repeated ids are told as they are. An empty table gives an empty one.
+    """
     return encode_texts(docs, MODEL_FILE)
 
 

@@ -24,3 +24,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/parley/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the shared folder. For when every result is written: nothing read from them can be read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/parley")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
