@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import stored as saved
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -18,25 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local[...] master may do without: it gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='parley-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and a lost executor costs nothing already written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/parley/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def in_blocks(members: DataFrame, key: list[str], member: str, block: int, weight: str | None = None) -> DataFrame:
     """Deal the members of each key into block pairs (lo, hi) such that any two members meet in exactly one.
 
@@ -115,11 +96,13 @@ def quoted(name: str) -> F.Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def carried(docs: DataFrame, columns: list[str] | None) -> tuple[list[F.Column], list[str], list[F.Column]]:
-    """Columns that pass through an operator, with _ before their names: to select, as schema fields, to select again."""
-    names = [c.replace("`", "``") for c in columns or []]
-    fields = [f"`_{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, columns or [], strict=True)]
-    return [quoted(c).alias(f"_{c}") for c in columns or []], fields, [quoted(f"_{c}") for c in columns or []]
+def carried(docs: DataFrame, columns: list[str] | None) -> tuple[list[F.Column], list[str], list[str], list[F.Column]]:
+    """Columns that pass through an operator: to select as _0, _1 and so on, for a name may be any; their schema fields; these inner
+    names; and to select at the end, with _ before their own names."""
+    inner = [f"_{k}" for k in range(len(columns or []))]
+    fields = [f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(inner, columns or [], strict=True)]
+    named = list(zip(inner, columns or [], strict=True))
+    return [quoted(c).alias(k) for k, c in named], fields, inner, [F.col(k).alias(f"_{c}") for k, c in named]
 
 
 def drawn_rows(docs: DataFrame, by: str, most: F.Column, marks: DataFrame | None = None, how: str = "inner") -> DataFrame:

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from .common import drawn_rows, held_out, quoted
 from .toxicity import logistic
 
-WORD_BUCKETS, NAME_BUCKETS = 64, 32
+WORD_BUCKETS, NAME_BUCKETS = 256, 32
 
 
 def text_view(text: str) -> list[float]:
-    """What the whole text itself shows: lengths, repeats, character kinds, and shares of hashed frequent words."""
+    """What the whole text itself shows: lengths, repeats, character kinds, and the shares of its words by hash."""
     words, lines = text.split(), text.split("\n")
     n, chars = max(1, len(words)), max(1, len(text))
     counts = Counter(words)

@@ -106,11 +106,11 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     ids are documents of their own. An empty table gives an empty result. `columns` of docs are passed through,
     with _ before their names, and order rows of one id; others are ignored.
     """
-    passing, _, passed = carried(docs, columns)
+    passing, _, inner, passed = carried(docs, columns)
     sized = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(source).cast("string").alias("source"), word_count(quoted(text).cast("string")).alias("size"), *passing)
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
-    sized = sized.select("doc_id", key.alias("skey"), "size", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(salts)).cast("int").alias("salt"), *passed)
-    sized = sized if passed else saved(sized)  # whole rows are read again rather than written
+    sized = sized.select("doc_id", key.alias("skey"), "size", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(salts)).cast("int").alias("salt"), *inner)
+    sized = sized if inner else saved(sized)  # whole rows are read again rather than written
     parts = saved(sized.groupBy("skey", "size", "salt").agg(F.count(F.lit(1)).alias("n")))
     classes = saved(parts.groupBy("skey", "size").agg(F.sum("n").alias("n")))
     totals = classes.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -122,6 +122,6 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     before = F.sum("n").over(Window.partitionBy("skey", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     dealt = parts.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
     dealt = saved(dealt.join(taken, ["skey", "size"]).join(goals, "skey"))
-    place = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy(F.xxhash64("doc_id"), "doc_id", *passed)) - 1 + F.col("before")
+    place = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy(F.xxhash64("doc_id"), "doc_id", *inner)) - 1 + F.col("before")
     out = sized.join(dealt, ["skey", "size", "salt"]).withColumn("copies", F.expr("copies div n") + F.when(place < F.col("copies") % F.col("n"), 1).otherwise(0))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", *passed)

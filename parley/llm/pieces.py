@@ -178,16 +178,21 @@ class Encoder:
         n, bpe, single = len(text), self.v.bpe, self.single
         last, best, done = [-1] * (n + 1), [0.0] + [-1e18] * n, 0
         alone = [] if single.issuperset(text) else [k for k, c in enumerate(text) if c not in single]
-        scores, step, at = self.v.scores, self.step, 0
+        scores, told, many = self.v.scores, self.told, self.many
         for end, (i, size) in self.found.iter(text):
             to = end + 1
             if bpe and not best[to]:
                 continue  # no path scores more than 0
-            while done < len(alone) and alone[done] < end:
+            while alone and done < len(alone) and alone[done] < end:
                 self.alone(alone[done], last, best)
                 done += 1
-            at = to - size
-            score = best[at] + (step(last[at], i) if bpe else scores[i])
+            if not bpe:
+                gain = scores[i]
+            elif (before := last[to - size]) < 0:
+                gain = 0.0
+            elif (gain := told.get(before * many + i)) is None:
+                gain = self.step(before, i)
+            score = best[to - size] + gain
             if score > best[to]:
                 best[to], last[to] = score, i
         for k in alone[done:]:
@@ -201,13 +206,10 @@ class Encoder:
             best[k + 1], last[k + 1] = score, -1
 
     def step(self, before: int, i: int) -> float:
-        """BPE models: 0 if merging leaves piece i behind the piece `before` as the two are, else -1."""
-        if before < 0:
-            return 0.0
-        if (fits := self.told.get(before * self.many + i)) is None:
-            if len(self.told) >= self.known:
-                self.told.clear()
-            fits = self.told[before * self.many + i] = 0.0 if self.joined(before, i) else -1.0
+        """BPE models: 0 if merging leaves piece i behind the piece `before` as the two are, else -1. It is remembered."""
+        if len(self.told) >= self.known:
+            self.told.clear()
+        fits = self.told[before * self.many + i] = 0.0 if self.joined(before, i) else -1.0
         return fits
 
     def path(self, text: str, last: list[int]) -> list[int]:

@@ -182,6 +182,6 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cols[6], pa.string())] if with_text else []), *part.columns[2:]], [*names, *part.schema.names[2:]])
 
     names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", *(["masked"] if with_text else [])]
-    passing, fields, _ = carried(docs, columns)
+    passing, fields, _, passed = carried(docs, columns)
     schema = ", ".join([*(f"{c} {'long' if c == 'doc_id' or c.startswith('n_') else 'string'}" for c in names), *fields])
-    return docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"), *passing).mapInArrow(run, schema)
+    return docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"), *passing).mapInArrow(run, schema).select(*names, *passed)

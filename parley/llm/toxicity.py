@@ -213,7 +213,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     """
     own = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     told = docs.sparkSession.sparkContext.broadcast(learn(own, labels, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)))
-    passing, fields, passed = carried(docs, columns)
+    passing, fields, _, passed = carried(docs, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = told.value

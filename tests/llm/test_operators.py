@@ -453,3 +453,94 @@ def test_classifier_held_out(spark, query, label, least):
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
     assert held(out, 3, 1) and auc > least and ((s >= 0) & (s <= 1)).all()
     assert out.count() == table(spark, DIR, "documents").count()
+
+
+def test_kneser_ney_equals_dictionaries():
+    """Probabilities of the sorted hash arrays against interpolated Kneser-Ney by plain counting."""
+    from collections import Counter
+
+    words = Counter({"aba": 3, "ab": 2, "bab": 1, "abba": 4, "cab": 1, "c": 2})
+    models = language.Models({"x": [" ".join(words.elements())]})
+    order, start, end = language.ORDER, "\x02", "\x03"
+    counts = [Counter() for _ in range(order + 1)]
+    for w, n in words.items():
+        padded = start * order + w + end
+        for k in range(order, len(padded)):
+            counts[order][padded[k - order + 1 : k + 1]] += n
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(counts[1]) + 1)
+        own = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
+        once, twice = (sum(n == x for n in counts[k].values()) for x in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        if not own:
+            return p(gram[1:])
+        return max(own.get(gram, 0) - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * p(gram[1:])
+
+    for w in ("aba", "abc", "ccc", "b", "zb"):
+        padded = start * order + w + end
+        want = sum(math.log(p(padded[k - order + 1 : k + 1])) for k in range(order, len(padded)))
+        assert math.isclose(models.of_words([w])[0][0], want, rel_tol=1e-4), w
+
+
+def test_dictionary_gains_are_compressed_lengths():
+    """Features from window lengths that zstandard itself gives under the two trained dictionaries; toxic words are found."""
+    import zstandard as zs
+
+    rnd = random.Random(3)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it"]
+    word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, 5)))
+    bad = ["wretched", "loathsome", "vermin", "despicable"]
+    clean = [" ".join(word() for _ in range(120)) for _ in range(400)]
+    toxic = [" ".join(rnd.choice(bad) if rnd.random() < 0.05 else word() for _ in range(120)) for _ in range(200)]
+    d = toxicity.Dictionaries(toxic, clean)
+    assert sum(any(b.encode() in w for w in d.found) for b in bad) >= 3
+    p = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_LAZY2, window_log=17, hash_log=17, chain_log=17, search_log=8, min_match=4, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+    plain, both = (zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(x, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p) for x in d.parts)
+    for text in (toxic[0], clean[0], "ÉTÉ Wretched VERMIN", ""):
+        raw = text.encode().lower()
+        gains = [len(plain.compress(raw[i : i + 96])) - len(both.compress(raw[i : i + 96])) for i in range(0, len(raw), 96)] or [0]
+        got = d.features(text, d.compressors())
+        assert got[0] == max(-4, min(8, max(gains))) and math.isclose(got[2], math.log1p(sum(g >= 3 for g in gains))) and math.isclose(got[5], sum(g >= 3 for g in gains) / len(gains))
+    score = lambda t: d.features(t, d.compressors())[1]
+    assert np.mean([score(t) for t in toxic]) > np.mean([score(t) for t in clean]) + 0.3
+
+
+def test_co_training_rounds_equal_plain_loop():
+    """Each round each view hands its surest pool rows to the other, once each, by the classes' shares."""
+    rnd = np.random.default_rng(2)
+    n, m = 60, 300
+    truth, pool_truth = rnd.integers(0, 2, n).astype(float), rnd.integers(0, 2, m).astype(float)
+    views = [truth[:, None] * 2 + rnd.normal(size=(n, 3)) for _ in range(2)]
+    pool = [pool_truth[:, None] * 2 + rnd.normal(size=(m, 3)) for _ in range(2)]
+    fits = cotraining.co_train(views, truth, pool, rounds=3, share=0.05, sure=0.8)
+    own = [(list(views[k]), list(truth)) for k in (0, 1)]
+    left = [list(range(m)), list(range(m))]  # rows that view k has not been handed yet
+    plain = [toxicity.logistic(np.array(x), np.array(y)) for x, y in own]
+    prior, most = truth.mean(), max(1, int(0.05 * m))
+    for _ in range(3):
+        handed = []
+        for k in (0, 1):
+            p = cotraining.chances(plain[k], pool[k][left[1 - k]])
+            ups = [left[1 - k][i] for i in np.argsort(-p)[: max(1, round(most * prior))] if p[i] >= 0.8]
+            downs = [left[1 - k][i] for i in np.argsort(p)[: max(1, round(most * (1 - prior)))] if p[i] <= 1 - 0.8]
+            handed.append((ups, downs))
+        for k in (0, 1):
+            for rows_, label in zip(handed[k], (1.0, 0.0), strict=True):
+                for i in rows_:
+                    own[1 - k][0].append(pool[1 - k][i])
+                    own[1 - k][1].append(label)
+                    left[1 - k].remove(i)
+        plain = [toxicity.logistic(np.array(x), np.array(y)) for x, y in own]
+    for k in (0, 1):
+        assert len(own[k][1]) > n and all(np.allclose(a, b, atol=1e-9) for a, b in zip(fits[k], plain[k], strict=True))
+
+
+def test_addresses_have_no_look_back_limit():
+    street = "Main" * 60
+    text = f"He lives at 12 {street} North East Road, and 1234567 Main Street is none, nor is a Street."
+    assert [s for s in pii.spans(text) if s[0] == "address"] == [("address", 12, text.index("Road") + 4)]

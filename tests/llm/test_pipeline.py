@@ -54,6 +54,46 @@ def test_stages_take_odd_and_empty_tables(spark):
         assert cp.STAGES[-1][1](spark, docs, DIR).count() == docs.count()
 
 
+def plain_near(rows_):
+    """What the near-duplicate stage must leave of rows (doc_id, text, rest): a plain version of its docstring."""
+    words = lambda t: tuple((t or "").encode().lower().split())
+    found = sets({k: t for k, (_, t, *_) in enumerate(rows_)}, 5)
+    ids = {r[0] for r in rows_ if r[0] is not None}
+    joined = [(rows_[a][0], rows_[b][0]) for a, b in links(found, 80) if rows_[a][0] is not None and rows_[b][0] is not None]
+    least = components(ids, joined)
+    out, seen = [], set()
+    for r in sorted(rows_, key=lambda r: tuple((x is not None, x or 0 if isinstance(x, (int, type(None))) else x) if not isinstance(x, str) else (True, x) for x in (r[1] or "", *map(str, r[2:])))):
+        if r[0] is None:
+            out.append(r)
+        elif least[r[0]] == r[0] and (r[0], words(r[1])) not in seen:
+            seen.add((r[0], words(r[1])))
+            out.append(r)
+    return Counter((r[0], words(r[1])) for r in out)
+
+
+def test_stages_keep_contents_of_odd_tables(spark):
+    """Nulls, blanks, repeats and clashing or dotted names: every stage's rows are those of a plain version."""
+    docs = odd_docs(spark).withColumn("a.b", F.lit("dot")).withColumn("_score", F.lit(2.5))
+    told = rows(docs)
+    scored = {(r.doc_id, r._text): r.predicted for r in score_toxicity(docs, table(spark, DIR, "labels"), columns=["text"]).collect()}
+    clean = rows(cp.without_toxic(spark, docs, DIR))
+    assert clean == Counter({r: n for r, n in told.items() if not scored[r[0], r[1]]})
+    single = cp.without_near_duplicates(spark, docs, DIR)
+    words = lambda t: tuple((t or "").encode().lower().split())
+    assert Counter((r.doc_id, words(r.text)) for r in single.collect()) == plain_near([tuple(r) for r in docs.collect()]) and not rows(single) - told
+    at, n = docs.columns.index("text"), docs.columns.index("n_chars")
+    hidden = lambda t: None if t is None else pii.masked(t, pii.spans(t))
+    want = Counter()
+    for r, k in told.items():
+        t = hidden(r[at])
+        want[tuple(t if i == at else (None if t is None else len(t)) if i == n else x for i, x in enumerate(r))] += k
+    assert rows(cp.without_personal_data(spark, docs, DIR)) == want
+    copies = Counter()
+    for r in mix(docs, columns=["text", "a.b"]).collect():
+        copies[r.doc_id, r._text] += r.copies
+    assert Counter((r.doc_id, r.text) for r in cp.mixed(spark, docs, DIR).collect()) == +copies
+
+
 def test_repeated_and_null_ids_keep_their_documents(spark):
     docs = [(1, "a b c d e f"), (1, "A  b c\td e f"), (1, "other words that are not linked at all"), (1, None), (1, " "), (2, "a b c d e f"), (3, "alone"), (None, "no id here"), (None, "no id here"), (None, "nor here"), (None, None)]
     frame = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, n_chars long")
