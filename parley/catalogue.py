@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import external, funds, ingest, market, policy, provenance, settlement, valuation
 from .plans.dialect import Duck, runs
+from .sources import briefs
 from .streaming import payments
 
 DEFINITIONS = valuation.DEFINITIONS | policy.DEFINITIONS | market.DEFINITIONS | provenance.DEFINITIONS | funds.DEFINITIONS | settlement.DEFINITIONS | external.DEFINITIONS | ingest.DEFINITIONS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: runs(f) for k, f in DEFINITIONS.items()} | payments.STREAMS
+    return {k: runs(f) for k, f in DEFINITIONS.items()} | payments.STREAMS | {"brief_ingest": briefs.brief_ingest}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: f(Duck()) for k, f in DEFINITIONS.items()} | {k: f(Duck()) for k, f in payments.TWINS.items()}
+    return {k: f(Duck()) for k, f in DEFINITIONS.items()} | {k: f(Duck()) for k, f in payments.TWINS.items()} | {"brief_ingest": briefs.BRIEF_INGEST_SQL}

@@ -102,7 +102,7 @@ def reason_codes(e: Duck) -> str:
     return f"SELECT code, count(*) AS n FROM (WITH {outcome_rows(e)}, {attestation_rows(e)} SELECT {one} AS code FROM attested WHERE codes <> '') c GROUP BY code"
 
 
-def operator_log(e: Duck) -> str:
+def edit_log(e: Duck) -> str:
     """What was done where, without any text: every edit of a record's own, by offset."""
     return f"""WITH {e.steps(screening.marked(e))} SELECT record_id, begins AS span_start, ends AS span_end, CASE WHEN late = 1 THEN 'SUPPRESS' WHEN new LIKE '[%' THEN 'REDACT' ELSE 'GENERALISE' END AS action FROM changes WHERE new IS NOT NULL"""
 
@@ -149,4 +149,4 @@ def chain_verify(e: Duck) -> str:
         SELECT conv_id, k, prev, link = {e.sha("concat(prev, payload)")} AS holds FROM read"""
 
 
-DEFINITIONS = {f.__name__: f for f in (attestation_chain, chain_verify, pseudonymous_ids, buyer_scoped_ids, consent_receipts, receipt_sign_verify, packaged_bundles, buyer_records, datasheet_tags, batch_ids, attestations, reason_codes, operator_log, datasheet_distribution, capture_windows, latest_bundle, first_seen_fingerprint, revocation_status)}
+DEFINITIONS = {f.__name__: f for f in (attestation_chain, chain_verify, pseudonymous_ids, buyer_scoped_ids, consent_receipts, receipt_sign_verify, packaged_bundles, buyer_records, datasheet_tags, batch_ids, attestations, reason_codes, edit_log, datasheet_distribution, capture_windows, latest_bundle, first_seen_fingerprint, revocation_status)}

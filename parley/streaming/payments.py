@@ -1,86 +1,90 @@
-"""Payment events as a stream: once each, then counted by day, with batch twins."""
+"""Payment events as streams: once each and counted by day, folded into payment states, and the worker that settles in ticks."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.funds import payment_state_batch
 from ..plans.dialect import Duck, runs
 from ..plans.fixtures import payment_events
+from ..plans.scratch import shared_dir
+
+
+def last_updates(stream: DataFrame, folder: str, key: list[str]) -> DataFrame:
+    """Run a stream of updates over what is there, written batch by batch as files; of each key the newest. A batch that is run again
+    replaces its own files."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
+
+    run = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(keep).start()
+    run.awaitTermination()
+    newest = Window.partitionBy(*key).orderBy(F.desc("batch"))
+    return stream.sparkSession.read.parquet(f"{folder}/out").withColumn("k", F.row_number().over(newest)).where("k = 1").drop("k", "batch", "part")
+
+
+def event_days_stream(events: DataFrame, watermark: str = "30 days") -> DataFrame:
+    """(window, event_type, n) of a stream of events (event_id, ts, event_type). Deliveries of an event count once if they come within
+    the watermark of each other; ids and days older than that leave the state, and events that late are dropped."""
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", watermark)
+    once = timed.dropDuplicatesWithinWatermark(["event_id"])
+    return once.groupBy(F.window("at", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def event_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by type and day: read as a stream, delivered twice, deduplicated within the watermark."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    twice = source.unionByName(source).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "400 days")
-    once = twice.dropDuplicatesWithinWatermark(["event_id"])
-    days = once.groupBy(F.window("at", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    name = f"events_{uuid.uuid4().hex}"
-    run = days.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    days = event_days_stream(source.unionByName(source)).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return last_updates(days, f"{shared_dir(spark)}/parley/days-{uuid.uuid4().hex}", ["day", "event_type"])
 
 
-STATE = "firsts string"
+KINDS = {"paid": 0, "failed": 1, "refunded": 2, "disputed": 2}
+STATE = "ids array<long>, arrivals array<long>, kinds array<long>"
 
 
 def advance(key, batches, state):
     """A payment's state after one more batch. Of an event delivered more than once the first arrival counts, in whatever
     order and batch its deliveries come, so the state keeps each event's first arrival and kind."""
-    import json
-
-    import pandas as pd
-
-    firsts = json.loads(state.get[0]) if state.exists else {}
-    for batch in batches:
-        for event_id, kind, arrival in zip(batch["event_id"], batch["kind"], batch["arrival"]):
-            if str(event_id) not in firsts or int(arrival) < firsts[str(event_id)][0]:
-                firsts[str(event_id)] = (int(arrival), kind)
-    state.update((json.dumps(firsts),))
-    at = {k: min((a for a, kind in firsts.values() if kind == k), default=None) for k in ("paid", "failed")}
-    if any(kind in ("refunded", "disputed") for _, kind in firsts.values()):
-        now = "reversed"
-    elif at["paid"] is not None and (at["failed"] is None or at["paid"] < at["failed"]):
-        now = "paid"
-    else:
-        now = "failed" if at["failed"] is not None else "pending"
-    yield pd.DataFrame({"payment_id": [key[0]], "events": [len(firsts)], "state": [now]})
+    held = [np.array(x, np.int64) for x in state.get] if state.exists else [np.empty(0, np.int64)] * 3
+    new = pd.concat(list(batches))
+    ids, arrivals, kinds = (np.concatenate(x) for x in zip(held, (new["event_id"].to_numpy(np.int64), new["arrival"].to_numpy(np.int64), new["kind"].map(KINDS).fillna(3).to_numpy(np.int64)), strict=True))
+    order = np.lexsort((arrivals, ids))
+    first = order[np.unique(ids[order], return_index=True)[1]]
+    ids, arrivals, kinds = ids[first], arrivals[first], kinds[first]
+    state.update((ids.tolist(), arrivals.tolist(), kinds.tolist()))
+    paid, failed = (arrivals[kinds == k].min(initial=np.iinfo(np.int64).max) for k in (0, 1))
+    now = "reversed" if (kinds == 2).any() else "paid" if paid < failed else "failed" if (kinds == 1).any() else "pending"
+    yield pd.DataFrame({"payment_id": [key[0]], "events": [len(ids)], "state": [now]})
 
 
 def payment_states(events: DataFrame) -> DataFrame:
-    """The state of each payment from a stream of (event_id, payment_id, kind, arrival). The state grows with
-    a payment's own events, which are few."""
+    """The state of each payment from a stream of (event_id, payment_id, kind, arrival). The state is three numbers for each of a
+    payment's own events, which are few."""
     return events.groupBy("payment_id").applyInPandasWithState(advance, "payment_id long, events long, state string", STATE, "update", "NoTimeout")
 
 
 def payment_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """payment_state_batch as a stream: events are written once as files, then read as a stream; the last update of each payment."""
-    from pyspark.sql import Window
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="parley-")
-    folder = f"{shared.rstrip('/')}/payments-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/parley/payments-{uuid.uuid4().hex}"
     events = runs(lambda e: f"WITH {payment_events(e)} SELECT event_id, payment_id, kind, arrival FROM payment_events")(spark, sf_dir)
     events.write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    return last_updates(payment_states(source), folder, ["payment_id"])
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
 
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
-    run = payment_states(source).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(keep).start()
-    run.awaitTermination()
-    updates = spark.read.parquet(f"{folder}/out")
-    newest = Window.partitionBy("payment_id").orderBy(F.desc("batch"))
-    return updates.withColumn("k", F.row_number().over(newest)).where("k = 1").select("payment_id", "events", "state")
+def settlement_worker(spark: SparkSession, tick: Callable[[int], None], checkpoint: str, seconds: int = 60) -> StreamingQuery:
+    """Calls tick(number) every so many seconds until the query is stopped. A tick that takes longer delays the next: there are never
+    two at once, and after a failure the worker goes on with the tick that failed."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.option("checkpointLocation", checkpoint)
+    return ticks.trigger(processingTime=f"{seconds} seconds").foreachBatch(lambda _, number: tick(number)).start()
 
 
 def event_days(e: Duck) -> str:
