@@ -361,7 +361,10 @@ def _pads(key: str) -> tuple[str, str]:
 
 
 def runs(define: Callable[[Duck], str]) -> Callable[[SparkSession, str], DataFrame]:
-    """A query of the definition over the tables in a folder."""
+    """A query of the definition over the tables in a folder.
+
+    Relations that are read more than once are written first. With spark.parley.reuse = true those that a session has written
+    are read again by its later queries: for tables that do not change meanwhile."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Spark(f"{zlib.crc32(sf_dir.encode()):x}")
@@ -369,8 +372,10 @@ def runs(define: Callable[[Duck], str]) -> Callable[[SparkSession, str], DataFra
         for name in TABLES:
             if any(engine.table(name) in t for t in (text, *engine.todo.values())):
                 spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(engine.table(name))
+        again = spark.conf.get("spark.parley.reuse", "false") == "true"
         for view, relations in engine.todo.items():
-            stored(spark.sql(relations)).createOrReplaceTempView(view)
+            if not (again and spark.catalog.tableExists(view)):
+                stored(spark.sql(relations)).createOrReplaceTempView(view)
         return spark.sql(text)
 
     return query
