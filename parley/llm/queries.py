@@ -42,12 +42,12 @@ def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import digest_windows, format_chats
+    from .chat import digest_chats
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
-    return digest_windows(format_chats(turns.union(more)), dealt=True)
+    return digest_chats(turns.union(more))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,10 +352,23 @@ def test_chat_round_trip(spark):
 def test_stored_windows_are_dealt_and_sorted(spark):
     rows = [(c, t, "user" if t % 2 else "assistant", f"{c} {t} " + "w " * 30) for c in range(3) for t in range(60)]
     windows = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=100, history=20)
-    want = sorted(map(tuple, chat.digest_windows(windows, dealt=True).collect()))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = sorted(map(tuple, chat.digest_chats(frame, budget=100, history=20).collect()))
     assert len(want) == 3 and sorted(map(tuple, chat.digest_windows(windows.repartition(4)).collect())) == want
 
 
+def test_large_conversations_are_formatted_by_window(spark):
+    """Conversations above the bound give the windows and digests that one task would give them, equal and null rows included."""
+    rnd = random.Random(7)
+    rows = [(None if c == 2 else c, t, ["system", "user", "assistant"][(t > 0) + (t % 2 if t else 0)], f"{c} {t} " + "w " * rnd.randrange(40)) for c in range(4) for t in range(25 * c + 5)]
+    rows += [rows[-1], (3, 9, "user", None), (3, None, "assistant", "[OUT] x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = [sorted(map(str, chat.format_chats(frame, budget=90, history=30, large_turns=n).collect())) for n in (1000, 40, 1)]
+    assert len(windows[0]) > 40 and windows[0] == windows[1] == windows[2]
+    digests = [sorted(map(str, chat.digest_chats(frame, budget=90, history=30, large_turns=n).collect())) for n in (1000, 40)]
+    assert digests[0] == digests[1]
+
+
 def test_chat_windows_keep_to_budget():
     turns = [("system", "be kind")] + [("user" if k % 2 else "assistant", "w " * 10) for k in range(30)]
     windows = list(chat.spans(turns, 50, 15))
