@@ -139,8 +139,10 @@ def near(e: Duck) -> str:
 
 
 def near_dups_simhash(e: Duck) -> str:
-    """Prompts that are another contributor's but for some words: sketches of 64 bits that differ in three at the most."""
-    return f"WITH {e.steps(printed(e))}, {near(e)} SELECT user_id, exact FROM nears"
+    """Documents that are another source's but for some words, each source's documents as its prompts: sketches of 64 bits that differ
+    in three at the most. What another source had first word for word is no near copy."""
+    whole = f"SELECT doc_id, source AS user_id, text AS prompt FROM {e.table('documents')} WHERE text IS NOT NULL"
+    return f"WITH {e.steps([(['lines', 'exacts'], prints(e, whole))])}, {near(e)} SELECT user_id, exact FROM nears"
 
 
 def simhash_of_documents(e: Duck) -> str:
@@ -162,17 +164,17 @@ def hamming_pairs(rows: DataFrame) -> DataFrame:
 IDENTIFIER = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
-def prints(e: Duck) -> str:
-    """prints(user_id, exact, first_at): the first arrival of each prompt from a contributor; own(doc_id, user_id, exact): a bundle's."""
-    return f"""lines AS (SELECT doc_id, user_id, {e.each("prompts")} AS prompt FROM bundles), own AS (SELECT DISTINCT doc_id, user_id, {e.sha("lower(trim(prompt))")} AS exact FROM lines),
+def prints(e: Duck, lines: str) -> str:
+    """Of lines(doc_id, user_id, prompt): prints(user_id, exact, first_at): the first arrival of each prompt from a contributor; own(doc_id, user_id, exact): a bundle's."""
+    return f"""lines AS ({lines}), own AS (SELECT DISTINCT doc_id, user_id, {e.sha("lower(trim(prompt))")} AS exact FROM lines),
         prints AS (SELECT user_id, exact, min(doc_id) AS first_at FROM own GROUP BY user_id, exact),
         firsts AS (SELECT exact, user_id, first_at, row_number() OVER (PARTITION BY exact ORDER BY first_at, user_id) AS k FROM prints),
         earliest AS (SELECT exact, min(first_at) AS at, min(CASE WHEN k = 1 THEN user_id END) AS by_user, min(CASE WHEN k = 2 THEN first_at END) AS next_at FROM firsts WHERE k <= 2 GROUP BY exact),
-        exacts AS (SELECT p.user_id, p.exact, p.first_at, CASE WHEN e.by_user <> p.user_id THEN e.at ELSE e.next_at END <= p.first_at AS taken FROM prints p JOIN earliest e ON e.exact = p.exact)"""
+        exacts AS (SELECT p.user_id, p.exact, p.first_at, coalesce(CASE WHEN e.by_user <> p.user_id THEN e.at ELSE e.next_at END <= p.first_at, false) AS taken FROM prints p JOIN earliest e ON e.exact = p.exact)"""
 
 
 def printed(e: Duck) -> list[tuple[list[str], str]]:
-    return [(["bundles", "receipts", "matches", "briefs"], f"{briefs(e)}, {contributions(e)}"), (["lines", "own", "exacts"], prints(e))]
+    return [(["bundles", "receipts", "matches", "briefs"], f"{briefs(e)}, {contributions(e)}"), (["lines", "own", "exacts"], prints(e, f"SELECT doc_id, user_id, {e.each('prompts')} AS prompt FROM bundles"))]
 
 
 def judged(e: Duck) -> list[tuple[list[str], str]]:

@@ -46,6 +46,24 @@ def test_briefs_ask_for_keywords(spark):
     assert sorted(found) == ["Apache License", "C++", "and", "der", "the"]
 
 
+def test_near_duplicates_by_hand(spark):
+    """Exact outranks near, the first that comes keeps, one's own prompts are no duplicates, and what is near nobody else's is new."""
+    long = [f"word{k}" for k in range(400)]
+    other = [f"term{k}" for k in range(400)]
+    near_, far = [*long[:-1], "changed"], [*other[:200], *long[:200]]
+    rows = [(1, "a", long), (2, "b", long), (3, "c", near_), (4, "a", near_), (5, "a", other), (6, "a", [*other[:-1], "new"]), (7, "b", far)]
+    spark.createDataFrame([(i, u, " ".join(w)) for i, u, w in rows], "doc_id long, user_id string, prompt string").createOrReplaceTempView("seven")
+    e = Spark("x")
+    parts = f"{market.prints(e, 'SELECT * FROM seven')}, {market.near(e)}"
+    text = {(u, " ".join(w)): i for i, u, w in rows}
+    import hashlib
+
+    name = lambda r: text[next(k for k in text if k[0] == r.user_id and hashlib.sha256(k[1].encode()).hexdigest() == r.exact)]
+    taken = {name(r) for r in spark.sql(f"WITH {parts} SELECT user_id, exact FROM exacts WHERE taken").collect()}
+    near = {name(r) for r in spark.sql(f"WITH {parts} SELECT user_id, exact FROM nears").collect()}
+    assert taken == {2, 4} and near == {3}
+
+
 def test_simhash_is_a_majority_of_words(spark, duck):
     import hashlib
 
