@@ -62,11 +62,32 @@ def submission_status(e: Duck) -> str:
 
 
 def transfer_reconciliation(e: Duck) -> str:
-    return f"""WITH {payments(e)}, ours AS (SELECT allocation_id, cents FROM allocations WHERE status = 'transferred'), theirs AS (SELECT allocation_id, CASE WHEN allocation_id % 97 = 0 THEN cents + 1 ELSE cents END AS cents FROM allocations WHERE status IN ('transferred', 'transferring') AND allocation_id % 53 <> 0)
-        SELECT coalesce(o.allocation_id, t.allocation_id) AS allocation_id, CASE WHEN o.allocation_id IS NULL THEN 'to_complete' WHEN t.allocation_id IS NULL THEN 'missing_at_provider' WHEN o.cents <> t.cents THEN 'mismatch' ELSE 'matched' END AS verdict
+    """Our transfers against the provider's, by allocation: what only it has is completed here, what only we have is missing there, and
+    amounts and destinations have to be equal. The provider's rows are a fixture with some of each fault."""
+    return f"""WITH {payments(e)}, ours AS (SELECT allocation_id, cents, user_id FROM allocations WHERE status = 'transferred'),
+        theirs AS (SELECT allocation_id, CASE WHEN cents % 97 = 0 THEN cents + 1 ELSE cents END AS cents, CASE WHEN cents % 89 = 0 THEN user_id + 1 ELSE user_id END AS destination FROM allocations WHERE status IN ('transferred', 'transferring') AND cents % 53 <> 0)
+        SELECT coalesce(o.allocation_id, t.allocation_id) AS allocation_id, CASE WHEN o.allocation_id IS NULL THEN 'to_complete' WHEN t.allocation_id IS NULL THEN 'missing_at_provider' WHEN o.cents <> t.cents THEN 'amount' WHEN o.user_id <> t.destination THEN 'destination' ELSE 'matched' END AS verdict
         FROM ours o FULL OUTER JOIN theirs t ON o.allocation_id = t.allocation_id"""
 
 
+#: From which states a step leads where; from any other it is refused and the state stays.
+STEPS = {"release": ("reserved", "transferring"), "confirm": ("transferring", "transferred"), "doubt": ("transferring", "review"), "reverse": ("transferred", "reversing"), "settle": ("reversing", "reversed"), "cancel": ("reserved", "cancelled")}
+
+
+def allocation_lifecycle(e: Duck) -> str:
+    """Each allocation's state after the steps that its line's flags ask for, one after another: a step that its state does not have is
+    refused and changes nothing."""
+    step = lambda state, asked: "CASE " + " ".join(f"WHEN {asked} = '{n}' AND {state} = '{a}' THEN '{b}'" for n, (a, b) in STEPS.items()) + f" ELSE {state} END"
+    asks = e.items(["CASE returnflag WHEN 'A' THEN 'release' WHEN 'R' THEN 'cancel' ELSE 'release' END", "CASE WHEN quantity > 25 THEN 'confirm' ELSE 'doubt' END", "CASE WHEN linestatus = 'F' THEN 'reverse' ELSE 'cancel' END", "'settle'"])
+    refused = lambda i: f"CASE WHEN s{i} = s{i - 1} THEN 1 ELSE 0 END"
+    told = "SELECT l_orderkey * 10 + l_linenumber AS allocation_id, l_partkey, l_suppkey, l_returnflag AS returnflag, l_quantity AS quantity, l_linestatus AS linestatus FROM " + e.table("lineitem")
+    at = lambda i: e.item("asks", str(i))
+    return f"""WITH asked AS (SELECT allocation_id, l_partkey, l_suppkey, {asks} AS asks FROM ({told}) t), one AS (SELECT allocation_id, l_partkey, l_suppkey, asks, 'reserved' AS s0, {step("'reserved'", at(1))} AS s1 FROM asked),
+        two AS (SELECT allocation_id, l_partkey, l_suppkey, asks, s0, s1, {step("s1", at(2))} AS s2 FROM one), three AS (SELECT allocation_id, l_partkey, l_suppkey, asks, s0, s1, s2, {step("s2", at(3))} AS s3 FROM two),
+        four AS (SELECT allocation_id, l_partkey, l_suppkey, s0, s1, s2, s3, {step("s3", at(4))} AS s4 FROM three)
+        SELECT allocation_id, l_partkey, l_suppkey, s4 AS state, CAST({" + ".join(refused(i) for i in range(1, 5))} AS BIGINT) AS refused FROM four"""
+
+
 def payment_state_batch(e: Duck) -> str:
     """Events count once; a reversal holds whatever comes later; paid and failed only move a pending payment."""
     return f"""WITH {payment_events(e)}, once AS (SELECT event_id, min(arrival) AS arrival FROM payment_events GROUP BY event_id), kept AS (SELECT p.payment_id, p.kind, p.arrival FROM payment_events p JOIN once o ON o.event_id = p.event_id AND o.arrival = p.arrival),
@@ -117,4 +138,4 @@ def allocation_admission(e: Duck) -> str:
         SELECT payment_id, available, CAST({e.size('asks')} AS BIGINT) AS asked, CAST({e.size('taken')} AS BIGINT) AS admitted, CAST({spent.replace('(s,', '(taken,')} AS BIGINT) AS cents FROM admitted"""
 
 
-DEFINITIONS = {f.__name__: f for f in (fund_balances, ledger_totals, contributor_totals, ledger_top20, page_2, keyset_page, settlement_candidates, submission_status, transfer_reconciliation, payment_state_batch, expiry_sweep, submission_readiness, allocation_transitions, allocation_admission)}
+DEFINITIONS = {f.__name__: f for f in (fund_balances, ledger_totals, contributor_totals, ledger_top20, page_2, keyset_page, settlement_candidates, submission_status, transfer_reconciliation, payment_state_batch, expiry_sweep, submission_readiness, allocation_transitions, allocation_lifecycle, allocation_admission)}
