@@ -1,6 +1,6 @@
 """Places, public figures and first names, all in lower case."""
 
-# They must equal the service's for equal results.
+# They must equal the service's for equal results. Cities stand under the region that takes their place.
 CITIES = {
     "Ontario": ["toronto", "ottawa", "mississauga", "hamilton", "london"],
     "Quebec": ["montreal", "quebec city", "laval", "gatineau"],
