@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import quoted, saved
@@ -151,7 +152,8 @@ def windows_in_parts(turns: DataFrame, *, conv_id: str = "conv_id", turn: str =
 
     Rows are dealt by conversation and stream through in order, one window in memory. Of a large conversation, which may hold a
     third of all rows, only a turn's number, role and size go to one task, which says by running sums to which windows it belongs;
-    its texts are then dealt by window, so that any number of tasks format them.
+    its texts are then dealt by window, so that any number of tasks format them. Texts that share a turn and a role are in order of
+    text there too: the distinct ones are ranked for each such turn, and the rank goes along.
     """
     rows = turns.select(quoted(conv_id).cast("long").alias("conv_id"), quoted(turn).cast("long").alias("turn"), F.coalesce(quoted(role).cast("string"), F.lit("")).alias("role"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
 
@@ -195,8 +197,14 @@ def windows_in_parts(turns: DataFrame, *, conv_id: str = "conv_id", turn: str =
         if out:
             yield _batch(out, _PLACES)
 
-    # equal hashes of unequal texts leave their order to the rows' numbers, which are fixed too
-    light = told.select("conv_id", "turn", "role", F.xxhash64("text").alias("hash"), "size", "row").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "hash", "row")
+    # where several texts have one turn and role, their rank by text goes with the light row: those texts alone are sorted
+    key = ["conv_id", "turn", "role"]
+    again = saved(told.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    match = lambda a, b, names: reduce(Column.__and__, (a[c].eqNullSafe(b[c]) for c in names))
+    tied = told.join(again, match(told, again, key), "left_semi").select(*key, "text").distinct()
+    ranks = saved(tied.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("text"))))
+    ranked = told.join(ranks, match(told, ranks, [*key, "text"]), "left").select(*(told[c] for c in (*key, "size", "row")), F.coalesce(ranks["rank"], F.lit(0)).alias("rank"))
+    light = ranked.select(*key, "rank", "size", "row").repartition("conv_id").sortWithinPartitions(*key, "rank", "row")
     places = saved(light.mapInArrow(walked, "conv_id long, window long, place long, row long, repeats long"))
     dealt = places.join(told.select("row", "role", "text"), "row").select("conv_id", "window", "place", "repeats", "role", "text")
 

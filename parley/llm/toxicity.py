@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import random
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +31,8 @@ def passages(raw: bytes) -> list[bytes]:
     """Word-aligned windows of 24 to some 64 bytes, cut where a word's own hash says so: near copies of a text have equal ones."""
     out, held, size = [], [], 0
     for word in raw.split():
-        held.append(word[:40])
-        size += len(held[-1]) + 1
+        held.append(word)
+        size += len(word) + 1
         if size >= 64 or (size >= 24 and zlib.crc32(word) % 3 == 0):
             out.append(b" " + b" ".join(held) + b" ")
             held, size = [], 0
@@ -41,11 +40,11 @@ def passages(raw: bytes) -> list[bytes]:
 
 
 def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
-    """A zstandard dictionary; of samples too few to train on their own last bytes."""
+    """A zstandard dictionary; samples too few to train on are one themselves."""
     try:
         return zs.train_dictionary(size, samples, k=k, d=d, level=3).as_bytes()
     except zs.ZstdError:
-        return b"".join(samples)[-size:]
+        return b"".join(dict.fromkeys(samples))
 
 
 def lengths(dictionary: bytes) -> Lengths:
@@ -57,74 +56,53 @@ def lengths(dictionary: bytes) -> Lengths:
 
 
 class Dictionaries:
-    """A zstandard dictionary trained on ordinary windows, and a toxic one: trained on those windows of the toxic texts
-    that toxic dictionaries compress better, with the ordinary one behind it, so that the two differ by toxic text alone.
-
-    Most windows of a toxic text are ordinary, and a dictionary trained on all of them hardly differs from the ordinary
-    one. So windows are reselected over folds: dictionaries trained on the windows of the other folds say which windows
-    are worth more to the toxic side than all but one in a hundred of ordinary ones are; then dictionaries trained on
-    these say it again; then the words whose absence from their window costs that gain are themselves the windows that are
-    trained on, if at least three windows have them and, in proportion, hardly any ordinary one. `passes` times over,
-    each time on the windows that what was found does not explain. Windows that several texts have count once, so copies
-    don't bring in their chance words. Of each side at most `most` windows, drawn at random with a fixed seed, are used.
+    """Two dictionaries that zstandard trains, one on windows of ordinary texts and one on windows of toxic texts. The toxic one
+    is used with the ordinary one behind it, so that lengths under the two differ by what toxic windows have of their own.
+
+    Most windows of a toxic text are ordinary. So windows are reselected: dictionaries trained on the windows of the other folds
+    say which ones are shorter under the toxic side than all but one in a hundred of ordinary ones are, against an equal dictionary of
+    the ordinary side; then the same again among those, with the ordinary windows that came through as the other side. The toxic
+    dictionary is trained on the windows left. Windows that several texts have count once. Of each side at most `most`
+    windows, drawn with a fixed seed, are used, and `base` of them for the ordinary dictionary.
     """
 
-    def __init__(self, toxic: list[str], ordinary: list[str], *, window: int = 96, size: int = 24576, own: int = 8192, folds: int = 3, passes: int = 4, most: int = 25_000):
+    #: Size and segments (k, d) of the dictionaries that reselect windows, and of the one that is kept.
+    SELECT, KEEP = ((8192, 24, 8), (4096, 16, 6)), (1024, 16, 6)
+
+    def __init__(self, toxic: list[str], ordinary: list[str], *, window: int = 96, size: int = 24576, folds: int = 3, most: int = 60_000, base: int = 25_000):
         draw, self.window = random.Random(3), window
-        support, folds = (3, folds) if len(toxic) >= 150 else (2, 3 * folds)  # few texts: smaller folds, so that each is told by most of them
-        of = lambda texts, cut: list(dict.fromkeys(p for t in texts for p in cut(lowered(t))))
+        of = lambda texts: list(dict.fromkeys(p for t in texts for p in passages(lowered(t))))
         some = lambda rows, n: rows if len(rows) <= n else draw.sample(rows, n)
-        self.base = trained(some(of(ordinary, lambda t: windows(t, 128)), most), size, 200, 8)
-        plain = lengths(self.base)
-        left, clean = some(of(toxic, passages), most), some(of(ordinary, passages), most)
-        found: list[bytes] = []
-        for _ in range(passes):
-            new = [w for w in self._telling(left, clean, folds, support, draw) if w not in found]
-            found += new
-            if not new:
-                break
-            told = lengths(self._toxic(found, own))
-            left = [p for p in left if plain(p) - told(p) < 3]
-        self.found, self.parts = found, (self.base, self._toxic(found, own))
+        told, clean = some(of(toxic), most), some(of(ordinary), most)
+        self.base = trained(some(clean, base), size, 200, 8)
+        self.chosen = self._chosen(told, clean, folds, draw)
+        self.parts = (self.base, trained(self.chosen * 4, *self.KEEP) + self.base)
 
-    def _toxic(self, found: list[bytes], own: int) -> bytes:
-        return (trained(found * 8, own, 16, 6) if found else b"") + self.base
-
-    def _telling(self, toxic: list[bytes], clean: list[bytes], folds: int, support: int, draw: random.Random) -> list[bytes]:
+    def _chosen(self, toxic: list[bytes], clean: list[bytes], folds: int, draw: random.Random) -> list[bytes]:
         fold = lambda p: zlib.crc32(p) % folds
-        sides, tools = [toxic, clean], []
-        for size, k, d in ((8192, 24, 8), (4096, 16, 6)):
-            gains = []
+        sides = (toxic, clean)
+        for shape in self.SELECT:
+            tools = []
             for f in range(folds):
-                a, b = (trained([p for p in side if fold(p) != f], size, k, d) for side in sides)
-                a, b = lengths(self.base + a), lengths(self.base + b)
-                gains.append(lambda p, a=a, b=b: b(p) - a(p))
-            tools, ordinary = gains, draw.sample(clean, min(len(clean), 8_000))
-            told = [[(tools[fold(p)](p), p) for p in side] for side in (sides[0], ordinary)]
-            cut = max(2, float(np.quantile([g for g, _ in told[1]], 0.99))) if told[1] else 2
-            kept = [[p for g, p in side if g >= cut] for side in told]
-            if len(kept[0]) < 9:
-                return []
-            sides = [kept[0], kept[1] + draw.sample(clean, min(len(clean), 3 * len(kept[0]) + 200))]
-        a, b = (Counter(w for p in side for w in self._needed(p, tools[fold(p)])) for side in (sides[0], sides[1][: 2 * len(sides[0])]))
-        return sorted(w for w, n in a.items() if n >= support and n > 3 * b[w] and len(w) >= 6)
-
-    @staticmethod
-    def _needed(passage: bytes, gain: Callable[[bytes], int], least: int = 2) -> list[bytes]:
-        """The words without which the window's gain is less."""
-        words, whole = passage.split(), gain(passage)
-        if whole < least:
-            return []
-        return [b" " + w + b" " for i, w in enumerate(words) if whole - gain(b" " + b" ".join(words[:i] + words[i + 1 :]) + b" ") >= least]
+                b, a = (lengths(self.base + trained([p for p in side if fold(p) != f], *shape)) for side in sides)
+                tools.append((a, b))
+            gain = lambda p, tools=tools: tools[fold(p)][0](p) - tools[fold(p)][1](p)
+            asked = [(gain(p), p) for p in draw.sample(clean, min(len(clean), 10_000))]
+            cut = max(2.0, float(np.quantile([g for g, _ in asked], 0.99))) if asked else 2.0
+            kept = [p for p in sides[0] if gain(p) >= cut]
+            if len(kept) < 20:
+                break
+            sides = (kept, [p for g, p in asked if g >= cut] * 2 + draw.sample(clean, min(len(clean), 3 * len(kept) + 200)))
+        return sides[0]
 
     def compressors(self) -> list[Lengths]:
         return [lengths(d) for d in self.parts]
 
     def features(self, text: str, compressors: list[Lengths]) -> list[float]:
         plain, toxic = compressors
-        gains = [plain(w) - toxic(w) for w in windows(lowered(text), self.window)] or [0]
-        over = lambda least: math.log1p(sum(g >= least for g in gains))
-        return [float(max(-4, min(8, max(gains)))), over(2), over(3), over(4), over(6), sum(g >= 3 for g in gains) / len(gains), sum(max(0, min(g, 8) - 1) for g in gains) / len(gains)]
+        gains = np.sort([plain(w) - toxic(w) for w in windows(lowered(text), self.window)] or [0])[::-1].astype(float)
+        over = [math.log1p(int((gains >= least).sum())) for least in (2, 3, 4, 6)]
+        return [min(gains[0], 12.0), gains[:3].mean(), gains[:8].mean(), gains.mean(), gains.std(), *over, (gains >= 3).mean(), (gains >= 4).mean(), math.log1p(len(gains))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -362,6 +362,7 @@ def test_large_conversations_are_formatted_by_window(spark):
     rnd = random.Random(7)
     rows = [(None if c == 2 else c, t, ["system", "user", "assistant"][(t > 0) + (t % 2 if t else 0)], f"{c} {t} " + "w " * rnd.randrange(40)) for c in range(4) for t in range(25 * c + 5)]
     rows += [rows[-1], (3, 9, "user", None), (3, None, "assistant", "[OUT] x")]
+    rows += [(c, t, role, f"again {rnd.random()}") for c in (None, 1) for t, role in ((4, "user"), (5, "assistant"), (None, "user")) for _ in range(9)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     windows = [sorted(map(str, chat.format_chats(frame, budget=90, history=30, large_turns=n).collect())) for n in (1000, 40, 1)]
     assert len(windows[0]) > 40 and windows[0] == windows[1] == windows[2]
@@ -458,10 +459,11 @@ def test_language_held_out(spark):
     assert got == {1: "und", 2: "und", 3: "en", 4: "und"}
 
 
-@pytest.mark.parametrize(("query", "label", "least"), [(queries.op4_compression_toxicity, "toxic", 0.8), (queries.op3_co_training, "quality", 0.85)])
-def test_classifier_held_out(spark, query, label, least):
-    out = query(spark, DIR)
-    data = out.where("held_out").join(table(spark, DIR, "labels"), "doc_id").toPandas()
+@pytest.mark.parametrize(("query", "label", "least", "folder"), [(queries.op4_compression_toxicity, "toxic", 0.72, "/root/testdata/sf0.1"), (queries.op3_co_training, "quality", 0.85, DIR)])
+def test_classifier_held_out(spark, query, label, least, folder):
+    """Toxic windows are learned from hundreds of toxic texts; the forty of the smaller table are too few for windows to recur."""
+    out = query(spark, folder)
+    data = out.where("held_out").join(table(spark, folder, "labels"), "doc_id").toPandas()
     y, s = data[label].to_numpy(), data["score"].to_numpy()
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
     assert held(out, 3, 1) and auc > least and ((s >= 0) & (s <= 1)).all()
@@ -500,25 +502,64 @@ def test_kneser_ney_equals_dictionaries():
         assert math.isclose(models.of_words([w])[0][0], want, rel_tol=1e-4), w
 
 
-def test_dictionary_gains_are_compressed_lengths():
-    """Features from window lengths that zstandard itself gives under the two trained dictionaries; toxic words are found."""
+def plain_dictionaries(toxic, clean):
+    """Training as the docstring of Dictionaries tells it, with zstandard's own calls."""
     import zstandard as zs
 
+    def train(samples, size, k, d):
+        try:
+            return zs.train_dictionary(size, samples, k=k, d=d, level=3).as_bytes()
+        except zs.ZstdError:
+            return b"".join(dict.fromkeys(samples))
+
+    def length(dictionary):
+        p = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_LAZY2, window_log=17, hash_log=17, chain_log=17, search_log=8, min_match=4, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+        tool = zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(dictionary, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p)
+        return lambda w: len(tool.compress(w))
+
+    def cut(text):
+        out, held = [], []
+        for w in text.encode().lower().split():
+            held.append(w)
+            n = sum(map(len, held)) + len(held)
+            if n >= 64 or n >= 24 and zlib.crc32(w) % 3 == 0:
+                out, held = [*out, held], []
+        return [b" " + b" ".join(h) + b" " for h in ([*out, held] if held else out)]
+
+    draw = random.Random(3)
+    bad, good = (list(dict.fromkeys(w for t in texts for w in cut(t))) for texts in (toxic, clean))
+    base = train(good, 24576, 200, 8)
+    kept, other = bad, good
+    for shape in ((8192, 24, 8), (4096, 16, 6)):
+        by_fold = [(length(base + train([w for w in other if zlib.crc32(w) % 3 != f], *shape)), length(base + train([w for w in kept if zlib.crc32(w) % 3 != f], *shape))) for f in range(3)]
+        gain = {w: by_fold[zlib.crc32(w) % 3][0](w) - by_fold[zlib.crc32(w) % 3][1](w) for w in {*kept, *good}}
+        asked = draw.sample(good, min(len(good), 10_000))
+        most = max(2, np.quantile([gain[w] for w in asked], 0.99))
+        kept = [w for w in kept if gain[w] >= most]
+        assert len(kept) >= 20
+        other = [w for w in asked if gain[w] >= most] * 2 + draw.sample(good, min(len(good), 3 * len(kept) + 200))
+    return kept, base, train(kept * 4, 1024, 16, 6) + base, length
+
+
+def test_dictionaries_equal_plain_training():
+    """Windows, dictionaries and features by a plain version with zstandard's own lengths; toxic windows are told from others."""
     rnd = random.Random(3)
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it"]
     word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, 5)))
     bad = ["wretched", "loathsome", "vermin", "despicable"]
-    clean = [" ".join(word() for _ in range(120)) for _ in range(400)]
+    clean = [" ".join(word() for _ in range(120)) for _ in range(400)] + ["z" * 500]
     toxic = [" ".join(rnd.choice(bad) if rnd.random() < 0.05 else word() for _ in range(120)) for _ in range(200)]
     d = toxicity.Dictionaries(toxic, clean)
-    assert sum(any(b.encode() in w for w in d.found) for b in bad) >= 3
-    p = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_LAZY2, window_log=17, hash_log=17, chain_log=17, search_log=8, min_match=4, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
-    plain, both = (zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(x, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p) for x in d.parts)
+    kept, base, told, length = plain_dictionaries(toxic, clean)
+    assert d.chosen == kept and d.parts == (base, told)
+    assert sum(any(b.encode() in w for b in bad) for w in kept) > 0.8 * len(kept)
+    plain, both = length(base), length(told)
     for text in (toxic[0], clean[0], "ÉTÉ Wretched VERMIN", ""):
         raw = text.encode().lower()
-        gains = [len(plain.compress(raw[i : i + 96])) - len(both.compress(raw[i : i + 96])) for i in range(0, len(raw), 96)] or [0]
+        gains = sorted((plain(raw[i : i + 96]) - both(raw[i : i + 96]) for i in range(0, len(raw), 96)), reverse=True) or [0]
         got = d.features(text, d.compressors())
-        assert got[0] == max(-4, min(8, max(gains))) and math.isclose(got[2], math.log1p(sum(g >= 3 for g in gains))) and math.isclose(got[5], sum(g >= 3 for g in gains) / len(gains))
+        want = [min(12, gains[0]), np.mean(gains[:3]), np.mean(gains[:8]), np.mean(gains), np.std(gains), *(math.log1p(sum(g >= n for g in gains)) for n in (2, 3, 4, 6)), np.mean([g >= 3 for g in gains]), np.mean([g >= 4 for g in gains]), math.log1p(len(gains))]
+        assert np.allclose(got, want)
     score = lambda t: d.features(t, d.compressors())[1]
     assert np.mean([score(t) for t in toxic]) > np.mean([score(t) for t in clean]) + 0.3
 

@@ -1,5 +1,7 @@
 """Each stage of the pipeline against a plain version over its own input."""
 
+import hashlib
+import re
 from collections import Counter
 
 import corpus_pipeline as cp
@@ -55,20 +57,15 @@ def test_stages_take_odd_and_empty_tables(spark):
 
 
 def plain_near(rows_):
-    """What the near-duplicate stage must leave of rows (doc_id, text, rest): a plain version of its docstring."""
-    words = lambda t: tuple((t or "").encode().lower().split())
-    found = sets({k: t for k, (_, t, *_) in enumerate(rows_)}, 5)
-    ids = {r[0] for r in rows_ if r[0] is not None}
-    joined = [(rows_[a][0], rows_[b][0]) for a, b in links(found, 80) if rows_[a][0] is not None and rows_[b][0] is not None]
-    least = components(ids, joined)
-    out, seen = [], set()
-    for r in sorted(rows_, key=lambda r: tuple((x is not None, x or 0 if isinstance(x, (int, type(None))) else x) if not isinstance(x, str) else (True, x) for x in (r[1] or "", *map(str, r[2:])))):
-        if r[0] is None:
-            out.append(r)
-        elif least[r[0]] == r[0] and (r[0], words(r[1])) not in seen:
-            seen.add((r[0], words(r[1])))
-            out.append(r)
-    return Counter((r[0], words(r[1])) for r in out)
+    """What the near-duplicate stage must leave of rows (doc_id, text, ...): rows of one id and sequence are a document, and documents
+    are linked by their own words, whatever others their id has."""
+    words = lambda t: tuple(re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (t or "").encode())))
+    digest = lambda w: hashlib.sha256(b" ".join(w)).hexdigest()
+    documents = sorted({(i, digest(words(t)), words(t)) for i, t, *_ in rows_ if i is not None})
+    text = {k: b" ".join(w).decode() for k, (_, _, w) in enumerate(documents)}
+    least = components(text, links(sets(text, 5), 80))
+    out = Counter((documents[k][0], documents[k][2]) for k in text if least[k] == k)
+    return out + Counter((None, words(t)) for i, t, *_ in rows_ if i is None)
 
 
 def test_stages_keep_contents_of_odd_tables(spark):
@@ -103,6 +100,17 @@ def test_repeated_and_null_ids_keep_their_documents(spark):
     assert sorted(r.n_chars for r in cp.without_near_duplicates(spark, again, DIR).collect()) == [1, 2, 3]
 
 
+def test_near_copies_of_one_row_leave_other_rows_of_its_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    t, near, u, v = " ".join(base), " ".join([*base[:-1], "x"]), "something else that nobody copies at all", " ".join(f"v{k}" for k in range(40))
+    docs = [(3, t), (7, near), (7, u), (8, v), (9, u), (7, v), (-5, v)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(cp.without_near_duplicates(spark, frame, DIR)) == Counter([(3, t), (7, u), (-5, v)])
+    edge = frame.withColumn("doc_id", F.col("doc_id") - F.lit((1 << 63) - 10).cast("long"))
+    assert {r.text for r in cp.without_near_duplicates(spark, edge, DIR).collect()} == {t, u, v}
+    assert plain_near(docs) == Counter((i, tuple(x.encode().split())) for i, x in ((3, t), (7, u), (-5, v)))
+
+
 def test_mixing_gives_each_row_its_own_copies(spark):
     rows_ = [({"s1": i, "s2": 7, "s3": None}[s], f"{s} {i} " + "w " * 8, s) for i in range(300) for s in ("s1", "s2", "s3")]
     frame = spark.createDataFrame(rows_, "doc_id long, text string, source string")
