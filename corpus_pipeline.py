@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import quoted, saved, table
@@ -31,24 +31,36 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of least id.
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of least id, then of least sequence digest.
 
-    Of rows that share an id and a word sequence the one of least text stays, then of least other columns in their order.
-    Rows with a null id, and rows of one id with other words, are documents of their own; null, empty and blank texts are
-    near nothing. Nulls in other columns and columns of any name stay as they are. An empty table gives an empty one.
+    Rows that share an id and a word sequence are one document: the row of least text stays, then of least columns in their order.
+    Rows of one id with other words are documents of their own, linked by their own words only, and so are rows with a null id, which
+    stay; null, empty and blank texts are near nothing. Nulls in other columns and columns of any name stay as they are. An empty table gives an empty one.
     """
-    own = [quoted(c) for c in docs.columns]
-    found = near_duplicates(docs, words=5, percent=80)
-    out = docs.join(saved(found.where("not kept").select("doc_id").distinct()).hint("merge"), "doc_id", "left_anti").select(*own)
-    again = saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    own, inner = [quoted(c) for c in docs.columns], [f"_{k}" for k in range(len(docs.columns))]
+    rows = docs.select(*(c.alias(k) for c, k in zip(own, inner, strict=True)))  # names of our own, whatever theirs are
+    named = [F.col(k).alias(c) for k, c in zip(inner, docs.columns, strict=True)]
+    doc_id, text = (F.col(inner[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    keyed = rows.withColumn("key", doc_id.cast("long"))
+    again = saved(keyed.where("key is not null").groupBy("key").count().where("count > 1").select("key"))
     if again.isEmpty():
-        return out
-    sequence = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+", " "))
-    place = f"{max(docs.columns, key=len)}_place"  # a longer name than any column has
-    same = Window.partitionBy("doc_id", F.sha2(sequence, 256)).orderBy("text", *(quoted(c) for c in docs.columns if c not in ("doc_id", "text")))
-    # written first, so that the window deals rows by their words too: one id may have very many
-    first = saved(out.join(again, "doc_id", "left_semi")).withColumn(place, F.row_number().over(same)).where(quoted(place) == 1)
-    return out.join(again, "doc_id", "left_anti").select(*own).union(first.select(*own))
+        gone = near_duplicates(keyed.select("key", text.alias("text")), doc_id="key", words=5, percent=80).where("not kept").select(F.col("doc_id").alias("key"))
+        return keyed.join(saved(gone.distinct()).hint("merge"), "key", "left_anti").select(*named)
+    # ids that several rows have: each of their word sequences is a document with a key of its own, below all ids or above them
+    low, high = keyed.agg(F.min("key"), F.max("key")).first()
+    sequence = F.trim(F.regexp_replace(F.translate(F.coalesce(text.cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+", " "))
+    twice = keyed.join(again, "key", "left_semi").withColumn("sequence", F.sha2(sequence.cast("binary"), 256))
+    first = F.struct(text.alias("text"), *(F.col(k).alias(f"c{k}") for k in inner))
+    single = twice.groupBy(F.col("key").alias("id"), "sequence").agg(F.min(first).alias("row"))
+    place = F.monotonically_increasing_id() + 1
+    single = saved(single.withColumn("key", F.lit(low) - place if low > -(1 << 62) else F.lit(high) + place))
+    alone = keyed.join(again, "key", "left_anti")
+    found = saved(near_duplicates(alone.select("key", text.alias("text")).union(single.select("key", "row.text")), doc_id="key", words=5, percent=80).where("doc_id is not null").select(F.col("doc_id").alias("key"), "component_id"))
+    whose = found.join(single.select("key", "id", "sequence"), "key", "left").select("component_id", F.struct(F.coalesce("id", "key").alias("id"), "sequence", "key").alias("of"))
+    kept = saved(whose.groupBy("component_id").agg(F.min("of").alias("of")).select(F.col("of.key").alias("key")))
+    out = alone.where("key is null").union(alone.join(kept.hint("merge"), "key", "left_semi").select(*alone.columns)).select(*named)
+    stays = single.join(kept.hint("merge"), "key", "left_semi").select(*(F.col(f"row.c{k}").alias(c) for k, c in zip(inner, docs.columns, strict=True)))
+    return out.union(stays)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
