@@ -467,7 +467,7 @@ def test_classifier_held_out(spark, query, label, least, folder):
     y, s = data[label].to_numpy(), data["score"].to_numpy()
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
     assert held(out, 3, 1) and auc > least and ((s >= 0) & (s <= 1)).all()
-    assert out.count() == table(spark, DIR, "documents").count()
+    assert out.count() == table(spark, folder, "documents").count()
 
 
 def test_kneser_ney_equals_dictionaries():
