@@ -95,12 +95,12 @@ def ceilings(e: Duck, out: str, finals: str) -> str:
             WHEN marks > {P.MAX_DENSITY} * n THEN 'DROP_REDACTION_DENSITY' ELSE 'kept' END AS outcome FROM {out}_counted)"""
 
 
-def first_rows(e: Duck) -> screening.Groups:
+def first_rows(e: Duck, spans: screening.Detector = screening.spanned) -> screening.Groups:
     """first, the outcomes of each record by itself."""
-    return [*screening.marked(e), (["first"], f"{screening.rebuilt(e, 'finals', 'changes', 'screened')}, {ceilings(e, 'first', 'finals')}")]
+    return [*screening.marked(e, spans), (["first"], f"{screening.rebuilt(e, 'finals', 'changes', 'screened')}, {ceilings(e, 'first', 'finals')}")]
 
 
-def outcome_rows(e: Duck) -> str:
+def outcome_rows(e: Duck, spans: screening.Detector = screening.spanned) -> str:
     """outcomes, as they are after each conversation has been looked at as a whole; and verdicts of the conversations.
 
     With five kinds of quasi-identifiers or more in its kept records the most telling go, down to four, from all of them;
@@ -108,7 +108,7 @@ def outcome_rows(e: Duck) -> str:
     leaves fewer than two, or if there are eight kinds, the whole conversation is excluded."""
     # groups that are not written are dropped behind a written one, and said again
     again = [] if type(e) is Duck else [([], screening.marked(e)[-1][1])]
-    return e.steps([*first_rows(e), *again, ([], reworked(e))])
+    return e.steps([*first_rows(e, spans), *again, ([], reworked(e))])
 
 
 def reworked(e: Duck) -> str:

@@ -33,8 +33,8 @@ def receipts(e: Duck) -> str:
         receipts AS (SELECT conv_id, n, concat('{{', {body}, '}}') AS body FROM fingerprints)"""
 
 
-def consent_receipts(e: Duck) -> str:
-    return f"WITH {outcome_rows(e)}, {receipts(e)} SELECT conv_id, n AS prompts, concat('rcpt_', substr({e.sha('body')}, 1, 24)) AS receipt_ref, body, {e.hmac(KEY, 'body')} AS signature FROM receipts"
+def consent_receipts(e: Duck, spans: screening.Detector = screening.spanned) -> str:
+    return f"WITH {outcome_rows(e, spans)}, {receipts(e)} SELECT conv_id, n AS prompts, concat('rcpt_', substr({e.sha('body')}, 1, 24)) AS receipt_ref, body, {e.hmac(KEY, 'body')} AS signature FROM receipts"
 
 
 def receipt_sign_verify(e: Duck) -> str:
@@ -53,8 +53,8 @@ def packaged(e: Duck) -> str:
         packaged AS (SELECT p.conv_id, p.kept, p.prompts, p.turns, p.gaps, coalesce(m.lang, 'und') AS language, coalesce(m.domain, 'general') AS tag, {e.sha("p.prompts")} AS content FROM packed p LEFT JOIN meta m ON m.conv_id = p.conv_id)"""
 
 
-def packaged_bundles(e: Duck) -> str:
-    return f"WITH {outcome_rows(e)}, {packaged(e)} SELECT conv_id, kept, turns, gaps, language, tag, content FROM packaged"
+def packaged_bundles(e: Duck, spans: screening.Detector = screening.spanned) -> str:
+    return f"WITH {outcome_rows(e, spans)}, {packaged(e)} SELECT conv_id, kept, turns, gaps, language, tag, content FROM packaged"
 
 
 def buyer_records(e: Duck) -> str:

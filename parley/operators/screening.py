@@ -6,18 +6,24 @@ Spans of a record stay in arrays on its row; texts of prompts are bounded by the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from ..functions import labels as L
 from ..functions import patterns as P
 from ..functions import places as G
 from ..functions import sensitive
 from ..plans.dialect import Duck
 from ..plans.fixtures import prompts
 
-KINDS = [k for k, _, _ in P.DETECTORS] + ["PERSON", "GPE"]
-PERSON, PLACE = len(P.DETECTORS), len(P.DETECTORS) + 1
-IDENTIFIERS = ("EMAIL", "PHONE", "GOV_ID", "ACCOUNT", "IP", "URL")
+#: Kinds by the number of their rule: those of our own rules, then names and places, then what only other detectors tell.
+OWN = [k for k, _, _ in P.DETECTORS]
+PERSON, PLACE = len(OWN), len(OWN) + 1
+#: A name or membership that is not sure enough for its first action is WEAK; UNANSWERED stands for a text that its detector failed on.
+KINDS = [*OWN, "PERSON", "GPE", *(k for k in L.PLACEHOLDERS if k not in OWN), "ORG", "LOC", "FAC", "BENIGN", "UNKNOWN", "WEAK_PERSON", "WEAK_NORP", "UNANSWERED"]
+IDENTIFIERS = tuple(L.PLACEHOLDERS)
 NOT_BLANK = P.WS.replace("[", "[^", 1)
 LOOK_BACK, SLACK, DENSITY, ADULT = 40, 2, 15, 18
-LONG, RULES = 1 << 29, 16
+LONG, RULES = 1 << 29, 64
 
 
 def key(start: str, length: str, rule: int) -> str:
@@ -45,7 +51,8 @@ def begins(e: Duck, found: str, gaps: str) -> str:
     return f"({e.lengths(gaps, e.place)} + {e.lengths(found, e.place + ' - 1')})"
 
 
-def spans_of(e: Duck, rule: int) -> str:
+def spans_of(e: Duck, rule: int, as_rule: int | None = None) -> str:
+    """Keys of the matches of a rule, under the rule's own number or another."""
     at = begins(e, f"m{rule}", f"g{rule}")
     if rule == PERSON:
         place = f"lower(v) IN {e.any_of([c for cs in G.CITIES.values() for c in cs] + G.REGIONS + G.COUNTRIES)}"
@@ -54,8 +61,8 @@ def spans_of(e: Duck, rule: int) -> str:
         return e.each_item(f"m{rule}", "v, i", f"CASE WHEN {place} THEN {key(at, 'length(v)', PLACE)} WHEN {named} THEN {key(at, 'length(v)', PERSON)} END")
     if KINDS[rule] == "AGE":
         digits = e.first("v", r"\d{1,2}")
-        return e.each_item(f"m{rule}", "v, i", key(f"{at} + instr(v, {digits}) - 1", f"length({digits})", rule))
-    return e.each_item(f"m{rule}", "v, i", key(at, "length(v)", rule))
+        return e.each_item(f"m{rule}", "v, i", key(f"{at} + instr(v, {digits}) - 1", f"length({digits})", rule if as_rule is None else as_rule))
+    return e.each_item(f"m{rule}", "v, i", key(at, "length(v)", rule if as_rule is None else as_rule))
 
 
 def spanned(e: Duck) -> str:
@@ -66,12 +73,26 @@ def spanned(e: Duck) -> str:
     # most rules find nothing in most texts, and then nothing is split
     cut = {f"g{i}": f"CASE WHEN {e.size(f'm{i}')} > 0 THEN {e.split('text', p)} END" for i, p in rules.items()} | {"sg": e.split("text", P.SENTENCE)}
     every = e.those(e.concat_lists([spans_of(e, i) for i in range(PERSON + 1)]), "k", "k IS NOT NULL")
-    sents = e.those(e.each_item("sm", "v, i", f"CASE WHEN {e.matches('v', NOT_BLANK)} THEN {key(begins(e, 'sm', 'sg'), 'length(v)', 0)} END"), "k", "k IS NOT NULL")
-    disjoint = e.apart(every, start(e, "{0}"), f"({start(e, '{0}')} + {length(e, '{0}')})")
+    sents = sentence_keys(e)
+    disjoint = disjoint_keys(e, every)
     return f"""matched AS (SELECT conv_id, turn, record_id, text, {e.made(matched)} FROM prompts),
         cut AS (SELECT conv_id, turn, record_id, text, {', '.join(matched)}, {e.made(cut)} FROM matched),
         found AS (SELECT conv_id, turn, record_id, text, {e.made({'kept': disjoint, 'whole': sents})} FROM cut),
-        spanned AS (SELECT conv_id, turn, record_id, text, kept, CASE WHEN {e.size('whole')} > 0 THEN whole ELSE {e.items([key('0', 'length(text)', 0)])} END AS sents FROM found)"""
+        spanned AS (SELECT conv_id, turn, record_id, text, kept, {WHOLE.format(any=e.size('whole'), text=e.items([key('0', 'length(text)', 0)]))} AS sents FROM found)"""
+
+
+#: Sentences, or the text where there is none.
+WHOLE = "CASE WHEN {any} > 0 THEN whole ELSE {text} END"
+
+
+def sentence_keys(e: Duck) -> str:
+    """Keys of the sentences that are not blank, from sm (matches) and sg (gaps)."""
+    return e.those(e.each_item("sm", "v, i", f"CASE WHEN {e.matches('v', NOT_BLANK)} THEN {key(begins(e, 'sm', 'sg'), 'length(v)', 0)} END"), "k", "k IS NOT NULL")
+
+
+def disjoint_keys(e: Duck, keys: str) -> str:
+    """Of spans that overlap the earlier, then longer, then of lower rule."""
+    return e.apart(keys, start(e, "{0}"), f"({start(e, '{0}')} + {length(e, '{0}')})")
 
 
 def judged(e: Duck) -> str:
@@ -81,7 +102,7 @@ def judged(e: Duck) -> str:
     inside = f"{start(e, 'k')} >= {start(e, 'y')} AND {start(e, 'k')} < {start(e, 'y')} + {length(e, 'y')}"
     owner = e.each_item("kept", "k", f"coalesce({e.find(e.each_item('sents', 'y', inside), 'true')}, {e.size('sents')})")
     mine = e.those("kept", "k, i", f"{e.item('owner', e.place)} = idx")
-    person = f"{e.size(e.those('mine', 'k', is_kind('k', 'PERSON')))} > 0"
+    person = f"{e.size(e.those('mine', 'k', is_kind('k', 'PERSON', 'WEAK_PERSON')))} > 0"
     return f"""owned AS (SELECT conv_id, turn, record_id, text, kept, sents, {e.made({'owner': owner})} FROM spanned),
         dealt AS (SELECT conv_id, turn, record_id, text, kept, owner, {e.numbered('sents', 'idx', 'skey')} FROM owned),
         lines AS (SELECT conv_id, turn, record_id, text, idx, skey, {start(e, 'skey')} AS sstart, {e.made({'sentence': value(e, 'skey'), 'mine': mine})} FROM dealt),
@@ -116,31 +137,39 @@ def screened(e: Duck) -> str:
         return e.size(e.those("owns", "o", f"{k} AND {condition}"))
 
     ends = {n: f"{e.size(e.those('hit', 'c', f'{chr(99)} LIKE {chr(39)}%:{n}{chr(39)}'))} > 0" for n in (90, 65)}
-    young = f"CAST({value(e, 'o.k')} AS INT) < {ADULT}"
+    young = f"{years(e, value(e, 'o.k'))} < {ADULT}"
     # CASE, for the engines may ask both sides of AND, and only an age is a number
     minor = e.size(e.those("owns", "o", f"CASE WHEN {is_kind('o.k', 'AGE')} THEN {young} AND o.b = 'self' ELSE false END"))
     told = e.those("owns", "o", f"{is_kind('o.k', 'NORP')} AND o.b NOT IN ('unattributed', 'fiction')")
+    weak = has(is_kind("o.k", "WEAK_NORP"), "o.b NOT IN ('unattributed', 'fiction')")
     norp = e.least(e.each_item(told, "o", f"{start(e, 'o.k')} * 2 + CASE WHEN o.b = 'ambiguous' THEN 1 ELSE 0 END"))
     line = e.struct({"a": "sstart", "b": f"sstart + {length(e, 'skey')}", "gone": "likely", "bucket": "bucket"})
-    return f"""gates AS (SELECT conv_id, turn, record_id, text, bucket, idx, sstart, skey, owns, {e.made({'secrets': has(is_kind('o.k', 'SECRET')), 'ids': has(is_kind('o.k', *IDENTIFIERS)), 'minor': minor, 'sure': ends[90], 'likely': ends[65], 'norp': norp})} FROM hits),
-        closed AS (SELECT conv_id, turn, record_id, min(text) AS text, {e.ordered(line, 'sstart')} AS lines, flatten({e.ordered('owns', 'sstart')}) AS spans, max(CASE WHEN likely THEN 1 ELSE 0 END) AS cuts, sum(secrets) AS secrets, sum(ids) AS ids, sum(minor) AS minors, min(norp) AS norp,
+    return f"""gates AS (SELECT conv_id, turn, record_id, text, bucket, idx, sstart, skey, owns, {e.made({'secrets': has(is_kind('o.k', 'SECRET')), 'ids': has(is_kind('o.k', *IDENTIFIERS)), 'minor': minor, 'failed': has(is_kind('o.k', 'UNANSWERED')), 'sure': ends[90], 'likely': f'({ends[65]} OR {weak} > 0)', 'norp': norp})} FROM hits),
+        closed AS (SELECT conv_id, turn, record_id, min(text) AS text, {e.ordered(line, 'sstart')} AS lines, flatten({e.ordered('owns', 'sstart')}) AS spans, max(CASE WHEN likely THEN 1 ELSE 0 END) AS cuts, sum(failed) AS failed, sum(secrets) AS secrets, sum(ids) AS ids, sum(minor) AS minors, min(norp) AS norp,
             min(CASE WHEN sure AND bucket IN ('self', 'third_party', 'ambiguous') THEN idx * 2 + CASE WHEN bucket = 'ambiguous' THEN 1 ELSE 0 END END) AS category,
             max(CASE WHEN sure AND bucket = 'fiction' THEN 1 ELSE 0 END) AS recovered FROM gates GROUP BY conv_id, turn, record_id),
-        screened AS (SELECT conv_id, turn, record_id, text, lines, cuts, spans, CASE WHEN secrets > 0 THEN 'EXC_LIVE_SECRET' WHEN ids >= {DENSITY} THEN 'EXC_PII_DENSITY' WHEN minors > 0 THEN 'EXC_SPECIAL_CATEGORY'
+        screened AS (SELECT conv_id, turn, record_id, text, lines, cuts, spans, CASE WHEN failed > 0 THEN 'EXC_STAGE6_UNAVAILABLE' WHEN secrets > 0 THEN 'EXC_LIVE_SECRET' WHEN ids >= {DENSITY} THEN 'EXC_PII_DENSITY' WHEN minors > 0 THEN 'EXC_SPECIAL_CATEGORY'
             WHEN coalesce(category, norp) % 2 = 0 THEN 'EXC_SPECIAL_CATEGORY' WHEN coalesce(category, norp) % 2 = 1 THEN 'EXC_ATTRIBUTION_AMBIGUOUS' ELSE 'none' END AS reason,
-            secrets = 0 AND ids < {DENSITY} AND minors > 0 AS minor, secrets = 0 AND ids < {DENSITY} AND minors = 0 AND category IS NULL AND recovered = 1 AS recovered FROM closed)"""
+            failed = 0 AND secrets = 0 AND ids < {DENSITY} AND minors > 0 AS minor, failed = 0 AND secrets = 0 AND ids < {DENSITY} AND minors = 0 AND category IS NULL AND recovered = 1 AS recovered FROM closed)"""
+
+
+def years(e: Duck, x: str) -> str:
+    """The number that the digits of an age write; null without any."""
+    return f"CAST(nullif({e.first(e.sub(x, '[^0-9]', repr('')), '^[0-9]{1,9}')}, '') AS INT)"
 
 
 Groups = list[tuple[list[str], str]]
+#: What says spanned: our own rules, or another detector's table with them.
+Detector = Callable[[Duck], str]
 
 
-def gated(e: Duck) -> Groups:
-    return [(["screened"], f"{prompts(e)}, {spanned(e)}, {judged(e)}, {categories(e)}, {screened(e)}")]
+def gated(e: Duck, spans: Detector = spanned) -> Groups:
+    return [(["screened"], f"{prompts(e)}, {spans(e)}, {judged(e)}, {categories(e)}, {screened(e)}")]
 
 
-def base(e: Duck) -> str:
+def base(e: Duck, spans: Detector = spanned) -> str:
     """screened, which everything after the gates begins with."""
-    return e.steps(gated(e))
+    return e.steps(gated(e, spans))
 
 
 def region(e: Duck, x: str) -> str:
@@ -151,11 +180,21 @@ def name_key(e: Duck, x: str) -> str:
     return f"trim({e.sub(f'lower({x})', P.WS + '+', chr(39) + ' ' + chr(39))})"
 
 
+def line_at(e: Duck, at: str) -> str:
+    """The sentence that a place is in, or the last one."""
+    inside = e.those("lines", "y", f"{at} >= y.a AND {at} < y.b")
+    first = e.item(inside, "1") if type(e) is Duck else f"try_element_at({inside}, 1)"
+    return f"coalesce({first}, {e.item('lines', e.size('lines'))})"
+
+
 def acts(e: Duck) -> str:
     """acts: spans of records that no gate stopped, each with whom it speaks of; numbers: of each conversation's names."""
     kind = "CASE rule " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
-    return f"""loose AS (SELECT conv_id, turn, record_id, text, {e.each('spans')} AS o FROM screened WHERE reason = 'none' AND {e.size('spans')} > 0),
-        acts AS (SELECT l.conv_id, l.turn, l.record_id, {start(e, 'o.k')} AS begins, {start(e, 'o.k')} + {length(e, 'o.k')} AS ends, o.k % {RULES} AS rule, {value(e, 'o.k').replace('text', 'l.text')} AS value, o.b AS bucket FROM loose l),
+    here = line_at(e, start(e, "o.k"))
+    said = f"substr(l.text, CAST({here}.a + 1 AS INT), CAST({here}.b - {here}.a AS INT))"
+    employs = f"CASE WHEN {is_kind('o.k', 'ORG')} THEN {e.matches(said, L.EMPLOYER)} AND o.b IN ('self', 'ambiguous') ELSE false END"
+    return f"""loose AS (SELECT conv_id, turn, record_id, text, lines, {e.each('spans')} AS o FROM screened WHERE reason = 'none' AND {e.size('spans')} > 0),
+        acts AS (SELECT l.conv_id, l.turn, l.record_id, {start(e, 'o.k')} AS begins, {start(e, 'o.k')} + {length(e, 'o.k')} AS ends, o.k % {RULES} AS rule, {value(e, 'o.k').replace('text', 'l.text')} AS value, o.b AS bucket, {employs} AS employs FROM loose l),
         named AS (SELECT conv_id, turn, record_id, begins, {name_key(e, 'value')} AS name FROM acts WHERE rule = {PERSON} AND (bucket = 'third_party' OR {name_key(e, 'value')} NOT IN {e.any_of(list(G.FIGURES))})),
         firsts AS (SELECT conv_id, name, min(CAST(turn AS BIGINT) * {LONG} + begins) AS first_at FROM named GROUP BY conv_id, name),
         numbers AS (SELECT conv_id, name, row_number() OVER (PARTITION BY conv_id ORDER BY first_at) AS n FROM firsts)""", kind
@@ -172,10 +211,11 @@ def edits(e: Duck) -> str:
     """edits(record_id, begins, ends, new): what takes a span's place."""
     rows, kind = acts(e)
     date = e.first("value", G.YEAR)
-    age = "CASE WHEN kind = 'AGE' THEN CAST(value AS INT) END"
-    return f"""{rows}, kinds AS (SELECT conv_id, turn, record_id, begins, ends, {kind} AS kind, value, bucket FROM acts),
-        edits AS (SELECT k.record_id, k.begins, k.ends, CASE WHEN kind IN ({', '.join(repr(i) for i in IDENTIFIERS)}) THEN concat('[', kind, ']') WHEN kind = 'PERSON' THEN CASE WHEN n.n IS NOT NULL THEN concat('[PERSON_', CAST(n.n AS {e.string}), ']') END
-            WHEN NOT {ATTRIBUTED} THEN NULL WHEN kind = 'GPE' THEN CASE WHEN lower(value) IN {e.any_of(G.COUNTRIES + G.REGIONS)} THEN NULL ELSE coalesce({region(e, 'value')}, '[LOCATION]') END
+    age = f"CASE WHEN kind = 'AGE' THEN {years(e, 'value')} END"
+    marks = "CASE kind " + " ".join(f"WHEN '{k}' THEN '[{v}]'" for k, v in L.PLACEHOLDERS.items()) + " END"
+    return f"""{rows}, kinds AS (SELECT conv_id, turn, record_id, begins, ends, {kind} AS kind, value, bucket, employs FROM acts),
+        edits AS (SELECT k.record_id, k.begins, k.ends, CASE WHEN kind IN ({', '.join(repr(i) for i in IDENTIFIERS)}) THEN {marks} WHEN kind = 'UNKNOWN' THEN '[REDACTED]' WHEN employs THEN '[EMPLOYER]' WHEN kind = 'PERSON' THEN CASE WHEN n.n IS NOT NULL THEN concat('[PERSON_', CAST(n.n AS {e.string}), ']') END
+            WHEN NOT {ATTRIBUTED} THEN NULL WHEN kind IN ('GPE', 'LOC', 'FAC') THEN CASE WHEN lower(value) IN {e.any_of(G.COUNTRIES + G.REGIONS)} THEN NULL ELSE coalesce({region(e, 'value')}, '[LOCATION]') END
             WHEN kind = 'DATE' THEN CASE WHEN length({date}) > 0 THEN {date} ELSE '[DATE]' END WHEN {age} >= 90 THEN '90+' END AS new
             FROM kinds k LEFT JOIN numbers n ON n.conv_id = k.conv_id AND kind = 'PERSON' AND n.name = CASE WHEN kind = 'PERSON' AND (bucket = 'third_party' OR {name_key(e, 'value')} NOT IN {e.any_of(list(G.FIGURES))}) THEN {name_key(e, 'value')} END)"""
 
@@ -188,14 +228,14 @@ def quasi(e: Duck) -> str:
     found = {k: f"CASE WHEN {e.matches('text', p)} THEN length({e.item(e.split('text', p), '1')}) END" for k, p in QI_PATTERNS.items()}
     size = {k: f"length({e.first('text', p)})" for k, p in QI_PATTERNS.items()}
     hit = [e.struct({"kind": f"'{k}'", "begins": f"CAST(at_{k} AS BIGINT)", "ends": f"CAST(at_{k} + {size[k]} AS BIGINT)"}) for k in QI_PATTERNS]
-    here = e.item(e.those("lines", "y", "q.begins >= y.a AND q.begins < y.b"), "1") if type(e) is Duck else f"try_element_at({e.those('lines', 'y', 'q.begins >= y.a AND q.begins < y.b')}, 1)"
+    here = line_at(e, "q.begins")
     place = "CASE kind " + " ".join(f"WHEN '{k}' THEN {P.QI_ORDER.index(k)}" for k in QI_MARKS) + " END"
     geo = f"lower(value) IN {e.any_of(G.REGIONS + CITIES)} AND lower(value) NOT IN {e.any_of(G.COUNTRIES)}"
-    told = f"CASE WHEN kind = 'AGE' THEN CASE WHEN CAST(value AS INT) < 90 THEN 'exact_age' END WHEN kind = 'GPE' AND {geo} THEN 'geo' END"
-    return f"""told AS (SELECT conv_id, turn, record_id, {told} AS kind, begins, ends FROM kinds WHERE {ATTRIBUTED} AND kind IN ('AGE', 'GPE')),
+    told = f"CASE WHEN kind = 'AGE' THEN CASE WHEN {years(e, 'value')} < 90 THEN 'exact_age' END WHEN employs THEN 'employer' WHEN kind IN ('GPE', 'LOC', 'FAC') AND {geo} THEN 'geo' END"
+    return f"""told AS (SELECT conv_id, turn, record_id, {told} AS kind, begins, ends FROM kinds WHERE {ATTRIBUTED} AND kind IN ('AGE', 'ORG', 'GPE', 'LOC', 'FAC')),
         tried AS (SELECT conv_id, turn, record_id, text, lines, {e.made({f'at_{k}': x for k, x in found.items()})} FROM screened WHERE reason = 'none'),
         tries AS (SELECT conv_id, turn, record_id, lines, {e.each(e.items(hit))} AS q FROM tried),
-        placed AS (SELECT conv_id, turn, record_id, q.kind AS kind, q.begins AS begins, q.ends AS ends, coalesce({here}, {e.item('lines', e.size('lines'))}).bucket AS bucket FROM tries WHERE q.begins IS NOT NULL),
+        placed AS (SELECT conv_id, turn, record_id, q.kind AS kind, q.begins AS begins, q.ends AS ends, {here}.bucket AS bucket FROM tries WHERE q.begins IS NOT NULL),
         every AS (SELECT conv_id, turn, record_id, kind, begins, ends FROM told WHERE kind IS NOT NULL
             UNION ALL SELECT conv_id, turn, record_id, kind, begins, ends FROM placed p WHERE bucket IN ('self', 'third_party') AND NOT (kind = 'exact_age' AND EXISTS (SELECT 1 FROM told t WHERE t.record_id = p.record_id AND t.kind = 'exact_age'))),
         quasi AS (SELECT conv_id, turn, record_id, kind, {place} AS place, begins, ends FROM every)"""
@@ -234,11 +274,11 @@ def rebuilt(e: Duck, out: str, changes: str, rows: str) -> str:
         {out} AS (SELECT conv_id, turn, record_id, reason, CASE WHEN reason <> 'none' THEN '' WHEN cuts = 1 THEN {e.join(parts, ' ')} ELSE {trimmed(edited(e, '0', 'length(text)'))} END AS final_text FROM {out}_rows)"""
 
 
-def marked(e: Duck) -> Groups:
+def marked(e: Duck, spans: Detector = spanned) -> Groups:
     """edits, quasi and quasi_kinds; and changes(record_id, begins, ends, new, late), those of each record by itself."""
     changes = f"""changes AS (SELECT record_id, begins, ends, new, 0 AS late FROM edits
             UNION ALL SELECT q.record_id, q.begins, q.ends, {mark('q.kind')}, 1 FROM quasi q JOIN quasi_kinds k ON k.record_id = q.record_id AND k.kind = q.kind WHERE k.suppressed)"""
-    return [*gated(e), (["edits", "quasi"], f"{edits(e)}, {quasi(e)}"), ([], f"{quasi_kinds(e)}, {changes}")]
+    return [*gated(e, spans), (["edits", "quasi"], f"{edits(e)}, {quasi(e)}"), ([], f"{quasi_kinds(e)}, {changes}")]
 
 
 def finals(e: Duck) -> Groups:

@@ -51,8 +51,35 @@ PROMPTS = [
     "I moved to Quebec for the snow, what do people there wear when it rains on top of the ice in March?",
     "I'm 41 and I never learned how to swim, which stroke is the easiest one to begin with in a cold lake?",
     "I met my friend on 3/4/21 at the old station, what could we write on the card for the day we met?",
+    "I am a 44-year-old teacher and I work at Acme Mills in Ottawa with two children, how do I plan the week so that all of it fits?",
+    "Invite ann@a.org ben@a.org cat@a.org dan@a.org eve@a.org fay@a.org gus@a.org hal@a.org ida@a.org jim@a.org kay@a.org lee@a.org mia@a.org ned@a.org oli@a.org to the walk.",
+    "Tell ann@a.org ben@a.org cat@a.org dan@a.org eve@a.org that the big tent is up again and the lake is warm now.",
+    "I'm a 38-year-old teacher with three kids, which museum in the old town would you show to them first?",
+    "I am a 27-year-old woman and I moved to Vancouver, how do I find people there who like to row at dawn?",
+    "I work for Northwind and my company closes at noon today, how long does the walk to the harbour take from there?",
+    "A catholic choir and David Moss sang here, my friend said, what is the name of the long song at the end?",
 ]
 
+#: What an external detector says of the fixture's prompts: label, where (each match), and how sure it is. Some labels are nobody's, one
+#: is benign, some answers are too unsure to act on, two tell the same place, and some lie outside their text.
+ANSWERS = [
+    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.9), ("PHONE_NUMBER", r"\b\d{3}-\d{3}-\d{4}\b", 0.8), ("IP_ADDRESS", r"\b\d+\.\d+\.\d+\.\d+\b", 0.9), ("US_SSN", r"\b\d{3}-\d{2}-\d{4}\b", 0.85),
+    ("CREDIT_CARD", r"\b(?:\d{4} ){3}\d{4}\b", 0.9), ("URL", r"https?://\S+", 0.9), ("MEDICAL_LICENSE", r"\bAKIA\w+", 0.4), ("ORGANIZATION", r"\b(?:Acme Mills|Northwind|bank)\b", 0.7), ("HANDLE", r"\bhunter2secret\b", 0.6), ("STARSHIP", r"\bbridge\b", 0.5), ("ORDINAL", r"\bfirst\b", 0.9),
+    ("PERSON", r"\b(?:Anna Reed|David Moss|Albert Einstein|Michael Jordan)\b", 0.85), ("PERSON", r"\bKing\b|\bking\b", 0.2), ("LOCATION", r"\b(?:Toronto|Ottawa|Vancouver|Ontario|Quebec|Lyon|Paris|Canada)\b", 0.8), ("LOCATION", r"\bBerlin\b", 0.3), ("FAC", r"\bold station\b", 0.6),
+    ("DATE_TIME", r"\b(?:\d{4}-\d{2}-\d{2}|March \d, \d{4}|\d/\d/\d{2})", 0.6), ("DATE_TIME", r"\bFriday\b", 0.35), ("NRP", r"\bcatholic\b", 0.5), ("NRP", r"\bAsian\b", 0.2), ("MEDICAL_LICENSE", r"\b123-45-6789\b", 0.3), ("AGE", r"\bsmall children\b", 0.5),
+]
+
+
+def answers(e: Duck) -> str:
+    """runs(record_id): the texts that the external detector answered, those of twelve characters and more; analysed(record_id, n, label,
+    begins, ends, score): its rows as a table, n being their order in the answer."""
+    found = {f"a{i}": e.all("text", p) for i, (_, p, _) in enumerate(ANSWERS)} | {f"b{i}": e.split("text", p) for i, (_, p, _) in enumerate(ANSWERS)}
+    at = lambda i: f"({e.lengths(f'b{i}', e.place)} + {e.lengths(f'a{i}', e.place + ' - 1')})"
+    rows = [e.each_item(f"a{i}", "v, i", e.struct({"n": f"CAST({i * 1000} + {e.place} AS BIGINT)", "label": f"'{n}'", "begins": f"CAST({at(i)} AS BIGINT)", "size": "CAST(length(v) AS BIGINT)", "score": f"CAST({s} AS DOUBLE)"})) for i, (n, _, s) in enumerate(ANSWERS)]
+    return f"""runs AS (SELECT record_id FROM prompts WHERE length(text) >= 12),
+        asked AS (SELECT record_id, {e.made(found)} FROM prompts WHERE length(text) >= 12), told_rows AS (SELECT record_id, {e.each(e.concat_lists(rows))} AS r FROM asked),
+        analysed AS (SELECT record_id, r.n AS n, r.label AS label, r.begins AS begins, r.begins + r.size + CASE WHEN r.label = 'URL' AND record_id % 2 = 0 THEN 1000 ELSE 0 END AS ends, r.score AS score FROM told_rows)"""
+
 
 def prompts(e: Duck) -> str:
     """prompts(conv_id, turn, record_id, text)"""
