@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import external, funds, ingest, market, policy, provenance, settlement, valuation
+from .operators import chains, external, funds, ingest, market, policy, provenance, settlement, valuation
 from .plans.dialect import Duck, runs
 from .sources import briefs
 from .streaming import payments
@@ -15,8 +15,8 @@ DEFINITIONS = valuation.DEFINITIONS | policy.DEFINITIONS | market.DEFINITIONS |
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: runs(f) for k, f in DEFINITIONS.items()} | payments.STREAMS | {"brief_ingest": briefs.brief_ingest}
+    return {k: runs(f) for k, f in DEFINITIONS.items()} | chains.QUERIES | payments.STREAMS | {"brief_ingest": briefs.brief_ingest}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: f(Duck()) for k, f in DEFINITIONS.items()} | {k: f(Duck()) for k, f in payments.TWINS.items()} | {"brief_ingest": briefs.BRIEF_INGEST_SQL}
+    return {k: f(Duck()) for k, f in DEFINITIONS.items()} | {k: f(Duck()) for k, f in (payments.TWINS | chains.SQL).items()} | {"brief_ingest": briefs.BRIEF_INGEST_SQL}

@@ -133,20 +133,4 @@ def revocation_status(e: Duck) -> str:
     return f"""WITH {payments(e)}, {sales(e)} SELECT record_ref, status AS was, CASE WHEN status = 'sold' THEN 'sold' WHEN withdrawn AND has_receipt THEN 'revoked' ELSE status END AS status FROM records"""
 
 
-def links(e: Duck) -> str:
-    payload = f"concat('{{\"record\":', CAST(record_id AS {e.string}), ',\"turn\":', CAST(turn AS {e.string}), '}}')"
-    folded = e.fold(e.slice("payloads", "1", "k"), "'genesis'", e.sha("concat(a, x)"))
-    return f"""chains AS (SELECT conv_id, {e.ordered(payload, "turn")} AS payloads, max(turn) AS last_turn FROM prompts GROUP BY conv_id),
-        places AS (SELECT conv_id, payloads, {e.numbered("payloads", "k", "payload")} FROM chains),
-        stored AS (SELECT conv_id, CAST(k AS BIGINT) AS k, payload, {folded} AS link FROM places)"""
-
-
-def chain_verify(e: Duck) -> str:
-    """A stored chain, of which some conversations' third payload was changed afterwards: each link is checked against the hash of the
-    one before it and its payload."""
-    changed = "CASE WHEN k = 3 AND conv_id % 4 = 0 THEN concat(payload, ' ') ELSE payload END"
-    return f"""WITH {prompts(e)}, {links(e)}, read AS (SELECT conv_id, k, {changed} AS payload, link, coalesce(lag(link) OVER (PARTITION BY conv_id ORDER BY k), 'genesis') AS prev FROM stored)
-        SELECT conv_id, k, prev, link = {e.sha("concat(prev, payload)")} AS holds FROM read"""
-
-
-DEFINITIONS = {f.__name__: f for f in (attestation_chain, chain_verify, pseudonymous_ids, buyer_scoped_ids, consent_receipts, receipt_sign_verify, packaged_bundles, buyer_records, datasheet_tags, batch_ids, attestations, reason_codes, edit_log, datasheet_distribution, capture_windows, latest_bundle, first_seen_fingerprint, revocation_status)}
+DEFINITIONS = {f.__name__: f for f in (attestation_chain, pseudonymous_ids, buyer_scoped_ids, consent_receipts, receipt_sign_verify, packaged_bundles, buyer_records, datasheet_tags, batch_ids, attestations, reason_codes, edit_log, datasheet_distribution, capture_windows, latest_bundle, first_seen_fingerprint, revocation_status)}
