@@ -1,5 +1,6 @@
 """Briefs, keywords, the quality gate on bundles, and duplicates across contributors."""
 
+import re
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -7,24 +8,17 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..plans.dialect import Duck, Spark
-from ..plans.fixtures import BRIEFS, briefs, contributions
+from ..plans.fixtures import BRIEFS, briefs, contribution_parts, contributions
+from ..plans.scratch import stored
+from . import screening
 
 AS_OF = "2026-01-01"
+# They must equal the service's for equal results.
 #: Buyer categories and their names.
-CATEGORIES = {"general": "General", "research": "Research", "model_training": "Model training", "evaluation": "Evaluation", "safety": "Safety"}
-#: Jurisdictions that are confirmed; share of prompts that must collide; bits in which near sketches may differ.
+CATEGORIES = {"ai_lab_commercial": "Commercial AI developer", "ai_research_nonprofit": "Nonprofit AI research organisation", "academic": "Academic / university research", "enterprise_internal": "Company training models for internal use", "data_broker_reseller": "Data platform / licensed reseller"}
+#: Jurisdictions that are confirmed; share of prompts that must collide; bits in which near sketches may differ.
 CONFIRMED, DUPLICATE_SHARE, NEAR_BITS = ("US", "CA"), 0.5, 3
-SCHEDULE = "0.1"
-
-
-def keyword(e: Duck, text: str, column: str) -> str:
-    """Case-insensitive, between characters that are no letters or digits; a blank keyword is never there."""
-    fold = "(?iu)" if type(e) is Spark else "(?i)"
-    edge = r"[^\p{L}\p{N}]"
-    special = r"([.*+?^${}()|\[\]\\])"
-    escaped = e.sub(e.sub(column, special, r"r'\\$1'" if type(e) is Spark else r"'\\\1'"), r"\s+", r"r'\\s+'" if type(e) is Spark else r"'\\s+'")
-    q = "r" if type(e) is Spark else ""
-    return f"(trim({column}) <> '' AND {e.like(text, f'''concat({q}'{fold}(?:^|{edge})', {escaped}, {q}'(?:$|{edge})')''')})"
+SCHEDULE, SALTS = "0.1", 64
 
 
 def phrases() -> list[str]:
@@ -52,10 +46,71 @@ def asked(e: Duck, found: str) -> dict[str, str]:
     }
 
 
+#: A letter or digit run or one other character, with the blank before it; what follows no blank is glued.
+TOKEN = r" ?(?:[\p{L}\p{N}]+|[^\p{L}\p{N} ])"
+
+
+def tokens(x: str) -> str:
+    """Spark SQL: the tokens of a text in lower case, each behind two letters: g if it is glued to the one before, else a blank; w for a
+    word, s for another character."""
+    told = f'regexp_extract_all(regexp_replace(lower(trim({x})), r"\\s+", " "), r"{TOKEN}", 0)'
+    return f"""transform({told}, (t, i) -> concat(CASE WHEN i > 0 AND substr(t, 1, 1) <> ' ' THEN 'g' ELSE ' ' END, CASE WHEN ltrim(t) rlike r"^[\\p{{L}}\\p{{N}}]" THEN 'w' ELSE 's' END, ltrim(t)))"""
+
+
+def gram(t: str, i: str, k: str) -> str:
+    """Spark SQL: k tokens from the i-th on as one text; marked where it begins or ends in the middle of a word, which no phrase does: a
+    first or last character that is none of a word must not touch one."""
+    begins = f"CASE WHEN substr({t}[{i} - 1], 2, 1) = 's' AND substr({t}[{i} - 1], 1, 1) = 'g' AND substr({t}[{i} - 2], 2, 1) = 'w' THEN '!' ELSE '' END"
+    ends = f"CASE WHEN substr({t}[{i} + {k} - 2], 2, 1) = 's' AND {i} + {k} - 1 < size({t}) AND substr({t}[{i} + {k} - 1], 1, 2) = 'gw' THEN '!' ELSE '' END"
+    first = lambda x, n, low: x.replace(f"{t}[{n}]", f"get({t}, {low})")
+    begins = first(first(begins, f"{i} - 1", f"{i} - 1"), f"{i} - 2", f"{i} - 2")
+    ends = first(first(ends, f"{i} + {k} - 2", f"{i} + {k} - 2"), f"{i} + {k} - 1", f"{i} + {k} - 1")
+    return f"concat({begins}, substr(array_join(slice({t}, {i}, {k}), ''), 2), {ends})"
+
+
+def phrase_grams(rows: str) -> str:
+    """phrase_grams(phrase, k, gram) of a relation (phrase): each distinct phrase that is not blank as the gram that texts have of it."""
+    return f"""phrase_tokens AS (SELECT phrase, inline(array(named_struct('t', {tokens("phrase")}))) FROM (SELECT DISTINCT phrase FROM {rows} WHERE trim(phrase) <> '') p),
+        phrase_grams AS (SELECT phrase, size(t) AS k, {gram("t", "1", "size(t)")} AS gram FROM phrase_tokens)"""
+
+
+def text_grams(rows: str, lengths: list[int]) -> str:
+    """text_grams(doc_id, gram) of a relation (doc_id, text): the distinct grams of the lengths that phrases have."""
+    each = lambda k: f"CASE WHEN size(t) >= {k} THEN transform(sequence(1, size(t) - {k - 1}), i -> {gram('t', 'i', str(k))}) ELSE array() END"
+    return f"""text_tokens AS (SELECT doc_id, inline(array(named_struct('t', {tokens("text")}))) FROM {rows}),
+        text_grams AS (SELECT doc_id, explode(array_distinct(concat({', '.join(map(each, lengths))}))) AS gram FROM text_tokens)"""
+
+
+def phrase_hits(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, phrase): the phrases (phrase) of a table that texts (doc_id, text) have: without regard to case, between characters that are no
+    letters or digits, any white space between their words. A blank phrase is never there; a null text has none.
+
+    Phrases are an index of token grams, and texts' grams of the same lengths meet them by equality: no pattern is made from data, no
+    text meets a phrase that it does not have, and the work is the texts' tokens whatever the number of phrases."""
+    spark = texts.sparkSession
+    wanted.select("phrase").createOrReplaceTempView("wanted_phrases")
+    grams = stored(spark.sql(f"WITH {phrase_grams('wanted_phrases')} SELECT * FROM phrase_grams"))
+    lengths = sorted(r[0] for r in grams.select("k").distinct().collect())  # as many as a keyword of bounded length has tokens
+    if not lengths:
+        return texts.select("doc_id", F.lit("").alias("phrase")).limit(0)
+    texts.where("text IS NOT NULL").select("doc_id", "text").createOrReplaceTempView("searched_texts")
+    return spark.sql(f"WITH {text_grams('searched_texts', lengths)} SELECT doc_id, gram FROM text_grams").join(grams, "gram").select("doc_id", "phrase").distinct()
+
+
+def heard(e: Duck, rows: str) -> str:
+    """heard(doc_id, found): the briefs' keywords that the texts of a relation (doc_id, text) have, where there are any."""
+    if type(e) is Duck:  # by a pattern for each keyword
+        return f"heard AS (SELECT doc_id, {keywords_in(e, 'text')} AS found FROM {rows})"
+    lengths = sorted({len(re.findall(r"[^\W_]+|[^\s]", p)) for p in phrases()})
+    return f"""asked_for AS (SELECT explode(concat(kw_any, kw_all, kw_none)) AS phrase FROM briefs), {phrase_grams("asked_for")}, {text_grams(rows, lengths)},
+        heard AS (SELECT x.doc_id, collect_set(p.phrase) AS found FROM text_grams x JOIN phrase_grams p ON p.gram = x.gram GROUP BY x.doc_id)"""
+
+
 def keyword_any_all_none(e: Duck) -> str:
     hits = ", ".join(f"{x} AS {k}" for k, x in asked(e, "d.found").items())
     return f"""WITH {briefs(e)}, reached AS (SELECT brief_ref, kw_any, kw_all, kw_none, {e.each("reach")} AS lang FROM briefs),
-        d AS (SELECT doc_id, lang, {e.made({"found": keywords_in(e, "text")})} FROM {e.table("documents")} WHERE text IS NOT NULL)
+        texts AS (SELECT doc_id, lang, text FROM {e.table("documents")} WHERE text IS NOT NULL), {heard(e, "texts")},
+        d AS (SELECT t.doc_id, t.lang, coalesce(h.found, {e.words([])}) AS found FROM texts t LEFT JOIN heard h ON h.doc_id = t.doc_id)
         SELECT d.doc_id, b.brief_ref, {hits} FROM d JOIN reached b ON b.lang = d.lang"""
 
 
@@ -95,7 +150,7 @@ def category_names(e: Duck) -> str:
 def briefs_of_buyer(e: Duck) -> str:
     """The newest hundred briefs of one buyer, who sees no others', with how many matches each has."""
     return f"""WITH {briefs(e)}, {contributions(e)} SELECT b.brief_ref, b.status, count(m.doc_id) AS matches FROM briefs b LEFT JOIN matches m ON m.brief_ref = b.brief_ref
-        WHERE b.category IN ('general', 'model_training') GROUP BY b.brief_ref, b.status ORDER BY b.brief_ref DESC LIMIT 100"""
+        WHERE b.category IN ('ai_lab_commercial', 'enterprise_internal') GROUP BY b.brief_ref, b.status ORDER BY b.brief_ref DESC LIMIT 100"""
 
 
 def domain_language_filter(e: Duck) -> str:
@@ -142,47 +197,46 @@ def near_dups_simhash(e: Duck) -> str:
     """Documents that are another source's but for some words, each source's documents as its prompts: sketches of 64 bits that differ
     in three at the most. What another source had first word for word is no near copy."""
     whole = f"SELECT doc_id, source AS user_id, text AS prompt FROM {e.table('documents')} WHERE text IS NOT NULL"
-    return f"WITH {e.steps([(['lines', 'exacts'], prints(e, whole))])}, {near(e)} SELECT user_id, exact FROM nears"
+    return f"WITH {e.steps(print_groups(e, whole))}, {near(e)} SELECT user_id, exact FROM nears"
 
 
 def simhash_of_documents(e: Duck) -> str:
     return f"WITH whole AS (SELECT {e.sha('text')} AS exact, min(text) AS text FROM {e.table('documents')} WHERE text IS NOT NULL GROUP BY {e.sha('text')}), {sketches(e, 'whole')} SELECT exact, hi, lo FROM sims"
 
 
-def hamming_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of rows (doc_id, source, sim) of different sources within NEAR_BITS bits. Distinct sketches meet where they agree in
-    three of six blocks of bits, each pair once."""
-    halves = rows.select("sim").distinct().select("sim", F.shiftrightunsigned("sim", 32).alias("hi"), F.col("sim").bitwiseAND(0xFFFFFFFF).alias("lo"))
-    masks = F.array(*(F.struct(F.lit(k).alias("mask"), F.col("hi").bitwiseAND(h).alias("kh"), F.col("lo").bitwiseAND(lo).alias("kl")) for k, (h, lo) in enumerate(MASKS)))
-    keyed = halves.select("sim", F.inline(masks))
-    a, b = (keyed.withColumnRenamed("sim", f"sim_{x}") for x in "ab")
-    close = a.join(b, ["mask", "kh", "kl"]).where(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= NEAR_BITS).select("sim_a", "sim_b").distinct()
-    a, b = (rows.select(*(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "source", "sim"))) for x in "ab")
-    return close.join(a, "sim_a").join(b, "sim_b").where("source_a <> source_b AND doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
-
-
 IDENTIFIER = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
 def prints(e: Duck, lines: str) -> str:
     """Of lines(doc_id, user_id, prompt): prints(user_id, exact, first_at): the first arrival of each prompt from a contributor; own(doc_id, user_id, exact): a bundle's."""
-    return f"""lines AS ({lines}), own AS (SELECT DISTINCT doc_id, user_id, {e.sha("lower(trim(prompt))")} AS exact FROM lines),
-        prints AS (SELECT user_id, exact, min(doc_id) AS first_at FROM own GROUP BY user_id, exact),
+    return ", ".join(text for _, text in print_groups(e, lines))
+
+
+def print_groups(e: Duck, lines: str) -> screening.Groups:
+    """lines, own and exacts, each made from those before it."""
+    return [
+        (["lines"], f"lines AS ({lines})"),
+        (["own"], f"own AS (SELECT DISTINCT doc_id, user_id, {e.sha('lower(trim(prompt))')} AS exact FROM lines)"),
+        (["exacts"], """prints AS (SELECT user_id, exact, min(doc_id) AS first_at FROM own GROUP BY user_id, exact),
         firsts AS (SELECT exact, user_id, first_at, row_number() OVER (PARTITION BY exact ORDER BY first_at, user_id) AS k FROM prints),
         earliest AS (SELECT exact, min(first_at) AS at, min(CASE WHEN k = 1 THEN user_id END) AS by_user, min(CASE WHEN k = 2 THEN first_at END) AS next_at FROM firsts WHERE k <= 2 GROUP BY exact),
-        exacts AS (SELECT p.user_id, p.exact, p.first_at, coalesce(CASE WHEN e.by_user <> p.user_id THEN e.at ELSE e.next_at END <= p.first_at, false) AS taken FROM prints p JOIN earliest e ON e.exact = p.exact)"""
+        exacts AS (SELECT p.user_id, p.exact, p.first_at, coalesce(CASE WHEN e.by_user <> p.user_id THEN e.at ELSE e.next_at END <= p.first_at, false) AS taken FROM prints p JOIN earliest e ON e.exact = p.exact)"""),
+    ]
 
 
-def printed(e: Duck) -> list[tuple[list[str], str]]:
-    return [(["bundles", "receipts", "matches", "briefs"], f"{briefs(e)}, {contributions(e)}"), (["lines", "own", "exacts"], prints(e, f"SELECT doc_id, user_id, {e.each('prompts')} AS prompt FROM bundles"))]
+def printed(e: Duck, gate: bool = False) -> screening.Groups:
+    """bundles, lines, own and exacts; for the gate receipts, matches and briefs too."""
+    parts = contribution_parts(e)
+    more = [(["briefs"], briefs(e)), (["receipts"], parts["receipts"]), (["matches"], parts["matches"])] if gate else []
+    return [*more, (["bundles"], parts["bundles"]), *print_groups(e, f"SELECT doc_id, user_id, {e.each('prompts')} AS prompt FROM bundles")]
 
 
-def judged(e: Duck) -> list[tuple[list[str], str]]:
+def judged(e: Duck, gate: bool = False) -> screening.Groups:
     """verdicts(doc_id, own, exact, near): a bundle's distinct prompts, those that another contributor had first, and those that are
     near one that another had first."""
     told = """verdicts AS (SELECT o.doc_id, count(*) AS own, CAST(sum(CASE WHEN x.taken THEN 1 ELSE 0 END) AS BIGINT) AS exact, CAST(sum(CASE WHEN n.exact IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS near
         FROM own o JOIN exacts x ON x.user_id = o.user_id AND x.exact = o.exact LEFT JOIN nears n ON n.user_id = o.user_id AND n.exact = o.exact GROUP BY o.doc_id)"""
-    return [*printed(e), (["verdicts"], f"{near(e)}, {told}")]
+    return [*printed(e, gate), (["verdicts"], f"{near(e)}, {told}")]
 
 
 def exact_dups_cross_source(e: Duck) -> str:
@@ -212,9 +266,10 @@ def gate_rows(e: Duck) -> str:
     failures = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in codes) + ")"
     duplicate = f"d.own > 0 AND (d.exact > {DUPLICATE_SHARE} * d.own OR (b.guarantee = 'exact+near' AND d.exact + d.near > {DUPLICATE_SHARE} * d.own))"
     failures = failures.replace("{duplicate}", duplicate)
-    return f"""{e.steps(judged(e))},
+    return f"""{e.steps(judged(e, gate=True))},
         joined AS (SELECT b.doc_id, b.user_id, b.record_ref, b.language, b.tags, b.status, b.chain_hash, {e.size("b.prompts")} AS n_prompts, {e.join("b.prompts", " ")} AS whole, v.own, v.exact, v.near FROM bundles b JOIN verdicts v ON v.doc_id = b.doc_id),
-        told AS (SELECT doc_id, user_id, record_ref, language, tags, status, chain_hash, n_prompts, own, exact, near, {e.made({"masked": masked, "found": keywords_in(e, "d.whole")})} FROM joined d),
+        wholes AS (SELECT doc_id, whole AS text FROM joined), {heard(e, "wholes")},
+        told AS (SELECT d.doc_id, user_id, record_ref, language, tags, status, chain_hash, n_prompts, own, exact, near, coalesce(h.found, {e.words([])}) AS found, {e.made({"masked": masked})} FROM joined d LEFT JOIN heard h ON h.doc_id = d.doc_id),
         counted AS (SELECT doc_id, user_id, record_ref, language, tags, status, chain_hash, n_prompts, own, exact, near, found, {e.made({"n": e.size(tokens), "marks": e.size(marks)})} FROM told d),
         dense AS (SELECT doc_id, user_id, record_ref, language, tags, status, chain_hash, n_prompts, own, exact, near, found, CASE WHEN n = 0 THEN 1.0 ELSE CAST(marks AS DOUBLE) / n END AS density FROM counted),
         gate AS (SELECT m.doc_id, m.brief_ref, m.user_id, d.record_ref, d.chain_hash, d.n_prompts, round(coalesce(d.density, 1.0), 6) AS density, {failures} AS failures FROM matches m JOIN briefs b ON b.brief_ref = m.brief_ref
@@ -248,10 +303,17 @@ def qa_valuation(e: Duck) -> str:
 
 
 def brief_fill(e: Duck) -> str:
-    """Of each brief how many bundles pass its gate, by arrival within the brief's target and its cap for one contributor."""
-    return f"""WITH {gate_rows(e)}, passed AS (SELECT g.brief_ref, g.user_id, g.doc_id, b.target, b.per_user, row_number() OVER (PARTITION BY g.brief_ref, g.user_id ORDER BY g.doc_id) AS own FROM gate g JOIN briefs b ON b.brief_ref = g.brief_ref WHERE g.failures = ''),
-        capped AS (SELECT brief_ref, target, row_number() OVER (PARTITION BY brief_ref ORDER BY doc_id) AS k FROM passed WHERE per_user IS NULL OR own <= per_user)
-        SELECT brief_ref, CAST(sum(CASE WHEN k <= target THEN 1 ELSE 0 END) AS BIGINT) AS taken, count(*) AS eligible FROM capped GROUP BY brief_ref"""
+    """Of each brief how many bundles pass its gate, by arrival within the brief's target and its cap for one contributor.
+
+    Both tops are taken in two phases: of each of SALTS parts of a contributor's, or a brief's, bundles those that could be within the bound,
+    and then of these. So a brief that most bundles pass is ranked by as many tasks as there are, and the last phase gets a bounded number."""
+    salt = f"doc_id % {SALTS}"
+    top = lambda rows, keys, bound, out: f"{out}_part AS (SELECT *, row_number() OVER (PARTITION BY {keys}, {salt} ORDER BY doc_id) AS in_part FROM {rows}), {out} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY doc_id) AS k FROM {out}_part WHERE in_part <= {bound})"
+    return f"""WITH {gate_rows(e)}, passed AS (SELECT g.brief_ref, g.user_id, g.doc_id, b.target, b.per_user FROM gate g JOIN briefs b ON b.brief_ref = g.brief_ref WHERE g.failures = ''),
+        limited AS (SELECT brief_ref, user_id, doc_id, target, per_user FROM passed WHERE per_user IS NOT NULL), {top("limited", "brief_ref, user_id", "per_user", "own_top")},
+        capped AS (SELECT brief_ref, doc_id, target FROM own_top WHERE k <= per_user UNION ALL SELECT brief_ref, doc_id, target FROM passed WHERE per_user IS NULL), {top("capped", "brief_ref", "target", "all_top")},
+        counts AS (SELECT brief_ref, count(*) AS eligible FROM capped GROUP BY brief_ref), filled AS (SELECT brief_ref, count(*) AS taken FROM all_top WHERE k <= target GROUP BY brief_ref)
+        SELECT c.brief_ref, coalesce(f.taken, 0) AS taken, c.eligible FROM counts c LEFT JOIN filled f ON f.brief_ref = c.brief_ref"""
 
 
 DEFINITIONS = {f.__name__: f for f in (keyword_any_all_none, pushable_briefs, match_eligibility, brief_transitions, category_names, briefs_of_buyer, domain_language_filter, qa_gate, qa_failure_histogram)}

@@ -126,12 +126,12 @@ def payment_events(e: Duck) -> str:
 #: Briefs: reach is the languages whose contributors' devices are sent the brief; languages, domains and keywords are what it asks
 #: for. expires is a date; density the largest share of placeholders that it takes.
 BRIEFS = [
-    {"brief_ref": "b1", "status": "live", "escrow": True, "expires": "2030-01-01", "category": "general", "reach": ["en", "fr"], "languages": ["en"], "domains": ["coding", "general"], "min_prompts": 1, "density": 0.25, "kw_any": ["the", "zebra"], "kw_all": ["and"], "kw_none": ["zebra", "idiot"], "guarantee": "exact", "target": 400, "per_user": 20},
-    {"brief_ref": "b2", "status": "live", "escrow": True, "expires": "2030-01-01", "category": "research", "reach": ["fr"], "languages": ["fr"], "domains": [], "min_prompts": 2, "density": 0.5, "kw_any": ["les", "de"], "kw_all": ["la"], "kw_none": ["idiot"], "guarantee": "exact+near", "target": 50, "per_user": None},
-    {"brief_ref": "b3", "status": "paused", "escrow": True, "expires": "2030-01-01", "category": "general", "reach": ["de"], "languages": ["de"], "domains": [], "min_prompts": 1, "density": 0.25, "kw_any": [], "kw_all": [], "kw_none": [], "guarantee": "exact", "target": 10, "per_user": 2},
-    {"brief_ref": "b4", "status": "live", "escrow": False, "expires": "2030-01-01", "category": "general", "reach": ["en", "es"], "languages": [], "domains": ["writing"], "min_prompts": 3, "density": 0.01, "kw_any": ["the"], "kw_all": [], "kw_none": [], "guarantee": "exact", "target": 10, "per_user": None},
-    {"brief_ref": "b5", "status": "live", "escrow": True, "expires": "2020-01-01", "category": "evaluation", "reach": ["de", "es"], "languages": ["de"], "domains": ["education"], "min_prompts": 1, "density": 0.25, "kw_any": ["der", "  "], "kw_all": ["und"], "kw_none": [], "guarantee": "exact", "target": 10, "per_user": 1},
-    {"brief_ref": "b6", "status": "live", "escrow": True, "expires": "2031-06-01", "category": "model_training", "reach": ["en", "de", "fr", "es"], "languages": [], "domains": [], "min_prompts": 1, "density": 1.0, "kw_any": [], "kw_all": [], "kw_none": ["C++", "Apache License"], "guarantee": "exact+near", "target": 1000, "per_user": 5},
+    {"brief_ref": "b1", "status": "live", "escrow": True, "expires": "2030-01-01", "category": "ai_lab_commercial", "reach": ["en", "fr"], "languages": ["en"], "domains": ["coding", "general"], "min_prompts": 1, "density": 0.25, "kw_any": ["the", "zebra"], "kw_all": ["and"], "kw_none": ["zebra", "idiot"], "guarantee": "exact", "target": 400, "per_user": 20},
+    {"brief_ref": "b2", "status": "live", "escrow": True, "expires": "2030-01-01", "category": "ai_research_nonprofit", "reach": ["fr"], "languages": ["fr"], "domains": [], "min_prompts": 2, "density": 0.5, "kw_any": ["les", "de"], "kw_all": ["la"], "kw_none": ["idiot"], "guarantee": "exact+near", "target": 50, "per_user": None},
+    {"brief_ref": "b3", "status": "paused", "escrow": True, "expires": "2030-01-01", "category": "ai_lab_commercial", "reach": ["de"], "languages": ["de"], "domains": [], "min_prompts": 1, "density": 0.25, "kw_any": [], "kw_all": [], "kw_none": [], "guarantee": "exact", "target": 10, "per_user": 2},
+    {"brief_ref": "b4", "status": "live", "escrow": False, "expires": "2030-01-01", "category": "ai_lab_commercial", "reach": ["en", "es"], "languages": [], "domains": ["writing"], "min_prompts": 3, "density": 0.01, "kw_any": ["the"], "kw_all": [], "kw_none": [], "guarantee": "exact", "target": 10, "per_user": None},
+    {"brief_ref": "b5", "status": "live", "escrow": True, "expires": "2020-01-01", "category": "academic", "reach": ["de", "es"], "languages": ["de"], "domains": ["education"], "min_prompts": 1, "density": 0.25, "kw_any": ["der", "  "], "kw_all": ["und"], "kw_none": [], "guarantee": "exact", "target": 10, "per_user": 1},
+    {"brief_ref": "b6", "status": "live", "escrow": True, "expires": "2031-06-01", "category": "enterprise_internal", "reach": ["en", "de", "fr", "es"], "languages": [], "domains": [], "min_prompts": 1, "density": 1.0, "kw_any": [], "kw_all": [], "kw_none": ["C++", "Apache License"], "guarantee": "exact+near", "target": 1000, "per_user": 5},
     {"brief_ref": "b7", "status": "live", "escrow": True, "expires": "2031-06-01", "category": "unlisted", "reach": ["es"], "languages": ["es"], "domains": ["business", "general"], "min_prompts": 1, "density": 0.25, "kw_any": ["que"], "kw_all": [], "kw_none": [], "guarantee": "exact", "target": 1, "per_user": None},
 ]
 
@@ -148,6 +148,11 @@ def briefs(e: Duck) -> str:
 
 
 def contributions(e: Duck) -> str:
+    """All three relations of contribution_parts."""
+    return ", ".join(contribution_parts(e).values())
+
+
+def contribution_parts(e: Duck) -> dict[str, str]:
     """Bundles of documents' lines as prompts, with what their contributors' devices told and the consent that was given.
 
     bundles(doc_id, user_id, record_ref, prompts, language, tags, chain_hash, status): a document with words is one conversation of
@@ -158,14 +163,12 @@ def contributions(e: Duck) -> str:
     lines = e.where(f"string_split({text}, chr(10))" if type(e) is Duck else f"split({text}, '\\n')", "trim(x) <> ''")
     tags = [("coding", r"(?i)\b(?:license|version|token|http)\b"), ("business", r"@|\+[0-9]"), ("writing", r"(?i)\b(?:the|les|der|que)\b"), ("education", r"[0-9]{4}")]
     told = e.those(e.items([f"CASE WHEN {e.matches('text', p)} THEN '{t}' END" for t, p in tags]), "t", "t IS NOT NULL")
-    wide = e.words(["general", "research", "model_training", "evaluation", "safety"])
-    cats = f"CASE o_orderpriority WHEN '1-URGENT' THEN {wide} WHEN '2-HIGH' THEN {e.words(['general', 'model_training'])} WHEN '3-MEDIUM' THEN {e.words(['general'])} ELSE {e.words(['research', 'evaluation'])} END"
-    return f"""worded AS (SELECT doc_id, source, lang, text, {e.made({"prompts": lines, "told": told})} FROM {e.table("documents")} WHERE text IS NOT NULL),
+    wide = e.words(["ai_lab_commercial", "ai_research_nonprofit", "academic", "enterprise_internal", "data_broker_reseller"])
+    cats = f"CASE o_orderpriority WHEN '1-URGENT' THEN {wide} WHEN '2-HIGH' THEN {e.words(['ai_lab_commercial', 'enterprise_internal'])} WHEN '3-MEDIUM' THEN {e.words(['ai_lab_commercial'])} ELSE {e.words(['ai_research_nonprofit', 'academic'])} END"
+    return {"bundles": f"""worded AS (SELECT doc_id, source, lang, text, {e.made({"prompts": lines, "told": told})} FROM {e.table("documents")} WHERE text IS NOT NULL),
         bundles AS (SELECT d.doc_id, d.source AS user_id, concat('rec_', CAST(d.doc_id AS {e.string})) AS record_ref, d.prompts, CASE WHEN d.lang IN ('en', 'fr', 'de', 'es') THEN d.lang ELSE 'und' END AS language,
             CASE WHEN {e.size("told")} > 0 THEN told ELSE {e.words(["general"])} END AS tags, {e.sha("text")} AS chain_hash, CASE WHEN o.o_orderstatus = 'P' THEN 'sold' ELSE 'available' END AS status
-            FROM worded d LEFT JOIN {e.table("orders")} o ON o.o_orderkey = d.doc_id WHERE {e.size("d.prompts")} > 0),
-        receipts AS (SELECT o.o_orderkey AS doc_id, concat('rcpt_', CAST(o.o_orderkey AS {e.string})) AS receipt_ref, coalesce(l.back, false) AS revoked, {cats} AS categories,
+            FROM worded d LEFT JOIN {e.table("orders")} o ON o.o_orderkey = d.doc_id WHERE {e.size("d.prompts")} > 0)""", "receipts": f"""receipts AS (SELECT o.o_orderkey AS doc_id, concat('rcpt_', CAST(o.o_orderkey AS {e.string})) AS receipt_ref, coalesce(l.back, false) AS revoked, {cats} AS categories,
             CASE r.r_name WHEN 'AMERICA' THEN 'US' WHEN 'EUROPE' THEN 'CA' ELSE substr(r.r_name, 1, 2) END AS jurisdiction
             FROM {e.table("orders")} o JOIN {e.table("customer")} c ON c.c_custkey = o.o_custkey JOIN {e.table("nation")} n ON n.n_nationkey = c.c_nationkey JOIN {e.table("region")} r ON r.r_regionkey = n.n_regionkey
-            LEFT JOIN (SELECT l_orderkey, min(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS back FROM {e.table("lineitem")} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey),
-        matches AS (SELECT b.brief_ref, d.doc_id, d.source AS user_id FROM {e.table("documents")} d JOIN (SELECT brief_ref, {e.each("reach")} AS lang FROM briefs) b ON b.lang = d.lang)"""
+            LEFT JOIN (SELECT l_orderkey, min(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS back FROM {e.table("lineitem")} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey)""", "matches": f"""matches AS (SELECT b.brief_ref, d.doc_id, d.source AS user_id FROM {e.table("documents")} d JOIN (SELECT brief_ref, {e.each("reach")} AS lang FROM briefs) b ON b.lang = d.lang)"""}
