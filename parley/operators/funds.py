@@ -51,14 +51,15 @@ def settlement_candidates(e: Duck) -> str:
 
 
 def submission_status(e: Duck) -> str:
-    """One state per record: its newest allocation that is not cancelled, else what its checks allow. Lines of returned goods are
-    checks without allocation, so that parts are in every state."""
-    return f"""WITH {payments(e)}, sold AS (SELECT a.allocation_id, a.record_id, a.status, a.created FROM allocations a JOIN {e.table('lineitem')} l ON l.l_orderkey = a.payment_id AND l.l_orderkey * 10 + l.l_linenumber = a.allocation_id WHERE l.l_returnflag = 'N' AND l.l_quantity > 45),
-        ranked AS (SELECT record_id, status, row_number() OVER (PARTITION BY record_id ORDER BY CASE WHEN status = 'cancelled' THEN 1 ELSE 0 END, created DESC, allocation_id) AS k FROM sold),
-        qa AS (SELECT l_partkey AS record_id, max(CASE WHEN l_quantity > 10 THEN 1 ELSE 0 END) AS passed, max(CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END) AS ready FROM {e.table('lineitem')} WHERE l_returnflag = 'A' GROUP BY l_partkey)
-        SELECT p.p_partkey AS record_id, CASE WHEN p.p_size < 2 THEN 'withdrawn' WHEN k.status IS NOT NULL THEN k.status WHEN qa.ready = 1 THEN 'awaiting_acceptance' WHEN qa.passed = 1 THEN 'awaiting_eligible_brief'
-            WHEN qa.record_id IS NOT NULL THEN 'quality_not_passed' ELSE 'awaiting_matching' END AS status
-        FROM {e.table('part')} p LEFT JOIN ranked k ON k.record_id = p.p_partkey AND k.k = 1 LEFT JOIN qa ON qa.record_id = p.p_partkey"""
+    """One state per record that a contributor has of a part: of all of its allocations the newest that is not cancelled decides, else the
+    newest; where there is none, what all of its checks allow. A check (a line) has an allocation unless it was returned."""
+    return f"""WITH {payments(e)}, {sales(e)}, of_check AS (SELECT c.record_ref, c.qa_id, c.status AS verdict, c.cents, a.allocation_id, a.status, a.created FROM checks c
+            LEFT JOIN allocations a ON a.allocation_id = c.qa_id AND c.status = 'passed'),
+        ranked AS (SELECT record_ref, status, row_number() OVER (PARTITION BY record_ref ORDER BY CASE WHEN status = 'cancelled' THEN 1 ELSE 0 END, created DESC, allocation_id, status) AS k FROM of_check WHERE allocation_id IS NOT NULL),
+        told AS (SELECT record_ref, max(CASE WHEN verdict = 'passed' THEN 1 ELSE 0 END) AS passed, max(CASE WHEN verdict = 'passed' AND cents >= 1 THEN 1 ELSE 0 END) AS ready FROM of_check GROUP BY record_ref)
+        SELECT r.record_ref, CASE WHEN r.status = 'revoked' THEN 'withdrawn' WHEN k.status IS NOT NULL THEN k.status WHEN t.ready = 1 THEN 'awaiting_acceptance' WHEN t.passed = 1 THEN 'awaiting_eligible_brief'
+            WHEN t.record_ref IS NOT NULL THEN 'quality_not_passed' ELSE 'awaiting_matching' END AS status
+        FROM records r LEFT JOIN ranked k ON k.record_ref = r.record_ref AND k.k = 1 LEFT JOIN told t ON t.record_ref = r.record_ref"""
 
 
 def transfer_reconciliation(e: Duck) -> str:
@@ -114,28 +115,4 @@ def allocation_transitions(e: Duck) -> str:
         SELECT was, status, count(*) AS n, (was, status) IN (('reserved', 'transferring'), ('reserved', 'cancelled'), ('transferring', 'transferred'), ('transferring', 'review'), ('transferred', 'reversing'), ('reversing', 'reversed')) AS allowed FROM steps WHERE was IS NOT NULL GROUP BY was, status"""
 
 
-TARGET, PER_USER = 3, 1
-
-
-def allocation_admission(e: Duck) -> str:
-    """Requests for a payment's money in order of arrival: one is let in while the brief wants more, its contributor is under
-    the cap and the money is there. What is refused uses nothing up, so a running sum would not do; a fold over the requests
-    of one payment, which the brief's size bounds, carries what is left."""
-    asks = "CAST(cents AS BIGINT) * 1000000 + user_id % 1000000"
-    order = "allocation_id" if type(e) is Spark else f"allocation_id, {asks}"  # ties go by value in both
-    rows = f"SELECT payment_id, {e.ordered(asks, order)} AS asks FROM allocations WHERE status <> 'cancelled' GROUP BY payment_id"
-    joined = f"""SELECT a.payment_id, a.asks, CASE WHEN p.has_intent AND p.status = 'paid' THEN {e.div('p.funded', '20')} ELSE 0 END AS available FROM ({rows}) a JOIN payments p ON p.payment_id = a.payment_id"""
-    cents, user = (lambda x: e.div(x, "1000000")), (lambda x: f"{x} % 1000000")
-    if type(e) is Spark:
-        own = f"size(filter(s, y -> {user('y')} = {user('x')}))"
-        spent = f"aggregate(s, CAST(0 AS BIGINT), (t, y) -> t + {cents('y')})"
-        fold = f"aggregate(asks, {e.none()}, (s, x) -> CASE WHEN size(s) < {TARGET} AND {own} < {PER_USER} AND {spent} + {cents('x')} <= available THEN array_append(s, x) ELSE s END)"
-    else:
-        own = f"len(list_filter(s, lambda y: {user('y')} = {user('x[1]')}))"
-        spent = f"coalesce(list_sum(list_transform(s, lambda y: {cents('y')})), 0)"
-        fold = f"list_reduce(list_prepend({e.none()}, list_transform(asks, lambda k: [k])), lambda s, x: CASE WHEN len(s) < {TARGET} AND {own} < {PER_USER} AND {spent} + {cents('x[1]')} <= available THEN list_concat(s, x) ELSE s END)"
-    return f"""WITH {payments(e)}, queue AS ({joined}), admitted AS (SELECT payment_id, available, asks, {e.made({'taken': fold})} FROM queue)
-        SELECT payment_id, available, CAST({e.size('asks')} AS BIGINT) AS asked, CAST({e.size('taken')} AS BIGINT) AS admitted, CAST({spent.replace('(s,', '(taken,')} AS BIGINT) AS cents FROM admitted"""
-
-
-DEFINITIONS = {f.__name__: f for f in (fund_balances, ledger_totals, contributor_totals, ledger_top20, page_2, keyset_page, settlement_candidates, submission_status, transfer_reconciliation, payment_state_batch, expiry_sweep, submission_readiness, allocation_transitions, allocation_lifecycle, allocation_admission)}
+DEFINITIONS = {f.__name__: f for f in (fund_balances, ledger_totals, contributor_totals, ledger_top20, page_2, keyset_page, settlement_candidates, submission_status, transfer_reconciliation, payment_state_batch, expiry_sweep, submission_readiness, allocation_transitions, allocation_lifecycle)}

@@ -1,10 +1,9 @@
-"""Requests and their bounds, references, durations, names, and webhook signatures."""
+"""Requests and their bounds, references, durations and names."""
 
 from __future__ import annotations
 
 from ..plans.dialect import Duck
 from ..plans.fixtures import prompts
-from .provenance import KEY
 
 #: Records of a request, characters of a prompt.
 REQUEST, LONGEST = 500, 20_000
@@ -39,16 +38,9 @@ def names(e: Duck) -> str:
         SELECT email, min(c_custkey) AS c_custkey, min(name) AS name FROM c GROUP BY email"""
 
 
-def webhook_signatures(e: Duck) -> str:
-    """Events whose body was signed as it came; some bodies were changed on the way and are refused."""
-    sent = f"concat(CAST(event_id AS {e.string}), '.', props)"
-    came = f"CASE WHEN value > 490 THEN concat({sent}, ' ') ELSE {sent} END"
-    return f"SELECT event_id, {e.hmac(KEY, sent)} = {e.hmac(KEY, came)} AS accepted FROM {e.table('events')}"
-
-
 def first_turns(e: Duck) -> str:
     """Conversations in the order in which their first records came, with how many records each has."""
     return f"WITH {prompts(e)} SELECT conv_id, min(record_id) AS first_record, count(*) AS records, rank() OVER (ORDER BY min(record_id)) AS place FROM prompts GROUP BY conv_id"
 
 
-DEFINITIONS = {f.__name__: f for f in (request_bounds, references, durations, names, webhook_signatures, first_turns)}
+DEFINITIONS = {f.__name__: f for f in (request_bounds, references, durations, names, first_turns)}

@@ -138,13 +138,16 @@ def match_eligibility(e: Duck) -> str:
 
 
 def brief_transitions(e: Duck) -> str:
-    return f"WITH {briefs(e)} SELECT brief_ref, CASE WHEN status NOT IN ('draft', 'paused', 'live') THEN 'closed' WHEN escrow AND expires > '{AS_OF}' THEN 'may_go_live' ELSE 'blocked' END AS verdict FROM briefs"
+    """Whether each brief may go live: one that is open, not expired, and funded by a payment that is made and has an intent."""
+    return f"""WITH {briefs(e)}, {paid(e)} SELECT b.brief_ref, CASE WHEN b.status NOT IN ('draft', 'paused', 'live') THEN 'closed' WHEN b.escrow AND b.expires > '{AS_OF}' AND p.payment_status = 'paid' AND p.has_intent THEN 'may_go_live' ELSE 'blocked' END AS verdict
+        FROM briefs b LEFT JOIN payments_of p ON p.brief_ref = b.brief_ref"""
 
 
 def category_names(e: Duck) -> str:
-    """Each brief's category in the list of buyer categories, null where it is none of these."""
+    """The categories that receipts consent to by their names, with how many receipts each has; null names are none of the list."""
     rows = e.rows("t", ["id", "label"], [f"({e.text(k)}, {e.text(v)})" for k, v in CATEGORIES.items()])
-    return f"WITH {briefs(e)} SELECT b.brief_ref, b.category, c.label, c.id IS NOT NULL AS known FROM briefs b LEFT JOIN {rows} c ON c.id = b.category"
+    return f"""WITH {briefs(e)}, {contributions(e)}, each_category AS (SELECT {e.each("categories")} AS category FROM receipts), counted AS (SELECT category, count(*) AS receipts FROM each_category GROUP BY category)
+        SELECT c.category, t.label, t.id IS NOT NULL AS known, c.receipts FROM counted c LEFT JOIN {rows} t ON t.id = c.category"""
 
 
 def briefs_of_buyer(e: Duck) -> str:

@@ -86,10 +86,11 @@ def funding_dashboard(e: Duck) -> str:
 
 
 def visible_payments(e: Duck) -> str:
-    """Rows by role: an administrator's page has all payments, a buyer's its own, a contributor's those that it is paid from."""
-    return f"""WITH {base(e)}, roles AS (SELECT payment_id, 'admin' AS role, CAST(0 AS BIGINT) AS who FROM payments UNION ALL SELECT payment_id, 'buyer', buyer_id FROM payments WHERE buyer_id < 20
-            UNION ALL SELECT DISTINCT payment_id, 'user', user_id FROM allocations WHERE user_id < 5)
-        SELECT role, who, count(*) AS n, CAST(sum(p.funded) AS BIGINT) AS funded FROM roles r JOIN payments p ON p.payment_id = r.payment_id GROUP BY role, who"""
+    """Rows by role: each payment as an administrator, its buyer and each contributor that it pays may see it. The first two see what was
+    funded, a contributor only its own share; nobody else has a row."""
+    who = lambda x: f"CAST({x} AS {e.string})"
+    return f"""WITH {base(e)} SELECT 'admin' AS role, 'all' AS who, payment_id, funded AS cents FROM payments UNION ALL SELECT 'buyer', {who("buyer_id")}, payment_id, funded FROM payments
+        UNION ALL SELECT 'user', {who("user_id")}, payment_id, CAST(sum(cents) AS BIGINT) FROM allocations GROUP BY payment_id, user_id"""
 
 
 def newest_hundred(e: Duck) -> str:
