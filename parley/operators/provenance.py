@@ -1,11 +1,11 @@
 """Hash chains, keyed identifiers, receipts, bundles and datasheets."""
 
 from ..plans.dialect import Duck, Spark
-from ..plans.fixtures import briefs, contributions, payments, prompts, sales
+from ..plans.fixtures import briefs, consents, contributions, payments, prompts, sales
 from . import screening
 from .policy import outcome_rows
 
-KEY = "receipt-signing-key"
+KEY, PRINTS, NAME = "receipt-signing-key", "prints", "name"
 
 
 def attestation_chain(e: Duck) -> str:
@@ -23,18 +23,28 @@ def buyer_scoped_ids(e: Duck) -> str:
 
 
 def receipts(e: Duck) -> str:
-    """What follows outcomes: receipts(conv_id, n, fingerprints, body), one for each conversation that has kept prompts: a canonical
-    text with the fingerprints of these in turn order, who gave them by pseudonym, and what was authorised."""
-    field = lambda name, value: f"'\"{name}\":', {value}"
-    print_ = f"concat('\"', {e.sha('final_text')}, '\"')"
-    who = f"concat('\"pseu_', substr({e.hmac(KEY, f'CAST(conv_id AS {e.string})')}, 1, 24), '\"')"
-    body = ", ',', ".join(field(*x) for x in (("receipt_version", "'\"1.0\"'"), ("contributor", who), ("scope", "concat('[', prints, ']')"), ("purpose", "'\"sale/licence for AI training / RLHF\"'"), ("revocable_while_unsold", "'true'"), ("revoked_at", "'null'")))
-    return f"""fingerprints AS (SELECT conv_id, count(*) AS n, {e.join(e.ordered(print_, "turn"), ",")} AS prints FROM outcomes WHERE outcome = 'kept' GROUP BY conv_id),
-        receipts AS (SELECT conv_id, n, concat('{{', {body}, '}}') AS body FROM fingerprints)"""
+    """What follows outcomes: receipts(conv_id, n, receipt_ref, body), one for each conversation that has kept prompts: canonical JSON, its
+    fields nested in fixed order with nulls kept, with the prompts' fingerprints in turn order, who gave them by pseudonym,
+    what was authorised and shown, where, and that it may be revoked. The reference is made of the conversation and its prompts."""
+    who = f"concat('pseu_', substr({e.hmac(KEY, f'CAST(f.conv_id AS {e.string})')}, 1, 24))"
+    told = lambda x: e.json_list(e.each_item(x, "v", e.json_text("v")))
+    fixed = lambda x: f"'\"{x}\"'"
+    body = e.json_object({
+        "receipt_id": e.json_text("ref"), "receipt_version": fixed("1.0"), "pattern": fixed("Kantara consent-receipt / ISO-IEC 27560"), "issued_at": e.json_text("issued"),
+        "contributor": e.json_object({"pseudonymous_id": e.json_text(who)}),
+        "scope": e.json_object({"content": fixed("prompts-only"), "source_provider": e.json_text("c.provider"), "conversation_fingerprints": told("f.prints")}),
+        "purpose": fixed("sale/licence for AI training / RLHF"), "authorisation": e.json_object({"buyer_categories": told("c.categories"), "notify_on_sale": "'true'"}),
+        "disclosures": e.json_object({"version": e.json_text("c.version"), "shown": told("c.shown")}), "jurisdiction": e.json_text("c.jurisdiction"),
+        "revocation": e.json_object({"revocable_while_unsold": "'true'", "revoked_at": "'null'"}),
+    })
+    ref = f"concat('rcpt_', substr({e.sha(f'concat(CAST(conv_id AS {e.string}), {chr(39)}:{chr(39)}, {e.join(PRINTS, chr(44))})')}, 1, 24))"
+    return f"""fingerprints AS (SELECT o.conv_id, count(*) AS n, {e.ordered(e.sha("o.final_text"), "o.turn")} AS prints, concat(CAST(CAST(max(d.o_orderdate) AS DATE) AS {e.string}), 'T00:00:00.000Z') AS issued
+            FROM outcomes o JOIN {e.table("orders")} d ON d.o_orderkey = o.record_id WHERE o.outcome = 'kept' GROUP BY o.conv_id), referenced AS (SELECT conv_id, n, prints, issued, {ref} AS ref FROM fingerprints), {consents(e)},
+        receipts AS (SELECT f.conv_id, f.n, f.ref AS receipt_ref, {body} AS body FROM referenced f LEFT JOIN consents c ON c.conv_id = f.conv_id)"""
 
 
 def consent_receipts(e: Duck, spans: screening.Detector = screening.spanned) -> str:
-    return f"WITH {outcome_rows(e, spans)}, {receipts(e)} SELECT conv_id, n AS prompts, concat('rcpt_', substr({e.sha('body')}, 1, 24)) AS receipt_ref, body, {e.hmac(KEY, 'body')} AS signature FROM receipts"
+    return f"WITH {outcome_rows(e, spans)}, {receipts(e)} SELECT conv_id, n AS prompts, receipt_ref, body, {e.hmac(KEY, 'body')} AS signature FROM receipts"
 
 
 def receipt_sign_verify(e: Duck) -> str:
@@ -57,10 +67,41 @@ def packaged_bundles(e: Duck, spans: screening.Detector = screening.spanned) ->
     return f"WITH {outcome_rows(e, spans)}, {packaged(e)} SELECT conv_id, kept, turns, gaps, language, tag, content FROM packaged"
 
 
+def batch_rows(e: Duck) -> str:
+    """What follows outcomes: batch(conv_id, ref, line, language, tag, captured, n): the records of a buyer's batch as canonical JSON: the
+    buyer's own reference, language, prompts in order, capture window, receipt, and characteristics."""
+    ref = f"concat('cv_', substr({e.hmac(KEY, f'concat({chr(39)}7:{chr(39)}, CAST(p.conv_id AS {e.string}))')}, 1, 24))"
+    line = e.json_object({
+        "id": e.json_text(f"concat('rec_', substr(p.content, 1, 24))"), "conversation_id": e.json_text("p.ref"), "language": e.json_text("p.language"), "prompts": "p.lines", "source": e.json_object({"captured": e.json_text("p.captured")}),
+        "provenance": e.json_object({"consent_receipt_ref": e.json_text("r.receipt_ref")}), "characteristics": e.json_object({"domain_tags": f"concat('[', {e.json_text('p.tag')}, ']')", "turn_type": "'\"conversation\"'", "prompt_count": f"CAST(p.kept AS {e.string})"}),
+    })
+    return f"""{receipts(e)}, {packaged(e)}, listed AS (SELECT o.conv_id, {e.json_list(e.ordered(e.json_text("o.final_text"), "o.turn"))} AS lines, {e.join(e.set_of(quarter(e, "d.o_orderdate")), "–")} AS captured
+            FROM outcomes o JOIN {e.table("orders")} d ON d.o_orderkey = o.record_id WHERE o.outcome = 'kept' AND o.final_text <> '' GROUP BY o.conv_id),
+        sold_rows AS (SELECT p.conv_id, p.kept, p.language, p.tag, p.content, l.lines, l.captured, {ref} AS ref FROM packaged p JOIN listed l ON l.conv_id = p.conv_id),
+        batch AS (SELECT p.conv_id, p.ref, p.language, p.tag, p.captured, p.kept AS n, {line} AS line FROM sold_rows p LEFT JOIN receipts r ON r.conv_id = p.conv_id)"""
+
+
 def buyer_records(e: Duck) -> str:
-    """What a buyer gets of a record: its reference under the buyer's own key, its texts, and nothing of the contributor."""
-    ref = f"concat('cv_', substr({e.hmac(KEY, f'concat({chr(39)}7:{chr(39)}, CAST(conv_id AS {e.string}))')}, 1, 24))"
-    return f"WITH {outcome_rows(e)}, {packaged(e)} SELECT {ref} AS conversation_ref, prompts, language, tag FROM packaged"
+    """What a buyer gets of a record, as a line of JSON and signed: its reference under the buyer's own key, its texts, window and receipt,
+    and nothing of the contributor."""
+    return f"WITH {outcome_rows(e)}, {batch_rows(e)} SELECT ref AS conversation_ref, line, {e.hmac(KEY, 'line')} AS signature FROM batch"
+
+
+def datasheet(e: Duck) -> str:
+    """The batch's datasheet, one row of canonical JSON: its name, size, windows, and the shares of languages and tags, which are in order of
+    name. Shares are rounded half up to two decimals."""
+    share = lambda column: f"SELECT {column} AS name, floor(CAST(count(*) AS DOUBLE) / max(total) * 100 + 0.5) / 100 AS share FROM sized GROUP BY {column}"
+    shares = lambda rows: f"SELECT concat('{{', {e.join(e.ordered(f'concat({e.json_text(NAME)}, {chr(39)}:{chr(39)}, CAST(share AS {e.string}))', 'name'), ',')}, '}}') AS told FROM {rows}"
+    fixed = lambda x: f"'\"{x}\"'"
+    body = e.json_object({
+        "datasheet_version": fixed("1.0"), "batch_id": e.json_text(f"concat('batch_', s.quarter_, '_', CASE WHEN s.n < 1000 THEN lpad(CAST(s.n AS {e.string}), 4, '0') ELSE CAST(s.n AS {e.string}) END)"),
+        "consent": e.json_object({"basis": fixed("per-record consent receipts (Kantara / ISO 27560 pattern)"), "revocable": "'true'"}), "temporal": e.json_object({"capture_window": e.json_text("s.windows")}),
+        "composition": e.json_object({"record_count": f"CAST(s.n AS {e.string})", "languages": "l.told", "domain_tags": "t.told"}), "legal": e.json_object({"rights": fixed("contributor-granted per consent receipt")}),
+    })
+    return f"""WITH {outcome_rows(e)}, {batch_rows(e)}, sized AS (SELECT language, tag, captured, count(*) OVER () AS total FROM batch),
+        by_language AS ({share("language")}), by_tag AS ({share("tag")}), l AS ({shares("by_language")}), t AS ({shares("by_tag")}),
+        s AS (SELECT count(*) AS n, {e.join(e.set_of("captured"), "–")} AS windows, replace(max({e.item(f"string_split(captured, {chr(39)}–{chr(39)})" if type(e) is Duck else f"split(captured, {chr(39)}–{chr(39)})", "1")}), '-', '') AS quarter_ FROM batch)
+        SELECT {body} AS datasheet FROM s, l, t"""
 
 
 def datasheet_tags(e: Duck) -> str:
@@ -133,4 +174,4 @@ def revocation_status(e: Duck) -> str:
     return f"""WITH {payments(e)}, {sales(e)} SELECT record_ref, status AS was, CASE WHEN status = 'sold' THEN 'sold' WHEN withdrawn AND has_receipt THEN 'revoked' ELSE status END AS status FROM records"""
 
 
-DEFINITIONS = {f.__name__: f for f in (attestation_chain, pseudonymous_ids, buyer_scoped_ids, consent_receipts, receipt_sign_verify, packaged_bundles, buyer_records, datasheet_tags, batch_ids, attestations, reason_codes, edit_log, datasheet_distribution, capture_windows, latest_bundle, first_seen_fingerprint, revocation_status)}
+DEFINITIONS = {f.__name__: f for f in (attestation_chain, pseudonymous_ids, buyer_scoped_ids, consent_receipts, receipt_sign_verify, packaged_bundles, buyer_records, datasheet, datasheet_tags, batch_ids, attestations, reason_codes, edit_log, datasheet_distribution, capture_windows, latest_bundle, first_seen_fingerprint, revocation_status)}

@@ -12,6 +12,9 @@ from .scratch import stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
 
+#: Control characters with a JSON escape of one letter.
+CONTROLS = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+
 
 class Duck:
     """DuckDB's spelling of what differs."""
@@ -100,8 +103,19 @@ class Duck:
         return f"list(DISTINCT {x} ORDER BY {x})"
 
     def json_text(self, x: str) -> str:
-        """x as a JSON string, of texts without control characters."""
-        return f"""concat('"', replace(replace({x}, '\\', '\\\\'), '"', '\\"'), '"')"""
+        """x as a JSON string; of control characters those that have a letter of their own are escaped."""
+        quoted = f"""replace(replace({x}, '\\', '\\\\'), '"', '\\"')"""
+        for code, letter in CONTROLS.items():
+            quoted = f"replace({quoted}, chr({code}), '\\{letter}')"
+        return f"""('"' || {quoted} || '"')"""
+
+    def json_object(self, fields: dict[str, str]) -> str:
+        """A JSON object of JSON values, null where a value is, in this order."""
+        return "concat('{', " + ", ',', ".join(f"""'"{k}":', coalesce({v}, 'null')""" for k, v in fields.items()) + ", '}')"
+
+    def json_list(self, x: str) -> str:
+        """A JSON array of a list of JSON values."""
+        return f"concat('[', {self.join(x, ',')}, ']')"
 
     def hours_after(self, x: str, hours: int) -> str:
         return f"({x} + INTERVAL {hours} HOUR)"
@@ -282,7 +296,10 @@ class Spark(Duck):
         return f"array_sort(collect_set({x}))"
 
     def json_text(self, x: str) -> str:
-        return f"""concat('"', replace(replace({x}, r'\\', r'\\\\'), '"', r'\\"'), '"')"""
+        quoted = f"""replace(replace({x}, r'\\', r'\\\\'), '"', r'\\"')"""
+        for code, letter in CONTROLS.items():
+            quoted = f"replace({quoted}, chr({code}), r'\\{letter}')"
+        return f"""concat('"', {quoted}, '"')"""
 
     def hours_after(self, x: str, hours: int) -> str:
         return f"({x} + INTERVAL '{hours}' HOUR)"

@@ -172,3 +172,14 @@ def contribution_parts(e: Duck) -> dict[str, str]:
             CASE r.r_name WHEN 'AMERICA' THEN 'US' WHEN 'EUROPE' THEN 'CA' ELSE substr(r.r_name, 1, 2) END AS jurisdiction
             FROM {e.table("orders")} o JOIN {e.table("customer")} c ON c.c_custkey = o.o_custkey JOIN {e.table("nation")} n ON n.n_nationkey = c.c_nationkey JOIN {e.table("region")} r ON r.r_regionkey = n.n_regionkey
             LEFT JOIN (SELECT l_orderkey, min(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS back FROM {e.table("lineitem")} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey)""", "matches": f"""matches AS (SELECT b.brief_ref, d.doc_id, d.source AS user_id FROM {e.table("documents")} d JOIN (SELECT brief_ref, {e.each("reach")} AS lang FROM briefs) b ON b.lang = d.lang)"""}
+
+
+def consents(e: Duck) -> str:
+    """consents(conv_id, provider, categories, version, shown, jurisdiction): what a conversation's contributor (a customer) agreed to with its
+    upload; the jurisdiction is the region's."""
+    wide, some = e.words(["ai_lab_commercial", "academic", "enterprise_internal"]), e.words(["ai_research_nonprofit", "academic"])
+    shown = f"CASE WHEN c_mktsegment = 'MACHINERY' THEN {e.words(['resale'])} ELSE {e.words(['resale', 'training'])} END"
+    one = f"SELECT c_custkey, c_mktsegment, c_nationkey, row_number() OVER (PARTITION BY c_custkey ORDER BY c_name) AS k FROM {e.table('customer')}"
+    return f"""consents AS (SELECT c.c_custkey AS conv_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'chat-export' ELSE 'device' END AS provider, CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN {some} ELSE {wide} END AS categories,
+        concat('d-', CAST(1 + c_nationkey % 3 AS {e.string})) AS version, {shown} AS shown, CASE r_name WHEN 'AMERICA' THEN 'US' WHEN 'EUROPE' THEN 'CA' END AS jurisdiction
+        FROM ({one}) c JOIN {e.table("nation")} ON n_nationkey = c_nationkey JOIN {e.table("region")} ON r_regionkey = n_regionkey WHERE c.k = 1)"""
