@@ -46,7 +46,7 @@ def spanned(e: Duck) -> str:
     Both sets meet in one list for each text: the earlier span holds, of those of one start the longer, of equal ones the
     detector's own, in the order of its answer. Answers are gathered by text once; texts that it failed on carry one
     span that says so, which closes the first gate."""
-    matched = {f"m{i}": e.all("text", P.DETECTORS[i][2]) for i in OURS} | {"sm": e.all("text", P.SENTENCE)}
+    matched = {f"m{i}": e.spans("text", P.DETECTORS[i][2]) for i in OURS} | {"sm": e.all("text", P.SENTENCE)}
     cut = {f"g{i}": f"CASE WHEN {e.size(f'm{i}')} > 0 THEN {e.split('text', P.DETECTORS[i][2])} END" for i in OURS} | {"sg": e.split("text", P.SENTENCE)}
     one = screening.key("begins", "ends - begins", "0") + f" + first % {screening.RULES}"
     own = e.those(e.concat_lists([screening.spans_of(e, i) for i in OURS]), "k", "k IS NOT NULL")
@@ -56,7 +56,8 @@ def spanned(e: Duck) -> str:
     kept = f"CASE WHEN answered THEN {screening.disjoint_keys(e, e.concat_lists(['told', new]))} ELSE {failed} END"
     return f"""{valid(e)}, firsts_told AS (SELECT record_id, begins, ends, min(n * {screening.RULES} + {rule_of("kind", "score")}) AS first FROM valid GROUP BY record_id, begins, ends),
         keys_told AS (SELECT record_id, {one} AS k FROM firsts_told), lists_told AS (SELECT record_id, {e.ordered("k", "k")} AS told FROM keys_told GROUP BY record_id),
-        known AS (SELECT p.conv_id, p.turn, p.record_id, p.text, r.record_id IS NOT NULL AS answered, coalesce(l.told, {e.none()}) AS told FROM prompts p LEFT JOIN runs r ON r.record_id = p.record_id LEFT JOIN lists_told l ON l.record_id = p.record_id),
+        spread AS (SELECT {e.spread("record_id")}conv_id, turn, record_id, text FROM prompts),
+        known AS (SELECT p.conv_id, p.turn, p.record_id, p.text, r.record_id IS NOT NULL AS answered, coalesce(l.told, {e.none()}) AS told FROM spread p LEFT JOIN runs r ON r.record_id = p.record_id LEFT JOIN lists_told l ON l.record_id = p.record_id),
         matched AS (SELECT conv_id, turn, record_id, text, answered, told, {e.made(matched)} FROM known), cut AS (SELECT conv_id, turn, record_id, text, answered, told, {', '.join(matched)}, {e.made(cut)} FROM matched),
         sides AS (SELECT conv_id, turn, record_id, text, answered, told, {e.made({'own': own, 'whole': screening.sentence_keys(e), 'taken': e.each_item('told', 'k', place)})} FROM cut),
         found AS (SELECT conv_id, turn, record_id, text, whole, {e.made({'kept': kept})} FROM sides),

@@ -17,7 +17,7 @@ def rules(kind: str) -> list[str]:
 
 
 def hits(e: Duck, kind: str, x: str = "text") -> str:
-    return " + ".join(e.size(e.all(x, p)) for p in rules(kind))
+    return " + ".join(e.size(e.spans(x, p)) for p in rules(kind))
 
 
 def detect(e: Duck, kind: str) -> str:

@@ -69,13 +69,14 @@ def spanned(e: Duck) -> str:
     """spanned(conv_id, turn, record_id, text, kept, sents): spans that do not overlap, and sentences, as keys."""
     rules = [p for _, _, p in P.DETECTORS] + [G.CAPITALISED]
     rules = {str(i): p for i, p in enumerate(rules)}
-    matched = {f"m{i}": e.all("text", p) for i, p in rules.items()} | {"sm": e.all("text", P.SENTENCE)}
+    matched = {f"m{i}": e.spans("text", p) for i, p in rules.items()} | {"sm": e.all("text", P.SENTENCE)}
     # most rules find nothing in most texts, and then nothing is split
     cut = {f"g{i}": f"CASE WHEN {e.size(f'm{i}')} > 0 THEN {e.split('text', p)} END" for i, p in rules.items()} | {"sg": e.split("text", P.SENTENCE)}
     every = e.those(e.concat_lists([spans_of(e, i) for i in range(PERSON + 1)]), "k", "k IS NOT NULL")
     sents = sentence_keys(e)
     disjoint = disjoint_keys(e, every)
-    return f"""matched AS (SELECT conv_id, turn, record_id, text, {e.made(matched)} FROM prompts),
+    return f"""spread AS (SELECT {e.spread("record_id")}conv_id, turn, record_id, text FROM prompts),
+        matched AS (SELECT conv_id, turn, record_id, text, {e.made(matched)} FROM spread),
         cut AS (SELECT conv_id, turn, record_id, text, {', '.join(matched)}, {e.made(cut)} FROM matched),
         found AS (SELECT conv_id, turn, record_id, text, {e.made({'kept': disjoint, 'whole': sents})} FROM cut),
         spanned AS (SELECT conv_id, turn, record_id, text, kept, {WHOLE.format(any=e.size('whole'), text=e.items([key('0', 'length(text)', 0)]))} AS sents FROM found)"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import needs
 from ..functions.patterns import ASCII_B
 from .scratch import stored
 
@@ -38,6 +39,14 @@ class Duck:
     def all(self, x: str, pattern: str) -> str:
         return f"regexp_extract_all({x}, {self.lit(pattern)})"
 
+    def spans(self, x: str, pattern: str) -> str:
+        """All matches of a detector's pattern."""
+        return self.all(x, pattern)
+
+    def spread(self, key: str) -> str:
+        """A hint behind SELECT: rows go to tasks by a key, for work that is large for its bytes and goes on by that key."""
+        return ""
+
     def first(self, x: str, pattern: str, group: int = 0) -> str:
         return f"regexp_extract({x}, {self.lit(pattern)}, {group})"
 
@@ -198,8 +207,10 @@ class Duck:
 class Spark(Duck):
     """Spark's."""
 
-    def __init__(self, suffix: str):
+    def __init__(self, suffix: str, tasks: int = 8):
         self.suffix = suffix
+        #: into how many tasks rows are spread, whatever their bytes
+        self.tasks = tasks
         #: relations to write before the query runs, in order
         self.todo: dict[str, str] = {}
         self.written: set[str] = set()
@@ -237,6 +248,18 @@ class Spark(Duck):
     def all(self, x: str, pattern: str) -> str:
         return f"regexp_extract_all({x}, {self.lit(pattern)}, 0)"
 
+    def spans(self, x: str, pattern: str) -> str:
+        if pattern in needs.LITERAL_OF:
+            may = f"contains({x}, {self.text(needs.LITERAL_OF[pattern])})"
+        elif pattern in needs.PATTERN_OF:
+            may = self.matches(x, needs.PATTERN_OF[pattern])
+        else:
+            return self.all(x, pattern)
+        return f"CASE WHEN NOT {may} THEN CAST(array() AS ARRAY<STRING>) ELSE {self.all(x, pattern)} END"
+
+    def spread(self, key: str) -> str:
+        return f"/*+ REPARTITION({self.tasks}, {key}) */ "
+
     def sub(self, x: str, pattern: str, by: str) -> str:
         return f"regexp_replace({x}, {self.lit(pattern)}, {by})"
 
@@ -384,7 +407,7 @@ def runs(define: Callable[[Duck], str]) -> Callable[[SparkSession, str], DataFra
     are read again by its later queries: for tables that do not change meanwhile."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = Spark(f"{zlib.crc32(sf_dir.encode()):x}")
+        engine = Spark(f"{zlib.crc32(sf_dir.encode()):x}", int(spark.conf.get("spark.sql.shuffle.partitions")))
         text = define(engine)
         for name in TABLES:
             if any(engine.table(name) in t for t in (text, *engine.todo.values())):
