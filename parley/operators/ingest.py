@@ -7,6 +7,8 @@ from ..plans.fixtures import prompts
 
 #: Records of a request, characters of a prompt.
 REQUEST, LONGEST = 500, 20_000
+#: Ranges in which conversations are numbered.
+RANGES = 256
 
 
 def request_bounds(e: Duck) -> str:
@@ -39,8 +41,18 @@ def names(e: Duck) -> str:
 
 
 def first_turns(e: Duck) -> str:
-    """Conversations in the order in which their first records came, with how many records each has."""
-    return f"WITH {prompts(e)} SELECT conv_id, min(record_id) AS first_record, count(*) AS records, rank() OVER (ORDER BY min(record_id)) AS place FROM prompts GROUP BY conv_id"
+    """Conversations in the order in which their first records came, with how many records each has.
+
+    On Spark no task gets all of them: 255 quantiles of the first records part them into ranges, places count within a range, and
+    a range's offset is the sum of those before it, over as many rows as there are ranges."""
+    firsts = f"{prompts(e)}, firsts AS (SELECT conv_id, min(record_id) AS first_record, count(*) AS records FROM prompts GROUP BY conv_id)"
+    if type(e) is Duck:
+        return f"WITH {firsts} SELECT conv_id, first_record, records, rank() OVER (ORDER BY first_record) AS place FROM firsts"
+    shares = ", ".join(f"{k / RANGES}D" for k in range(1, RANGES))
+    return f"""WITH {e.steps([(["firsts"], firsts)])}, cuts AS (SELECT percentile_approx(first_record, array({shares})) AS cuts FROM firsts),
+        parted AS (SELECT conv_id, first_record, records, size(filter(cuts, c -> c < first_record)) AS part FROM (SELECT *, (SELECT cuts FROM cuts) AS cuts FROM firsts) f),
+        offsets AS (SELECT part, sum(n) OVER (ORDER BY part) - n AS before FROM (SELECT part, count(*) AS n FROM parted GROUP BY part) sizes)
+        SELECT p.conv_id, p.first_record, p.records, o.before + rank() OVER (PARTITION BY p.part ORDER BY p.first_record) AS place FROM parted p JOIN offsets o ON o.part = p.part"""
 
 
 DEFINITIONS = {f.__name__: f for f in (request_bounds, references, durations, names, first_turns)}

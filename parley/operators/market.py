@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..plans.dialect import Duck, Spark
-from ..plans.fixtures import BRIEFS, briefs, contribution_parts, contributions
+from ..plans.fixtures import BRIEFS, briefs, buyers, contribution_parts, contributions
 from ..plans.scratch import stored
 from . import screening
 
@@ -228,9 +228,9 @@ def print_groups(e: Duck, lines: str) -> screening.Groups:
 
 
 def printed(e: Duck, gate: bool = False) -> screening.Groups:
-    """bundles, lines, own and exacts; for the gate receipts, matches and briefs too."""
+    """bundles, lines, own and exacts; for the gate receipts, matches, briefs and their buyers too."""
     parts = contribution_parts(e)
-    more = [(["briefs"], briefs(e)), (["receipts"], parts["receipts"]), (["matches"], parts["matches"])] if gate else []
+    more = [(["briefs"], briefs(e)), (["buyers"], buyers(e)), (["receipts"], parts["receipts"]), (["matches"], parts["matches"])] if gate else []
     return [*more, (["bundles"], parts["bundles"]), *print_groups(e, f"SELECT doc_id, user_id, {e.each('prompts')} AS prompt FROM bundles")]
 
 
@@ -249,38 +249,43 @@ def exact_dups_cross_source(e: Duck) -> str:
 
 
 def gate_rows(e: Duck) -> str:
-    """gate: each match with its bundle, receipt, duplicate verdict and all codes that it fails, in fixed order, joined.
+    """gate: each match with its brief's buyer, its bundle, the bundle's receipt, duplicate verdict and all codes that it fails, in fixed
+    order, joined.
 
-    A bundle that is sold is not asked again. One that is not packaged has no prompts, and with no receipt the consent codes
-    after the first are not asked."""
+    A match is of (contributor, conversation) and so is its bundle; the receipt is the one that the bundle names. A bundle that is sold is
+    not asked again; one that is withdrawn gives no prompts, and neither does a conversation that is not packaged. Without a receipt the
+    consent codes after the first are not asked, and no prints are known, so nothing is a duplicate. A brief without a buyer has no gate."""
     masked = e.sub("d.whole", IDENTIFIER, "' [EMAIL] '")
     tokens = e.where(e.split("d.masked", r"\s+"), "x <> ''")
     marks = e.where(tokens, e.matches("x", r"\A\[[A-Z_0-9]+\]\z"))
-    hit = asked(e, "d.found")
-    there = "r.doc_id IS NOT NULL"
+    hit = asked(e, f"coalesce(d.found, {e.words([])})")  # no text has no keyword
+    there = "r.receipt_ref IS NOT NULL"
     codes = [
-        ("QA_BRIEF_NOT_LIVE", f"NOT (b.status = 'live' AND b.escrow AND b.expires > '{AS_OF}')"), ("QA_NOT_PACKAGED", "d.doc_id IS NULL"), ("QA_NO_CONSENT", "r.doc_id IS NULL"), ("QA_CONSENT_REVOKED", f"{there} AND r.revoked"),
-        ("QA_CATEGORY_NOT_CONSENTED", f"{there} AND NOT {e.overlap('r.categories', e.items(['b.category']))}"), ("QA_JURISDICTION", f"{there} AND r.jurisdiction NOT IN {e.any_of(list(CONFIRMED))}"),
+        ("QA_BRIEF_NOT_LIVE", f"NOT (b.status = 'live' AND b.escrow AND b.expires > '{AS_OF}')"), ("QA_NOT_PACKAGED", "coalesce(d.n_prompts, 0) = 0"), ("QA_NO_CONSENT", "r.receipt_ref IS NULL"), ("QA_CONSENT_REVOKED", f"{there} AND r.revoked"),
+        ("QA_CATEGORY_NOT_CONSENTED", f"{there} AND NOT {e.overlap('r.categories', e.items(['b.category']))}"), ("QA_JURISDICTION", f"{there} AND coalesce(r.jurisdiction, '') NOT IN {e.any_of(list(CONFIRMED))}"),
         ("QA_LANGUAGE", f"{e.size('b.languages')} > 0 AND NOT {e.overlap('b.languages', e.items(['coalesce(d.language, ' + repr('und') + ')']))}"),
         ("QA_DOMAIN", f"{e.size('b.domains')} > 0 AND NOT coalesce({e.overlap('d.tags', 'b.domains')}, false)"), ("QA_MIN_PROMPTS", "coalesce(d.n_prompts, 0) < b.min_prompts"),
-        ("QA_REDACTION_DENSITY", "coalesce(d.density, 1.0) > b.density"), ("QA_KEYWORDS_ANY", f"NOT coalesce({hit['any_hit']}, {e.size('b.kw_any')} = 0)"), ("QA_KEYWORDS_ALL", f"NOT coalesce({hit['all_hit']}, {e.size('b.kw_all')} = 0)"),
-        ("QA_KEYWORDS_NONE", f"NOT coalesce({hit['none_hit']}, true)"), ("QA_DUPLICATE", "{duplicate}"),
+        ("QA_REDACTION_DENSITY", "coalesce(d.density, 1.0) > b.density"), ("QA_KEYWORDS_ANY", f"NOT {hit['any_hit']}"), ("QA_KEYWORDS_ALL", f"NOT {hit['all_hit']}"),
+        ("QA_KEYWORDS_NONE", f"NOT ({hit['none_hit']})"), ("QA_DUPLICATE", "{duplicate}"),
     ]
     failures = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in codes) + ")"
-    duplicate = f"d.own > 0 AND (d.exact > {DUPLICATE_SHARE} * d.own OR (b.guarantee = 'exact+near' AND d.exact + d.near > {DUPLICATE_SHARE} * d.own))"
+    duplicate = f"{there} AND d.own > 0 AND (d.exact > {DUPLICATE_SHARE} * d.own OR (b.guarantee = 'exact+near' AND d.exact + d.near > {DUPLICATE_SHARE} * d.own))"
     failures = failures.replace("{duplicate}", duplicate)
+    kept = "doc_id, user_id, conv_id, record_ref, receipt_ref, language, tags, status, chain_hash, n_prompts, own, exact, near"
     return f"""{e.steps(judged(e, gate=True))},
-        joined AS (SELECT b.doc_id, b.user_id, b.record_ref, b.language, b.tags, b.status, b.chain_hash, {e.size("b.prompts")} AS n_prompts, {e.join("b.prompts", " ")} AS whole, v.own, v.exact, v.near FROM bundles b JOIN verdicts v ON v.doc_id = b.doc_id),
+        joined AS (SELECT b.doc_id, b.user_id, b.conv_id, b.record_ref, b.receipt_ref, b.language, b.tags, b.status, b.chain_hash, CASE WHEN b.status = 'available' THEN {e.size("b.prompts")} ELSE 0 END AS n_prompts,
+            CASE WHEN b.status = 'available' THEN {e.join("b.prompts", " ")} ELSE '' END AS whole, v.own, v.exact, v.near FROM bundles b JOIN verdicts v ON v.doc_id = b.doc_id),
         wholes AS (SELECT doc_id, whole AS text FROM joined), {heard(e, "wholes")},
-        told AS (SELECT d.doc_id, user_id, record_ref, language, tags, status, chain_hash, n_prompts, own, exact, near, coalesce(h.found, {e.words([])}) AS found, {e.made({"masked": masked})} FROM joined d LEFT JOIN heard h ON h.doc_id = d.doc_id),
-        counted AS (SELECT doc_id, user_id, record_ref, language, tags, status, chain_hash, n_prompts, own, exact, near, found, {e.made({"n": e.size(tokens), "marks": e.size(marks)})} FROM told d),
-        dense AS (SELECT doc_id, user_id, record_ref, language, tags, status, chain_hash, n_prompts, own, exact, near, found, CASE WHEN n = 0 THEN 1.0 ELSE CAST(marks AS DOUBLE) / n END AS density FROM counted),
-        gate AS (SELECT m.doc_id, m.brief_ref, m.user_id, d.record_ref, d.chain_hash, d.n_prompts, round(coalesce(d.density, 1.0), 6) AS density, {failures} AS failures FROM matches m JOIN briefs b ON b.brief_ref = m.brief_ref
-            LEFT JOIN dense d ON d.doc_id = m.doc_id LEFT JOIN receipts r ON r.doc_id = m.doc_id WHERE coalesce(d.status, '') <> 'sold')"""
+        told AS (SELECT {kept.replace("doc_id", "d.doc_id", 1)}, coalesce(h.found, {e.words([])}) AS found, {e.made({"masked": masked})} FROM joined d LEFT JOIN heard h ON h.doc_id = d.doc_id),
+        counted AS (SELECT {kept}, found, {e.made({"n": e.size(tokens), "marks": e.size(marks)})} FROM told d),
+        dense AS (SELECT {kept}, found, CASE WHEN n = 0 THEN 1.0 ELSE CAST(marks AS DOUBLE) / n END AS density FROM counted),
+        gate AS (SELECT m.doc_id, m.brief_ref, w.legal_name AS buyer, m.user_id, d.record_ref, d.chain_hash, d.n_prompts, round(coalesce(d.density, 1.0), 6) AS density, {failures} AS failures
+            FROM matches m JOIN briefs b ON b.brief_ref = m.brief_ref JOIN buyers w ON w.brief_ref = b.brief_ref
+            LEFT JOIN dense d ON d.user_id = m.user_id AND d.conv_id = m.conv_id LEFT JOIN receipts r ON r.receipt_ref = d.receipt_ref WHERE coalesce(d.status, '') <> 'sold')"""
 
 
 def qa_gate(e: Duck) -> str:
-    return f"WITH {gate_rows(e)} SELECT doc_id, brief_ref, density, failures, failures = '' AS passed FROM gate"
+    return f"WITH {gate_rows(e)} SELECT doc_id, brief_ref, buyer, density, failures, failures = '' AS passed FROM gate"
 
 
 def qa_failure_histogram(e: Duck) -> str:

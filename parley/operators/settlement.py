@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from ..plans.dialect import Duck
 from ..plans.fixtures import payment_events, payments, sales
-from .funds import AS_OF, balance_rows
+from .funds import AS_OF, held
 
-#: What a quote may be, in cents; hours in which a step may be tried again; rows a page and a tick.
-LEAST, MOST, RECOVERY, PAGE, TICK = 50, 99_999_999, 23, 50, 50
+#: What a quote may be, in cents; hours in which a step may be tried again; rows a page and a tick; entries of a payment.
+LEAST, MOST, RECOVERY, PAGE, TICK, ENTRIES = 50, 99_999_999, 23, 50, 50, 20
 READY = "p.status = 'paid' AND p.has_intent AND b.escrow AND b.brief_status = 'live' AND b.expires > {at}"
 
 
@@ -55,17 +55,25 @@ def payment_verification(e: Duck) -> str:
         FROM payments p JOIN reported r ON r.payment_id = p.payment_id JOIN brief_of b ON b.payment_id = p.payment_id"""
 
 
-def ledger_entries(e: Duck) -> str:
-    """The ledger, once by event key: whatever is written again under a key that is there counts for nothing."""
-    written = f"""SELECT concat('funding:', CAST(payment_id AS {e.string})) AS event_key, 'funded' AS kind, payment_id, funded AS cents, 1 AS step FROM payments WHERE status = 'paid' AND has_intent
-        UNION ALL SELECT concat('reserve:', CAST(allocation_id AS {e.string})), 'reserved', payment_id, cents, 2 FROM allocations
-        UNION ALL SELECT concat('funding:', CAST(a.payment_id AS {e.string})), 'funded', a.payment_id, p.funded, 3 FROM allocations a JOIN payments p ON p.payment_id = a.payment_id
-        UNION ALL SELECT concat('cancel:', CAST(allocation_id AS {e.string})), 'reservation_cancelled', payment_id, cents, 4 FROM allocations WHERE status = 'cancelled'
-        UNION ALL SELECT concat('transfer:', CAST(allocation_id AS {e.string})), 'transferred', payment_id, cents, 5 FROM allocations WHERE status IN ('transferred', 'reversing', 'reversed')
-        UNION ALL SELECT concat('reverse:', CAST(allocation_id AS {e.string})), 'transfer_reversed', payment_id, cents, 6 FROM allocations WHERE status = 'reversed'
-        UNION ALL SELECT concat('refund-request:', CAST(payment_id AS {e.string})), 'refund_requested', payment_id, cents, 7 FROM refunds
-        UNION ALL SELECT concat('refund:', CAST(payment_id AS {e.string})), 'refunded', payment_id, cents, 8 FROM refunds WHERE status = 'succeeded'"""
-    return f"written AS ({written}), ledger AS (SELECT event_key, min(kind) AS kind, min(payment_id) AS payment_id, min(cents) AS cents, min(step) AS step FROM written GROUP BY event_key)"
+#: Kinds of entries of an allocation: what their keys begin with, in which order they are written, and of which states they are; null is any.
+WRITES = {"reserved": ("reserve:", 2, None), "funded": ("funding:", 3, None), "reservation_cancelled": ("cancel:", 4, ("cancelled",)), "transferred": ("transfer:", 5, ("transferred", "reversing", "reversed")), "transfer_reversed": ("reverse:", 6, ("reversed",))}
+
+
+def ledger_entries(e: Duck, of: str = "") -> str:
+    """The ledger, once by event key: whatever is written again under a key that is there counts for nothing. With `of`, a relation with
+    payment_id, only those payments' entries. Payments, allocations and refunds are each read once, whatever a row of them writes."""
+    only = f" WHERE payment_id IN (SELECT payment_id FROM {of})" if of else ""
+    kinds = e.those(e.items([f"CASE WHEN {'true' if states is None else f'a.status IN {e.any_of(list(states))}'} THEN '{k}' END" for k, (_, _, states) in WRITES.items()]), "k", "k IS NOT NULL")
+    by_kind = lambda f: "CASE kind " + " ".join(f"WHEN '{k}' THEN {f(v)}" for k, v in WRITES.items()) + " END"
+    key = lambda prefix, x: f"concat({prefix}, CAST({x} AS {e.string}))"
+    refunded = e.each(e.those(e.items(["'refund_requested'", "CASE WHEN status = 'succeeded' THEN 'refunded' END"]), "k", "k IS NOT NULL"))
+    written = f"""SELECT {key("'funding:'", "payment_id")} AS event_key, 'funded' AS kind, payment_id, funded AS cents, 1 AS step FROM own_payments WHERE status = 'paid' AND has_intent
+        UNION ALL SELECT {key(by_kind(lambda v: f"'{v[0]}'"), "CASE kind WHEN 'funded' THEN payment_id ELSE allocation_id END")}, kind, payment_id, CASE kind WHEN 'funded' THEN funded ELSE cents END, {by_kind(lambda v: v[1])} FROM of_allocations WHERE kind <> 'funded' OR funded IS NOT NULL
+        UNION ALL SELECT {key("CASE kind WHEN 'refunded' THEN 'refund:' ELSE 'refund-request:' END", "payment_id")}, kind, payment_id, cents, CASE kind WHEN 'refunded' THEN 8 ELSE 7 END FROM of_refunds"""
+    return f"""own_payments AS (SELECT payment_id, funded, status, has_intent FROM payments{only}), own_allocations AS (SELECT allocation_id, payment_id, cents, status FROM allocations{only}),
+        of_allocations AS (SELECT a.allocation_id, a.payment_id, a.cents, p.funded, {e.each(kinds)} AS kind FROM own_allocations a LEFT JOIN own_payments p ON p.payment_id = a.payment_id),
+        of_refunds AS (SELECT payment_id, cents, {refunded} AS kind FROM refunds{only}),
+        written AS ({written}), ledger AS (SELECT event_key, min(kind) AS kind, min(payment_id) AS payment_id, min(cents) AS cents, min(step) AS step FROM written GROUP BY event_key)"""
 
 
 def ledger_once(e: Duck) -> str:
@@ -73,16 +81,25 @@ def ledger_once(e: Duck) -> str:
 
 
 def ledger_top20_of_payment(e: Duck) -> str:
-    return f"""WITH {base(e)}, {ledger_entries(e)} SELECT payment_id, event_key, kind, cents FROM (SELECT payment_id, event_key, kind, cents, row_number() OVER (PARTITION BY payment_id ORDER BY step DESC, event_key) AS k FROM ledger) t WHERE k <= 20"""
+    return f"""WITH {base(e)}, {ledger_entries(e)} SELECT payment_id, event_key, kind, cents FROM (SELECT payment_id, event_key, kind, cents, row_number() OVER (PARTITION BY payment_id ORDER BY step DESC, event_key) AS k FROM ledger) t WHERE k <= {ENTRIES}"""
 
 
 def funding_dashboard(e: Duck) -> str:
-    """The newest hundred payments with their balances: nothing is funded without an intent, the refund is the larger of ours and what
-    the provider reports, and nothing is available once money went back or is disputed."""
-    return f"""WITH {base(e)}, {balance_rows(e)}, reviews AS (SELECT payment_id, max(cents) AS reported FROM refunds WHERE status IN ('succeeded', 'review') GROUP BY payment_id),
-        newest AS (SELECT payment_id, created FROM payments ORDER BY created DESC, payment_id DESC LIMIT 100)
-        SELECT b.payment_id, o.brief_status, b.funded, b.reserved, b.transferred, greatest(b.refunded, coalesce(r.reported, 0)) AS refunded, CASE WHEN b.status IN ('refunded', 'disputed') THEN 0 ELSE b.funded - b.reserved - b.transferred - b.refunded - b.refund_pending END AS available
-        FROM newest n JOIN b ON b.payment_id = n.payment_id JOIN brief_of o ON o.payment_id = b.payment_id LEFT JOIN reviews r ON r.payment_id = b.payment_id"""
+    """The newest hundred payments with their buyers, balances, allocations (newest first) and last twenty entries: nothing is funded without
+    an intent, the refund is the larger of ours and what the provider reports, and nothing is available once money went back or is
+    disputed. The hundred are picked first; allocations, refunds and entries are only theirs."""
+    ranked = "SELECT payment_id, event_key, kind, cents, row_number() OVER (PARTITION BY payment_id ORDER BY step DESC, event_key) AS k FROM ledger"
+    told = lambda name, cents: f"concat({name}, ':', CAST({cents} AS {e.string}))"
+    return f"""WITH {base(e)}, newest AS (SELECT payment_id, buyer_id, status, has_intent, funded, created FROM payments ORDER BY created DESC, payment_id DESC LIMIT 100),
+        theirs AS (SELECT payment_id, allocation_id, status, cents, row_number() OVER (PARTITION BY payment_id ORDER BY created DESC, allocation_id) AS k FROM allocations WHERE payment_id IN (SELECT payment_id FROM newest)),
+        a AS (SELECT payment_id, {held('reserved', 'transferring', 'review')} AS reserved, {held('transferred', 'reversing')} AS transferred, {e.join(e.ordered(told("status", "cents"), "k"), ",")} AS allocations FROM theirs GROUP BY payment_id),
+        r AS (SELECT payment_id, {held('succeeded')} AS refunded, {held('pending', 'review')} AS refund_pending, max(CASE WHEN status IN ('succeeded', 'review') THEN cents END) AS reported FROM refunds WHERE payment_id IN (SELECT payment_id FROM newest) GROUP BY payment_id),
+        {ledger_entries(e, "newest")}, last_entries AS (SELECT payment_id, {e.join(e.ordered(told("kind", "cents"), "k"), ",")} AS entries FROM ({ranked}) t WHERE k <= {ENTRIES} GROUP BY payment_id),
+        b AS (SELECT n.payment_id, n.buyer_id, n.status, n.created, CASE WHEN n.has_intent THEN n.funded ELSE 0 END AS funded, coalesce(a.reserved, 0) AS reserved, coalesce(a.transferred, 0) AS transferred, coalesce(a.allocations, '') AS allocations,
+            coalesce(r.refunded, 0) AS refunded, coalesce(r.refund_pending, 0) AS refund_pending, coalesce(r.reported, 0) AS reported FROM newest n LEFT JOIN a ON a.payment_id = n.payment_id LEFT JOIN r ON r.payment_id = n.payment_id)
+        SELECT b.payment_id, c.c_name AS buyer, b.status, o.brief_status, o.expires, b.funded, b.reserved, b.transferred, greatest(b.refunded, b.reported) AS refunded,
+            CASE WHEN b.status IN ('refunded', 'disputed') THEN 0 ELSE b.funded - b.reserved - b.transferred - b.refunded - b.refund_pending END AS available, b.allocations, coalesce(l.entries, '') AS entries
+        FROM b JOIN brief_of o ON o.payment_id = b.payment_id JOIN {e.table("customer")} c ON c.c_custkey = b.buyer_id LEFT JOIN last_entries l ON l.payment_id = b.payment_id"""
 
 
 def visible_payments(e: Duck) -> str:
@@ -103,7 +120,7 @@ def submissions_page(e: Duck) -> str:
     ready = f"c.cents >= 1 AND {READY.format(at=AS_OF)}"
     return f"""WITH {base(e)}, mine AS (SELECT record_ref, user_id, status, chain_hash, created FROM records WHERE user_id = 1), page AS (SELECT record_ref, status, chain_hash, created FROM mine ORDER BY created DESC, record_ref DESC LIMIT {PAGE + 1} OFFSET {PAGE}),
         visible AS (SELECT record_ref, status, chain_hash, created, row_number() OVER (ORDER BY created DESC, record_ref DESC) AS k, count(*) OVER () > {PAGE} AS has_more FROM page),
-        own AS (SELECT c.record_ref, a.status, row_number() OVER (PARTITION BY c.record_ref ORDER BY CASE WHEN a.status = 'cancelled' THEN 1 ELSE 0 END, a.created DESC, a.allocation_id) AS k FROM allocations a JOIN checks c ON c.qa_id = a.allocation_id),
+        own AS (SELECT c.record_ref, a.status, row_number() OVER (PARTITION BY c.record_ref ORDER BY CASE WHEN a.status = 'cancelled' THEN 1 ELSE 0 END, a.created DESC, a.allocation_id) AS k FROM visible v JOIN checks c ON c.record_ref = v.record_ref JOIN allocations a ON a.allocation_id = c.qa_id),
         told AS (SELECT v.record_ref, max(CASE WHEN c.status = 'passed' THEN 1 ELSE 0 END) AS passed, max(CASE WHEN c.status = 'passed' AND a.allocation_id IS NULL AND {ready} THEN 1 ELSE 0 END) AS ready
             FROM visible v JOIN checks c ON c.record_ref = v.record_ref AND c.chain_hash = v.chain_hash LEFT JOIN allocations a ON a.allocation_id = c.qa_id LEFT JOIN payments p ON p.payment_id = c.payment_id LEFT JOIN brief_of b ON b.payment_id = c.payment_id GROUP BY v.record_ref)
         SELECT v.record_ref, v.has_more, CASE WHEN v.status = 'revoked' THEN 'withdrawn' WHEN o.status IS NOT NULL THEN o.status WHEN t.ready = 1 THEN 'awaiting_acceptance' WHEN t.passed = 1 THEN 'awaiting_eligible_brief' WHEN t.record_ref IS NOT NULL THEN 'quality_not_passed' ELSE 'awaiting_matching' END AS state

@@ -147,6 +147,12 @@ def briefs(e: Duck) -> str:
     return "briefs AS " + e.rows("b", list(BRIEFS[0]), ["(" + ", ".join(map(value, b.values())) + ")" for b in BRIEFS])
 
 
+def buyers(e: Duck) -> str:
+    """buyers(brief_ref, buyer_id, legal_name): whose each brief is: the customer of the order of its number."""
+    return f"""buyers AS (SELECT b.brief_ref, c.c_custkey AS buyer_id, c.c_name AS legal_name FROM briefs b JOIN {e.table("orders")} o ON o.o_orderkey = CAST(substr(b.brief_ref, 2) AS BIGINT)
+        JOIN {e.table("customer")} c ON c.c_custkey = o.o_custkey)"""
+
+
 def contributions(e: Duck) -> str:
     """All three relations of contribution_parts."""
     return ", ".join(contribution_parts(e).values())
@@ -155,23 +161,26 @@ def contributions(e: Duck) -> str:
 def contribution_parts(e: Duck) -> dict[str, str]:
     """Bundles of documents' lines as prompts, with what their contributors' devices told and the consent that was given.
 
-    bundles(doc_id, user_id, record_ref, prompts, language, tags, chain_hash, status): a document with words is one conversation of
-    the contributor `source`; tags come from what its text says, its status from the order of its number. receipts(doc_id,
-    receipt_ref, revoked, categories, jurisdiction): consent where there is an order of that number; jurisdiction is by the region
-    of its customer, categories what it was urgent for, and it is revoked if the order was returned in full."""
+    bundles(doc_id, user_id, conv_id, record_ref, receipt_ref, prompts, language, tags, chain_hash, status): a document with words is one
+    conversation of the contributor `source`; tags come from what its text says, its status from the order of its number, whose receipt it
+    names. receipts(receipt_ref, revoked, categories, jurisdiction): consent where there is an order; jurisdiction is by the region
+    of its customer, categories what it was urgent for, and it is revoked if the order was returned in full. matches(brief_ref, doc_id,
+    user_id, conv_id): what a contributor's device reports, before or without a bundle of it; doc_id is the order of arrival."""
     text = "replace(text, chr(13), '')"
     lines = e.where(f"string_split({text}, chr(10))" if type(e) is Duck else f"split({text}, '\\n')", "trim(x) <> ''")
     tags = [("coding", r"(?i)\b(?:license|version|token|http)\b"), ("business", r"@|\+[0-9]"), ("writing", r"(?i)\b(?:the|les|der|que)\b"), ("education", r"[0-9]{4}")]
     told = e.those(e.items([f"CASE WHEN {e.matches('text', p)} THEN '{t}' END" for t, p in tags]), "t", "t IS NOT NULL")
     wide = e.words(["ai_lab_commercial", "ai_research_nonprofit", "academic", "enterprise_internal", "data_broker_reseller"])
     cats = f"CASE o_orderpriority WHEN '1-URGENT' THEN {wide} WHEN '2-HIGH' THEN {e.words(['ai_lab_commercial', 'enterprise_internal'])} WHEN '3-MEDIUM' THEN {e.words(['ai_lab_commercial'])} ELSE {e.words(['ai_research_nonprofit', 'academic'])} END"
+    conv = lambda x: f"concat('conv_', CAST({x} AS {e.string}))"
+    receipt = lambda x: f"CASE WHEN {x} IS NOT NULL THEN concat('rcpt_', CAST({x} AS {e.string})) END"
     return {"bundles": f"""worded AS (SELECT doc_id, source, lang, text, {e.made({"prompts": lines, "told": told})} FROM {e.table("documents")} WHERE text IS NOT NULL),
-        bundles AS (SELECT d.doc_id, d.source AS user_id, concat('rec_', CAST(d.doc_id AS {e.string})) AS record_ref, d.prompts, CASE WHEN d.lang IN ('en', 'fr', 'de', 'es') THEN d.lang ELSE 'und' END AS language,
-            CASE WHEN {e.size("told")} > 0 THEN told ELSE {e.words(["general"])} END AS tags, {e.sha("text")} AS chain_hash, CASE WHEN o.o_orderstatus = 'P' THEN 'sold' ELSE 'available' END AS status
-            FROM worded d LEFT JOIN {e.table("orders")} o ON o.o_orderkey = d.doc_id WHERE {e.size("d.prompts")} > 0)""", "receipts": f"""receipts AS (SELECT o.o_orderkey AS doc_id, concat('rcpt_', CAST(o.o_orderkey AS {e.string})) AS receipt_ref, coalesce(l.back, false) AS revoked, {cats} AS categories,
+        bundles AS (SELECT d.doc_id, d.source AS user_id, {conv("d.doc_id")} AS conv_id, concat('rec_', CAST(d.doc_id AS {e.string})) AS record_ref, {receipt("o.o_orderkey")} AS receipt_ref, d.prompts, CASE WHEN d.lang IN ('en', 'fr', 'de', 'es') THEN d.lang ELSE 'und' END AS language,
+            CASE WHEN {e.size("told")} > 0 THEN told ELSE {e.words(["general"])} END AS tags, {e.sha("text")} AS chain_hash, CASE WHEN o.o_orderstatus = 'P' THEN 'sold' WHEN o.o_orderstatus = 'F' AND o.o_orderpriority = '5-LOW' THEN 'revoked' ELSE 'available' END AS status
+            FROM worded d LEFT JOIN {e.table("orders")} o ON o.o_orderkey = d.doc_id WHERE {e.size("d.prompts")} > 0)""", "receipts": f"""receipts AS (SELECT {receipt("o.o_orderkey")} AS receipt_ref, coalesce(l.back, false) AS revoked, {cats} AS categories,
             CASE r.r_name WHEN 'AMERICA' THEN 'US' WHEN 'EUROPE' THEN 'CA' ELSE substr(r.r_name, 1, 2) END AS jurisdiction
             FROM {e.table("orders")} o JOIN {e.table("customer")} c ON c.c_custkey = o.o_custkey JOIN {e.table("nation")} n ON n.n_nationkey = c.c_nationkey JOIN {e.table("region")} r ON r.r_regionkey = n.n_regionkey
-            LEFT JOIN (SELECT l_orderkey, min(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS back FROM {e.table("lineitem")} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey)""", "matches": f"""matches AS (SELECT b.brief_ref, d.doc_id, d.source AS user_id FROM {e.table("documents")} d JOIN (SELECT brief_ref, {e.each("reach")} AS lang FROM briefs) b ON b.lang = d.lang)"""}
+            LEFT JOIN (SELECT l_orderkey, min(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS back FROM {e.table("lineitem")} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey)""", "matches": f"""matches AS (SELECT b.brief_ref, d.doc_id, d.source AS user_id, {conv("d.doc_id")} AS conv_id FROM {e.table("documents")} d JOIN (SELECT brief_ref, {e.each("reach")} AS lang FROM briefs) b ON b.lang = d.lang)"""}
 
 
 def consents(e: Duck) -> str:

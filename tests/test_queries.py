@@ -64,6 +64,46 @@ def test_near_duplicates_by_hand(spark):
     assert taken == {2, 4} and near == {3}
 
 
+def test_gate_by_hand(spark, tmp_path):
+    """A match meets its brief's buyer, the bundle of its contributor and conversation, and the receipt that the bundle names."""
+    texts = {11: "the token and more", 12: "the token and others", 13: None, 14: "the token and sold", 15: "the token and withdrawn", 16: "the token and more", 17: "the token and more", 18: "the token and abroad", 19: "the token and returned", 20: "the token and cats"}
+    source = {16: "b", 17: "c"}
+    tables = {
+        "documents": ([(i, source.get(i, "a"), "en", t) for i, t in texts.items()], "doc_id long, source string, lang string, text string"),
+        "orders": ([(1, 5, "O", "1-URGENT"), (11, 1, "O", "1-URGENT"), (14, 1, "P", "1-URGENT"), (15, 1, "F", "5-LOW"), (16, 1, "O", "1-URGENT"), (18, 2, "O", "2-HIGH"), (19, 1, "O", "3-MEDIUM"), (20, 1, "O", "5-LOW")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"),
+        "customer": ([(1, "one", 0), (2, "two", 1), (5, "buyer", 1)], "c_custkey long, c_name string, c_nationkey long"),
+        "nation": ([(0, 0), (1, 1)], "n_nationkey long, n_regionkey long"),
+        "region": ([(0, "AMERICA"), (1, "ASIA")], "r_regionkey long, r_name string"),
+        "lineitem": ([(19, "R"), (11, "R"), (11, "N")], "l_orderkey long, l_returnflag string"),
+    }
+    for name, (of, schema) in tables.items():
+        spark.createDataFrame(of, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = catalogue.queries()["qa_gate"](spark, str(tmp_path)).collect()
+    nothing = ["QA_MIN_PROMPTS", "QA_REDACTION_DENSITY", "QA_KEYWORDS_ANY", "QA_KEYWORDS_ALL"]
+    assert {(r.brief_ref, r.buyer) for r in found} == {("b1", "buyer")}  # no other brief has a buyer
+    assert {r.doc_id: [c for c in r.failures.split(",") if c] for r in found} == {
+        11: [], 12: ["QA_NO_CONSENT"], 13: ["QA_NOT_PACKAGED", "QA_NO_CONSENT", "QA_LANGUAGE", "QA_DOMAIN", *nothing], 15: ["QA_NOT_PACKAGED", "QA_CATEGORY_NOT_CONSENTED", *nothing],
+        16: ["QA_DUPLICATE"], 17: ["QA_NO_CONSENT"], 18: ["QA_JURISDICTION"], 19: ["QA_CONSENT_REVOKED"], 20: ["QA_CATEGORY_NOT_CONSENTED"],
+    }
+
+
+def test_dashboard_by_hand(spark):
+    """Each payment's allocations and entries as the whole ledger has them."""
+    found = {r.payment_id: r for r in catalogue.queries()["funding_dashboard"](spark, DIR).collect()}
+    orders = {r.o_orderkey: r for r in spark.read.parquet(f"{DIR}/orders.parquet").collect()}
+    newest = sorted(orders.values(), key=lambda r: (r.o_orderdate, r.o_orderkey), reverse=True)[:100]
+    names = {r.c_custkey: r.c_name for r in spark.read.parquet(f"{DIR}/customer.parquet").collect()}
+    assert {i: r.buyer for i, r in found.items()} == {r.o_orderkey: names[r.o_custkey] for r in newest}
+    entries = {}
+    for r in catalogue.queries()["ledger_top20_of_payment"](spark, DIR).collect():
+        entries.setdefault(r.payment_id, []).append(f"{r.kind}:{r.cents}")
+    for i, r in found.items():
+        assert sorted(r.entries.split(",") if r.entries else []) == sorted(entries.get(i, []))
+        own = [x.split(":") for x in r.allocations.split(",") if x]
+        assert sum(int(c) for s, c in own if s in ("reserved", "transferring", "review")) == r.reserved and sum(int(c) for s, c in own if s in ("transferred", "reversing")) == r.transferred
+    assert any(r.entries for r in found.values()) and any(r.allocations for r in found.values())
+
+
 def test_simhash_is_a_majority_of_words(spark, duck):
     import hashlib
 

@@ -95,7 +95,12 @@ def test_conversations_are_reworked(spark):
         assert (r.kinds, r.kept, r.touched) == (len(bundle), len(kept), len(touched)) and r.kept - r.touched <= r.usable <= r.kept
         assert r.verdict == ("as_is" if len(bundle) < 5 else "excluded" if 10 * len(touched) > 4 * len(kept) or r.usable < 2 else "suppressed")
         seen.add(r.verdict)
-    assert {"as_is", "suppressed"} <= seen
+    assert {"as_is", "suppressed", "excluded"} <= seen
+
+
+def test_every_outcome_occurs(spark):
+    rows = catalogue.queries()["outcome_counts"](spark, DIR).collect()
+    assert {"kept", "DROP_TOO_SHORT", "DROP_REDACTION_DENSITY", "EXC_PII_DENSITY", "EXC_LIVE_SECRET", "EXC_SPECIAL_CATEGORY", "EXC_ATTRIBUTION_AMBIGUOUS", "EXC_SINGLING_OUT"} <= {r.outcome for r in rows}
 
 
 def test_suppressed_kinds_are_gone_from_final_texts(spark):
