@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.funds import payment_state_batch
 from ..plans.dialect import Duck, runs
 from ..plans.fixtures import payment_events
 from ..plans.scratch import shared_dir
 
+# the process that sets a stream's state up does not know the driver's path: what it runs is sent along
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def last_updates(stream: DataFrame, folder: str, key: list[str]) -> DataFrame:
     """Run a stream of updates over what is there, written batch by batch as files; of each key the newest. A batch that is run again
@@ -47,28 +50,62 @@ def event_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KINDS = {"paid": 0, "failed": 1, "refunded": 2, "disputed": 2}
-STATE = "ids array<long>, arrivals array<long>, kinds array<long>"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def advance(key, batches, state):
-    """A payment's state after one more batch. Of an event delivered more than once the first arrival counts, in whatever
-    order and batch its deliveries come, so the state keeps each event's first arrival and kind."""
-    held = [np.array(x, np.int64) for x in state.get] if state.exists else [np.empty(0, np.int64)] * 3
-    new = pd.concat(list(batches))
-    ids, arrivals, kinds = (np.concatenate(x) for x in zip(held, (new["event_id"].to_numpy(np.int64), new["arrival"].to_numpy(np.int64), new["kind"].map(KINDS).fillna(3).to_numpy(np.int64)), strict=True))
-    order = np.lexsort((arrivals, ids))
-    first = order[np.unique(ids[order], return_index=True)[1]]
-    ids, arrivals, kinds = ids[first], arrivals[first], kinds[first]
-    state.update((ids.tolist(), arrivals.tolist(), kinds.tolist()))
-    paid, failed = (arrivals[kinds == k].min(initial=np.iinfo(np.int64).max) for k in (0, 1))
-    now = "reversed" if (kinds == 2).any() else "paid" if paid < failed else "failed" if (kinds == 1).any() else "pending"
-    yield pd.DataFrame({"payment_id": [key[0]], "events": [len(ids)], "state": [now]})
+def stateful(spark: SparkSession) -> None:
+    """Streams that are started from now on keep their state in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
-def payment_states(events: DataFrame) -> DataFrame:
-    """The state of each payment from a stream of (event_id, payment_id, kind, arrival). The state is three numbers for each of a
-    payment's own events, which are few."""
-    return events.groupBy("payment_id").applyInPandasWithState(advance, "payment_id long, events long, state string", STATE, "update", "NoTimeout")
+class Payments(StatefulProcessor):
+    """Of each payment when it was first paid and first failed, how many reversals and how many events it has.
+
+    Of an event delivered more than once the first arrival counts, in whatever order and batch its deliveries come: a typed map has each
+    event's first arrival and kind, of which a batch touches only its own events' entries, and which may forget by age. Only where an
+    earlier arrival takes a decision back (the event was of another kind) is the map read through."""
+
+    def __init__(self, known: int | None):
+        self.known = known
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "paid long, failed long, reversals long, events long")
+        self.seen = handle.getMapState("seen", "event_id long", "arrival long, kind int", self.known)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, (reversals, events) = [None, None], (0, 0)
+        if self.now.exists():
+            first[0], first[1], reversals, events = self.now.get()
+        new = pd.concat(list(rows)).sort_values(["arrival"], kind="stable").drop_duplicates("event_id")
+        for event, at, told in zip(new["event_id"], new["arrival"], new["kind"], strict=True):
+            at, kind = int(at), KINDS.get(told, 3)
+            was = self.seen.getValue((int(event),)) if self.seen.containsKey((int(event),)) else None
+            if was is not None and was[0] <= at:
+                continue
+            self.seen.updateValue((int(event),), (at, kind))
+            events += was is None
+            reversals += (kind == 2) - (was is not None and was[1] == 2)
+            if was is not None and was[1] < 2 and was[1] != kind and first[was[1]] == was[0]:
+                first[was[1]] = min((a for _, (a, k) in self.seen.iterator() if k == was[1]), default=None)
+            if kind < 2:
+                first[kind] = at if first[kind] is None else min(first[kind], at)
+        self.now.update((first[0], first[1], reversals, events))
+        paid, failed = first
+        now = "reversed" if reversals else "paid" if paid is not None and (failed is None or paid < failed) else "failed" if failed is not None else "pending"
+        yield pd.DataFrame({"payment_id": [key[0]], "events": [events], "state": [now]})
+
+    def close(self) -> None:
+        pass
+
+
+def payment_states(events: DataFrame, known_days: float | None = None) -> DataFrame:
+    """The state of each payment from a stream of (event_id, payment_id, kind, arrival), as updates. Needs the state store that has typed
+    maps (RocksDB), which stateful() sets.
+
+    With known_days an event is forgotten that long after it was last written, and a delivery after that counts as another event: so the
+    state of a stream that never ends is bounded. Such a stream keeps asking for batches and does not end by availableNow."""
+    known = None if known_days is None else int(known_days * 24 * 3600 * 1000)
+    return events.groupBy("payment_id").transformWithStateInPandas(Payments(known), "payment_id long, events long, state string", "Update", "ProcessingTime" if known else "None")
 
 
 def payment_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +114,7 @@ def payment_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = runs(lambda e: f"WITH {payment_events(e)} SELECT event_id, payment_id, kind, arrival FROM payment_events")(spark, sf_dir)
     events.write.parquet(f"{folder}/in")
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    stateful(spark)
     return last_updates(payment_states(source), folder, ["payment_id"])
 
 
