@@ -61,7 +61,8 @@ WRITES = {"reserved": ("reserve:", 2, None), "funded": ("funding:", 3, None), "r
 
 def ledger_entries(e: Duck, of: str = "") -> str:
     """The ledger, once by event key: whatever is written again under a key that is there counts for nothing. With `of`, a relation with
-    payment_id, only those payments' entries. Payments, allocations and refunds are each read once, whatever a row of them writes."""
+    payment_id, only those payments' entries. Allocations and refunds are read once, whatever a row of them
+    writes; payments twice, for their own entries and for their allocations'."""
     only = f" WHERE payment_id IN (SELECT payment_id FROM {of})" if of else ""
     kinds = e.those(e.items([f"CASE WHEN {'true' if states is None else f'a.status IN {e.any_of(list(states))}'} THEN '{k}' END" for k, (_, _, states) in WRITES.items()]), "k", "k IS NOT NULL")
     by_kind = lambda f: "CASE kind " + " ".join(f"WHEN '{k}' THEN {f(v)}" for k, v in WRITES.items()) + " END"
