@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +85,24 @@ def by_group(df: DataFrame, keys: list[str], found: Callable[[pa.Table], pa.Tabl
     return df.select(*keys_and_rest).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=1)
+def shared(make: Callable, *of: Any) -> Any:
+    """What make makes of these, once per worker process, so that tasks that follow each other share it and what it has learned."""
+    return make(*of)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 256, *, sharing: bool = False) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches, that many at a time, so that what a task makes of a batch of long texts is never there all at once.
+
+    Workers live on: a task that shares nothing first lets go of what another operator's tasks have left in its process.
+    """
+    if not sharing:
+        shared.cache_clear()
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """A column of lists of one length as a matrix of its own type, single precision in double."""
     lists = column.combine_chunks()

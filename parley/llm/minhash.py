@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, in_blocks, matrix, saved
+from .common import by_group, components, in_blocks, in_parts, matrix, saved
 
 #: A base for the rolling hash, and the odd multipliers' seed.
 BASE, SEED = 0x9E3779B97F4A7C15, 20240613
@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             out = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 found, one, two = shingles(t, words)
@@ -142,12 +142,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sketches = saved(reps.join(ids, "doc_id").select("doc_id", "sketch"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                found = [shingles(t, words)[0] for t in part.column(1).cast(pa.binary()).to_pylist()]
-                sketches = [sharp.sign(x)[1] for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "shingles", "sharp"])
+        for part in in_parts(batches):
+            found = [shingles(t, words)[0] for t in part.column(1).cast(pa.binary()).to_pylist()]
+            sketches = [sharp.sign(x)[1] for x in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "shingles", "sharp"])
 
     whole = saved(docs.join(ids.hint("merge"), "doc_id").mapInArrow(sets, "doc_id long, shingles array<long>, sharp array<long>"))
 

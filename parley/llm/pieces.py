@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import quoted
+from .common import in_parts, quoted, shared
 
 SPACE = "\u2581"
 #: Text between blanks: a run of blanks belongs to what follows it.
@@ -279,9 +278,7 @@ class Encoder:
         return text[1:] if v.prefix and text.startswith(" ") else text
 
 
-@lru_cache(maxsize=1)
 def encoder_of(raw: bytes) -> Encoder:
-    """One encoder per worker process, so that tasks that follow each other share what it knows."""
     return Encoder(Vocabulary(raw))
 
 
@@ -298,17 +295,15 @@ def encode_texts(docs: DataFrame, model_file: str, *, doc_id: str = "doc_id", te
         told = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(told.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = part.column(1).to_pylist()
-                ids = [None if t is None else encoder.encode(t) for t in texts]
-                same = [None if t is None else encoder.decode(x) == t for t, x in zip(texts, ids, strict=True)]
-                ends = np.cumsum([0] + [0 if x is None else len(x) for x in ids]).astype(np.int32)
-                flat = pa.array(np.concatenate([np.empty(0, np.int32), *(x for x in ids if x is not None)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in ids]))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([None if x is None else len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "round_trip"])
+        encoder = shared(encoder_of, told.value)
+        for part in in_parts(batches, sharing=True):
+            texts = part.column(1).to_pylist()
+            ids = [None if t is None else encoder.encode(t) for t in texts]
+            same = [None if t is None else encoder.decode(x) == t for t, x in zip(texts, ids, strict=True)]
+            ends = np.cumsum([0] + [0 if x is None else len(x) for x in ids]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.empty(0, np.int32), *(x for x in ids if x is not None)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in ids]))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([None if x is None else len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "round_trip"])
 
     own = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
@@ -321,8 +316,8 @@ def decode_ids(encoded: DataFrame, model_file: str, *, doc_id: str = "doc_id", i
         told = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(told.value)
-        for batch in batches:
+        encoder = shared(encoder_of, told.value)
+        for batch in in_parts(batches, sharing=True):
             texts = [None if x is None else encoder.decode(np.array([-1 if i is None else i for i in x], np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

@@ -11,7 +11,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import carried, quoted
+from .common import carried, in_parts, quoted
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("url", "secret", "ssn", "iban", "account", "address")
@@ -168,18 +168,17 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part, out = batch.slice(i, 512), []
-                for t in part.column(1).to_pylist():
-                    own = spans(t) if t else []
-                    told = [f"{k}:{a}:{b}" for k, a, b in own]
-                    base = [x for x, (k, _, _) in zip(told, own, strict=True) if k in BASE_KINDS]
-                    counts = [sum(k == kind for k, _, _ in own) for kind in BASE_KINDS]
-                    out.append((*counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(told), masked(t, own) if with_text and t else t))
-                cols = list(zip(*out, strict=True))
-                arrays = [part.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())]
-                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cols[6], pa.string())] if with_text else []), *part.columns[2:]], [*names, *part.schema.names[2:]])
+        for part in in_parts(batches, 512):
+            out = []
+            for t in part.column(1).to_pylist():
+                own = spans(t) if t else []
+                told = [f"{k}:{a}:{b}" for k, a, b in own]
+                base = [x for x, (k, _, _) in zip(told, own, strict=True) if k in BASE_KINDS]
+                counts = [sum(k == kind for k, _, _ in own) for kind in BASE_KINDS]
+                out.append((*counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(told), masked(t, own) if with_text and t else t))
+            cols = list(zip(*out, strict=True))
+            arrays = [part.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())]
+            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cols[6], pa.string())] if with_text else []), *part.columns[2:]], [*names, *part.schema.names[2:]])
 
     names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", *(["masked"] if with_text else [])]
     passing, fields, _, passed = carried(docs, columns)

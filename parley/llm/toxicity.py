@@ -12,8 +12,9 @@ import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import carried, drawn_rows, held_out, quoted, saved
+from .common import carried, drawn_rows, held_out, in_parts, quoted, saved
 
 Lengths = Callable[[bytes], int]
 
@@ -168,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, *, toxic_docs:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = [d.compressors() for d in sent.value.apart]
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, toxic, texts = (c.to_pylist() for c in batch.columns)
             own = [fold_of(i, sent.value.folds) for i in ids]
             found = [sent.value.apart[k].features(t, tools[k]) for k, t in zip(own, texts, strict=True)]
@@ -191,14 +192,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     """
     own = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     told = docs.sparkSession.sparkContext.broadcast(learn(own, labels, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)))
-    passing, fields, _, passed = carried(docs, columns)
+    # the text that is scored comes back, it isn't sent once more
+    both = text in (columns or []) and docs.schema[text].dataType == StringType()
+    passing, fields, inner, passed = carried(docs, [c for c in columns or [] if c != text or not both])
+    if both:
+        fields, inner = ["text string", *fields], ["text", *inner]
+        passed.insert(columns.index(text), F.col("text").alias(f"_{text}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = told.value
         tools = model.dictionaries.compressors() if model.dictionaries else []
-        for batch in batches:
+        for batch in in_parts(batches):
             scores = [model.score(t or "", tools) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *batch.columns[1 if both else 2 :]], ["doc_id", "score", *inner])
 
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"), *passing)
     out = rows.mapInArrow(run, ", ".join(["doc_id long, score double", *fields]))

@@ -118,3 +118,30 @@ def test_mixing_gives_each_row_its_own_copies(spark):
     by = Counter(r[2] for r in got.elements())
     assert all(abs(by[s] - want) <= 1 for s, want in {"s1": 562.5, "s2": 225, "s3": 112.5}.items())
     assert set(got) <= set(rows_) and got == rows(cp.mixed(spark, frame, DIR))
+
+
+def test_scoring_gets_each_text_once(spark):
+    docs = odd_docs(spark)
+    told = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, toxic int")
+    plan = score_toxicity(docs, told, columns=docs.columns)._jdf.queryExecution().analyzed().toString()
+    sent = re.search(r"MapInArrow run\(([^)]*)\)", plan)[1].split(", ")
+    assert len(sent) == len(docs.columns) + 1  # all columns, and the id as a number
+    binary = docs.withColumn("text", F.col("text").cast("binary"))
+    assert rows(score_toxicity(binary, told, columns=["text"]).select(F.col("_text").cast("string"))) == rows(docs.select("text"))
+
+
+def test_scoring_lets_go_of_the_encoder_that_a_worker_holds(spark):
+    def holding(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [sum(type(x).__name__ == "Encoder" for x in gc.get_objects())]})
+
+    asked = lambda: sum(r.n for r in spark.range(0, 640, 1, 64).mapInArrow(holding, "n long").collect())
+    docs = table(spark, DIR, "documents").repartition(64)
+    assert cp.encoded(spark, docs, DIR).where("round_trip").count() and asked()
+    cp.without_toxic(spark, docs, DIR).write.format("noop").mode("overwrite").save()
+    assert not asked()
