@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import weakref
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -15,6 +17,8 @@ from .common import in_parts, quoted, shared
 SPACE = "\u2581"
 #: Text between blanks: a run of blanks belongs to what follows it.
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Characters above which a chunk is cut before it is encoded, and not kept.
+LONG = 64
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -79,25 +83,48 @@ class Vocabulary:
                 self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
 
 
+class Known(dict):
+    """The ids of chunks met of late, found by the encoder when first asked for. When `size` are there they become the old ones
+    and those before are forgotten; an old chunk that is asked for again is there anew. Very long ones are not kept."""
+
+    def __init__(self, encoder: Encoder, before: str, size: int):
+        # the encoder has this table: a proxy, so that it goes as soon as its worker drops it
+        self.encoder, self.before, self.size, self.old = weakref.proxy(encoder), before, size, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (ids := self.old.get(chunk)) is None:
+            ids = self.encoder.found_ids(self.before + chunk)
+        if len(chunk) <= LONG:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
-    """Encodes and decodes; what a chunk between blanks gives is kept for `known` chunks, then forgotten."""
+    """Encodes and decodes; what chunks between blanks give is kept for `known` chunks, those asked for of late."""
 
     def __init__(self, vocabulary: Vocabulary, known: int = 500_000):
         v = self.v = vocabulary
         self.found = ahocorasick.Automaton()
         for i in v.normal:
-            self.found.add_word(v.pieces[i], (i, len(v.pieces[i])))
+            if len(v.pieces[i]) > 1 or not v.bpe:  # merging starts from single characters, so they need not be found
+                self.found.add_word(v.pieces[i], (i, len(v.pieces[i])))
         self.found.make_automaton()
         self.ids = {v.pieces[i]: i for i in v.normal}
         #: user-defined pieces stand for themselves wherever they are, the longest first, and nothing is merged across them
         self.own = {v.pieces[i]: i for i in v.own}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.own, key=len, reverse=True))) + ")") if self.own else None
         self.sizes, self.many = [len(p) for p in v.pieces], len(v.pieces)
-        self.single = {p for p in self.ids if len(p) == 1}
+        self.single = {p: i for p, i in self.ids.items() if len(p) == 1}
         #: no piece has a blank after its first other character, so chunks can be encoded apart
         self.apart = not any(SPACE in v.pieces[i].lstrip(SPACE) for i in v.normal)
         self.type = np.uint16 if len(v.pieces) <= 1 << 16 else np.int32
-        self.known, self.cache, self.others, self.told = known // 2, {}, {}, {}
+        self.code = np.dtype(self.type).char
+        #: chunks that stand for what they are with a blank before them, and all others; twice the size with the old ones
+        self.cache, self.others = Known(self, SPACE, known * 2 // 5), Known(self, "", known // 10)
+        self.known, self.told = known // 2, {}
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         order = sorted((i for i in v.normal if len(v.pieces[i]) > 1), key=lambda i: (-v.scores[i], i))
         #: when merging makes a piece; single characters are there from the start
@@ -126,39 +153,22 @@ class Encoder:
 
     def between(self, text: str) -> np.ndarray:
         """The ids of a normalised text without user-defined pieces."""
-        cache = self.cache
         if not self.apart:
-            chunks = [text] if text else []
+            got = [self.others[text]] if text else []
         elif text[:1] == SPACE and text[-1] != SPACE and SPACE * 2 not in text:
-            # chunks stand for what they are with a blank before them
-            chunks = text[1:].split(SPACE)
+            got = map(self.cache.__getitem__, text[1:].split(SPACE))
         else:
-            cache = self.others
-            chunks = CHUNKS.findall(text)
-        got = list(map(cache.get, chunks))
-        if None in got:
-            before = SPACE if cache is self.cache and self.apart else ""
-            for k, (c, ids) in enumerate(zip(chunks, got, strict=True)):
-                if ids is None:
-                    if (ids := cache.get(c)) is None:
-                        ids = self.kept(cache, c, before + c)
-                    got[k] = ids
+            got = map(self.others.__getitem__, CHUNKS.findall(text))
         return np.frombuffer(b"".join(got), self.type)
 
-    def kept(self, cache: dict[str, bytes], name: str, text: str) -> bytes:
-        """The ids of a chunk. Between two characters that no piece has side by side it is cut, and its parts are kept."""
-        pairs = self.pairs
-        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in pairs]
-        if cuts:
-            parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-            ids = b"".join([self.others.get(p) or self.kept(self.others, p, p) for p in parts])
-        else:
-            ids = np.array(self.viterbi(text), self.type).tobytes()
-        if len(text) <= 64:
-            if len(cache) >= self.known:
-                cache.clear()
-            cache[name] = ids
-        return ids
+    def found_ids(self, text: str) -> bytes:
+        """The ids of a chunk. A long one is cut between two characters that no piece has side by side, and its parts are kept."""
+        if len(text) > LONG:
+            pairs = self.pairs
+            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in pairs]
+            if cuts:
+                return b"".join([self.others[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+        return array(self.code, self.viterbi(text)).tobytes()
 
     def unknown(self, text: str) -> list[int]:
         return [self.v.bytes[b] for b in text.encode("utf-8", "replace")] if self.v.bytes else [self.v.unknown]
@@ -172,35 +182,47 @@ class Encoder:
 
         A unigram model's piece scores its log probability. A BPE model's path scores minus the number of its borders
         that merging would not leave between the two pieces there: merging's own path is the one path of score 0, and its
-        part up to any place is that of the text up to there, so one best score a place suffices for it too.
+        part up to any place is that of the text up to there, so one best score a place suffices for it too. As every place
+        has a path of score 0, only matches that keep it at 0 are followed, up to the first; what scores less could not last.
         """
-        n, bpe, single = len(text), self.v.bpe, self.single
+        if self.v.bpe:
+            return self.path(text, self.merged(text))
+        n, single = len(text), self.single
         last, best, done = [-1] * (n + 1), [0.0] + [-1e18] * n, 0
-        alone = [] if single.issuperset(text) else [k for k, c in enumerate(text) if c not in single]
-        scores, told, many = self.v.scores, self.told, self.many
+        alone = [] if single.keys() >= set(text) else [k for k, c in enumerate(text) if c not in single]
+        scores = self.v.scores
         for end, (i, size) in self.found.iter(text):
             to = end + 1
-            if bpe and not best[to]:
-                continue  # no path scores more than 0
             while alone and done < len(alone) and alone[done] < end:
                 self.alone(alone[done], last, best)
                 done += 1
-            if not bpe:
-                gain = scores[i]
-            elif (before := last[to - size]) < 0:
-                gain = 0.0
-            elif (gain := told.get(before * many + i)) is None:
-                gain = self.step(before, i)
-            score = best[to - size] + gain
+            score = best[to - size] + scores[i]
             if score > best[to]:
                 best[to], last[to] = score, i
         for k in alone[done:]:
             self.alone(k, last, best)
         return self.path(text, last)
 
+    def merged(self, text: str) -> list[int]:
+        """The last piece of the path of score 0 to each place of a BPE model's text; -1 at the start and behind unknown characters.
+        Where no longer piece keeps it at 0, the single character does."""
+        single, told, many = self.single, self.told, self.many
+        last, done = [-1, *[single.get(c, -1) for c in text]], -1
+        for end, (i, size) in self.found.iter(text) if len(self.found) else ():
+            if end == done:
+                continue
+            before = last[end - size + 1]
+            if before >= 0:
+                if (gain := told.get(before * many + i)) is None:
+                    gain = self.step(before, i)
+                if gain:
+                    continue
+            last[end + 1], done = i, end
+        return last
+
     def alone(self, k: int, last: list[int], best: list[float]) -> None:
         """Relaxes the place behind character k, which is no piece of its own."""
-        score = best[k] + (0.0 if self.v.bpe else self.worst)
+        score = best[k] + self.worst
         if score > best[k + 1]:
             best[k + 1], last[k + 1] = score, -1
 
@@ -212,16 +234,17 @@ class Encoder:
         return fits
 
     def path(self, text: str, last: list[int]) -> list[int]:
-        out, place = [], len(text)
+        out, place, sizes = [], len(text), self.sizes
         while place:
             i = last[place]
             if i >= 0:
                 out.append(i)
-                place -= self.sizes[i]
+                place -= sizes[i]
             else:
                 place -= 1
                 out += reversed(self.unknown(text[place]))
-        return out[::-1]
+        out.reverse()
+        return out
 
     def halves(self, i: int) -> tuple[int, int]:
         """The two pieces that merging joins last to make piece i."""

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -393,6 +394,43 @@ def test_pieces_equal_sentencepiece(spark):
         assert e.encode(t).tolist() == sp.encode(t) and e.decode(e.encode(t)) == t
 
 
+def test_words_asked_for_again_are_passed_over_once():
+    """A frequent word stays known however many others come between, a word is one pass, and tables go with their encoder."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_FILE)
+    with open(queries.MODEL_FILE, "rb") as f:
+        e, passed = pieces.Encoder(pieces.Vocabulary(f.read()), known=50), []
+    plain = e.viterbi
+    e.viterbi = lambda text: passed.append(text) or plain(text)
+    rnd = random.Random(5)
+    rare = list(dict.fromkeys("".join(rnd.choice(["qx", "jq", "ing", "zv", "tion", "é"]) for _ in range(6)) for _ in range(300)))
+    for word in rare:
+        t = f"the {word} of"
+        assert e.encode(t).tolist() == sp.encode(t)
+    assert sorted(passed) == sorted(pieces.SPACE + w for w in ["the", "of", *rare])
+    assert len(e.cache) + len(e.cache.old) + len(e.others) + len(e.others.old) <= 50
+    gone = weakref.ref(e.cache)
+    del e, plain
+    assert gone() is None
+
+
+def test_long_and_oddly_spaced_texts_equal_sentencepiece():
+    """Chunks on either side of the length above which they are cut and not kept, met twice, with little kept and with much."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_FILE)
+    with open(queries.MODEL_FILE, "rb") as f:
+        vocabulary, rnd = pieces.Vocabulary(f.read()), random.Random(6)
+    small, large = pieces.Encoder(vocabulary, known=10), pieces.Encoder(vocabulary)
+    for n in (1, 62, 63, 64, 65, 66, 300):
+        for signs in ("日本語の文", "abetion", "é😀\n.\x00a", "=-#"):
+            word = "".join(rnd.choice(signs) for _ in range(n))
+            for t in (word, f" {word}", f"{word} ", f"a  {word}", f"{word} {word}", f"\u2581{word}"):
+                for e in (small, large, large):
+                    assert e.encode(t).tolist() == sp.encode(t)
+
+
 def test_user_defined_pieces_stand_alone():
     """A BPE vocabulary with pieces of its own: they are found longest first, and nothing is merged across them."""
     v = pieces.Vocabulary(b"")
