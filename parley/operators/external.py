@@ -6,7 +6,7 @@ from ..functions import labels as L
 from ..functions import patterns as P
 from ..plans.dialect import Duck
 from ..plans.fixtures import answers, prompts
-from . import policy, provenance, screening
+from . import policy, provenance, screening, texts
 
 #: Our own rules that are asked besides: external detectors tell neither ages nor secrets.
 OURS = [i for i, (k, _, _) in enumerate(P.DETECTORS) if k in ("AGE", "SECRET")]
@@ -34,13 +34,13 @@ def rule_of(kind: str, score: str) -> str:
     return "CASE " + " ".join(cases) + f" WHEN {kind} IN ({', '.join(repr(k) for k in L.BENIGN)}) THEN {number['BENIGN']} ELSE {number['UNKNOWN']} END"
 
 
-def valid(e: Duck) -> str:
-    """valid(record_id, n, kind, begins, ends, score): answers that lie within their text."""
-    return f"""{answers(e)}, valid AS (SELECT a.record_id, a.n, {kind_of("a.label")} AS kind, a.begins, a.ends, a.score FROM analysed a JOIN prompts t ON t.record_id = a.record_id
+def valid(e: Duck, told: str = "") -> str:
+    """valid(record_id, n, kind, begins, ends, score): answers that lie within their text. told says runs and analysed."""
+    return f"""{told or answers(e)}, valid AS (SELECT a.record_id, a.n, {kind_of("a.label")} AS kind, a.begins, a.ends, a.score FROM analysed a JOIN prompts t ON t.record_id = a.record_id
         WHERE a.begins >= 0 AND a.begins < a.ends AND a.ends <= length(t.text))"""
 
 
-def spanned(e: Duck) -> str:
+def spanned(e: Duck, told: str = "") -> str:
     """spanned, as screening has it, of the external detector's spans and our own ages and secrets.
 
     Both sets meet in one list for each text: the earlier span holds, of those of one start the longer, of equal ones the
@@ -54,7 +54,7 @@ def spanned(e: Duck) -> str:
     new = e.those("own", "k", f"coalesce({e.find('taken', place)}, 0) = 0")
     failed = e.items([screening.key("0", "0", screening.KINDS.index("UNANSWERED"))])
     kept = f"CASE WHEN answered THEN {screening.disjoint_keys(e, e.concat_lists(['told', new]))} ELSE {failed} END"
-    return f"""{valid(e)}, firsts_told AS (SELECT record_id, begins, ends, min(n * {screening.RULES} + {rule_of("kind", "score")}) AS first FROM valid GROUP BY record_id, begins, ends),
+    return f"""{valid(e, told)}, firsts_told AS (SELECT record_id, begins, ends, min(n * {screening.RULES} + {rule_of("kind", "score")}) AS first FROM valid GROUP BY record_id, begins, ends),
         keys_told AS (SELECT record_id, {one} AS k FROM firsts_told), lists_told AS (SELECT record_id, {e.ordered("k", "k")} AS told FROM keys_told GROUP BY record_id),
         spread AS (SELECT {e.spread("record_id")}conv_id, turn, record_id, text FROM prompts),
         known AS (SELECT p.conv_id, p.turn, p.record_id, p.text, r.record_id IS NOT NULL AS answered, coalesce(l.told, {e.none()}) AS told FROM spread p LEFT JOIN runs r ON r.record_id = p.record_id LEFT JOIN lists_told l ON l.record_id = p.record_id),
@@ -64,6 +64,26 @@ def spanned(e: Duck) -> str:
         spanned AS (SELECT conv_id, turn, record_id, text, kept, {screening.WHOLE.format(any=e.size('whole'), text=e.items([screening.key('0', 'length(text)', 0)]))} AS sents FROM found)"""
 
 
+NO_ANSWER = "CAST(array() AS ARRAY<STRUCT<n: BIGINT, label: STRING, begins: BIGINT, ends: BIGINT, score: DOUBLE>>)"
+
+
+def told_texts(e: Duck) -> screening.Groups:
+    """On Spark: keyed, the records with their text's number and their answers; texts, the different texts with different answers; screened_texts."""
+    one = "named_struct('n', n, 'label', label, 'begins', begins, 'ends', ends, 'score', score)"
+    keyed = f"""answer_lists AS (SELECT record_id, array_sort(collect_list({one})) AS answers FROM analysed GROUP BY record_id),
+        keyed AS (SELECT p.conv_id, p.turn, p.record_id, p.captured, x.plain_id, r.record_id IS NOT NULL AS answered, coalesce(a.answers, {NO_ANSWER}) AS answers FROM prompts p JOIN plain_texts x ON x.text <=> p.text LEFT JOIN runs r ON r.record_id = p.record_id LEFT JOIN answer_lists a ON a.record_id = p.record_id)"""
+    own = "prompts AS (SELECT t.text_id AS conv_id, 0 AS turn, t.text_id AS record_id, x.text FROM texts t JOIN plain_texts x ON x.plain_id = t.plain_id)"
+    told = "runs AS (SELECT text_id AS record_id FROM texts WHERE answered), analysed AS (SELECT text_id AS record_id, inline(answers) FROM texts)"
+    return [
+        (["plain_texts"], f"{prompts(e)}, plain_texts AS ({texts.numbered('plain_id', 'text', 'prompts')})"), (["keyed"], f"{prompts(e)}, {answers(e)}, {keyed}"),
+        (["texts"], f"texts AS ({texts.numbered('text_id', 'plain_id, answered, answers', 'keyed')})"), (["screened_texts"], f"{own}, {spanned(e, told)}, {texts.cascade(e)}"),
+    ]
+
+
+def told_records(e: Duck) -> str:
+    return "records AS (SELECT k.conv_id, k.turn, k.record_id, k.captured, t.text_id FROM keyed k JOIN texts t ON t.plain_id = k.plain_id AND t.answered = k.answered AND t.answers = k.answers)"
+
+
 def merged_spans(e: Duck) -> str:
     """What is left of both detectors' spans of each text: those of the detector by the rule that handles them."""
     kind = "CASE rule " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(screening.KINDS)) + " END"
@@ -84,6 +104,10 @@ def external_spans(e: Duck) -> str:
 
 def external_actions(e: Duck) -> str:
     """What becomes of spans in records that no gate stopped: the edit, the flag, and whether it tells an employer."""
+    if type(e) is not Duck:
+        flag = "CASE kind WHEN 'UNKNOWN' THEN 'FLAG_UNKNOWN_ENTITY' WHEN 'GOV_ID' THEN 'FLAG_GOV_ID' WHEN 'ACCOUNT' THEN 'FLAG_FINANCIAL' END"
+        return f"""WITH {e.steps(screening.marked(e, spanned))} SELECT r.record_id, o.kind, o.begins AS span_start, o.ends AS span_end, o.new, {flag} AS flag, CASE WHEN o.employs THEN 'employer' END AS quasi FROM records r JOIN edits_of o ON o.text_id = r.text_id WHERE o.name IS NULL
+            UNION ALL SELECT record_id, 'PERSON', begins, ends, {texts.PERSON}, CAST(NULL AS STRING), CAST(NULL AS STRING) FROM called"""
     return f"""WITH {e.steps(screening.gated(e, spanned))}, {screening.edits(e)}
         SELECT k.record_id, k.kind, k.begins AS span_start, k.ends AS span_end, d.new, CASE k.kind WHEN 'UNKNOWN' THEN 'FLAG_UNKNOWN_ENTITY' WHEN 'GOV_ID' THEN 'FLAG_GOV_ID' WHEN 'ACCOUNT' THEN 'FLAG_FINANCIAL' END AS flag, CASE WHEN k.employs THEN 'employer' END AS quasi
         FROM kinds k JOIN edits d ON d.record_id = k.record_id AND d.begins = k.begins AND d.ends = k.ends"""

@@ -5,7 +5,7 @@ from functools import partial
 from ..functions import patterns as P
 from ..plans.dialect import Duck, Spark
 from ..plans.fixtures import prompts
-from . import screening
+from . import screening, texts
 
 KINDS = tuple(dict.fromkeys(k for k, _, _ in P.DETECTORS))
 ON_DOCUMENTS = ("EMAIL", "PHONE", "ACCOUNT", "IP")
@@ -47,6 +47,9 @@ def identifier_counts(e: Duck) -> str:
 
 def record_identifiers(e: Duck) -> str:
     """Identifiers redacted in each record by kind, and the flags that these raise."""
+    if type(e) is not Duck:
+        return f"""WITH {e.steps(screening.marked(e))}, per_text AS (SELECT text_id, kind, count(*) AS n FROM edits_of WHERE kind IN ({", ".join(repr(k) for k in screening.IDENTIFIERS)}) GROUP BY text_id, kind)
+            SELECT r.record_id, t.kind, t.n, CASE t.kind WHEN 'GOV_ID' THEN 'FLAG_GOV_ID' WHEN 'ACCOUNT' THEN 'FLAG_FINANCIAL' END AS flag FROM records r JOIN per_text t ON t.text_id = r.text_id"""
     rows, kind = screening.acts(e)
     return f"""WITH {screening.base(e)}, {rows}, named_spans AS (SELECT record_id, {kind} AS kind FROM acts)
         SELECT record_id, kind, count(*) AS n, CASE kind WHEN 'GOV_ID' THEN 'FLAG_GOV_ID' WHEN 'ACCOUNT' THEN 'FLAG_FINANCIAL' END AS flag FROM named_spans
@@ -97,6 +100,8 @@ def ceilings(e: Duck, out: str, finals: str) -> str:
 
 def first_rows(e: Duck, spans: screening.Detector = screening.spanned) -> screening.Groups:
     """first, the outcomes of each record by itself."""
+    if type(e) is not Duck:
+        return texts.first(e, spans)
     return [*screening.marked(e, spans), (["first"], f"{screening.rebuilt(e, 'finals', 'changes', 'screened')}, {ceilings(e, 'first', 'finals')}")]
 
 
@@ -106,9 +111,9 @@ def outcome_rows(e: Duck, spans: screening.Detector = screening.spanned) -> str:
     With five kinds of quasi-identifiers or more in its kept records the most telling go, down to four, from all of them;
     their texts are rebuilt and meet the ceilings again. If that touches more than four in ten of the kept records, or
     leaves fewer than two, or if there are eight kinds, the whole conversation is excluded."""
-    # groups that are not written are dropped behind a written one, and said again
-    again = [] if type(e) is Duck else [([], screening.marked(e)[-1][1])]
-    return e.steps([*first_rows(e, spans), *again, ([], reworked(e))])
+    if type(e) is not Duck:
+        return e.steps(texts.outcomes(e, spans))
+    return e.steps([*first_rows(e, spans), ([], reworked(e))])
 
 
 def reworked(e: Duck) -> str:
@@ -150,6 +155,8 @@ def redaction_density(e: Duck) -> str:
 
 
 def qi_types(e: Duck) -> str:
+    if type(e) is not Duck:
+        return f"WITH {e.steps(screening.marked(e))}, per_text AS (SELECT text_id, count(*) AS kinds FROM kinds_each GROUP BY text_id) SELECT r.record_id, t.kinds FROM records r JOIN per_text t ON t.text_id = r.text_id"
     return f"WITH {e.steps(screening.marked(e))} SELECT record_id, count(*) AS kinds FROM quasi_kinds GROUP BY record_id"
 
 

@@ -165,6 +165,8 @@ Detector = Callable[[Duck], str]
 
 
 def gated(e: Duck, spans: Detector = spanned) -> Groups:
+    if type(e) is not Duck:
+        return texts.gated(e, spans)
     return [(["screened"], f"{prompts(e)}, {spans(e)}, {judged(e)}, {categories(e)}, {screened(e)}")]
 
 
@@ -211,14 +213,25 @@ CITIES = [c for cities in G.CITIES.values() for c in cities]
 def edits(e: Duck) -> str:
     """edits(record_id, begins, ends, new): what takes a span's place."""
     rows, kind = acts(e)
+    new = renewed(e, f"CASE WHEN n.n IS NOT NULL THEN concat('[PERSON_', CAST(n.n AS {e.string}), ']') END")
+    return f"""{rows}, kinds AS (SELECT conv_id, turn, record_id, begins, ends, {kind} AS kind, value, bucket, employs FROM acts),
+        edits AS (SELECT k.record_id, k.begins, k.ends, {new} AS new
+            FROM kinds k LEFT JOIN numbers n ON n.conv_id = k.conv_id AND kind = 'PERSON' AND n.name = {named_key(e)})"""
+
+
+def named_key(e: Duck) -> str:
+    """The name of a person that gets a number."""
+    return f"CASE WHEN kind = 'PERSON' AND (bucket = 'third_party' OR {name_key(e, 'value')} NOT IN {e.any_of(list(G.FIGURES))}) THEN {name_key(e, 'value')} END"
+
+
+def renewed(e: Duck, person: str) -> str:
+    """What takes a span's place, a person's name being given."""
     date = e.first("value", G.YEAR)
     age = f"CASE WHEN kind = 'AGE' THEN {years(e, 'value')} END"
     marks = "CASE kind " + " ".join(f"WHEN '{k}' THEN '[{v}]'" for k, v in L.PLACEHOLDERS.items()) + " END"
-    return f"""{rows}, kinds AS (SELECT conv_id, turn, record_id, begins, ends, {kind} AS kind, value, bucket, employs FROM acts),
-        edits AS (SELECT k.record_id, k.begins, k.ends, CASE WHEN kind IN ({', '.join(repr(i) for i in IDENTIFIERS)}) THEN {marks} WHEN kind = 'UNKNOWN' THEN '[REDACTED]' WHEN employs THEN '[EMPLOYER]' WHEN kind = 'PERSON' THEN CASE WHEN n.n IS NOT NULL THEN concat('[PERSON_', CAST(n.n AS {e.string}), ']') END
+    return f"""CASE WHEN kind IN ({', '.join(repr(i) for i in IDENTIFIERS)}) THEN {marks} WHEN kind = 'UNKNOWN' THEN '[REDACTED]' WHEN employs THEN '[EMPLOYER]' WHEN kind = 'PERSON' THEN {person}
             WHEN NOT {ATTRIBUTED} THEN NULL WHEN kind IN ('GPE', 'LOC', 'FAC') THEN CASE WHEN lower(value) IN {e.any_of(G.COUNTRIES + G.REGIONS)} THEN NULL ELSE coalesce({region(e, 'value')}, '[LOCATION]') END
-            WHEN kind = 'DATE' THEN CASE WHEN length({date}) > 0 THEN {date} ELSE '[DATE]' END WHEN {age} >= 90 THEN '90+' END AS new
-            FROM kinds k LEFT JOIN numbers n ON n.conv_id = k.conv_id AND kind = 'PERSON' AND n.name = CASE WHEN kind = 'PERSON' AND (bucket = 'third_party' OR {name_key(e, 'value')} NOT IN {e.any_of(list(G.FIGURES))}) THEN {name_key(e, 'value')} END)"""
+            WHEN kind = 'DATE' THEN CASE WHEN length({date}) > 0 THEN {date} ELSE '[DATE]' END WHEN {age} >= 90 THEN '90+' END"""
 
 
 def quasi(e: Duck) -> str:
@@ -277,6 +290,8 @@ def rebuilt(e: Duck, out: str, changes: str, rows: str) -> str:
 
 def marked(e: Duck, spans: Detector = spanned) -> Groups:
     """edits, quasi and quasi_kinds; and changes(record_id, begins, ends, new, late), those of each record by itself."""
+    if type(e) is not Duck:
+        return texts.marked(e, spans)
     changes = f"""changes AS (SELECT record_id, begins, ends, new, 0 AS late FROM edits
             UNION ALL SELECT q.record_id, q.begins, q.ends, {mark('q.kind')}, 1 FROM quasi q JOIN quasi_kinds k ON k.record_id = q.record_id AND k.kind = q.kind WHERE k.suppressed)"""
     return [*gated(e, spans), (["edits", "quasi"], f"{edits(e)}, {quasi(e)}"), ([], f"{quasi_kinds(e)}, {changes}")]
@@ -284,6 +299,8 @@ def marked(e: Duck, spans: Detector = spanned) -> Groups:
 
 def finals(e: Duck) -> Groups:
     """finals(conv_id, turn, record_id, reason, final_text): the text of each record by itself."""
+    if type(e) is not Duck:
+        return texts.first(e, spanned)
     return [*marked(e), ([], rebuilt(e, "finals", "changes", "screened"))]
 
 
@@ -297,6 +314,9 @@ def detect_person_place(e: Duck) -> str:
 
 
 def category_detections(e: Duck) -> str:
+    if type(e) is not Duck:
+        groups = [*texts.own_texts(e)[:1], (["found_of"], f"{texts.OWN}, {spanned(e)}, {judged(e)}, {categories(e)}, found_of AS (SELECT record_id AS text_id, CAST(idx - 1 AS BIGINT) AS sentence_index, bucket, explode(hit) AS found FROM hits)")]
+        return f"WITH {e.steps([*groups, ([], texts.own_records(e))])} SELECT r.record_id, f.sentence_index, f.bucket, f.found FROM records r JOIN found_of f ON f.text_id = r.text_id"
     return f"WITH {prompts(e)}, {spanned(e)}, {judged(e)}, {categories(e)}, c AS (SELECT record_id, CAST(idx - 1 AS BIGINT) AS sentence_index, bucket, {e.each('hit')} AS found FROM hits) SELECT record_id, sentence_index, bucket, found FROM c"
 
 
@@ -310,6 +330,8 @@ def redacted_text(e: Duck) -> str:
 
 def pseudonyms(e: Duck) -> str:
     """Number of each name in its conversation, by where it comes first in a record that no gate stopped."""
+    if type(e) is not Duck:
+        return f"WITH {e.steps(marked(e))} SELECT DISTINCT conv_id, name, concat('[PERSON_', CAST(n AS STRING), ']') AS pseudonym FROM called"
     return f"WITH {base(e)}, {acts(e)[0]} SELECT conv_id, name, concat('[PERSON_', CAST(n AS {e.string}), ']') AS pseudonym FROM numbers"
 
 
@@ -320,3 +342,5 @@ def qi_edits(e: Duck) -> str:
 
 
 DEFINITIONS = {f.__name__: f for f in (span_dedupe, detect_person_place, category_detections, exclusion_reasons, redacted_text, pseudonyms, qi_edits)}
+
+from . import texts  # noqa: E402
