@@ -79,3 +79,21 @@ def test_convergence_in_any_order(spark, tmp_path):
         found = appended(converged(*sides, late="200 days"), str(tmp_path / name)).where("conv_id IS NOT NULL").collect()
         days = lambda t: None if t is None else (t - START).days
         assert {(r.user_id, r.conv_id, days(r.matched), days(r.packaged)) for r in found} == want and len(found) == len(want)
+
+
+def test_sessions_of_events_that_come_late(spark, tmp_path):
+    """A table whose second half, by arrival, is as old as the first: no event is dropped, and state is by buckets."""
+    import duckdb
+
+    from parley.catalogue import oracle_sql, queries
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (event_id + k * 1000 AS event_id, CASE WHEN event_id % 97 <> 5 THEN user_id END AS user_id) FROM '/root/testdata/sf0.001/events.parquet', (SELECT unnest([0, 1, 2]) AS k) WHERE event_id < 400 OR event_id > 900) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    plain = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(object).where(f.notna(), None).values.tolist()), key=repr)
+    assert plain(queries()["session_states"](spark, str(tmp_path)).toPandas()) == plain(con.execute(oracle_sql()["session_states"]).df())
+    payments = [(k, k, START, "checkout", k, k) for k in range(3000)]
+    stateful(spark)
+    run = payment_sessions(batches(spark, tmp_path / "many", [payments], EVENTS), buckets=2).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).foreachBatch(lambda b, _: b.count()).start()
+    run.awaitTermination()
+    assert sum(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress[:1]) < 100
