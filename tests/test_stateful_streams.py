@@ -3,7 +3,7 @@
 from datetime import datetime, timedelta
 
 from parley.streaming.convergence import appended, closing, converged
-from parley.streaming.payments import last_updates
+from parley.streaming.payments import last_updates, payment_states
 from parley.streaming.sessions import payment_sessions, stateful, step
 
 START = datetime(2024, 1, 1)
@@ -97,3 +97,14 @@ def test_sessions_of_events_that_come_late(spark, tmp_path):
     run = payment_sessions(batches(spark, tmp_path / "many", [payments], EVENTS), buckets=2).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).foreachBatch(lambda b, _: b.count()).start()
     run.awaitTermination()
     assert sum(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress[:1]) < 100
+
+
+def test_payments_share_state(spark, tmp_path):
+    """Three thousand payments' events are a few rows of state, in two buckets' pages."""
+    rows = [(k, k, "paid", k) for k in range(3000)]
+    spark.createDataFrame(rows, "event_id long, payment_id long, kind string, arrival long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stateful(spark)
+    source = spark.readStream.schema("event_id long, payment_id long, kind string, arrival long").parquet(str(tmp_path / "in"))
+    run = payment_states(source, buckets=2).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).foreachBatch(lambda b, _: b.count()).start()
+    run.awaitTermination()
+    assert run.recentProgress[0]["stateOperators"][0]["numRowsTotal"] < 100
