@@ -17,6 +17,8 @@ from .payments import settlement_worker
 #: Payments of a tick, and what they are expired against.
 PER_TICK, AS_OF = 50, "2000-01-01 00:00:00"
 WRITER = "settlement"
+#: Ranges of numbers that are counted at once.
+RANGES = 4096
 LEDGER = "event_key string, payment_id long, kind string, cents long"
 CHANGES = "allocation_id long, status string, at_version long"
 HELD = ("reserved", "transferring", "review")
@@ -57,6 +59,26 @@ def entries(own: DataFrame, allocations: DataFrame, transfers: DataFrame, refund
     return changes, ledger, retries
 
 
+def reach(ids: DataFrame, n: int) -> tuple[int, int, int]:
+    """The first and the n-th number, or the last, of a column payment_id in order, and how many that are: by counts within ranges, so that of
+    any n only RANGES counts come to the driver."""
+    low, high, total = ids.agg(F.min("payment_id"), F.max("payment_id"), F.count("payment_id")).first()
+    if not total:
+        return 0, -1, 0
+    first, rest = low, n
+    if total <= n:
+        return low, high, total
+    while low < high:
+        width = -(-(high - low + 1) // RANGES)
+        place = F.expr(f"(payment_id - {low}) div {width}").alias("place")
+        for k, count in sorted(map(tuple, ids.where(F.col("payment_id").between(low, high)).groupBy(place).count().collect())):
+            if count >= rest:
+                break
+            rest -= count
+        low, high = low + k * width, min(high, low + (k + 1) * width - 1)
+    return first, low, n
+
+
 def tick(store: Store, batch: int, sources: dict[str, DataFrame], per_tick: int = PER_TICK, as_of: str = AS_OF) -> int:
     """One tick: the next `per_tick` payments with an intent, by number, behind the cursor; from the start again where they end.
 
@@ -68,11 +90,9 @@ def tick(store: Store, batch: int, sources: dict[str, DataFrame], per_tick: int
         return seen
     at = store.read("cursor", seen).agg(F.max("payment_id")).first()[0]
     open_ = sources["payments"].where("has_intent")
-    # of a size that per_tick bounds
-    ids = [r[0] for r in (open_.where(F.col("payment_id") > at) if at is not None else open_).select("payment_id").orderBy("payment_id").limit(per_tick).collect()]
-    cursor = [(ids[-1],)] if len(ids) == per_tick else []
-    mine = lambda frame: frame.join(F.broadcast(own.select("payment_id")), "payment_id", "left_semi")
-    low, high = (ids[0], ids[-1]) if ids else (0, -1)
+    low, high, n = reach((open_.where(F.col("payment_id") > at) if at is not None else open_).select("payment_id"), per_tick)
+    cursor = [(high,)] if n == per_tick else []
+    mine = lambda frame: frame.join(own.select("payment_id"), "payment_id", "left_semi")
     own = stored(open_.where(F.col("payment_id").between(low, high)))
     newest = Window.partitionBy("allocation_id").orderBy(F.desc("at_version"))
     allocations = mine(sources["allocations"].where(F.col("payment_id").between(low, high)))
