@@ -108,3 +108,15 @@ def test_payments_share_state(spark, tmp_path):
     run = payment_states(source, buckets=2).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).foreachBatch(lambda b, _: b.count()).start()
     run.awaitTermination()
     assert run.recentProgress[0]["stateOperators"][0]["numRowsTotal"] < 100
+
+
+def test_ranges_are_written_by_many_tasks(spark, monkeypatch, tmp_path):
+    """Each range is as many files, a batch takes a whole range, and none of it comes twice or out of order."""
+    from parley.streaming import sessions
+
+    monkeypatch.setattr(sessions, "FILE_ROWS", 50)
+    told = sessions.in_order(spark.range(0, 1000, 1, 8).withColumnRenamed("id", "at"), "at", str(tmp_path / "in"))
+    assert {len(spark.read.parquet(str(tmp_path / "in" / str(k))).inputFiles()) for k in range(4)} in ({4}, {5})
+    seen = []
+    told.writeStream.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).foreachBatch(lambda b, _: seen.append(sorted(r.at for r in b.collect()))).start().awaitTermination()
+    assert len(seen) == 4 and sum(seen, []) == list(range(1000))
