@@ -13,7 +13,7 @@ DIR = "/root/testdata/sf0.001"
 SEARCHES = ("regexp_extract_all", "regexp_replace", "rlike", "split(")
 
 
-@pytest.mark.parametrize("name", ["external_bundles", "external_outcomes", "external_receipts", "redacted_text", "qi_types", "quality_ceiling", "record_identifiers", "category_detections", "external_final_texts", "external_actions", "external_quasi"])
+@pytest.mark.parametrize("name", ["external_bundles", "external_outcomes", "external_receipts", "redacted_text", "qi_types", "quality_ceiling", "record_identifiers", "category_detections", "external_final_texts", "external_actions", "external_quasi", "datasheet"])
 def test_only_tables_of_different_texts_are_searched(name):
     """No statement that reads records searches texts; those that search read the tables of different texts, edits and versions."""
     e = Spark("x")
